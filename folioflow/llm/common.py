@@ -45,3 +45,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Few rows an Arrow batch: a Python worker then holds at most that many long texts at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def tokenizer_json(name: str) -> str:
+    """Path of a public tokenizer's vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from folioflow.llm import quality, shards, url_filter, warc
-from folioflow.llm.common import table
+from folioflow.llm import bpe, pfor, quality, shards, simhash, url_filter, warc
+from folioflow.llm.common import table, tokenizer_json
+
+
+def op1_token_blocks(spark, sf_dir):
+    return pfor.tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_json("word_bpe_49k.json"))
 
 
 def op4_warc(spark, sf_dir):
@@ -14,6 +18,14 @@ def op6_quality(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op7_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_bpe(spark, sf_dir):
+    return bpe.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_json("byte_bpe_50k.json"))
+
+
 def op9_url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.filter_urls(pages, url_filter.listed_from_pages(pages))
@@ -23,5 +35,5 @@ def op10_shards(spark, sf_dir):
     return shards.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op4_warc, op6_quality, op9_url_filter, op10_shards)}
+QUERIES = {f.__name__: f for f in (op1_token_blocks, op4_warc, op6_quality, op7_simhash, op8_bpe, op9_url_filter, op10_shards)}
 ORACLE = {"op4_warc": warc.ORACLE, "op6_quality": quality.ORACLE, "op9_url_filter": url_filter.ORACLE}
