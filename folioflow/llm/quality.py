@@ -123,8 +123,10 @@ def judge(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFra
 
 def keep_good(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns only."""
-    m = measure(docs, text)
-    return m.filter(~base_failed() & compile_rules(thresholds)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # A filter on the measures would be pushed below their projections, and the arrays then be built anew for
+    # every element; it is not pushed below a projection with a number that depends on the partition.
+    m = measure(docs, text).withColumn(f"{_P}row", F.monotonically_increasing_id())
+    return m.filter(~base_failed() & compile_rules(thresholds) & (_c("row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 _SQL_STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import bpe, pfor, quality, shards, simhash, url_filter, warc
+from folioflow.llm import bpe, decontaminate, pfor, pii, quality, shards, simhash, url_filter, warc
 from folioflow.llm.common import table, tokenizer_json
 
 
@@ -10,10 +10,18 @@ def op1_token_blocks(spark, sf_dir):
     return pfor.tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_json("word_bpe_49k.json"))
 
 
+def op2_decontaminate(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_warc(spark, sf_dir):
     return warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op5_pii(spark, sf_dir):
+    return pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_quality(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -35,5 +43,5 @@ def op10_shards(spark, sf_dir):
     return shards.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_blocks, op4_warc, op6_quality, op7_simhash, op8_bpe, op9_url_filter, op10_shards)}
+QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_decontaminate, op4_warc, op5_pii, op6_quality, op7_simhash, op8_bpe, op9_url_filter, op10_shards)}
 ORACLE = {"op4_warc": warc.ORACLE, "op6_quality": quality.ORACLE, "op9_url_filter": url_filter.ORACLE}
