@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import bpe, decontaminate, pfor, pii, quality, shards, simhash, url_filter, warc
+from folioflow.llm import bpe, decontaminate, pfor, pii, quality, shards, simhash, substrings, url_filter, warc
 from folioflow.llm.common import table, tokenizer_json
 
 
@@ -14,6 +14,10 @@ def op2_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_repeats(spark, sf_dir):
+    return substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_warc(spark, sf_dir):
     return warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -43,5 +47,5 @@ def op10_shards(spark, sf_dir):
     return shards.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_decontaminate, op4_warc, op5_pii, op6_quality, op7_simhash, op8_bpe, op9_url_filter, op10_shards)}
+QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_decontaminate, op3_repeats, op4_warc, op5_pii, op6_quality, op7_simhash, op8_bpe, op9_url_filter, op10_shards)}
 ORACLE = {"op4_warc": warc.ORACLE, "op6_quality": quality.ORACLE, "op9_url_filter": url_filter.ORACLE}
