@@ -1,4 +1,6 @@
 """All registered queries of the engine, by family."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from folioflow.plans import documents, retrieval
+
+QUERIES: dict = {**retrieval.QUERIES, **documents.QUERIES}
+ORACLE: dict[str, str] = {**retrieval.ORACLE, **documents.ORACLE}
