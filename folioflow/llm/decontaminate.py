@@ -3,8 +3,11 @@
 Texts and items are compared in normal form: lower case, runs of other than word characters as one
 blank. An item of m characters has an error budget of k = m // ``CHARS_PER_EDIT`` edits and is cut into k + 1
 pieces. Wherever at most k edits turn the item into a passage, one piece stands there unchanged, so an
-Aho-Corasick automaton over all pieces finds every candidate place; Myers' bit-parallel distance then verifies the
-passage around it.
+Aho-Corasick automaton over all pieces finds every candidate place. Myers' bit-parallel distance verifies the
+passage around it, from small to large: of neighbouring pieces joined by two again and again, j together
+must stand there with at most j - 1 edits. Were that wrong for one part on the way up from every piece that
+stands unchanged, the parts' edits would add up to more than k, so no match is lost, and a chance hit
+mostly ends after two pieces.
 
 Items are the stated query set: they are read in blocks of at most ``BLOCK_CHARS`` characters, each block is
 shipped to the workers and held against all texts, so that what is broadcast is bounded.
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,6 +33,7 @@ CHARS_PER_EDIT = 12
 MIN_CHARS = 20
 BLOCK_CHARS = 1_000_000
 _OTHER = re.compile(r"[\W_]+")
+_PAIRS = "doc_id long, item_id long, edits int, start int"
 _HITS = "array<struct<item_id: bigint, edits: int, start: int>>"
 
 
@@ -42,6 +47,18 @@ def cut(item: str, budget: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(at, at[1:])]
 
 
+def parts_around(item: str, budget: int, j: int) -> list[tuple[str, int, int]]:
+    """(part, offset, budget) of the parts that hold piece j, from its pair up to just below the whole item."""
+    at = [i * len(item) // (budget + 1) for i in range(budget + 2)]
+    out, a, b = [], 0, budget + 1
+    while b - a > 1:
+        if b - a <= budget:
+            out.append((item[at[a] : at[b]], at[a], b - a - 1))
+        mid = (a + b) // 2
+        a, b = (a, mid) if j < mid else (mid, b)
+    return out[::-1]
+
+
 def myers(item: str, text: str, budget: int) -> tuple[int, int] | None:
     """(fewest edits, end) of the item against any passage of ``text``; None above the budget."""
     m = len(item)
@@ -72,30 +89,33 @@ class Matcher:
         import ahocorasick
 
         self.items = [(i, t, len(t) // chars_per_edit) for i, t in items]
-        pieces: dict[str, list[tuple[int, int]]] = {}
+        pieces: dict[str, list[tuple[int, int, int]]] = {}
         for n, (_, t, k) in enumerate(self.items):
-            for offset, piece in cut(t, k):
-                pieces.setdefault(piece, []).append((n, offset))
+            for j, (offset, piece) in enumerate(cut(t, k)):
+                pieces.setdefault(piece, []).append((n, j, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, owners in pieces.items():
             self.automaton.add_word(piece, (len(piece), owners))
         self.automaton.make_automaton()
-        self.known: dict[tuple[int, str], tuple[int, int] | None] = {}
+        self.parts = [[parts_around(t, k, j) for j in range(k + 1)] for _, t, k in self.items]
+
+    def _likely(self, n: int, j: int, text: str, start: int) -> bool:
+        """Whether all parts around piece j stand near ``start`` within their budgets."""
+        for part, offset, k in self.parts[n][j]:
+            low = max(0, start + offset - k)
+            if myers(part, text[low : max(0, start + offset + len(part) + k)], k) is None:
+                return False
+        return True
 
     def _verify(self, n: int, text: str, start: int) -> tuple[int, int] | None:
         """(edits, start) of item n near ``start``."""
         _, item, k = self.items[n]
-        if text.startswith(item, start) and start >= 0:
+        if start >= 0 and text.startswith(item, start):
             return 0, start
         if not k:
             return None
         low = max(0, start - k)
-        around = text[low : start + len(item) + k]
-        if (n, around) not in self.known:
-            if len(self.known) > 20_000:
-                self.known.clear()
-            self.known[n, around] = myers(item, around, k)
-        found = self.known[n, around]
+        found = myers(item, text[low : max(0, start + len(item) + k)], k)
         return found and (found[0], max(0, low + found[1] - len(item)))
 
     def hits(self, text: str | None) -> list[dict]:
@@ -103,14 +123,16 @@ class Matcher:
         if not text:
             return []
         text = normal(text)
-        starts: dict[int, set[int]] = {}
+        starts: dict[int, dict[int, list[int]]] = {}
         for end, (size, owners) in self.automaton.iter(text):
-            for n, offset in owners:
-                starts.setdefault(n, set()).add(end + 1 - size - offset)
+            for n, j, offset in owners:
+                starts.setdefault(n, {}).setdefault(end + 1 - size - offset, []).append(j)
         out = []
         for n, places in sorted(starts.items()):
-            best = None
-            for s in sorted(places):
+            best, item = None, self.items[n][1]
+            for s, hit in sorted(places.items()):
+                if not (s >= 0 and text.startswith(item, s)) and not any(self._likely(n, j, text, s) for j in hit):
+                    continue
                 found = self._verify(n, text, s)
                 if found and (best is None or found < best):
                     best = found
@@ -147,6 +169,16 @@ def _match(shipped, chars_per_edit: int):
     return match
 
 
+def _search(shipped, chars_per_edit: int):
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher = Matcher(shipped.value, chars_per_edit)
+        for b in batches:
+            rows = [(i, *h.values()) for i, t in zip(b["doc_id"], b["text"], strict=True) for h in matcher.hits(t)]
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "edits", "start"])
+
+    return search
+
+
 def hits_column(items: DataFrame, text: Column, chars_per_edit: int = CHARS_PER_EDIT, **how) -> Column:
     """An array of (item_id, edits, start) for a text column."""
     spark = items.sparkSession
@@ -157,8 +189,12 @@ def hits_column(items: DataFrame, text: Column, chars_per_edit: int = CHARS_PER_
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """doc_id, item_id, edits and start (in the normal form) of every item that a document holds."""
-    found = docs.select(F.col(id_col).alias("doc_id"), hits_column(items, F.col(text_col), **how).alias("hits"))
-    return found.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    chars = how.pop("chars_per_edit", CHARS_PER_EDIT)
+    found = [rows.mapInPandas(_search(spark.sparkContext.broadcast(b), chars), _PAIRS) for b in blocks(items, **how)]
+    return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], _PAIRS)
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **how) -> DataFrame:
