@@ -47,9 +47,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Few rows an Arrow batch: a Python worker then holds at most that many long texts at once."""
+def bounded_batches(spark: SparkSession, rows: int = 10_000, megabytes: int = 2) -> None:
+    """Bound Arrow batches by bytes: a Python worker then holds few long texts, or many short rows, at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
 
 
 def tokenizer_json(name: str) -> str:

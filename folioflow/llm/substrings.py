@@ -6,7 +6,7 @@ A byte goes if a ``WINDOW``-byte string that starts earlier (smaller id, or same
 2. Anchors: each window names the position of its least hashed ``GRAM``-byte string, so equal windows name equal
    strings at equal offsets. Only anchors whose string occurs again anywhere can lie in a repeated window.
 3. Each such anchor is dealt, by its string, with the bytes of all windows that name it. Equal contexts collapse
-   to their first; the window starts of the others are the suffixes of one text and are sorted to depth ``WINDOW``:
+   to their first, within a task before the shuffle and then once more; the window starts of the others are the suffixes of one text and are sorted to depth ``WINDOW``:
    by multikey quicksort on eight-byte symbols to a shallow depth, then each group that still ties goes into a
    blind trie, which skips the common prefix and branches at the first byte that differs. The tries of all groups
    grow together, one level a round, in numpy. Suffixes that end in one leaf are equal windows; all but the
@@ -38,6 +38,9 @@ SHALLOW = 16
 #: Bytes of text, and windows, that a worker looks at together.
 TEXT_AT_ONCE = 4_000_000
 WINDOWS_AT_ONCE = 1_000_000
+#: Bytes of distinct contexts that a task collapses at once, and rows that it sorts at once.
+HELD = 64_000_000
+ROWS_AT_ONCE = 20_000
 _PLACE = 24  # bits of a position within TEXT_AT_ONCE and one more text
 
 
@@ -261,42 +264,108 @@ def _emit_shared(batches):
         yield held.loc[held["again"], ["gram", "doc_id"]]
 
 
+def _wanted(t: np.ndarray, h: np.ndarray, owner: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Anchors (text, hash) that are among the asked (owner, gram); a chance hit only costs work."""
+    mixed = lambda i, x: x.view(np.uint64) ^ (i.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return np.flatnonzero(np.isin(mixed(t, h), mixed(owner, grams)))
+
+
+def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pd.DataFrame:
+    """Stretches of each document, those that touch or overlap in one."""
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    new = np.r_[True, doc[1:] != doc[:-1]][: len(doc)]
+    if len(doc):
+        # the furthest end so far within a document: documents are kept apart by their number
+        group = np.cumsum(new) - 1
+        reach = np.maximum.accumulate(end + group * (1 << 40)) - group * (1 << 40)
+        new[1:] |= start[1:] > reach[:-1]
+        head = np.flatnonzero(new)
+        return pd.DataFrame({"doc_id": doc[head], "start": start[head], "end": np.maximum.reduceat(end, head)})
+    return pd.DataFrame({"doc_id": doc, "start": start, "end": end})
+
+
+def _late(found: list[tuple[int, int, int]]) -> pd.DataFrame:
+    """Known repeats as rows of the contexts' table: no context, the length as ``before``, a gram that spreads them."""
+    x = np.array(found, dtype=np.int64).reshape(-1, 3)
+    m = _merged(x[:, 0], x[:, 1], x[:, 2])
+    spread = (m["doc_id"].to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    return pd.DataFrame({"gram": spread, "doc_id": m["doc_id"], "first": m["start"], "before": (m["end"] - m["start"]).astype(np.int32), "context": None})
+
+
+def _reps(seen: dict) -> pd.DataFrame:
+    rows = [(g, d, f, b, c) for (b, c), (d, f, g) in seen.items()]
+    return pd.DataFrame(rows, columns=["gram", "doc_id", "first", "before", "context"])
+
+
 def _emit_contexts(batches):
+    """Contexts of shared anchors. Of equal contexts a task sends only the earliest; the others are repeats already."""
+
     def rows():
         for b in batches:
             yield from zip(b["doc_id"].tolist(), b["body"], b["grams"], strict=True)
 
+    seen: dict = {}
+    held, late = 0, []
     for group in _chunks(rows()):
         bodies = [bytes(x[1]) for x in group]
         t, p, lo, hi, h = anchors(bodies)
-        wanted = np.concatenate([np.asarray(x[2], dtype=np.int64) for x in group])
-        owner = np.repeat(np.arange(len(group)), [len(x[2]) for x in group])
-        ask = np.rec.fromarrays([owner, wanted])
-        hit = np.flatnonzero(np.isin(np.rec.fromarrays([t, h]), ask)) if len(t) else t
-        ids = np.array([x[0] for x in group], dtype=np.int64)
-        body = [bodies[i][a : b + WINDOW] for i, a, b in zip(t[hit].tolist(), lo[hit].tolist(), hi[hit].tolist(), strict=True)]
-        yield pd.DataFrame({"gram": h[hit], "doc_id": ids[t[hit]], "first": lo[hit], "before": (p - lo)[hit].astype(np.int32), "context": body})
+        asked = np.concatenate([np.asarray(x[2], dtype=np.int64) for x in group])
+        hit = _wanted(t, h, np.repeat(np.arange(len(group)), [len(x[2]) for x in group]), asked)
+        ids = [x[0] for x in group]
+        for i, a, z, k, g in zip(t[hit].tolist(), lo[hit].tolist(), hi[hit].tolist(), (p - lo)[hit].tolist(), h[hit].tolist(), strict=True):
+            key = (k, bodies[i][a : z + WINDOW])
+            d = ids[i]
+            at = seen.get(key)
+            if at is None:
+                seen[key] = d, a, g
+                held += z - a + WINDOW
+            elif (at[0], at[1]) <= (d, a):
+                late.append((d, a, z + WINDOW))
+            else:
+                late.append((at[0], at[1], at[1] + z - a + WINDOW))
+                seen[key] = d, a, g
+        if held > HELD:
+            yield _reps(seen)
+            seen, held = {}, 0
+        if len(late) > WINDOWS_AT_ONCE:
+            yield _late(late)
+            late = []
+    if seen:
+        yield _reps(seen)
+    if late:
+        yield _late(late)
 
 
 def _emit_repeats(batches):
-    held = None
+    """Over rows sorted by gram: whole grams together, up to many rows at once."""
+    held: list[pd.DataFrame] = []
+    size = 0
     for b in batches:
-        b = b if held is None else pd.concat([held, b], ignore_index=True)
-        g = b["gram"].to_numpy()
-        if not len(g):
+        if not len(b):
             continue
-        cut = int(np.searchsorted(g, g[-1]))
-        held, b = b.iloc[cut:], b.iloc[:cut]
-        if len(b):
-            yield from _table(b)
-    if held is not None:
+        held.append(b)
+        size += len(b)
+        if size >= ROWS_AT_ONCE and held[0]["gram"].iat[0] != b["gram"].iat[-1]:
+            g = b["gram"].to_numpy()
+            cut = int(np.searchsorted(g, g[-1]))
+            if cut or len(held) > 1 and held[-2]["gram"].iat[-1] != g[-1]:
+                yield from _table([*held[:-1], b.iloc[:cut]])
+                held, size = [b.iloc[cut:]], len(b) - cut
+    if held:
         yield from _table(held)
 
 
-def _table(b):
+def _table(parts: list[pd.DataFrame]):
+    b = pd.concat(parts, ignore_index=True)
+    known = b["context"].isna().to_numpy()
+    spans = [b.loc[known, ["doc_id", "first", "before"]].to_numpy(dtype=np.int64)]
+    spans[0][:, 2] += spans[0][:, 1]
+    b = b.loc[~known]
     cols = [b[c].to_numpy() for c in ("gram", "doc_id", "first")]
-    for doc, start, end in _sort_contexts(*cols, [bytes(x) for x in b["context"]], b["before"].to_numpy()):
-        yield pd.DataFrame({"doc_id": doc, "start": start, "end": end})
+    spans += [np.stack(x, axis=1) for x in _sort_contexts(*cols, b["context"].tolist(), b["before"].to_numpy())]
+    x = np.concatenate(spans)
+    yield _merged(x[:, 0], x[:, 1], x[:, 2])
 
 
 def cut_out(body: bytes, spans) -> tuple[int, int, bytes]:
@@ -343,7 +412,7 @@ def _with_unique_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs``."""
     spark = docs.sparkSession
-    bounded_batches(spark, 256)
+    bounded_batches(spark)
     n = partitions(spark)
     rows, names = _with_unique_ids(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     name = f"folioflow_{uuid.uuid4().hex}"
