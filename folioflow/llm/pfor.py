@@ -12,8 +12,8 @@ range of documents go, in ascending id order, into binary files of this layout (
 
 A block's width is that of its 90th percentile; larger values are exceptions. The last block is filled with its last id.
 
-Only whole chunks between blanks are encoded, each distinct chunk of a worker once: the tokenizer
-drops white space and never joins characters across it, so the ids are those of the whole text.
+The library is asked once a worker for each distinct chunk of text between blanks and marks; the tokenizer
+joins nothing across those, so the ids are those of the whole text.
 
 Defined results: a null text is empty and holds the end id alone; rows that repeat an id are ordered
 by their text's hash; an empty table gives no files and no rows.
@@ -25,6 +25,7 @@ import json
 import os
 import struct
 import zlib
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -39,18 +40,33 @@ from folioflow.llm.store import ShardFile
 BLOCK = 128
 PERCENTILE = 90
 END_ID = 2
+#: Stands in the files for a missing document id.
+NO_ID = -(1 << 63)
 #: Ids after which a task starts its next file: bounds what writers and readers hold.
 ROLL = 2_000_000
-#: Distinct chunks a worker remembers.
-CACHE = 400_000
+#: Distinct chunks a worker remembers (some 40 bytes each), and the longest of them.
+CACHE = 2_000_000
+LONG = 64
+_MARKS = b".,;:!?"
+_IS_MARK = np.isin(np.arange(256), np.frombuffer(_MARKS, dtype=np.uint8))
+_IS_WORD = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
+_BASE = 0x5851F42D4C957F2D
+_VALUE = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(0x94D049BB133111EB)
 _HEAD = struct.Struct("<4sIIQQQQ")
 
 
 class ChunkEncoder:
-    """Ids of whole texts, from the ids of their distinct blank-separated chunks.
+    """Ids of whole texts, from the ids of their distinct chunks.
 
-    Unknown chunks are encoded together, an added token between each two: the library cuts texts at
-    added tokens before anything else, and the token's id shows where each chunk's ids end.
+    A text is cut at blanks and line ends, which the tokenizer drops, and between an ASCII letter or digit and a mark of
+    ``_MARKS``, which always fall into different words; it joins nothing across those. Cutting, hashing and
+    putting ids together is done for all texts of a batch at once, in numpy; the library gets each distinct chunk
+    of a worker once. Known chunks are rows of flat arrays, sorted by hash. Chunks over ``LONG`` bytes are not
+    kept: below that length different chunks with equal hashes are as rare as 64 random bits allow.
+
+    Unknown chunks are encoded together. Chunks of letters are one word each, and the vocabulary marks the
+    last piece of a word, which shows where each one's ids end. Between other chunks stands an added
+    token: the library cuts texts at those before anything else.
     """
 
     def __init__(self, spec: str):
@@ -60,42 +76,124 @@ class ChunkEncoder:
         self._library = Tokenizer.from_str(spec)
         self._library.no_padding()
         self._library.no_truncation()
-        added = {t["content"]: t["id"] for t in json.loads(spec)["added_tokens"]}
+        d = json.loads(spec)
+        added = {t["content"]: t["id"] for t in d["added_tokens"]}
         self._added, (self._mark, self._mark_id) = tuple(added), next(iter(added.items()))
-        self._known: dict[str, bytes] = {}
-
-    def _learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if not any(a in c for a in self._added)] if any(a in c for c in chunks for a in self._added) else chunks
-        if plain is not chunks:
-            for c in set(chunks).difference(plain):
-                self._known[c] = np.array(self._library.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        for i in range(0, len(plain), 1000):
-            some = plain[i : i + 1000]
-            (e,) = self._library.encode_batch_fast([self._mark.join(some)], add_special_tokens=False)
-            ids = np.array(e.ids, dtype="<u4")
+        suffix, vocab = d["model"].get("end_of_word_suffix"), d["model"]["vocab"]
+        self._last = np.zeros(max([*vocab.values(), *added.values()]) + 1, dtype=bool)
+        if suffix:
+            self._last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self._power = self._inverse = np.ones(1, dtype=np.uint64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self._hash = np.zeros(0, dtype=np.uint64)
+        self._at = self._size = np.zeros(0, dtype=np.int64)
+        self._pool, self._used = np.zeros(1 << 16, dtype="<u4"), 0
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self._library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _several(self, chunks: list[str], letters: bool) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for i in range(0, len(chunks), 1000):
+            some = chunks[i : i + 1000]
+            if letters:
+                ids = self._ids(" ".join(some))
+                ends = np.flatnonzero(self._last[ids]) + 1
+                if len(ends) == len(some):
+                    out += np.split(ids, ends[:-1])
+                    continue
+            ids = self._ids(self._mark.join(some))
             cut = np.flatnonzero(ids == self._mark_id)
-            raw = ids.tobytes()
-            starts, ends = [0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), len(raw)]
-            self._known.update((c, raw[s:t]) for c, s, t in zip(some, starts, ends, strict=True))
+            out += [ids[s:e] for s, e in zip(np.r_[0, cut + 1].tolist(), np.r_[cut, len(ids)].tolist(), strict=True)]
+        return out
+
+    def _look_up(self, chunks: list[str]) -> list[np.ndarray]:
+        """Ids of each of some distinct chunks."""
+        kind = [0 if c.isalpha() else 2 if "<" in c and any(a in c for a in self._added) else 1 for c in chunks]
+        of = [[c for c, k in zip(chunks, kind, strict=True) if k == want] for want in range(3)]
+        done = [iter(self._several(of[0], True)), iter(self._several(of[1], False)), iter([self._ids(c) for c in of[2]])]
+        return [next(done[k]) for k in kind]
+
+    def _put(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Append ids to the pool: (place, size) of each."""
+        size = np.array([len(x) for x in ids], dtype=np.int64)
+        end = self._used + int(size.sum())
+        if end > len(self._pool):
+            self._pool = np.r_[self._pool, np.zeros(max(end, 2 * len(self._pool)) - len(self._pool), dtype="<u4")]
+        if len(ids):
+            self._pool[self._used : end] = np.concatenate(ids)
+        at = self._used + np.cumsum(size) - size
+        self._used = end
+        return at, size
+
+    def _hashes(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A polynomial in the bytes of each chunk, from one running sum: the power of its place is divided out."""
+        if len(self._power) < len(raw) + 1:
+            for name, base in (("_power", _BASE), ("_inverse", pow(_BASE, -1, 1 << 64))):
+                x = np.full(len(raw) + 1, base, dtype=np.uint64)
+                x[0] = 1
+                setattr(self, name, np.cumprod(x, dtype=np.uint64))
+        total = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(_VALUE[raw] * self._power[: len(raw)], out=total[1:])
+        h = (total[ends] - total[starts]) * self._inverse[starts]
+        h ^= h >> np.uint64(31)
+        return h * np.uint64(0x9E3779B97F4A7C15) ^ (ends - starts).astype(np.uint64)
+
+    def encode_bytes(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each); text i is raw[off[i] : off[i + 1]] in UTF-8."""
+        if len(self._hash) > CACHE:
+            self._forget()
+        blank = (raw == 32) | (raw == 10)
+        word, mark = _IS_WORD[raw], _IS_MARK[raw]
+        first = ~blank
+        first[1:] &= blank[:-1] | (word[:-1] & mark[1:]) | (mark[:-1] & word[1:])
+        begin = off[:-1][off[:-1] < off[1:]]
+        first[begin] = ~blank[begin]
+        last = ~blank
+        last[:-1] &= blank[1:] | first[1:]
+        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        if not len(starts):
+            return np.zeros(0, dtype="<u4"), np.zeros(len(off) - 1, dtype=np.int64)
+        text = raw.tobytes()
+        at, size = np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64)
+        short = ends - starts <= LONG
+        own = np.flatnonzero(short)
+        h, where, back = np.unique(self._hashes(raw, starts[own], ends[own]), return_index=True, return_inverse=True)
+        spot = np.searchsorted(self._hash, h)
+        known = np.zeros(len(h), dtype=bool)
+        inside = spot < len(self._hash)
+        known[inside] = self._hash[spot[inside]] == h[inside]
+        new = own[where[~known]]
+        if len(new):
+            chunks = [text[s:e].decode("utf-8", "surrogatepass") for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+            a, z = self._put(self._look_up(chunks))
+            self._hash = np.insert(self._hash, spot[~known], h[~known])
+            self._at, self._size = np.insert(self._at, spot[~known], a), np.insert(self._size, spot[~known], z)
+            spot = np.searchsorted(self._hash, h)
+        at[own], size[own] = self._at[spot][back], self._size[spot][back]
+        rest = np.flatnonzero(~short)
+        used = self._used
+        if len(rest):
+            at[rest], size[rest] = self._put([self._ids(text[starts[i] : ends[i]].decode("utf-8", "surrogatepass")) for i in rest.tolist()])
+        reach = np.cumsum(size)
+        ids = self._pool[np.repeat(at - (reach - size), size) + np.arange(int(reach[-1]))]
+        self._used = used
+        ends_of = np.r_[0, reach][np.searchsorted(starts, off)]
+        return ids, np.diff(ends_of)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [_lowered(t).replace("\n", " ").split(" ") for t in texts]
-        if len(self._known) > CACHE:
-            self._known.clear()
-        known = self._known
-        new = set().union(*split).difference(known) if split else ()
-        if new:
-            self._learn(list(new))
-        return [np.frombuffer(b"".join(map(known.__getitem__, s)), dtype="<u4") for s in split]
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        off = np.r_[0, np.cumsum([len(r) for r in raw])].astype(np.int64)
+        ids, size = self.encode_bytes(np.frombuffer(b"".join(raw), dtype=np.uint8), off)
+        return np.split(ids, np.cumsum(size)[:-1]) if texts else []
 
 
-def _lowered(text: str) -> str:
-    """In Latin-1 the tokenizer's normal form is plain lower case: fewer distinct chunks."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text
-    return text if "<" in text else text.lower()
+@lru_cache(1)
+def encoder(spec: str) -> ChunkEncoder:
+    """The worker's encoder: kept from task to task."""
+    return ChunkEncoder(spec)
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,40 +274,42 @@ def write_tokens(docs: DataFrame, folder: str, spec: str, id_col: str = "doc_id"
     The driver gets one number a partition.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, megabytes=8)
     shipped = spark.sparkContext.broadcast(spec)  # one vocabulary: of fixed size
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
     rows = rows.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def write(batches):
-        part, encoder = TaskContext.get().partitionId(), ChunkEncoder(shipped.value)
-        before, n, held, doc_ids, lengths = 0, 0, [], [], []
+        import pyarrow as pa
+
+        part, codec = TaskContext.get().partitionId(), encoder(shipped.value)
+        before, n, size, held, doc_ids, lengths = 0, 0, 0, [], [], []
 
         def flush():
-            nonlocal before, n, held, doc_ids, lengths
+            nonlocal before, n, size, held, doc_ids, lengths
             ids = np.concatenate(held)
             out = ShardFile(folder, f"tokens-{part:06d}-{n:06d}.pfb")
-            out.write(file_bytes(part, before, np.array(doc_ids, dtype=np.int64), np.array(lengths), ids))
+            out.write(file_bytes(part, before, np.concatenate(doc_ids), np.concatenate(lengths), ids))
             out.commit()
-            before, n, held, doc_ids, lengths = before + len(ids), n + 1, [], [], []
+            before, n, size, held, doc_ids, lengths = before + len(ids), n + 1, 0, [], [], []
 
-        end = np.array([END_ID], dtype="<u4")
-        size = 0
         for b in batches:
-            for doc_id, ids in zip(b["doc_id"].tolist(), encoder.encode(b["text"].tolist()), strict=True):
-                held += (ids, end)
-                doc_ids.append(doc_id)
-                lengths.append(len(ids) + 1)
-                size += len(ids) + 1
-                if size >= ROLL:
-                    flush()
-                    size = 0
+            text = b.column(1).cast(pa.large_binary())
+            off = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset : text.offset + len(text) + 1]
+            raw = np.frombuffer(text.buffers()[2] or b"", dtype=np.uint8)[off[0] : off[-1]]
+            ids, count = codec.encode_bytes(raw, off - off[0])
+            doc_ids.append(b.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False))
+            held.append(np.insert(ids, np.cumsum(count), END_ID).astype("<u4"))
+            lengths.append(count + 1)
+            size += len(held[-1])
+            if size >= ROLL:
+                flush()
         if held:
             flush()
-        yield pd.DataFrame({"part": [part], "n": [before]})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": pa.array([before], pa.int64())})
 
-    sums = dict(rows.mapInPandas(write, "part int, n long").groupBy("part").agg(F.max("n")).collect())
+    sums = dict(rows.select("doc_id", "text").mapInArrow(write, "part int, n long").groupBy("part").agg(F.max("n")).collect())
     return [0, *accumulate(sums.get(i, 0) for i in range(max(sums, default=-1) + 1))]
 
 
@@ -224,7 +324,8 @@ def read_tokens(spark: SparkSession, folder: str, first: list[int]) -> DataFrame
                 raw = memoryview(ids.astype("<u4").tobytes())
                 starts = ends - lengths
                 crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pd.DataFrame({"doc_id": doc_ids, "start": starts + before + first[part], "n_tokens": lengths.astype(np.int64), "ids_crc32": crc})
+                doc_id = pd.Series(doc_ids.astype(np.int64), dtype="Int64").mask(doc_ids == NO_ID)
+                yield pd.DataFrame({"doc_id": doc_id, "start": starts + before + first[part], "n_tokens": lengths.astype(np.int64), "ids_crc32": crc})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfb").load(folder).select("content")
     return files.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
