@@ -39,7 +39,7 @@ SHALLOW = 16
 TEXT_AT_ONCE = 4_000_000
 WINDOWS_AT_ONCE = 1_000_000
 #: Bytes of distinct contexts that a task collapses at once, and rows that it sorts at once.
-HELD = 64_000_000
+HELD = 24_000_000
 ROWS_AT_ONCE = 20_000
 _PLACE = 24  # bits of a position within TEXT_AT_ONCE and one more text
 
