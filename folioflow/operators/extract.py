@@ -149,7 +149,7 @@ def code_names(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def html_text(html: Column) -> Column:
     """Visible text: scripts, styles, comments and tags dropped, common entities read, blanks compacted."""
-    t = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>|<!--.*?-->", " ")
+    t = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " ")
     t = F.regexp_replace(t, r"(?s)<[^>]*>", " ")
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         t = F.replace(t, F.lit(a), F.lit(b))

@@ -84,7 +84,7 @@ def score_candidates(profiles: DataFrame, artifacts: DataFrame, on: list[str]) -
     keys = F.concat_ws(" ", F.coalesce("row_label", F.lit("")), F.coalesce("column_label", F.lit("")))
     a = a.withColumn("a_tokens", question_tokens(F.col("said"))).withColumn("k_tokens", question_tokens(keys))
     j = profiles.join(a, on)
-    code = lambda c: F.regexp_like(F.col("said"), F.concat(F.lit(r"(?i)(?<![A-Za-z0-9])"), c, F.lit(r"(?![A-Za-z0-9])")))
+    code = lambda c: F.regexp_like(F.col("said"), F.concat(F.lit(r"(?i)(^|[^A-Za-z0-9])"), c, F.lit(r"([^A-Za-z0-9]|$)")))
     j = j.withColumns(
         {
             "n_overlap": F.size(F.array_intersect("q_tokens", "a_tokens")),

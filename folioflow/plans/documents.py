@@ -266,12 +266,6 @@ def code_name_pairs(spark, sf):
     return X.code_names(g.select(F.col("r_regionkey").alias("page"), F.array_join(F.concat(head, item), "\n").alias("text")), "page")
 
 
-@query()
-def html_page_text(spark, sf):
-    h = F.col("html")
-    return B.table(spark, sf, "pages").select("page_id", X.html_title(h).alias("title"), X.html_text(h).alias("text"))
-
-
 @query(f"""WITH {B.QUESTIONS}, x AS (SELECT query, question, lower(trim(regexp_replace(question, '\\s+', ' ', 'g'))) AS nq, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(question, '[a-zA-Z][a-zA-Z0-9]+'), lambda w: lower(w)),
   lambda w: length(w) > 2 AND w NOT IN ({", ".join(f"'{w}'" for w in T.QUESTION_STOPWORDS)})))) AS q_tokens,
   list_sort(list_distinct(list_filter(regexp_extract_all(question, '\\b([A-Z]{{1,4}}\\d{{1,4}})\\b', 1), lambda c: NOT regexp_matches(c, '^(FY\\d+|Q\\d|F\\d+|AP\\d+|GPT\\d+)$')))) AS codes,
@@ -299,12 +293,6 @@ def skill_activation(spark, sf):
     return Q.skills(Q.profile(B.questions(spark, sf))).select("query", "skills")
 
 
-@query()
-def guarded_select(spark, sf):
-    _, _, d, s = _guarded(spark, sf)
-    return d.join(s.groupBy("query").agg(F.count("*").alias("n_selected"), F.max("selection_score").alias("best")), "query", "left")
-
-
 @query()
 def capsule_tokens(spark, sf):
     _, _, _, s = _guarded(spark, sf)

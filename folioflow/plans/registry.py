@@ -1,6 +1,6 @@
 """All registered queries of the engine, by family."""
 
-from folioflow.plans import documents, retrieval
+from folioflow.plans import documents, reports, retrieval
 
-QUERIES: dict = {**retrieval.QUERIES, **documents.QUERIES}
-ORACLE: dict[str, str] = {**retrieval.ORACLE, **documents.ORACLE}
+QUERIES: dict = {**retrieval.QUERIES, **documents.QUERIES, **reports.QUERIES}
+ORACLE: dict[str, str] = {**retrieval.ORACLE, **documents.ORACLE, **reports.ORACLE}
