@@ -48,4 +48,4 @@ def op10_shards(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_decontaminate, op3_repeats, op4_warc, op5_pii, op6_quality, op7_simhash, op8_bpe, op9_url_filter, op10_shards)}
-ORACLE = {"op3_repeats": substrings.ORACLE, "op4_warc": warc.ORACLE, "op6_quality": quality.ORACLE, "op9_url_filter": url_filter.ORACLE}
+ORACLE = {"op3_repeats": substrings.ORACLE, "op4_warc": warc.ORACLE, "op6_quality": quality.ORACLE, "op9_url_filter": url_filter.ORACLE, "op10_shards": shards.oracle()}

@@ -124,3 +124,32 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_id", tex
     return placed.mapInPandas(
         place, "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int, row_number long"
     )
+
+
+def oracle(n_shards: int = N_SHARDS, seed: int = SEED) -> str:
+    """The same in SQL: checksums byte by byte, the network in 128-bit arithmetic, cycle walking by recursion."""
+    m64 = "18446744073709551616::UHUGEINT"
+    mult = f"{0xD6E8FEB86659FD93}::UHUGEINT"
+    keys = ", ".join(f"({i}, {k}::UHUGEINT)" for i, k in enumerate(round_keys(seed)))
+    first = f"xor((v.r + 1) * {mult} % {m64}, k.key)"
+    second = f"(xor({first}, ({first}) >> 32) * {mult} % {m64})"
+    return f"""
+WITH RECURSIVE poly AS (SELECT i AS b, 0 AS step, i AS c FROM range(256) t(i) UNION ALL
+    SELECT b, step + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM poly WHERE step < 8),
+tab AS (SELECT list(c ORDER BY b) AS t FROM poly WHERE step = 8),
+h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+m AS (SELECT doc_id, CAST(len(h) // 2 + 8 AS BIGINT) AS size, xor(4294967295, list_reduce(list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT)) AS text_crc32 FROM h, tab),
+r AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS row_number FROM m),
+c0 AS (SELECT count(*)::UHUGEINT AS n, CAST(greatest(1, ceil(ceil(log2(greatest(count(*), 2))) / 2)) AS INT) AS k FROM r),
+c AS (SELECT n, k, (1::BIGINT << k)::UHUGEINT AS half FROM c0),
+keys(i, key) AS (VALUES {keys}),
+walk AS (SELECT row_number, 0 AS i, 1 AS lap, (row_number >> k)::UHUGEINT AS l, row_number::UHUGEINT % half AS r FROM r, c
+  UNION ALL
+  SELECT row_number, CASE WHEN again THEN 0 ELSE i END, lap, l, r FROM (
+    SELECT v.row_number, v.i + 1 AS i, v.lap, v.r AS l, xor(v.l, xor({second}, {second} >> 29) % c.half) AS r,
+      v.i = {ROUNDS - 1} AND v.r * c.half + xor(v.l, xor({second}, {second} >> 29) % c.half) >= c.n AS again
+    FROM walk v JOIN keys k ON k.i = v.i, c)),
+p AS (SELECT row_number, CAST(l * half + r AS BIGINT) AS p FROM walk, c WHERE i = {ROUNDS})
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(p % {n_shards} AS INT) AS shard, p // {n_shards} AS slot, CAST(NULL AS INT) AS grown_shard, row_number FROM r JOIN p USING (row_number)
+"""
