@@ -1,6 +1,6 @@
 """All registered queries of the engine, by family."""
 
-from folioflow.plans import documents, reports, retrieval
+from folioflow.plans import documents, reports, retrieval, selections
 
-QUERIES: dict = {**retrieval.QUERIES, **documents.QUERIES, **reports.QUERIES}
-ORACLE: dict[str, str] = {**retrieval.ORACLE, **documents.ORACLE, **reports.ORACLE}
+QUERIES: dict = {**retrieval.QUERIES, **documents.QUERIES, **reports.QUERIES, **selections.QUERIES}
+ORACLE: dict[str, str] = {**retrieval.ORACLE, **documents.ORACLE, **reports.ORACLE, **selections.ORACLE}
