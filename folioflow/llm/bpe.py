@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -118,6 +119,12 @@ class ByteBpe:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
 
 
+@lru_cache(1)
+def codec(spec: str) -> ByteBpe:
+    """The worker's codec: kept from task to task."""
+    return ByteBpe(spec)
+
+
 def encode_and_decode(docs: DataFrame, spec_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and, on request, the ids themselves) of every text."""
     spark = docs.sparkSession
@@ -127,7 +134,7 @@ def encode_and_decode(docs: DataFrame, spec_path: str, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches):
-        bpe = ByteBpe(shipped.value)
+        bpe = codec(shipped.value)
         for b in batches:
             ids = bpe.encode(b["text"].tolist())
             out = {
