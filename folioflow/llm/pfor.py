@@ -45,7 +45,7 @@ NO_ID = -(1 << 63)
 #: Ids after which a task starts its next file: bounds what writers and readers hold.
 ROLL = 500_000
 #: Distinct chunks a worker remembers (some 40 bytes each), and the longest of them.
-CACHE = 600_000
+CACHE = 1_000_000
 LONG = 64
 _MARKS = b".,;:!?"
 _IS_MARK = np.isin(np.arange(256), np.frombuffer(_MARKS, dtype=np.uint8))
@@ -274,7 +274,7 @@ def write_tokens(docs: DataFrame, folder: str, spec: str, id_col: str = "doc_id"
     The driver gets one number a partition.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, megabytes=1)
+    bounded_batches(spark)
     shipped = spark.sparkContext.broadcast(spec)  # one vocabulary: of fixed size
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
