@@ -36,12 +36,12 @@ WINDOW = 100
 GRAM = 32
 SHALLOW = 16
 #: Bytes of text, and windows, that a worker looks at together.
-TEXT_AT_ONCE = 4_000_000
-WINDOWS_AT_ONCE = 1_000_000
+TEXT_AT_ONCE = 1_500_000
+WINDOWS_AT_ONCE = 400_000
 #: Bytes of distinct contexts that a task collapses at once, and rows that it sorts at once.
 HELD = 24_000_000
 ROWS_AT_ONCE = 20_000
-_PLACE = 24  # bits of a position within TEXT_AT_ONCE and one more text
+_PLACE = 24  # bits of a position within the texts that are looked at together
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -65,10 +65,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
     place = np.arange(len(h), dtype=np.uint64)
-    if len(h) >> _PLACE:  # one very long text: positions need more bits
-        bits = np.uint64(int(len(h)).bit_length())
-    else:
-        bits = np.uint64(_PLACE)
+    bits = np.uint64(_PLACE)
     least = _sliding_min((h >> bits << bits) | place, WINDOW - GRAM + 1)
     ends = np.repeat(off[1:], size)[: len(least)]
     start = np.flatnonzero(np.arange(len(least)) + WINDOW <= ends)
@@ -82,15 +79,21 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return t, owner[head] - off[t], start[head] - off[t], start[tail] - off[t], h[owner[head]].view(np.int64)
 
 
-def _chunks(rows, chars: int = TEXT_AT_ONCE):
-    """Lists of (id, bytes, ...) of bounded size."""
+def _chunks(rows, chars: int | None = None):
+    """Lists of (id, bytes, base, ...) of bounded size from (id, bytes, ...).
+
+    A longer text comes in parts that overlap by one byte less than a window: each window lies in one part.
+    """
+    chars = chars or TEXT_AT_ONCE
     group, size = [], 0
-    for row in rows:
-        if group and size + len(row[1]) > chars:
-            yield group
-            group, size = [], 0
-        group.append(row)
-        size += len(row[1])
+    for i, body, *rest in rows:
+        for base in range(0, max(1, len(body) - WINDOW + 1), chars):
+            part = body[base : base + chars + WINDOW - 1]
+            if group and size + len(part) > chars:
+                yield group
+                group, size = [], 0
+            group.append((i, part, base, *rest))
+            size += len(part)
     if group:
         yield group
 
@@ -310,12 +313,12 @@ def _emit_contexts(batches):
     for group in _chunks(rows()):
         bodies = [bytes(x[1]) for x in group]
         t, p, lo, hi, h = anchors(bodies)
-        asked = np.concatenate([np.asarray(x[2], dtype=np.int64) for x in group])
-        hit = _wanted(t, h, np.repeat(np.arange(len(group)), [len(x[2]) for x in group]), asked)
-        ids = [x[0] for x in group]
+        asked = np.concatenate([np.asarray(x[3], dtype=np.int64) for x in group])
+        hit = _wanted(t, h, np.repeat(np.arange(len(group)), [len(x[3]) for x in group]), asked)
+        ids, bases = [x[0] for x in group], [x[2] for x in group]
         for i, a, z, k, g in zip(t[hit].tolist(), lo[hit].tolist(), hi[hit].tolist(), (p - lo)[hit].tolist(), h[hit].tolist(), strict=True):
             key = (k, bodies[i][a : z + WINDOW])
-            d = ids[i]
+            d, a, z = ids[i], a + bases[i], z + bases[i]
             at = seen.get(key)
             if at is None:
                 seen[key] = d, a, g

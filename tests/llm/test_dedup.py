@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -100,8 +101,36 @@ def test_equal_windows():
     assert got == {frozenset(x) for x in by.values() if len(x) > 1}
 
 
+def in_one_process(docs):
+    """The steps of op3 without Spark, for small limits: (id, start, end) of all repeats."""
+    rows = pd.DataFrame({"doc_id": [i for i, _ in docs], "body": [t.encode() for _, t in docs]})
+    grams = pd.concat(substrings._emit_grams(iter([rows]))).sort_values("gram", ignore_index=True)
+    shared = pd.concat(substrings._emit_shared(iter([grams[:7], grams[7:]])))
+    asked = shared.groupby("doc_id")["gram"].apply(list)
+    places = rows[rows.doc_id.isin(asked.index)].assign(grams=lambda d: [asked[i] for i in d.doc_id])
+    contexts = pd.concat(substrings._emit_contexts(iter([places]))).sort_values(["gram", "doc_id", "first"], ignore_index=True)
+    cuts = list(range(0, len(contexts), 9))
+    return pd.concat(substrings._emit_repeats(contexts[i : i + 9] for i in cuts))
+
+
+@pytest.mark.parametrize("limit", [300, 1_500_000])
+def test_small_limits_change_nothing(limit, monkeypatch):
+    rng = random.Random(15)
+    base = [words(rng, 200) for _ in range(3)]
+    docs = [(i, rng.choice(base)[rng.randint(0, 80) : rng.randint(90, 700)] + words(rng, 10) + rng.choice(base)[: rng.randint(60, 400)]) for i in range(20)]
+    monkeypatch.setattr(substrings, "TEXT_AT_ONCE", limit)
+    monkeypatch.setattr(substrings, "WINDOWS_AT_ONCE", limit)
+    monkeypatch.setattr(substrings, "HELD", limit)
+    monkeypatch.setattr(substrings, "ROWS_AT_ONCE", 10)
+    spans = in_one_process(docs)
+    for doc, n, gone, runs, digest in removed(docs):
+        mine = spans[spans.doc_id == doc]
+        got, count, left = substrings.cut_out(dict(docs)[doc].encode(), [{"start": s, "end": e} for s, e in zip(mine.start, mine.end)])
+        assert (got, count, hashlib.sha256(left).hexdigest()) == (gone, runs, digest) and n == len(dict(docs)[doc])
+
+
 @pytest.mark.parametrize("repeated", [False, True])
-def test_repeats(spark, repeated, monkeypatch):
+def test_repeats(spark, repeated):
     rng = random.Random(5)
     base = [words(rng, 80) for _ in range(6)]
     docs = [(i, rng.choice(base)[rng.randint(0, 80) : rng.randint(90, 400)] + words(rng, rng.randint(0, 30)) + rng.choice(base)[rng.randint(0, 50) : rng.randint(60, 400)]) for i in range(50)]
