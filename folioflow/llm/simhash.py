@@ -20,7 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import bounded_batches, materialize, partitions
@@ -185,11 +185,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component of ``docs``: that whose id names it; of rows that share that id, one."""
+def row_key(id_col: str, text_col: str) -> Column:
+    """What names a row: its id, rows without one last, and its text's hash. Rows with one key are equal in both."""
+    i = F.col(id_col).cast("long")
+    return F.struct(i.isNull().alias("no_id"), F.coalesce(i, F.lit(0)).alias("id"), F.xxhash64(text_col).alias("hash"))
+
+
+def keep_named(docs: DataFrame, nodes: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of each component of ``docs``: that with the least key. ``nodes``: (node, first), the least key of a node's rows."""
     cols = docs.columns
-    found = near_duplicates(docs, id_col, text_col)
-    first = found.groupBy("component_id").agg(F.min("doc_id").alias("_keep")).select("_keep").filter("_keep IS NOT NULL")
-    tie = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
-    kept = docs.join(first, docs[id_col] == first["_keep"], "left_semi").withColumn("_tie", tie)
-    return kept.filter("_tie = 1").select(*[F.col(f"`{c}`") for c in cols])
+    first = nodes.join(names, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("r"))
+    first = materialize(first.select(*[F.col(f"r.{c}").alias(f"_{c}") for c in ("no_id", "id", "hash")]), "first")
+    by = ["_no_id", "_id", "_hash"]
+    keyed = docs.withColumn("_row", row_key(id_col, text_col)).select(*[F.col(f"`{c}`") for c in cols], *[F.col(f"_row.{c[1:]}").alias(c) for c in by])
+    tie = F.row_number().over(Window.partitionBy(*by).orderBy("_hash"))
+    return keyed.join(first, by, "left_semi").withColumn("_tie", tie).filter("_tie = 1").select(*[F.col(f"`{c}`") for c in cols])
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of ``docs``: that with the least id, rows without one last; of rows that share it, one."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            fp = np.array([fingerprint(t) for t in b["text"]], dtype=np.uint64).view(np.int64)
+            yield b.drop(columns="text").assign(node=fp)
+
+    rows = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text")).select("row.*", "text")
+    rows = rows.mapInPandas(run, "no_id boolean, id long, hash long, node long")
+    nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("no_id", "id", "hash")).alias("first")), "nodes")
+    names = components(links(nodes.select(F.col("node").alias("fp"), "node")))
+    return keep_named(docs, nodes, names, id_col, text_col)

@@ -220,3 +220,13 @@ def test_near_duplicates(spark):
     assert kept.columns == frame.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted({x[2] for x in want})
     assert simhash.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_keep_first_names_rows_not_ids(spark):
+    """Rows without an id and rows that share one stay if their texts resemble no other."""
+    rng = random.Random(21)
+    a, b, c, d = (words(rng, 200) for _ in range(4))
+    rows = [(1, a), (1, b), (2, a), (None, c), (None, c), (None, b), (3, d), (3, d)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([(1, a), (1, b), (None, c), (3, d)], key=str)
+    assert sorted((tuple(r) for r in simhash.keep_first(frame).collect()), key=str) == want
