@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import bpe, decontaminate, pii, quality, simhash
+from folioflow.llm import bpe, decontaminate, near_copies, pii, quality
 from folioflow.llm.common import materialize, table, tokenizer_json
 
 
@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of linked fingerprints."""
-    return simhash.keep_first(docs)
+    """Keeps the document with the least id of each group of near copies: five words, similarity 0.8."""
+    return near_copies.keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("SimHash near-dedup", near_duplicates),
+    ("near-dedup", near_duplicates),
     ("benchmark decontamination", decontamination),
     ("PII", personal_data),
     ("BPE encoding and decoding", tokens),

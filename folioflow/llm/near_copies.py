@@ -1,0 +1,164 @@
+"""Near copies for the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+Texts with one set are first merged to one node, named by the set's digest. Candidates: 40 bands of four least hashes
+each; a pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^40 < 1e-9, a nearer one with less. Nodes of a
+band's bucket are tied to its least one; each group so tied meets in a task, where its sets are compared exactly, as
+a walk that yields a spanning tree of the links. A group above ``CHUNK`` shingles is cut into chunks, and every two
+chunks meet in a task of their own.
+
+Defined results: words are split at white space after lower-casing; texts with fewer words than a shingle are one
+shingle; null and blank texts are copies of each other; rows without an id or with a shared one are rows like others.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from folioflow.llm.common import bounded_batches, materialize, partitions
+from folioflow.llm.components import components
+from folioflow.llm.simhash import keep_named, row_key
+
+SHINGLE = 5
+BANDS = 40
+ROWS = 4
+CHUNK = 1 << 19
+SEED = 7
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted hashes of the text's distinct shingles."""
+    import xxhash
+
+    words = (text or "").lower().encode("utf-8", "surrogatepass").split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    n = max(1, len(words) - SHINGLE + 1)
+    starts = [0, *(ends[: n - 1] + 1).tolist()]
+    stops = ends[len(words) - n :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, stops, strict=True)), dtype=np.uint64, count=n))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key for each band: its number and its least hashes, mixed."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for i in range(0, len(hashes), 1 << 11):
+        least = np.minimum(least, (hashes[None, i : i + (1 << 11)] * _ODD[:, None]).min(axis=1))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX
+    for column in least.reshape(BANDS, ROWS).T:
+        key = (key ^ column) * _MIX
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def _signed(batches):
+    import xxhash
+
+    for b in batches:
+        sets = [shingle_set(t) for t in b["text"]]
+        node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
+        keys = [band_keys(s) if len(s) else [] for s in sets]
+        out = b.drop(columns="text")
+        yield out.assign(node=node, n=np.array([len(s) for s in sets], dtype=np.int64), keys=keys)
+
+
+def _ties(batches):
+    """Over (key, node) sorted by both: (a, b) of each node and the least of its bucket."""
+    last = None
+    for b in batches:
+        key, node = b["key"].to_numpy(), b["node"].to_numpy()
+        if not len(key):
+            continue
+        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        least = node[head]
+        if last is not None and last[0] == key[0]:
+            least[0] = last[1]
+        last = key[-1], least[-1]
+        least = np.repeat(least, np.diff(np.r_[head, len(key)]))
+        yield pd.DataFrame({"a": least[least != node], "b": node[least != node]})
+
+
+def walk(sets: list[np.ndarray]):
+    """(i, j) of a spanning tree of the links among ``sets``: each unseen set is compared once with each reached one."""
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    names = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own = np.split(names, np.cumsum(size)[:-1])
+    mark = np.zeros(names.max() + 1, dtype=np.int64)
+    unseen, frontier = np.arange(1, len(sets)), [0]
+    flat = np.concatenate([own[j] for j in unseen]) if len(unseen) else None
+    while len(unseen):
+        if not frontier:
+            frontier, unseen = [int(unseen[0])], unseen[1:]
+            flat = flat[size[frontier[0]] :]
+            continue
+        i = frontier.pop()
+        mark[own[i]] = 1
+        starts = np.cumsum(size[unseen]) - size[unseen]
+        common = np.add.reduceat(mark[flat], starts)
+        mark[own[i]] = 0
+        hit = 9 * common >= 4 * (size[i] + size[unseen])  # 0.8 of the union
+        if hit.any():
+            for j in unseen[hit].tolist():
+                yield i, j
+                frontier.append(j)
+            unseen = unseen[~hit]
+            flat = np.concatenate([own[j] for j in unseen]) if len(unseen) else None
+
+
+def _linked(held: list) -> pd.DataFrame:
+    rows = pd.concat(held).drop_duplicates("node")
+    nodes = rows["node"].to_numpy()
+    pairs = list(walk([shingle_set(t) for t in rows["text"]])) if len(rows) > 1 else []
+    i, j = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
+    return pd.DataFrame({"a": nodes[i], "b": nodes[j]})
+
+
+def _linker(batches):
+    """Over rows sorted by key: the links of each key's rows, which are held until the next key begins."""
+    held, at = [], None
+    for b in batches:
+        for key, rows in b.groupby("key", sort=False):
+            if held and key != at:
+                yield _linked(held)
+                held = []
+            held.append(rows)
+            at = key
+    if held:
+        yield _linked(held)
+
+
+def links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, id_col: str, text_col: str, chunk: int = CHUNK) -> DataFrame:
+    """Edges (a, b) that connect all nodes at the similarity. ``rows``: (node, keys); ``nodes``: (node, n, first)."""
+    spark, n = docs.sparkSession, partitions(docs.sparkSession)
+    keyed = rows.select(F.explode("keys").alias("key"), "node").distinct()
+    ties = keyed.repartition(n, "key").sortWithinPartitions("key", "node").mapInPandas(_ties, "a long, b long")
+    tied = materialize(components(ties).join(nodes, "node"), "tied")
+    chunks = tied.groupBy("component").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("node"), F.col("chunks"))
+    dealt = tied.join(chunks, "component").withColumn("own", own)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    key = F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other"))
+    texts = docs.select(row_key(id_col, text_col).alias("first"), F.col(text_col).alias("text"))
+    texts = texts.join(tied.select("first", "node"), "first").select("node", "text")
+    texts = dealt.select("node", key.alias("key")).join(texts, "node").select("key", "node", "text")
+    bounded_batches(spark)
+    return texts.repartition(n, "key").sortWithinPartitions("key").mapInPandas(_linker, "a long, b long")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """One row of each group of linked ``docs``: that with the least id, rows without one last."""
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    flat = rows.select("row.*", "text")
+    signed = flat.mapInPandas(_signed, "no_id boolean, id long, hash long, node long, n long, keys array<long>")
+    signed = materialize(signed.withColumn("row", F.struct("no_id", "id", "hash")), "signed")
+    nodes = materialize(signed.groupBy("node").agg(F.max("n").alias("n"), F.min("row").alias("first")), "nodes")
+    names = components(links(docs, signed, nodes, id_col, text_col, chunk))
+    return keep_named(docs, nodes.select("node", "first"), names, id_col, text_col)

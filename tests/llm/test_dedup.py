@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 import xxhash
 
-from folioflow.llm import components, decontaminate, simhash, substrings
+from folioflow.llm import components, decontaminate, near_copies, simhash, substrings
 
 
 def words(rng, n):
@@ -230,3 +230,34 @@ def test_keep_first_names_rows_not_ids(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted([(1, a), (1, b), (None, c), (3, d)], key=str)
     assert sorted((tuple(r) for r in simhash.keep_first(frame).collect()), key=str) == want
+    assert sorted((tuple(r) for r in near_copies.keep_first(frame).collect()), key=str) == want
+
+
+# ---- near copies of the pipeline
+
+
+@pytest.mark.parametrize("chunk", [1 << 19, 900])
+def test_near_copies(spark, chunk):
+    """Copies with edited words, in chains too, against all pairs of shingle sets."""
+    rng = random.Random(22)
+    docs = []
+    for _ in range(12):
+        text = words(rng, rng.choice([60, 150, 400])).split()
+        for _ in range(rng.randint(1, 8)):
+            docs.append(" ".join(text))
+            for _ in range(rng.randint(0, 3)):
+                text[rng.randrange(len(text))] = "edited"
+    docs += ["one two", "One  Two", "", " ", "lone"]
+    rng.shuffle(docs)
+    sets = []
+    for t in docs:
+        w = t.lower().split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    near = [(i, j) for i in range(len(docs)) for j in range(i + 1) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    far = [(i, j) for i, j in near if (plain_fingerprint(docs[i]) ^ plain_fingerprint(docs[j])).bit_count() > 4]
+    assert len(far) > 10
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    kept = near_copies.keep_first(frame, chunk=chunk)
+    assert kept.columns == frame.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(plain_components(near).values()))
+    assert near_copies.keep_first(frame.limit(0)).count() == 0
