@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import compact, exact_codes, question_tokens, token_estimate
+from folioflow.functions.text import compact, exact_codes, question_tokens, shortened, token_estimate
 
 #: Fixed values.
 NUMERIC_WORDS = "percent percentage difference sum total ratio rate number amount value average".split()
@@ -35,6 +35,18 @@ SKILLS = {
     "figure_caption_grounding": (["caption", "text_span"], "artifact_dimension_support_guard"),
     "text_span_grounding": (["text_span", "key_value", "caption"], "no_relevant_artifact_guard"),
 }
+#: Decision -> how to answer.
+POLICIES = {
+    "document_metadata_refusal_guard": "refuse_if_visible_metadata_mismatches_question",
+    "exact_code_absence_guard": "use_page_evidence_for_absence_or_refuse",
+    "exact_code_key_value_selection": "answer_only_if_exact_code_value_pair_supports_it",
+    "operand_page_evidence_route": "calculate_from_visible_page_evidence_when_operands_are_cited",
+    "operand_completeness_guard": "not_answerable_due_to_incomplete_operands",
+    "operand_complete_selection": "calculate_only_from_cited_operands",
+    "artifact_dimension_support_guard": "use_page_evidence_or_refuse",
+    "token_key_value_selection": "cite_visible_support_or_refuse",
+    "no_relevant_artifact_guard": "use_page_evidence_or_refuse",
+}
 
 
 def _any_word(text: Column, words: list[str]) -> Column:
@@ -88,6 +100,7 @@ def score_candidates(profiles: DataFrame, artifacts: DataFrame, on: list[str]) -
     j = j.withColumns(
         {
             "n_overlap": F.size(F.array_intersect("q_tokens", "a_tokens")),
+            "code_hits": F.filter("codes", code),
             "n_codes": F.size(F.filter("codes", code)),
             "n_numbers": F.size(F.filter("numbers", lambda n: F.col("said").contains(n))),
             "n_keys": F.size(F.array_intersect("q_tokens", "k_tokens")),
@@ -148,9 +161,84 @@ def skills(profiles: DataFrame, text: str = "question", operands: Column | None
     return profiles.withColumn("skills", F.array_compact(F.array(*[F.when(ok, F.lit(n)) for n, ok in names])))
 
 
-def capsules(selected: DataFrame, key: str) -> DataFrame:
-    """(key, capsule, capsule_tokens): the selected artifacts as lines, in rank order."""
-    line = F.concat_ws(" ", F.concat(F.lit("["), F.col("artifact_id"), F.lit("]")), F.substring(compact(F.col("content")), 1, 120))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("selection_rank", line.alias("line")))), lambda x: x["line"])
-    out = selected.groupBy(key).agg(F.concat_ws("\n", lines).alias("capsule"))
-    return out.withColumn("capsule_tokens", token_estimate(F.col("capsule")))
+def _operand_hits(required: Column, text: Column) -> Column:
+    def covered(o: Column) -> Column:
+        out = F.lower(compact(text)).contains(o)
+        for name in OPERANDS:
+            out = F.when(o == name, operand_covered(text, name)).otherwise(out)
+        return out
+
+    return F.array_sort(F.filter(required, covered))
+
+
+def capsule_line(most_chars: int = 180) -> Column:
+    """One unit of a capsule: id, page, type, codes, operands, fields and shortened text, as far as they are there."""
+    field = lambda c: F.when(F.col(c) != "", F.concat(F.lit(f"{c}="), F.col(c)))
+    some = lambda label, found, sep: F.when(F.size(found) > 0, F.concat(F.lit(label), F.array_join(found, sep)))
+    text = shortened(compact(F.coalesce("content", F.lit(""))), most_chars)
+    return F.concat_ws(
+        " | ",
+        F.concat(F.lit("- id="), "artifact_id"),
+        F.concat(F.lit("page="), F.col("page_index").cast("string")),
+        F.concat(F.lit("type="), "artifact_type"),
+        some("codes=", F.col("code_hits"), ","),
+        some("operands=", F.col("operand_hits"), ","),
+        some("fields=", F.array_compact(F.array(*[field(c) for c in ("row_label", "column_label", "value_text")])), ";"),
+        F.when(text != "", F.concat(F.lit("text="), text)),
+    )
+
+
+def capsules(profiles: DataFrame, candidates: DataFrame, decisions: DataFrame, selected: DataFrame, key: str, text: str = "question", operands: Column | None = None, most: int = 4) -> DataFrame:
+    """(key, capsule, capsule_tokens, unit_source) of every question: skills, guard, units, missing requirements, a trace of each skill.
+
+    Units are the first of the selected artifacts or, where none is selected, the best candidates of the types that the
+    question's skills accept. ``operands``: the question's required operands, a column of ``profiles``.
+    """
+    needs = F.coalesce(operands, F.array().cast("array<string>")) if operands is not None else F.array().cast("array<string>")
+    p = skills(profiles, text, operands).select(key, "skills", "codes", needs.alias("required"))
+    accepted = F.array_distinct(F.flatten(F.array(*[F.when(F.array_contains("skills", s), F.array(*map(F.lit, types))).otherwise(F.array().cast("array<string>")) for s, (types, _) in SKILLS.items()])))
+    p = p.join(decisions.select(key, "decision"), key).withColumn("accepted", accepted)
+    of = lambda s: F.col("artifact_type").isin(SKILLS[s][0])
+    hits = _operand_hits(F.col("required"), F.col("said"))
+    found = lambda s, c: F.array_distinct(F.flatten(F.collect_list(F.when(of(s), F.col(c)))))
+    made = candidates.groupBy(key).agg(*[F.count_if(of(s)).alias(f"made_{s}") for s in SKILLS])
+    chosen = selected.join(p.select(key, "required"), key).withColumn("operand_hits", hits)
+    took = chosen.groupBy(key).agg(
+        F.count("*").alias("taken"),
+        *[F.count_if(of(s)).alias(f"took_{s}") for s in SKILLS],
+        found("exact_code_lookup", "code_hits").alias("found_codes"),
+        found("numeric_computation", "operand_hits").alias("found_operands"),
+    )
+    w = Window.partitionBy(key).orderBy(F.desc("selection_score"), "page_index", "artifact_id")
+    without = p.join(selected.select(key).distinct(), key, "left_anti").select(key, "required", "accepted")
+    rest = candidates.join(without, key).filter(F.array_contains("accepted", F.col("artifact_type")))
+    rest = rest.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).withColumn("operand_hits", hits)
+    unit = lambda df, place: df.select(key, F.struct(F.col(place).alias("place"), capsule_line().alias("line")).alias("unit"))
+    units = unit(chosen.filter(F.col("selection_rank") <= most), "selection_rank").unionByName(unit(rest, "place"))
+    units = units.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("unit")), lambda x: x["line"]).alias("units"))
+    j = p.join(made, key, "left").join(took, key, "left").join(units, key, "left")
+    none = F.array().cast("array<string>")
+    count = lambda c: F.coalesce(F.col(c), F.lit(0))
+    has = lambda s: F.array_contains("skills", s)
+    lacks = lambda asked, got, label: F.transform(F.array_except(asked, F.coalesce(got, none)), lambda x: F.concat(F.lit(label), x))
+    unmet = F.lit(False)
+    for s in SKILLS:
+        unmet = unmet | (has(s) & (count(f"took_{s}") == 0))
+    missing = F.array_sort(
+        F.array_distinct(
+            F.concat(
+                F.when(has("exact_code_lookup"), lacks("codes", F.col("found_codes"), "exact_code:")).otherwise(none),
+                F.when(has("numeric_computation") & (F.col("decision") != "operand_page_evidence_route"), lacks("required", F.col("found_operands"), "operand:")).otherwise(none),
+                F.when(F.col("decision").isin("artifact_dimension_support_guard", "no_relevant_artifact_guard") & unmet, F.array(F.lit("selected_supporting_artifact"))).otherwise(none),
+            )
+        )
+    )
+    trace = {s: F.format_string(f"Trace: skill={s}; candidates=%d; selected=%d; guard={guard}", count(f"made_{s}"), count(f"took_{s}")) for s, (_, guard) in SKILLS.items()}
+    traces = F.transform("skills", lambda x: F.coalesce(*[F.when(x == s, line) for s, line in trace.items()]))
+    policy = F.create_map(*[F.lit(v) for pair in POLICIES.items() for v in pair])[F.col("decision")]
+    head = F.array(F.lit("[Evidence Capsule]"), F.concat(F.lit("Skills: "), F.array_join("skills", ", ")), F.concat(F.lit("Guard: "), "decision", F.lit("; policy: "), policy))
+    body = F.when(F.col("units").isNotNull(), F.concat(F.array(F.lit("Evidence:")), "units")).otherwise(F.array(F.lit("Evidence: none selected")))
+    lack = F.when(F.size("missing") > 0, F.array(F.concat(F.lit("Missing: "), F.array_join("missing", ", ")))).otherwise(none)
+    out = j.withColumn("missing", missing).withColumn("capsule", F.concat(F.array_join(F.concat(head, body, lack, traces), "\n"), F.lit("\n")))
+    source = F.when(F.col("taken") > 0, "selected_artifacts").otherwise("top_accepted_candidates")
+    return out.select(key, "capsule", token_estimate(F.col("capsule")).alias("capsule_tokens"), source.alias("unit_source"))

@@ -295,9 +295,11 @@ def skill_activation(spark, sf):
 
 @query()
 def capsule_tokens(spark, sf):
-    _, _, _, s = _guarded(spark, sf)
+    p = Q.profile(B.questions(spark, sf))
+    c = Q.score_candidates(p, B.artifacts(spark, sf), ["doc_id"]).persist()  # asked documents only; read five times
+    d, s = Q.decide(c, p, "query")
     raw = B.doc_pages(spark, sf).groupBy("doc_id").agg(F.sum(T.token_estimate(F.col("text"))).alias("raw_tokens"))
-    out = Q.capsules(s, "query").join(B.questions(spark, sf).select("query", "doc_id"), "query").join(raw, "doc_id", "left")
+    out = Q.capsules(p, c, d, s, "query").join(B.questions(spark, sf).select("query", "doc_id"), "query").join(raw, "doc_id", "left")
     from folioflow.functions.scoring import ratio
 
     return out.select("query", "capsule_tokens", "raw_tokens", F.round(ratio(F.col("capsule_tokens"), F.col("raw_tokens")), 6).alias("token_ratio"))

@@ -230,3 +230,29 @@ def test_resume(spark, tmp_path):
     assert run() == [(1, "ok"), (2, "ok"), (3, None)]
     make([2, 3, 4])
     assert run() == [(1, "ok"), (2, "ok"), (3, None), (3, None), (4, "ok")]
+
+
+def test_capsules(spark):
+    """Every question has one: with selected artifacts, with the best accepted candidates, with nothing."""
+    asked = [(1, "Total for AR01?", "d"), (2, "Who revised this document?", "d"), (3, "code ZZ99 please", "d"), (4, "Anything else", "none")]
+    p = guards.profile(spark.createDataFrame(asked, "query int, question string, doc_id string"))
+    long = "AR01 total " + "x" * 200
+    rows = [("d", 1, f"a{i}", "key_value", "AR01 " + "ab " * i, None, None, "metric") for i in range(5)]
+    rows += [("d", 0, "b", "table_cell", long, "7", "row", None), ("d", 2, "c", "figure", "revised AR01 total", None, None, None)]
+    a = spark.createDataFrame(rows, "doc_id string, page_index int, artifact_id string, artifact_type string, content string, value_text string, row_label string, column_label string")
+    c = guards.score_candidates(p, a, ["doc_id"])
+    d, s = guards.decide(c, p, "query")
+    got = {r["query"]: r for r in guards.capsules(p, c, d, s, "query").collect()}
+    lines = {q: r.capsule.split("\n") for q, r in got.items()}
+    assert sorted(got) == [1, 2, 3, 4]
+    assert lines[1][:5] == [
+        "[Evidence Capsule]", "Skills: exact_code_lookup", "Guard: exact_code_key_value_selection; policy: answer_only_if_exact_code_value_pair_supports_it", "Evidence:",
+        "- id=b | page=0 | type=table_cell | codes=AR01 | fields=row_label=row;value_text=7 | text=" + long[:177] + "...",
+    ]
+    assert [x.split(" ")[1] for x in lines[1][5:8]] == ["id=c", "id=a0", "id=a1"]
+    assert lines[1][8:] == ["Trace: skill=exact_code_lookup; candidates=6; selected=6; guard=exact_code_absence_guard", ""]
+    assert got[1].unit_source == "selected_artifacts" and got[2].unit_source == "top_accepted_candidates"
+    assert lines[2][2] == "Guard: document_metadata_refusal_guard; policy: refuse_if_visible_metadata_mismatches_question"
+    assert lines[2][3:8] == ["Evidence:", *lines[2][4:8]] and all("type=key_value" in x or "type=table_cell" in x for x in lines[2][4:8])
+    assert lines[3][-4:] == [lines[3][-4], "Missing: exact_code:ZZ99", "Trace: skill=exact_code_lookup; candidates=6; selected=0; guard=exact_code_absence_guard", ""]
+    assert lines[4][3:] == ["Evidence: none selected", "Missing: selected_supporting_artifact", "Trace: skill=text_span_grounding; candidates=0; selected=0; guard=no_relevant_artifact_guard", ""]
