@@ -31,10 +31,13 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
 
 
 def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A small table as Markdown, floats in six digits."""
+    """A small table as Markdown, floats in six digits; one of more than ``limit`` rows is an error."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows")
     show = lambda v: f"{v:.6g}" if isinstance(v, float) else "" if v is None else str(v)
     head = ["| " + " | ".join(df.columns) + " |", "| " + " | ".join("---" for _ in df.columns) + " |"]
-    return "\n".join(head + ["| " + " | ".join(map(show, r)) + " |" for r in df.limit(limit).collect()])
+    return "\n".join(head + ["| " + " | ".join(map(show, r)) + " |" for r in rows])
 
 
 def store(artifacts: DataFrame) -> DataFrame:

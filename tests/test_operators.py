@@ -256,3 +256,9 @@ def test_capsules(spark):
     assert lines[2][3:8] == ["Evidence:", *lines[2][4:8]] and all("type=key_value" in x or "type=table_cell" in x for x in lines[2][4:8])
     assert lines[3][-4:] == [lines[3][-4], "Missing: exact_code:ZZ99", "Trace: skill=exact_code_lookup; candidates=6; selected=0; guard=exact_code_absence_guard", ""]
     assert lines[4][3:] == ["Evidence: none selected", "Missing: selected_supporting_artifact", "Trace: skill=text_span_grounding; candidates=0; selected=0; guard=no_relevant_artifact_guard", ""]
+
+
+def test_markdown_is_whole_or_fails(spark):
+    assert len(sinks.markdown(spark.range(3), limit=3).split("\n")) == 5
+    with pytest.raises(ValueError, match="more than 3 rows"):
+        sinks.markdown(spark.range(4), limit=3)
