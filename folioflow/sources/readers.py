@@ -58,8 +58,20 @@ def read_selected_pages(spark: SparkSession, path: str, max_pages: int, max_docs
 
 
 def read_artifacts(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Artifacts with ``input_order`` by file and line; a missing id becomes ``artifact_`` and the order."""
-    raw = spark.read.text(path).withColumn("input_order", F.monotonically_increasing_id())
+    """Artifacts with ``input_order`` by file and line; a missing id becomes ``artifact_`` and the order.
+
+    Lines are numbered by the counts of the splits before theirs, whose sizes must stay as they are until the table is
+    read; the driver sees one row a split.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    raw = raw.withColumn("_at", F.monotonically_increasing_id())
+    splits = raw.groupBy("_file", "_start").agg(F.min("_at").alias("first"), F.count("*").alias("n")).collect()
+    before, offsets = 0, []
+    for r in sorted(splits):
+        offsets.append((r["_file"], r["_start"], before - r["first"]))
+        before += r["n"]
+    shift = spark.createDataFrame(offsets, "_file string, _start long, _shift long")
+    raw = raw.join(F.broadcast(shift), ["_file", "_start"]).select("value", (F.col("_at") + F.col("_shift")).alias("input_order"))  # one row a split
     df = raw.withColumn("a", F.from_json("value", schema)).filter("a IS NOT NULL").select("input_order", "a.*")
     missing = F.col("artifact_id").isNull() | (F.col("artifact_id") == "")
     return df.withColumn("artifact_id", F.when(missing, F.format_string("artifact_%06d", F.col("input_order") + 1)).otherwise(F.col("artifact_id")))

@@ -262,3 +262,16 @@ def test_markdown_is_whole_or_fails(spark):
     assert len(sinks.markdown(spark.range(3), limit=3).split("\n")) == 5
     with pytest.raises(ValueError, match="more than 3 rows"):
         sinks.markdown(spark.range(4), limit=3)
+
+
+def test_artifacts_are_numbered_through_all_splits(spark, tmp_path):
+    lines = [json.dumps({"artifact_id": "own" if i == 7 else None, "n": i}) for i in range(60)]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines[:10]) + "\n")
+    (tmp_path / "b.jsonl").write_text("\n".join(lines[10:]) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        got = readers.read_artifacts(spark, str(tmp_path), "artifact_id string, n int").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r.n, r.input_order, r.artifact_id) for r in got) == [(i, i, "own" if i == 7 else f"artifact_{i + 1:06d}") for i in range(60)]
