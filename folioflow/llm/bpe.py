@@ -3,19 +3,24 @@
 The distinct words of a batch of texts lie, as symbol ids, one after another in one flat array. In
 each round every pair of neighbours within a word is looked up by binary search in the sorted pair keys;
 each word's lowest-rank pair is merged wherever it stands (left to right, not overlapping); words without
-a known pair are done and leave the array. A merge only makes pairs of a higher rank, so this gives
-the ids of merging one pair at a time.
+a known pair are done and leave the array. A merge only makes pairs of a higher rank, which is checked when a
+vocabulary is loaded, so this gives the ids of merging one pair at a time.
+
+A word above ``LONG`` bytes would need as many rounds as it has ranks, each over the whole word. Its rounds go by rank
+instead: the places of each rank wait in lists, the lowest rank's are merged at once, and only the pairs beside them
+are looked up anew, so that the work follows the number of merges.
 
 Words come from the pre-tokenizer's pattern with Unicode's White_Space written out. Texts are cut at added tokens
 first. A worker keeps the ids of up to ``CACHE`` words.
 
-Defined results: a null text is empty and has no ids; repeated rows are encoded one by one; batches
-hold few rows, so that very long texts stay bounded.
+Defined results: a null text is empty and has no ids; repeated rows are encoded one by one; batches are
+bounded by bytes, so that a worker holds few very long texts; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from functools import lru_cache
 
@@ -27,6 +32,8 @@ from pyspark.sql import functions as F
 from folioflow.llm.common import bounded_batches
 
 CACHE = 300_000
+#: Bytes of a word above which its places wait by rank.
+LONG = 256
 #: Code points with the property White_Space.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: the byte-level pre-tokenizer's pattern.
@@ -58,6 +65,10 @@ class ByteBpe:
         keys = left << 32 | right
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made[order]
+        latest = np.full(max(vocab.values()) + 1, -1, dtype=np.int64)
+        np.maximum.at(latest, made, np.arange(len(pairs)))  # a symbol's last merge
+        if (np.maximum(latest[left], latest[right]) >= np.arange(len(pairs))).any():
+            raise ValueError("a merge of this vocabulary comes before one that makes its parts")
         self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
         self.bytes = {i: bytes(value[c] for c in t) for t, i in vocab.items() if t not in self.special}
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
@@ -65,8 +76,69 @@ class ByteBpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
         self.known: dict[str, bytes] = {}
 
+    def _looked_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, symbol made) of pairs; rank ``_NONE`` for unknown ones."""
+        key = left << 32 | right
+        spot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[spot] == key, self.rank[spot], _NONE), self.made[spot]
+
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """Ids of one word, its places in lists by rank."""
+        sym = self.first[np.frombuffer(word, dtype=np.uint8)]
+        n = len(sym)
+        ahead, back = np.arange(1, n + 1), np.arange(-1, n - 1)  # place n: the end
+        rank, made = np.full(n, _NONE), np.zeros(n, dtype=np.int64)
+        alive = np.ones(n + 1, dtype=bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def look(at: np.ndarray) -> None:
+            at = at[ahead[at] < n]
+            rank[at], made[at] = self._looked_up(sym[at], sym[ahead[at]])
+            at = at[rank[at] < _NONE]
+            order = np.argsort(rank[at], kind="stable")
+            at = at[order]
+            head = np.flatnonzero(np.r_[True, np.diff(rank[at]) != 0][: len(at)])
+            for some in np.split(at, head[1:]) if len(at) else []:
+                r = int(rank[some[0]])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(some)
+
+        look(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[alive[at] & (rank[at] == r)]
+            # In a run of overlapping places every second one merges, from the run's start.
+            i = np.arange(len(at))
+            joined = np.r_[False, ahead[at[:-1]] == at[1:]][: len(at)]
+            start = np.maximum.accumulate(np.where(joined, 0, i))
+            at = at[(i - start) % 2 == 0]
+            if not len(at):
+                continue
+            gone = ahead[at]
+            sym[at] = made[at]
+            alive[gone], rank[gone] = False, _NONE
+            ahead[at] = ahead[gone]
+            inner = ahead[at] < n
+            back[ahead[at][inner]] = at[inner]
+            rank[at] = _NONE
+            before = back[at]
+            before = before[before >= 0]
+            rank[before] = _NONE
+            look(np.unique(np.r_[at, before]))
+        return sym[alive[:n]]
+
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of each word."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if long:
+            done = {i: self.merge_long(words[i]) for i in long}
+            rest = [i for i in range(len(words)) if i not in done]
+            done |= zip(rest, self.merge([words[i] for i in rest]), strict=True)
+            return [done[i] for i in range(len(words))]
         out: list = [np.zeros(0, dtype=np.int64)] * len(words)
         sym = self.first[np.frombuffer(b"".join(words), dtype=np.uint8)]
         sizes = np.array([len(w) for w in words], dtype=np.int64)

@@ -61,8 +61,8 @@ class ChunkEncoder:
     A text is cut at blanks and line ends, which the tokenizer drops, and between an ASCII letter or digit and a mark of
     ``_MARKS``, which always fall into different words; it joins nothing across those. Cutting, hashing and
     putting ids together is done for all texts of a batch at once, in numpy; the library gets each distinct chunk
-    of a worker once. Known chunks are rows of flat arrays, sorted by hash. Chunks over ``LONG`` bytes are not
-    kept: below that length different chunks with equal hashes are as rare as 64 random bits allow.
+    of a worker once. Known chunks are rows of flat arrays, sorted by hash. The bytes of every chunk are compared with
+    those kept under its hash; one that differs is encoded by itself. Chunks over ``LONG`` bytes are not kept.
 
     Unknown chunks are encoded together. Chunks of letters are one word each, and the vocabulary marks the
     last piece of a word, which shows where each one's ids end. Between other chunks stands an added
@@ -90,6 +90,7 @@ class ChunkEncoder:
         self._hash = np.zeros(0, dtype=np.uint64)
         self._at = self._size = np.zeros(0, dtype=np.int64)
         self._pool, self._used = np.zeros(1 << 16, dtype="<u4"), 0
+        self._text, self._text_at, self._text_used = np.zeros(1 << 16, dtype=np.uint8), np.zeros(0, dtype=np.int64), 0
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self._library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -128,6 +129,34 @@ class ChunkEncoder:
         self._used = end
         return at, size
 
+    def _keep(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Append chunks' bytes to the kept ones, in steps of eight with zeros behind: the place of each."""
+        step = -(-(ends - starts) // 8) * 8
+        at = self._text_used + np.cumsum(step) - step
+        end = self._text_used + int(step.sum())
+        if end > len(self._text):
+            self._text = np.r_[self._text, np.zeros(max(end, 2 * len(self._text)) - len(self._text), dtype=np.uint8)]
+        size = ends - starts
+        inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        self._text[np.repeat(at, size) + inner] = raw[np.repeat(starts, size) + inner]
+        self._text_used = end
+        return at
+
+    def _differ(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which chunks aren't, byte for byte, those kept at ``at``: eight bytes at a time, for all chunks at once."""
+        padded = np.r_[raw, np.zeros(8, dtype=np.uint8)]
+        here = np.ndarray(len(raw) + 1, dtype="<u8", buffer=padded, strides=(1,))
+        kept = self._text[: len(self._text) // 8 * 8].view("<u8")
+        left, out, live = ends - starts, np.zeros(len(starts), dtype=bool), np.arange(len(starts))
+        step = 0
+        while len(live):
+            bits = np.minimum(left[live] - 8 * step, 8).astype(np.uint64) * np.uint64(8)
+            x = here[starts[live] + 8 * step] & (~np.uint64(0) >> (np.uint64(64) - bits))
+            out[live] |= x != kept[at[live] // 8 + step]
+            step += 1
+            live = live[left[live] > 8 * step]
+        return out
+
     def _hashes(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A polynomial in the bytes of each chunk, from one running sum: the power of its place is divided out."""
         if len(self._power) < len(raw) + 1:
@@ -170,10 +199,12 @@ class ChunkEncoder:
             chunks = [text[s:e].decode("utf-8", "surrogatepass") for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
             a, z = self._put(self._look_up(chunks))
             self._hash = np.insert(self._hash, spot[~known], h[~known])
+            self._text_at = np.insert(self._text_at, spot[~known], self._keep(raw, starts[new], ends[new]))
             self._at, self._size = np.insert(self._at, spot[~known], a), np.insert(self._size, spot[~known], z)
             spot = np.searchsorted(self._hash, h)
         at[own], size[own] = self._at[spot][back], self._size[spot][back]
-        rest = np.flatnonzero(~short)
+        other = self._differ(raw, starts[own], ends[own], self._text_at[spot][back])
+        rest = np.flatnonzero(~short) if not other.any() else np.sort(np.r_[np.flatnonzero(~short), own[other]])
         used = self._used
         if len(rest):
             at[rest], size[rest] = self._put([self._ids(text[starts[i] : ends[i]].decode("utf-8", "surrogatepass")) for i in rest.tolist()])

@@ -1,6 +1,9 @@
 """op1, op8: round trips and the tokenizers library itself as brute force."""
 
 import hashlib
+import json
+import random
+import time
 import zlib
 
 import numpy as np
@@ -35,9 +38,12 @@ def test_exceptions_keep_blocks_narrow():
     assert len(pfor.pack(ids)[1]) < len(ids)
 
 
+SPEC = {n: open(tokenizer_json(n), encoding="utf-8").read() for n in ("word_bpe_49k.json", "byte_bpe_50k.json")}
+
+
 @pytest.fixture(scope="module")
 def codecs():
-    spec = {n: open(tokenizer_json(n), encoding="utf-8").read() for n in ("word_bpe_49k.json", "byte_bpe_50k.json")}
+    spec = SPEC
     return {
         "word": (pfor.ChunkEncoder(spec["word_bpe_49k.json"]), Tokenizer.from_str(spec["word_bpe_49k.json"])),
         "byte": (bpe.ByteBpe(spec["byte_bpe_50k.json"]), Tokenizer.from_str(spec["byte_bpe_50k.json"])),
@@ -68,7 +74,37 @@ def test_small_caches_change_nothing(codecs, monkeypatch):
         assert own.encode([t])[0].tolist() == library.encode(t, add_special_tokens=False).ids
 
 
-ROWS = [(5, "Hello world"), (1, None), (3, ""), (3, "three again"), (9, "x" * 500), (7, "Hello world"), (5, "Hello world"), (None, "no id")]
+def test_equal_hashes_change_nothing(codecs, monkeypatch):
+    """Chunks with one hash are told apart by their bytes."""
+    own, library = pfor.ChunkEncoder(SPEC["word_bpe_49k.json"]), codecs["word"][1]
+    monkeypatch.setattr(pfor.ChunkEncoder, "_hashes", lambda self, raw, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
+    texts = ["one two three four eleven internationalization", "six ten abc, internationalisation two", "one ten; xyzxyzxy xyzxyzxz"] * 2
+    for got, want in zip(own.encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert got.tolist() == want.ids
+
+
+def test_long_words(codecs):
+    """Places by rank give the same ids as rounds over the whole word, and a long word takes seconds."""
+    own, library = codecs["byte"]
+    rng = random.Random(5)
+    for alphabet in ("ab", "aetionsrhl", "abcdefghijklmnopqrstuvwxyz", "aé日"):
+        for n in (257, 900, 4000):
+            word = "".join(rng.choice(alphabet) for _ in range(n))
+            assert own.merge_long(word.encode()).tolist() == library.encode(word, add_special_tokens=False).ids
+    began = time.time()
+    word = "".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000))
+    ids = own.encode([word])[0]
+    assert own.decode(ids) == word and time.time() - began < 60
+
+
+def test_vocabularies_with_merges_out_of_order_are_refused(codecs):
+    d = json.loads(SPEC["byte_bpe_50k.json"])
+    d["model"]["merges"].reverse()
+    with pytest.raises(ValueError):
+        bpe.ByteBpe(json.dumps(d))
+
+
+ROWS = [(5, "Hello world"), (1, None), (3, ""), (3, "three again"), (9, "x" * 500), (7, "Hello world"), (5, "Hello world"), (None, "no id"), (11, "w" * 9_000 + " " + "xyz" * 5_000 + ", " + "long text. " * 300_000)]
 
 
 def test_token_files(spark, codecs):
