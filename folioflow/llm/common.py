@@ -18,29 +18,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset (tests) a local one."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset a folder of this machine serves, but only for a local master, whose executors are this machine;
+    on a cluster nobody else could read it, so the call fails.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "folioflow-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A fresh folder name below the shared folder."""
-    return f"{shared_base(spark)}/folioflow/{tag}-{uuid.uuid4().hex}"
+    """A fresh folder name below the shared folder, in the folder of this application."""
+    return f"{shared_base(spark)}/folioflow/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store, if it is there."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove all that this application has written to the shared folder. Results that were not stored elsewhere go too."""
+    delete(spark, f"{shared_base(spark)}/folioflow/{spark.sparkContext.applicationId}")
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet into the shared folder and read it back.
 
-    Unlike a local checkpoint the copy outlives lost executors.
+    Unlike a local checkpoint the copy outlives lost executors. :func:`release` removes it.
     """
     spark = df.sparkSession
     path = shared_dir(spark, tag)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._folioflow_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove the written copies of frames from :func:`materialize` that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_folioflow_path", None)
+        if path:
+            delete(df.sparkSession, path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -48,9 +75,18 @@ def partitions(spark: SparkSession) -> int:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 10_000, megabytes: int = 2) -> None:
-    """Bound Arrow batches by bytes: a Python worker then holds few long texts, or many short rows, at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
+    """Bound Arrow batches by bytes: a Python worker then holds few long texts, or many short rows, at once.
+
+    These are settings of the session, read when a plan runs, so they stay for the lazy result; they change no
+    result. A session whose batches are smaller already keeps its settings.
+    """
+    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < now <= rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    key, most = "spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20
+    size = str(spark.conf.get(key)).rstrip("bB")
+    if not size.isdigit() or not 0 < int(size) <= most:
+        spark.conf.set(key, str(most))
 
 
 def tokenizer_json(name: str) -> str:

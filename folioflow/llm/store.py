@@ -11,19 +11,24 @@ import uuid
 from urllib.parse import unquote, urlparse
 
 
+def _opened(folder: str):
+    """(pyarrow file system, or None for a plain path, and the folder's path in it)."""
+    url = urlparse(folder)
+    if url.scheme in ("", "file"):
+        return None, unquote(url.path)
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder)
+
+
 class ShardFile:
     """Append bytes with :meth:`write`; :meth:`commit` makes the file visible under its final name."""
 
     def __init__(self, folder: str, name: str):
-        url = urlparse(folder)
-        self._fs = None
-        if url.scheme in ("", "file"):
-            root = unquote(url.path)
+        self._fs, root = _opened(folder)
+        if self._fs is None:
             os.makedirs(root, exist_ok=True)
         else:
-            from pyarrow import fs
-
-            self._fs, root = fs.FileSystem.from_uri(folder)
             self._fs.create_dir(root, recursive=True)
         self._final = f"{root}/{name}"
         self._draft = f"{root}/_draft-{uuid.uuid4().hex}"
@@ -47,3 +52,20 @@ class ShardFile:
             os.unlink(self._draft)
         else:
             self._fs.delete_file(self._draft)
+
+
+def read_whole(folder: str, name: str) -> bytes | None:
+    """The bytes of a committed file; None if there is none."""
+    fs, root = _opened(folder)
+    if fs is None:
+        try:
+            with open(f"{root}/{name}", "rb") as f:
+                return f.read()
+        except FileNotFoundError:
+            return None
+    from pyarrow.fs import FileType
+
+    if fs.get_file_info(f"{root}/{name}").type == FileType.NotFound:
+        return None
+    with fs.open_input_stream(f"{root}/{name}") as f:
+        return f.read()

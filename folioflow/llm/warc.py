@@ -1,10 +1,10 @@
 """WARC archives with revisit resolution (op4).
 
-Headers (id, digest, size) alone are shuffled by payload digest to find the original of each payload:
-the record with the smallest id. Records are then joined to their original and written: the original
-as a ``response`` with its payload, all others as ``revisit`` records that name it, each with fresh
-headers. Every task writes gzip members to its own archive in the shared folder and commits it by
-rename. Reading parses the archives back.
+Headers (place in the files, id, digest, size) alone are shuffled by payload digest and joined to the original of
+their payload: the record with the smallest id. The revisits found so are marked where they lie (``in_place``), so
+no payload is ever shuffled. A second scan writes the original as a ``response`` with its payload, all others as
+``revisit`` records that name it, each with fresh headers. Every task writes gzip members to its own archive in the
+shared folder and commits it by rename. Reading parses the archives back.
 
 Defined results: a null payload is an empty one; rows that share the smallest id and the payload are
 all responses; payloads smaller than ``min_bytes`` are always responses; a null URL has no
@@ -14,6 +14,7 @@ target header; an empty table gives no archives and no rows.
 from __future__ import annotations
 
 import base64
+import hashlib
 import zlib
 
 import pandas as pd
@@ -21,7 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import shared_dir
+from folioflow.llm import in_place
+from folioflow.llm.common import bounded_batches, shared_dir
 from folioflow.llm.store import ShardFile
 
 _DATE = "2026-01-05T00:00:00Z"
@@ -32,19 +34,18 @@ ROLL = 16 << 20
 _CHUNK = 1 << 16
 
 
-def base32_sha1(hex_digest: str) -> str:
-    return base64.b32encode(bytes.fromhex(hex_digest)).decode()
+def base32_sha1(payload: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def resolve(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """``pages`` with digest (hex), n_bytes and refers_to (null for responses)."""
+def resolve(rows: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
+    """The revisits among :func:`in_place.placed` rows: (_file, _row, mark), the mark being the original's id."""
     body = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    heads = pages.withColumns({"_digest": F.sha1(body), "_bytes": F.octet_length(body).cast("long")})
-    first = heads.groupBy("_digest").agg(F.min(id_col).alias("_first"), F.min("_bytes").alias("_bytes"))
+    heads = rows.select(in_place.FILE, in_place.ROW, F.col(id_col).alias("_id"), F.unhex(F.sha1(body)).alias("_digest"), F.octet_length(body).cast("long").alias("_bytes"))
+    first = heads.groupBy("_digest").agg(F.min("_id").alias("_first"), F.min("_bytes").alias("_bytes"))
     # Joined by digest and size: the grouped side is dealt anew, so that Spark may split a hot payload.
-    joined = heads.join(first, ["_digest", "_bytes"], "left")
-    revisit = (F.col("_bytes") >= min_bytes) & (F.col(id_col) > F.col("_first"))
-    return joined.withColumn("_refers", F.when(revisit, F.col("_first")))
+    joined = heads.join(first, ["_digest", "_bytes"])
+    return joined.filter((F.col("_bytes") >= min_bytes) & (F.col("_id") > F.col("_first"))).select(in_place.FILE, in_place.ROW, F.col("_first").alias("mark"))
 
 
 def _member(head: list[tuple[str, str]], block: bytes) -> bytes:
@@ -53,12 +54,12 @@ def _member(head: list[tuple[str, str]], block: bytes) -> bytes:
     return z.compress(b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n") + z.flush()
 
 
-def encode_record(page_id, url, payload: bytes, digest: str, n_bytes: int, refers) -> bytes:
+def encode_record(page_id, url, payload: bytes, refers) -> bytes:
     kind = "response" if refers is None else "revisit"
     head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{page_id}>"), ("WARC-Date", _DATE)]
     if url is not None:
         head.append(("WARC-Target-URI", " ".join(url.split())))
-    head += [("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(n_bytes)), ("Content-Type", "application/http; msgtype=response")]
+    head += [("WARC-Payload-Digest", f"sha1:{base32_sha1(payload)}"), ("X-Payload-Length", str(len(payload))), ("Content-Type", "application/http; msgtype=response")]
     if refers is not None:
         head += [("WARC-Refers-To", f"<urn:page:{refers}>"), ("WARC-Profile", _PROFILE)]
     return _member(head, _HTTP + (payload if refers is None else b""))
@@ -66,20 +67,21 @@ def encode_record(page_id, url, payload: bytes, digest: str, n_bytes: int, refer
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """Write ``pages`` as deduplicated archives into ``folder``; returns (lazily) name, records and bytes of each file."""
-    rows = resolve(pages, id_col, payload_col, min_bytes)
-    payload = F.when(F.col("_refers").isNull(), F.coalesce(F.col(payload_col), F.lit("")).cast("binary"))
-    rows = rows.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), "_digest", "_bytes", "_refers")
+    bounded_batches(pages.sparkSession)
+    pages = in_place.readable(pages.select(id_col, url_col, payload_col))
+    revisits = in_place.write_marks(resolve(in_place.placed(pages), id_col, payload_col, min_bytes), "revisits")
+    rows = in_place.placed(pages).select(F.col(id_col).cast("string").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"), in_place.FILE, in_place.ROW)
 
     def write(batches):
-        part, n, out, count = TaskContext.get().partitionId(), 0, None, 0
+        part, n, out, count, marks = TaskContext.get().partitionId(), 0, None, 0, in_place.Marks(revisits)
         made = []
         for b in batches:
-            for page_id, url, body, digest, size, refers in zip(*(b[c] for c in ("page_id", "url", "payload", "_digest", "_bytes", "_refers")), strict=True):
+            found, first = marks.look_up(b[in_place.FILE], b[in_place.ROW])
+            for page_id, url, text, again, refers in zip(b["page_id"], b["url"], b["payload"], found.tolist(), first.tolist(), strict=True):
                 if out is None:
                     name = f"pages-{part:06d}-{n:04d}.warc.gz"
                     out, count, n = ShardFile(folder, name), 0, n + 1
-                page = None if pd.isna(page_id) else int(page_id)
-                out.write(encode_record(page, url, bytes(body or b""), base32_sha1(digest), int(size), None if pd.isna(refers) else int(refers)))
+                out.write(encode_record(page_id, url, text.encode(), refers if again else None))
                 count += 1
                 if out.size >= ROLL:
                     out.commit()
