@@ -3,15 +3,20 @@
 A fingerprint has bit i set if over half of the text's shingle hashes have it set. Equal fingerprints
 are first merged to one node (its least id), so copies of a text never meet each other in a task.
 
-Candidates: 64 bits are cut into six runs; two fingerprints that differ in at most four bits agree in two whole
-runs, so each node is dealt under its fifteen pairs of runs. Within a bucket the distances of each
-fingerprint to ``PIVOTS`` reference fingerprints are tabulated; by the triangle inequality a pair whose
-tables differ by more than the radius in any coordinate can't be near and is discarded; the rest are verified
-by counting bits. A large bucket is walked from node to node and yields a spanning tree of its links, not
-all pairs; one above ``HOT`` nodes is cut into chunks, and every two chunks meet in a task of their own.
+Pivots: each fingerprint's Hamming distances to ``N_PIVOTS`` reference fingerprints are tabulated; by the triangle
+inequality a pair whose tables differ by more than the radius in any coordinate can't be near and is discarded; the
+rest are verified by counting bits. Distances of random fingerprints all lie around half their bits, so tables
+discard pairs but can't deal the pairs out. That is done by runs of bits: 64 bits are cut into m runs; two fingerprints
+that differ in at most RADIUS bits agree in m - RADIUS whole runs, so each node is dealt under every choice of as
+many. m follows from the number of nodes (:func:`runs_for`), so that a bucket of unlike nodes holds one or two at
+any size. A large bucket is walked from node to node and yields a spanning tree of its links, not all pairs; one
+above ``HOT`` nodes is cut into chunks, and every two chunks meet in a task of their own.
+
+:mod:`folioflow.llm.simhash_similar` holds texts against a similarity of word shingles in place of a radius.
 
 Defined results: a null or blank text has fingerprint zero, which links like any other; texts with fewer words
-than a shingle are one shingle; repeated rows get equal results; a row without an id is never a component's name.
+than a shingle are one shingle; repeated rows get equal results; a row without an id is never a component's name;
+columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -20,17 +25,16 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import bounded_batches, materialize, partitions
+from folioflow.llm import in_place
+from folioflow.llm.common import bounded_batches, materialize, partitions, release
 from folioflow.llm.components import components
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-#: First bit and width of the six runs.
-RUNS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 N_PIVOTS = 16
 SMALL = 12
 HOT = 50_000
@@ -76,11 +80,25 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, fp long")
 
 
-def _keys() -> list:
-    """One key for each pair of runs: the pair's number above the bits of both runs."""
-    bits = lambda r: f"(shiftrightunsigned(fp, {r[0]}) & {(1 << r[1]) - 1}L)"
-    pairs = enumerate(combinations(RUNS, 2))
-    return [F.expr(f"shiftleft({i}L, 22) | shiftleft({bits(p)}, 11) | {bits(q)}") for i, (p, q) in pairs]
+def runs_for(n: int, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """(first bit, width) of the fewest runs whose keys, of all but ``radius`` runs, have as many bits as ``n`` has."""
+    m = radius + 1
+    while 64 // m * (m - radius) < n.bit_length() and m < 4 * radius:
+        m += 1
+    at = [i * 64 // m for i in range(m + 1)]
+    return [(a, b - a) for a, b in zip(at, at[1:])]
+
+
+def _keys(runs: list[tuple[int, int]], radius: int = RADIUS) -> list[Column]:
+    """One key for each choice of runs: the choice's number above the runs' bits."""
+    out = []
+    for i, chosen in enumerate(combinations(runs, len(runs) - radius)):
+        key, at = [], 0
+        for first, width in chosen:
+            key.append(f"shiftleft(shiftrightunsigned(fp, {first}) & {(1 << width) - 1}L, {at})")
+            at += width
+        out.append(F.expr(" | ".join([f"shiftleft({i}L, {at})", *key])))
+    return out
 
 
 def _near(table: np.ndarray, fps: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -169,7 +187,7 @@ def _split_hot(keyed: DataFrame, hot_size: int) -> DataFrame:
 def links(nodes: DataFrame, hot_size: int = HOT) -> DataFrame:
     """``nodes``: (fp, node) with each fingerprint once. Edges (a, b) that connect all nodes within the radius."""
     spark = nodes.sparkSession
-    keyed = nodes.select(F.explode(F.array(*_keys())).alias("key"), "fp", "node")
+    keyed = nodes.select(F.explode(F.array(*_keys(runs_for(nodes.count())))).alias("key"), "fp", "node")
     keyed = _split_hot(keyed, hot_size)
     dealt = keyed.repartition(partitions(spark), "key").sortWithinPartitions("key")
     return dealt.mapInPandas(_linker, "a long, b long")
@@ -182,37 +200,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = components(links(nodes.filter("node IS NOT NULL"), hot_size))
     named = nodes.join(names, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     named = materialize(named, "names")
+    release(nodes, names)
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    """What names a row: its id, rows without one last, and its text's hash. Rows with one key are equal in both."""
+def row_key(id_col: str) -> list[Column]:
+    """What orders rows: their id, rows without one last; and their place, which names them."""
     i = F.col(id_col).cast("long")
-    return F.struct(i.isNull().alias("no_id"), F.coalesce(i, F.lit(0)).alias("id"), F.xxhash64(text_col).alias("hash"))
+    return [i.isNull().alias("no_id"), F.coalesce(i, F.lit(0)).alias("id"), F.col(in_place.FILE), F.col(in_place.ROW)]
+
 
+def keep_one(docs: DataFrame, rows: DataFrame, names: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (readable) without those that are not the least of their component.
 
-def keep_named(docs: DataFrame, nodes: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row of each component of ``docs``: that with the least key. ``nodes``: (node, first), the least key of a node's rows."""
-    cols = docs.columns
-    first = nodes.join(names, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("r"))
-    first = materialize(first.select(*[F.col(f"r.{c}").alias(f"_{c}") for c in ("no_id", "id", "hash")]), "first")
-    by = ["_no_id", "_id", "_hash"]
-    keyed = docs.withColumn("_row", row_key(id_col, text_col)).select(*[F.col(f"`{c}`") for c in cols], *[F.col(f"_row.{c[1:]}").alias(c) for c in by])
-    tie = F.row_number().over(Window.partitionBy(*by).orderBy("_hash"))
-    return keyed.join(first, by, "left_semi").withColumn("_tie", tie).filter("_tie = 1").select(*[F.col(f"`{c}`") for c in cols])
+    ``rows``: node, no_id, id, _file, _row of every row; ``names``: (node, component) of linked nodes. Texts stay where
+    they lie: what is dropped is marked in place.
+    """
+    by = ["no_id", "id", in_place.FILE, in_place.ROW]
+    least = rows.groupBy("node").agg(F.min(F.struct(*by)).alias("least"), F.count("*").alias("n"))
+    whole = least.join(names, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = whole.groupBy("component").agg(F.min("least").alias("first"), F.sum("n").alias("of")).filter("of > 1")
+    first = materialize(whole.join(first, "component").select("node", *[F.col(f"first.{c}").alias(f"first{c}") for c in (in_place.FILE, in_place.ROW)]), "first")
+    gone = rows.select("node", in_place.FILE, in_place.ROW).join(first, "node").filter(f"NOT ({in_place.FILE} = first_file AND {in_place.ROW} = first_row)")
+    folder = in_place.write_marks(gone.select(in_place.FILE, in_place.ROW, F.lit(1).cast("long").alias("mark")), "gone")
+    release(first)
+    kept = in_place.placed(docs).withColumn("_gone", in_place.mark(folder)).filter("_gone IS NULL")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of ``docs``: that with the least id, rows without one last; of rows that share it, one."""
     bounded_batches(docs.sparkSession)
+    docs = in_place.readable(docs)
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t) for t in b["text"]], dtype=np.uint64).view(np.int64)
             yield b.drop(columns="text").assign(node=fp)
 
-    rows = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text")).select("row.*", "text")
-    rows = rows.mapInPandas(run, "no_id boolean, id long, hash long, node long")
-    nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("no_id", "id", "hash")).alias("first")), "nodes")
-    names = components(links(nodes.select(F.col("node").alias("fp"), "node")))
-    return keep_named(docs, nodes, names, id_col, text_col)
+    rows = in_place.placed(docs).select(*row_key(id_col), F.col(text_col).alias("text"))
+    rows = materialize(rows.mapInPandas(run, "no_id boolean, id long, _file string, _row long, node long"), "rows")
+    nodes = materialize(rows.select("node").distinct(), "nodes")
+    return keep_one(docs, rows, components(links(nodes.select(F.col("node").alias("fp"), "node"))))

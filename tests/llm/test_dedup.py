@@ -2,13 +2,14 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pandas as pd
 import pytest
 import xxhash
 
-from folioflow.llm import components, decontaminate, near_copies, simhash, substrings
+from folioflow.llm import components, decontaminate, simhash, simhash_similar, substrings
 
 
 def words(rng, n):
@@ -41,7 +42,7 @@ def test_myers_is_edit_distance():
 def test_pieces_find_every_near_passage():
     rng = random.Random(2)
     items = [(i, decontaminate.normal(words(rng, 30))) for i in range(8)]
-    matcher = decontaminate.Matcher(items)
+    matcher = decontaminate.Matcher([([i], t) for i, t in items])
     hits = 0
     for _ in range(200):
         i, t = rng.choice(items)
@@ -57,11 +58,57 @@ def test_pieces_find_every_near_passage():
     assert hits > 50
 
 
+def plain_hits(docs, items):
+    """(doc_id, item_id, edits) of all items against all texts, by the whole table of distances."""
+    out = []
+    for d, text in docs:
+        t = decontaminate.normal(text or "")
+        for i, item in items:
+            x = decontaminate.normal(item or "")
+            if not x or not t:
+                continue
+            if len(x) < decontaminate.MIN_CHARS:
+                out += [(d, i, 0)] * (f" {x} " in f" {t} ")
+            elif (n := distance(x, t)) <= len(x) // decontaminate.CHARS_PER_EDIT:
+                out.append((d, i, n))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("block_chars", [60, 1_000_000])
+def test_all_items_against_all_texts(spark, block_chars, monkeypatch):
+    """Short, repeated, null and repetitive items against texts that hold them whole, changed, in parts, or many times."""
+    rng = random.Random(31)
+    items = [(i, words(rng, rng.choice([3, 5, 12, 30]))) for i in range(10)]
+    items += [(20, "a" * 60), (21, "ab" * 40), (22, "dcba"), (23, items[0][1].upper()), (24, None), (25, "--"), (None, items[3][1]), (26, "é" * 25)]
+    docs = []
+    for n in range(60):
+        x = list(rng.choice(items[:10])[1])
+        for _ in range(rng.randint(0, 4)):
+            x[rng.randrange(len(x))] = rng.choice(["", "z", "q "])
+        docs.append((n, f"{words(rng, 9)} {''.join(x)} {words(rng, rng.randint(0, 9))}"))
+    docs += [(100, "a" * 300), (101, ("a" * 50 + "bb") * 6), (102, "ab" * 200), (103, "x dcba y"), (104, "xdcba"), (105, None), (106, ""), (107, "dcba"), (None, items[0][1]), (100, "a" * 40 + "é" * 30)]
+    frame = spark.createDataFrame([(*d, 9) for d in docs], "doc_id long, text string, edits int")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = [(r.doc_id, r.item_id, r.edits) for r in decontaminate.contaminated(frame, table, block_chars=block_chars).collect()]
+    want = plain_hits(docs, items)
+    assert sorted(got, key=str) == want and len(want) > 40
+    kept = decontaminate.keep_clean(frame, table, block_chars=block_chars).collect()
+    assert len(kept) == sum(not plain_hits([d], items) for d in docs)
+
+
+def test_repetitive_texts_take_seconds():
+    matcher = decontaminate.Matcher([([1], "a" * 400), ([2], "ab" * 100)])
+    began = time.time()
+    assert [h["item_id"] for h in matcher.hits("a" * 1_000_000)] == [1]
+    assert matcher.hits(("a" * 300 + "b" * 60) * 600) == []
+    assert time.time() - began < 60
+
+
 def test_contaminated_rows(spark):
     rng = random.Random(3)
     passage = words(rng, 30)
     docs = [(1, f"Before. {passage.upper()} after"), (2, words(rng, 60)), (3, None), (4, ""), (1, passage), (5, passage.replace("a", "b", 3))]
-    items = spark.createDataFrame([(7, passage), (8, None), (9, ""), (10, "too short"), (11, passage)], "item_id long, text string")
+    items = spark.createDataFrame([(7, passage), (8, None), (9, ""), (10, "short item"), (11, passage)], "item_id long, text string")
     frame = spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, item_id long")
     rows = decontaminate.contaminated(frame, items).collect()
     assert sorted((r.doc_id, r.item_id) for r in rows) == sorted((d, i) for d in (1, 1, 5) for i in (7, 11))
@@ -230,10 +277,10 @@ def test_keep_first_names_rows_not_ids(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted([(1, a), (1, b), (None, c), (3, d)], key=str)
     assert sorted((tuple(r) for r in simhash.keep_first(frame).collect()), key=str) == want
-    assert sorted((tuple(r) for r in near_copies.keep_first(frame).collect()), key=str) == want
+    assert sorted((tuple(r) for r in simhash_similar.keep_first(frame).collect()), key=str) == want
 
 
-# ---- near copies of the pipeline
+# ---- SimHash against a similarity, as in the pipeline
 
 
 @pytest.mark.parametrize("chunk", [1 << 19, 900])
@@ -257,7 +304,7 @@ def test_near_copies(spark, chunk):
     far = [(i, j) for i, j in near if (plain_fingerprint(docs[i]) ^ plain_fingerprint(docs[j])).bit_count() > 4]
     assert len(far) > 10
     frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    kept = near_copies.keep_first(frame, chunk=chunk)
+    kept = simhash_similar.keep_first(frame, chunk=chunk)
     assert kept.columns == frame.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(plain_components(near).values()))
-    assert near_copies.keep_first(frame.limit(0)).count() == 0
+    assert simhash_similar.keep_first(frame.limit(0)).count() == 0
