@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import bpe, decontaminate, near_copies, pii, quality
-from folioflow.llm.common import materialize, table, tokenizer_json
+from folioflow.llm import bpe, decontaminate, pii, quality, simhash_similar
+from folioflow.llm.common import materialize, release, table, tokenizer_json
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group of near copies: five words, similarity 0.8."""
-    return near_copies.keep_first(docs)
+    return simhash_similar.keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("near-dedup", near_duplicates),
+    ("SimHash near-dedup", near_duplicates),
     ("benchmark decontamination", decontamination),
     ("PII", personal_data),
     ("BPE encoding and decoding", tokens),
@@ -60,5 +60,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.split()[0].lower())
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), "stage-" + name.split()[0].lower())
+        release(before)
     return docs
