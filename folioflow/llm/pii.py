@@ -6,12 +6,14 @@ their check fails. They are found by linear scans: no pattern restarts inside a
 The field labels blank-separated words. A word's shape is a code packed from nine small attributes (digits,
 letters, at signs, dots, hyphens, ...); a label's score is the sum of weights of the attributes of the
 word and of its neighbours, so scoring is three table look-ups a word. It is trained by gradient
-ascent on ``labelled_table()``, a few hundred made-up sentences, on the driver, and decoded by Viterbi over all lines
-of a batch at once, in numpy. It finds what the patterns miss: phones without a plus sign, spelled-out
-emails, cards with other separators. A span of the field is added only where no base span overlaps it.
+ascent on a small labelled table, on the driver: ``labelled_table()``, a few hundred made-up sentences with forms that
+the patterns miss, and on request lines of at most ``SAMPLE`` documents (:func:`labelled_lines`), labelled where a base
+pattern stands. It is decoded by Viterbi over all lines of a batch at once, in numpy. It finds what the patterns
+miss: phones without a plus sign, spelled-out emails, cards with other separators. A span of the field is added only
+where it passes its kind's check (:func:`plausible`) and no base span overlaps it.
 
 Defined results: null and empty texts have no spans; offsets are code points, end exclusive; repeated rows are
-judged one by one.
+judged one by one; other columns are not read; an empty table gives no rows (and a model of made-up sentences).
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -199,6 +203,46 @@ def labelled_table(n: int = 300, seed: int = 7) -> list[tuple[list[str], list[st
     return out
 
 
+#: Documents, and pieces of each, that the field may learn from; words on each side of a piece's span.
+SAMPLE = 200
+PIECES_EACH = 4
+AROUND = 5
+_PERSONAL = r"@[A-Za-z0-9]|\+[0-9]|[0-9]{16}|\.[0-9]+\."
+
+
+def labelled_pieces(text: str, most: int = PIECES_EACH) -> list[tuple[list[str], list[str]]]:
+    """(words, labels) of pieces of lines around base spans; without those that hold card numbers that aren't spans."""
+    out = []
+    for line in text.split("\n"):
+        spans = sorted((s, e, k) for k, s, e in base_spans(line))
+        if len(out) >= most or not spans:
+            continue
+        words = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", line)]
+        hit = [next((x for x in spans if x[0] < e and s < x[1]), None) for s, e in words]
+        first = next(i for i, x in enumerate(hit) if x)
+        piece = range(max(0, first - AROUND), min(len(words), first + AROUND + 4))
+        labels = ["O" if hit[i] is None else f"{'I' if i > piece[0] and hit[i - 1] == hit[i] else 'B'}-{hit[i][2]}" for i in piece]
+        chunk = [line[slice(*words[i])] for i in piece]
+        if all(x != "O" or not re.search("[0-9]{12}", w) for x, w in zip(labels, chunk, strict=True)):
+            out.append((chunk, labels))
+    return out
+
+
+def labelled_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> list[tuple[list[str], list[str]]]:
+    """Labelled pieces of the ``sample`` documents with likely spans whose ids have the least hashes."""
+    some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(_PERSONAL))
+    ids = some.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+
+    def label(batches):
+        for b in batches:
+            done = [(i, n, *x) for i, text in zip(b["doc_id"], b["text"], strict=True) for n, x in enumerate(labelled_pieces(text))]
+            yield pd.DataFrame(done, columns=["doc_id", "n", "words", "labels"])
+
+    chosen = some.join(F.broadcast(ids), "doc_id")  # at most ``sample`` ids
+    rows = chosen.mapInPandas(label, "doc_id long, n int, words array<string>, labels array<string>").distinct()
+    return [(r.words, r.labels) for r in rows.orderBy("doc_id", "n", "words").limit(sample * PIECES_EACH).collect()]
+
+
 def _allowed() -> np.ndarray:
     """Transition mask: a further word follows only its own kind."""
     ok = np.zeros((_L, _L))
@@ -298,9 +342,9 @@ def viterbi(model: dict[str, np.ndarray], codes: np.ndarray, heads: np.ndarray,
 def _trimmed(word: str) -> tuple[int, int]:
     """A word's part without marks around it; a bracket before digits stays."""
     a, b = 0, len(word)
-    while b > a and word[b - 1] in ".,;:!?\"'":
+    while b > a and word[b - 1] in ".,;:!?\"'*&%$#":
         b -= 1
-    while a < b and word[a] in "\"'":
+    while a < b and word[a] in "\"'*&%$#":
         a += 1
     return a, b
 
@@ -332,9 +376,27 @@ def field_spans(model: dict[str, np.ndarray], texts: list[str]) -> list[list[tup
     return out
 
 
+def plausible(kind: str, text: str) -> bool:
+    """The check of a span that the field found."""
+    digits = "".join(c for c in text if c in "0123456789")
+    if kind == "card":
+        return 16 <= len(digits) <= 19 and luhn(digits)
+    if kind == "phone":
+        return 8 <= len(digits) <= 15
+    if kind == "ip":
+        parts = re.findall("[0-9]+", text)
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+    return len(re.findall(r"[^\W_]+", text)) >= 3
+
+
 def all_spans(base: list[tuple[str, int, int]], more: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Base spans and those others that overlap none of them, by kind as listed, then start."""
-    extra = [x for x in more if all(x[2] <= s or e <= x[1] for _, s, e in base)]
+    if not more:
+        return base
+    by_start = sorted((s, e) for _, s, e in base)
+    starts = [s for s, _ in by_start]
+    reach = list(accumulate((e for _, e in by_start), max))  # the furthest end of the spans up to each
+    extra = [x for x in more if not (n := bisect_left(starts, x[2])) or reach[n - 1] <= x[1]]
     return sorted([*base, *extra], key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 
 
@@ -356,7 +418,7 @@ def find(model: dict[str, np.ndarray], texts: list[str]) -> list[tuple[list, lis
     for group in _groups(texts):
         for t, more in zip(group, field_spans(model, group), strict=True):
             base = base_spans(t)
-            out.append((base, all_spans(base, more)))
+            out.append((base, all_spans(base, [x for x in more if plausible(x[0], t[x[1] : x[2]])])))
     return out
 
 
@@ -379,6 +441,12 @@ def trained() -> dict[str, np.ndarray]:
     return train(labelled_table())
 
 
+def trained_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict[str, np.ndarray]:
+    """A model of the made-up sentences and of lines of ``docs``."""
+    lines = labelled_lines(docs, id_col, text_col)
+    return train(labelled_table() + lines) if lines else trained()
+
+
 def _shipped(spark, model):
     return spark.sparkContext.broadcast(model or trained())  # tables by shape code: of fixed size
 

@@ -23,7 +23,8 @@ def op4_warc(spark, sf_dir):
 
 
 def op5_pii(spark, sf_dir):
-    return pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.detect(docs, model=pii.trained_on(docs))
 
 
 def op6_quality(spark, sf_dir):
