@@ -22,14 +22,13 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import bounded_batches
+from folioflow.llm.common import bounded_batches, kept
 
 CACHE = 300_000
 #: Bytes of a word above which its places wait by rank.
@@ -191,10 +190,9 @@ class ByteBpe:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(1)
 def codec(spec: str) -> ByteBpe:
     """The worker's codec: kept from task to task."""
-    return ByteBpe(spec)
+    return kept(("bpe", spec), lambda: ByteBpe(spec))
 
 
 def encode_and_decode(docs: DataFrame, spec_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:

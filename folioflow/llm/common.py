@@ -89,6 +89,33 @@ def bounded_batches(spark: SparkSession, rows: int = 10_000, megabytes: int = 2)
         spark.conf.set(key, str(most))
 
 
+_KEPT: list = [None, None]
+
+
+def kept(key: tuple, build):
+    """What ``build`` makes, kept by this Python worker from task to task until a task of another key asks.
+
+    A worker serves all operators of an application in turn; it holds the tables of one of them at a time.
+    """
+    if _KEPT[0] != key:
+        _KEPT[:] = None, None
+        free()
+        _KEPT[:] = key, build()
+    return _KEPT[1]
+
+
+def free() -> None:
+    """Give up what this worker keeps, and return freed memory to the system where the C library can."""
+    import ctypes
+    import gc
+
+    _KEPT[:] = None, None
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def tokenizer_json(name: str) -> str:
     """Path of a public tokenizer's vocabulary file."""
     import public_tokenizers

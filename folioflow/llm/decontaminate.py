@@ -25,14 +25,13 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import bounded_batches, shared_dir
+from folioflow.llm.common import bounded_batches, kept, shared_dir
 from folioflow.llm.store import ShardFile, read_whole
 
 CHARS_PER_EDIT = 12
@@ -218,9 +217,9 @@ def write_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
     return folder, sorted(r.name for r in dealt.mapInPandas(write, "name string").collect())
 
 
-@lru_cache(1)
 def _matcher(folder: str, name: str, chars_per_edit: int) -> Matcher:
-    return Matcher([(ids, t) for ids, t in json.loads(read_whole(folder, name))], chars_per_edit)
+    build = lambda: Matcher([(ids, t) for ids, t in json.loads(read_whole(folder, name))], chars_per_edit)
+    return kept(("items", folder, name, chars_per_edit), build)
 
 
 def _found(batches: Iterator, texts, folder: str, names: list[str], chars_per_edit: int) -> Iterator[tuple]:

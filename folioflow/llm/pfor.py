@@ -25,7 +25,6 @@ import json
 import os
 import struct
 import zlib
-from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -34,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import bounded_batches, partitions, shared_dir
+from folioflow.llm.common import bounded_batches, kept, partitions, shared_dir
 from folioflow.llm.store import ShardFile
 
 BLOCK = 128
@@ -221,10 +220,9 @@ class ChunkEncoder:
         return np.split(ids, np.cumsum(size)[:-1]) if texts else []
 
 
-@lru_cache(1)
 def encoder(spec: str) -> ChunkEncoder:
     """The worker's encoder: kept from task to task."""
-    return ChunkEncoder(spec)
+    return kept(("pfor", spec), lambda: ChunkEncoder(spec))
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

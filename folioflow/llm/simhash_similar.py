@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm import in_place
-from folioflow.llm.common import bounded_batches, materialize, partitions, release
+from folioflow.llm.common import bounded_batches, free, materialize, partitions
 from folioflow.llm.components import components
 from folioflow.llm.simhash import keep_one, row_key
 
@@ -93,6 +93,7 @@ def fingerprint(hashes: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches):
+    free()
     for b in batches:
         sets = [shingle_set(t) for t in b["text"]]
         keys = [band_keys(s) if len(s) else [] for s in sets]
