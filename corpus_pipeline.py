@@ -33,7 +33,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind; ``n_chars`` follows the new text."""
-    text = pii.redacted_column(spark, F.col("text"))
+    text = pii.redacted_column(spark, F.col("text"), pii.trained_on(docs))
     masked = docs.withColumn("text", text)
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
