@@ -5,11 +5,13 @@ each 32-bit lane of one 256-bit block (four longs); a page URL can only be liste
 eight bits are set. Pages that pass are joined to the list itself, which removes false positives, so
 the filter only decides how many rows reach the exact join, never the result.
 
-The filter has at most ``MAX_BLOCKS`` blocks (32 bytes each), so what is broadcast is bounded; a
-longer list only makes it less selective.
+The filter grows with the list (``BITS_PER_URL`` bits each). Up to ``BROADCAST_BLOCKS`` blocks of 32 bytes it is
+broadcast; a larger one is joined by block. Pages are read once: what the filter says of them is written to the shared
+folder, from where the few possible hits go to the exact join.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, no rule, and is allowed
-unless the list holds the empty URL; repeated pages are judged one by one; an empty list blocks none.
+unless the list holds the empty URL; repeated pages are judged one by one; an empty list blocks none; other columns
+are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm.common import materialize
+
 #: (verdict, host, path): fits the host and its subdomains where the URL's path starts with the path.
 RULES = [
     ("block", "com", "/en/"),
@@ -27,7 +31,8 @@ RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-MAX_BLOCKS = 1 << 18
+#: Blocks up to which the filter is broadcast: 8 MB.
+BROADCAST_BLOCKS = 1 << 18
 BITS_PER_URL = 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Query parameters that don't select content.
@@ -75,7 +80,7 @@ def _masks(url: str) -> list[Column]:
 def build_filter(listed: DataFrame, n_listed: int) -> tuple[DataFrame, int]:
     """``listed``: one column ``url_key``. The filter as a table (block, w0..w3), and its number of blocks."""
     n_blocks = 1
-    while n_blocks < MAX_BLOCKS and n_blocks * 256 < n_listed * BITS_PER_URL:
+    while n_blocks * 256 < n_listed * BITS_PER_URL:
         n_blocks *= 2
     m = listed.select(_block(F.col("url_key"), n_blocks).alias("block"), *[m.alias(f"m{j}") for j, m in enumerate(_masks("url_key"))])
     return m.groupBy("block").agg(*[F.bit_or(f"m{j}").alias(f"w{j}") for j in range(4)]), n_blocks
@@ -84,8 +89,10 @@ def build_filter(listed: DataFrame, n_listed: int) -> tuple[DataFrame, int]:
 def possible_hits(pages: DataFrame, listed: DataFrame, n_listed: int) -> DataFrame:
     """``pages`` (with ``url_key``) plus ``possible``: false means certainly not listed."""
     filt, n_blocks = build_filter(listed, n_listed)
+    # Read back, a large filter is dealt anew for the join, so that Spark may split a hot block.
+    filt = F.broadcast(filt) if n_blocks <= BROADCAST_BLOCKS else materialize(filt, "filter").hint("merge")
     cols = pages.columns
-    p = pages.withColumn("block", _block(F.col("url_key"), n_blocks)).join(F.broadcast(filt), "block", "left")
+    p = pages.withColumn("block", _block(F.col("url_key"), n_blocks)).join(filt, "block", "left")
     passed = reduce(lambda a, b: a & b, [F.col(f"w{j}").bitwiseAND(m) == m for j, m in enumerate(_masks("url_key"))])
     return p.select(*cols, F.coalesce(passed, F.lit(False)).alias("possible"))
 
@@ -97,8 +104,8 @@ def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", ur
     """
     url = F.col(url_col)
     base = pages.select(F.col(id_col), host(url).alias("host"), path(url).alias("path"), canonical(url).alias("url_key"))
-    n_listed = listed.count()
-    tested = possible_hits(base, listed, n_listed)
+    listed = materialize(listed.select("url_key"), "listed")
+    tested = materialize(possible_hits(base, listed, listed.count()), "tested")
     # Joined by URL and its hash: a list grouped by URL alone is dealt anew, so that Spark may split a hot URL.
     right = listed.select("url_key", F.xxhash64("url_key").alias("url_hash"), F.lit(True).alias("hit"))
     hits = tested.filter("possible").withColumn("url_hash", F.xxhash64("url_key")).join(right, ["url_key", "url_hash"], "left")
@@ -111,14 +118,10 @@ def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", ur
     return out.select(*cols, rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.col("listed"))
 
 
-#: Host labels whose pages make up the list of the registered query.
-SPAM_LABEL = r"(^|\.)(ads-track|spam-farm|casino-win|adult-x|cheap-pills|free-bets)\."
-
-
 def listed_from_pages(pages: DataFrame, url_col: str = "url") -> DataFrame:
-    """Canonical URLs of the pages that lie on spam hosts: the list grows with the pages."""
-    u = F.col(url_col)
-    return pages.filter(host(u).rlike(SPAM_LABEL)).select(canonical(u).alias("url_key")).distinct()
+    """Canonical URLs that several pages share (mirrors, tracking links): the registered query's list, which grows with the pages."""
+    keys = pages.select(canonical(F.col(url_col)).alias("url_key")).filter("url_key <> ''")
+    return keys.groupBy("url_key").count().filter("count > 1").select("url_key")
 
 
 ORACLE = r"""
@@ -130,8 +133,7 @@ a AS (SELECT page_id, u, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1),
           lambda q: q <> '' AND NOT regexp_matches(q, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)')), '&') AS q FROM p),
 b AS (SELECT *, regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '/+$', '')
         || CASE WHEN coalesce(q, '') <> '' THEN '?' || q ELSE '' END AS k FROM a),
-l AS (SELECT DISTINCT k FROM b
-      WHERE regexp_matches(host, '(^|\.)(ads-track|spam-farm|casino-win|adult-x|cheap-pills|free-bets)\.')),
+l AS (SELECT k FROM b WHERE k <> '' GROUP BY k HAVING count(*) > 1),
 r(kind, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'),
       ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 c AS (SELECT b.page_id, b.host, b.path, b.k IN (SELECT k FROM l) AS listed,
