@@ -6,14 +6,15 @@ A byte goes if a ``WINDOW``-byte string that starts earlier (smaller id, or same
 2. Anchors: each window names the position of its least hashed ``GRAM``-byte string, so equal windows name equal
    strings at equal offsets. Only anchors whose string occurs again anywhere can lie in a repeated window.
 3. Each such anchor is dealt, by its string, with the bytes of all windows that name it. Equal contexts collapse
-   to their first, within a task before the shuffle and then once more; the window starts of the others are the suffixes of one text and are sorted to depth ``WINDOW``:
-   by multikey quicksort on eight-byte symbols to a shallow depth, then each group that still ties goes into a
-   blind trie, which skips the common prefix and branches at the first byte that differs. The tries of all groups
-   grow together, one level a round, in numpy. Suffixes that end in one leaf are equal windows; all but the
-   earliest are repeats.
+   to their first, within a task before the shuffle and then once more; the window starts of the others are the suffixes
+   of one text and are sorted to depth ``WINDOW``: by multikey quicksort on eight-byte symbols to a shallow depth
+   (groups are split three ways around a pivot until they have ``CUTOFF`` rows, and those sorted at once), then each
+   group that still ties goes into a blind trie, which skips the common prefix and branches at the first byte that
+   differs. The tries of all groups grow together, one level a round, in numpy. A suffix that is alone leaves, as
+   nothing equals it; suffixes that end in one leaf are equal windows; all but the earliest are repeats.
 4. Repeated windows are merged for each document and cut out.
 
-Texts are kept once, bucketed by id, in the shared folder, so that the steps join them without moving them.
+Texts are kept once, in one file a bucket of ids, in the shared folder, so that the steps join them without moving them.
 
 Defined results: a null text is empty; texts under ``WINDOW`` bytes keep all; rows that repeat an id are taken in
 order of their text's digest, and equal rows one after the other; an empty table gives no rows.
@@ -35,6 +36,8 @@ from folioflow.llm.shards import number_rows
 WINDOW = 100
 GRAM = 32
 SHALLOW = 16
+#: Rows of a group that is sorted at once.
+CUTOFF = 256
 #: Bytes of text, and windows, that a worker looks at together.
 TEXT_AT_ONCE = 1_500_000
 WINDOWS_AT_ONCE = 400_000
@@ -124,6 +127,31 @@ def _ties(group: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[same, False] | np.r_[False, same])
 
 
+def _split(run: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey quicksort's three-way splits of sorted runs by symbol: (order, finer runs), until runs are small or of one symbol."""
+    order = np.arange(len(run))
+    run, live = _runs(run), order
+    while len(live):
+        head = np.flatnonzero(np.r_[True, np.diff(run[live]) != 0])
+        size = np.diff(np.r_[head, len(live)])
+        x = s[order[live]]
+        mixed = np.minimum.reduceat(x, head) != np.maximum.reduceat(x, head)
+        keep = np.repeat(mixed & (size > CUTOFF), size)
+        live, x = live[keep], x[keep]
+        if not len(live):
+            break
+        head = np.flatnonzero(np.r_[True, np.diff(run[live]) != 0])
+        size = np.diff(np.r_[head, len(live)])
+        three = np.sort(np.stack([x[head], x[head + size // 2], x[head + size - 1]]), axis=0)
+        pivot = np.repeat(three[1], size)
+        side = (x >= pivot).astype(np.int64) + (x > pivot)
+        key = 3 * run
+        key[live] += side
+        order[live] = order[live[np.argsort(key[live], kind="stable")]]
+        run = _runs(np.sort(key))
+    return order, run
+
+
 def _common(sym: np.ndarray, a: np.ndarray, b: np.ndarray, depth: np.ndarray) -> np.ndarray:
     """Length of the common prefix of suffixes a and b from ``depth``, at most WINDOW."""
     out, live = depth.copy(), np.arange(len(a))
@@ -153,6 +181,8 @@ def equal_windows(text: np.ndarray, starts: np.ndarray, group: np.ndarray) -> li
     rows, run = np.arange(len(starts)), group
     for depth in range(0, SHALLOW, 8):
         s = sym[starts[rows] + depth]
+        order, run = _split(run, s)
+        rows, s = rows[order], s[order]
         order = np.lexsort((s, run))
         rows, run, s = rows[order], run[order], s[order]
         run = _runs(run, s)
@@ -407,8 +437,9 @@ def _with_unique_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     if n == known == several:
         return rows, None
     placed, first, at = number_rows(rows, ["doc_id", "digest"], "numbered")
-    starts = F.element_at(F.array(*[F.lit(x) for x in first]), (F.shiftright(at, 33) + 1).cast("int"))
-    placed = placed.withColumn("number", starts + F.col(at).bitwiseAND(F.lit((1 << 33) - 1)))
+    starts = docs.sparkSession.createDataFrame(list(enumerate(first)), "_part long, _first long")  # a row a partition
+    placed = placed.join(F.broadcast(starts), F.shiftright(at, 33) == F.col("_part"))
+    placed = placed.withColumn("number", F.col("_first") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1)))
     return placed.select(F.col("number").alias("doc_id"), "body", "digest"), placed.select("number", "doc_id")
 
 
@@ -419,8 +450,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = partitions(spark)
     rows, names = _with_unique_ids(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     name = f"folioflow_{uuid.uuid4().hex}"
-    rows.write.bucketBy(n, "doc_id").option("path", shared_dir(spark, "texts")).format("parquet").saveAsTable(name)
+    rows.repartition(n, "doc_id").write.bucketBy(n, "doc_id").option("path", shared_dir(spark, "texts")).format("parquet").saveAsTable(name)
     texts = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog forgets it; the files stay for ``texts``
     firsts = texts.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("is_first"))
     firsts = materialize(firsts, "firsts")
     long_first = texts.filter(F.octet_length("body") >= WINDOW).select("doc_id", "body").join(firsts.hint("shuffle_hash"), "doc_id", "left_semi")

@@ -137,7 +137,9 @@ def removed(docs):
     return sorted(out, key=str)
 
 
-def test_equal_windows():
+@pytest.mark.parametrize("cutoff", [0, 1, 5, 256])
+def test_equal_windows(cutoff, monkeypatch):
+    monkeypatch.setattr(substrings, "CUTOFF", cutoff)
     rng = random.Random(4)
     text = np.frombuffer("".join(rng.choice("ab") * rng.randint(1, 60) for _ in range(60)).encode() + bytes(120), dtype=np.uint8)
     starts = np.arange(len(text) - 120)
@@ -189,6 +191,11 @@ def test_repeats(spark, repeated):
     assert sorted(got, key=str) == removed(docs)
 
 
+def test_no_table_is_left(spark):
+    substrings.remove_repeats(spark.createDataFrame([(1, "a" * 300), (2, "a" * 300)], "doc_id long, text string")).collect()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("folioflow")]
+
+
 def test_no_texts(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -250,6 +257,44 @@ def test_links_of_a_dense_group(spark, hot):
     assert plain_components(edges) == want
 
 
+def test_runs_grow_with_the_nodes():
+    """Any two fingerprints within the radius agree in as many runs as a key takes, at every size."""
+    rng = random.Random(9)
+    for n, bits in ((1, 12), (200_000, 18), (1 << 22, 22), (1 << 30, 30), (3 * 10**10, 35)):
+        runs = simhash.runs_for(n)
+        assert sum(w for _, w in runs) == 64 and sum(sorted(w for _, w in runs)[: len(runs) - 4]) >= bits
+        for _ in range(200):
+            x = sum(1 << b for b in rng.sample(range(64), 4))
+            assert sum(not x >> a & (1 << w) - 1 for a, w in runs) >= len(runs) - 4
+
+
+def test_keys_at_any_number_of_runs(spark, monkeypatch):
+    rng = random.Random(10)
+    fps = [rng.getrandbits(64) for _ in range(40)]
+    fps += [x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5))) for x in fps for _ in range(3)]
+    nodes = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, i) for i, x in enumerate(fps)], "fp long, node long")
+    want = plain_components((i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4)
+    runs_for = simhash.runs_for
+    for n in (1, 1 << 22, 1 << 30):
+        monkeypatch.setattr(simhash, "runs_for", lambda _, n=n: runs_for(n))
+        assert plain_components((r.a, r.b) for r in simhash.links(nodes).collect()) == want
+
+
+def test_pivots_discard_most_pairs():
+    rng = np.random.default_rng(11)
+    fps = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    table = np.bitwise_count(fps[:, None] ^ simhash.pivots()[None, :]).astype(np.int16)
+    i, j = np.triu_indices(400, 1)
+    left = (np.abs(table[i] - table[j]).max(axis=1) <= simhash.RADIUS).sum()
+    assert left < 0.01 * len(i)
+    base = [rng.integers(0, 1 << 63, 300, dtype=np.uint64) for _ in range(4)]  # groups of near copies, as in the pipeline
+    sets = [np.unique(np.r_[b[:280], rng.integers(0, 1 << 63, 20, dtype=np.uint64)]) for b in base for _ in range(25)]
+    pivots = simhash_similar.Pivots(sets)
+    by_table = [len(pivots.near(i, np.arange(100))[0]) for i in range(100)]
+    assert all(set(range(i // 25 * 25, i // 25 * 25 + 25)) <= set(pivots.near(i, np.arange(100))[1].tolist()) for i in range(100))
+    assert np.mean(by_table) < 50  # of 100, 25 of them near
+
+
 def test_near_duplicates(spark):
     rng = random.Random(8)
     texts = [words(rng, 200) for _ in range(5)]
