@@ -33,17 +33,18 @@ BROAD = r"(?i)\b(table|summary|overview|contains|lists|shows|presents|describes|
 
 
 def compile_blocks(blocks: DataFrame) -> DataFrame:
-    """One artifact for each block (number, doc_id, page_index, block_no, char_start, char_end, block_text).
+    """Artifacts of each block (number, doc_id, page_index, block_no, char_start, char_end, block_text): one, or two that share its anchor.
 
-    Type, anchor and layout fields follow from the page's running number and the block number, so that each rule downstream meets each case:
-    a stand-in for a model-backed compiler with the same columns.
+    Type, anchor and layout fields follow from the page's running number, the block number and the artifact's number, each by a
+    remainder of its own, so that each rule downstream meets each case: a stand-in for a model-backed compiler with the same columns.
     """
-    page, no = F.col("number"), F.col("block_no")
-    kind = F.element_at(F.array(*[F.lit(t) for t in TYPES]), (F.pmod(page * 7 + no * 3, F.lit(9)) + 1).cast("int"))
-    out = blocks.withColumn("artifact_type", kind)
+    page, no, copy = F.col("number"), F.col("block_no"), F.col("copy")
+    mod = lambda c, n, *ok: F.pmod(c, F.lit(n)).isin(*ok)
+    out = blocks.withColumn("copy", F.explode(F.when(mod(page + no, 6, 0), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    kind = F.element_at(F.array(*[F.lit(t) for t in TYPES]), (F.pmod(page * 7 + no * 3 + copy * 5, F.lit(9)) + 1).cast("int"))
+    out = out.withColumn("artifact_type", kind)
     t = F.col("artifact_type")
     modality = F.element_at(F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv]), t)
-    mod = lambda c, n, *ok: F.pmod(c, F.lit(n)).isin(*ok)
     anchor = F.pmod(page + no, F.lit(4))
     text = lambda c: c.cast("string")
     normalized = {
@@ -56,7 +57,7 @@ def compile_blocks(blocks: DataFrame) -> DataFrame:
         "doc_id",
         "page_index",
         "block_no",
-        F.format_string("a%06d_%03d", page, no).alias("artifact_id"),
+        F.concat(F.format_string("a%06d_%03d", page, no), F.when(copy == 1, "_2").otherwise("")).alias("artifact_id"),
         page_id(F.col("doc_id"), F.col("page_index")).alias("page_id"),
         "artifact_type",
         modality.alias("modality"),
@@ -66,12 +67,12 @@ def compile_blocks(blocks: DataFrame) -> DataFrame:
         mod(page, 5, 0).alias("has_bbox"),
         "char_start",
         "char_end",
-        F.when(t.isin("table", "table_cell") & ~mod(page, 3, 0), F.concat(F.lit("t"), text(no))).alias("table_id"),
+        F.when(t.isin("table", "table_cell") & ~mod(page, 5, 1), F.concat(F.lit("t"), text(no))).alias("table_id"),
         F.when((t == "table_cell") & ~mod(page, 4, 1), text(F.pmod(page, F.lit(7)))).alias("row_index"),
-        F.when(t == "table_cell", text(F.pmod(page, F.lit(3)))).alias("column_index"),
+        F.when((t == "table_cell") & ~mod(page, 7, 2), text(F.pmod(page, F.lit(3)))).alias("column_index"),
         F.when(t.isin("figure", "visual_region", "caption") & mod(page, 2, 0), F.concat(F.lit("f"), text(no))).alias("figure_id"),
-        F.when((t == "caption") & ~mod(page, 3, 1), F.concat(F.lit("c"), text(no))).alias("caption_id"),
-        F.when((t == "section_header") & mod(page, 3, 1), F.concat(F.lit("s"), text(no))).alias("section_id"),
+        F.when((t == "caption") & ~mod(page, 7, 1), F.concat(F.lit("c"), text(no))).alias("caption_id"),
+        F.when((t == "section_header") & ~mod(page, 4, 3), F.concat(F.lit("s"), text(no))).alias("section_id"),
         (F.pmod(page * 13 + no, F.lit(10)) / 10.0).alias("confidence"),
         *[v.alias(k) for k, v in normalized.items()],
         F.when(mod(page, 2, 0), "anchored").otherwise("schema_valid").alias("status"),

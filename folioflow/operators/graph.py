@@ -14,7 +14,11 @@ EXPANSION = [
 ]
 
 
-def _ids(a: DataFrame) -> DataFrame:
+#: What the artifacts of a context edge share.
+ON_PAGE, ON_BLOCK = ["doc_id", "page_index"], ["doc_id", "page_index", "source_id"]
+
+
+def identified(a: DataFrame) -> DataFrame:
     d, p = F.col("doc_id"), F.col("page_index")
     return a.withColumns(
         {
@@ -52,7 +56,7 @@ def nodes(artifacts: DataFrame) -> DataFrame:
         "table_column": F.when(_cell(), F.col("n_column")),
     }
     one = F.explode(F.array(*[F.struct(F.lit(k).alias("node_type"), v.alias("node_id")) for k, v in made.items()])).alias("n")
-    rows = _ids(artifacts).select("doc_id", "page_index", one).filter("n.node_id IS NOT NULL")
+    rows = identified(artifacts).select("doc_id", "page_index", one).filter("n.node_id IS NOT NULL")
     return rows.select("n.node_id", "n.node_type", "doc_id", "page_index").dropDuplicates(["node_id"])
 
 
@@ -62,7 +66,7 @@ def edges(artifacts: DataFrame, context: bool = True) -> DataFrame:
     Sequence rules look at the next page or block of the same document with ``lead``; only pairs on one page
     or block (the context rules) join the artifacts with themselves.
     """
-    a = _ids(artifacts)
+    a = identified(artifacts)
     pair = F.col("figure_id").isNotNull() & F.col("caption_id").isNotNull()
     made = [
         ("located_on_page", "n_artifact", "n_page", F.lit(True)),
@@ -86,7 +90,7 @@ def edges(artifacts: DataFrame, context: bool = True) -> DataFrame:
     follow = block.filter("no IS NOT NULL").select(F.col("n_anchor").alias("source"), F.lead("n_anchor").over(w).alias("target"), (F.lead("no").over(w) - F.col("no")).alias("gap"))
     rows = rows.unionByName(follow.filter("gap = 1").select("source", "target", F.lit("next_block").alias("edge_type")))
     if context:
-        rows = rows.unionByName(pairs(a, ["doc_id", "page_index"], "same_page")).unionByName(pairs(a, ["doc_id", "page_index", "source_id"], "same_source_block"))
+        rows = rows.unionByName(pairs(a, ON_PAGE, "same_page")).unionByName(pairs(a, ON_BLOCK, "same_source_block"))
     return rows
 
 
@@ -96,14 +100,33 @@ def pairs(a: DataFrame, keys: list[str], kind: str) -> DataFrame:
     return left.join(right, keys).filter("source < target").select("source", "target", F.lit(kind).alias("edge_type")).distinct()
 
 
-def counts_by_type(edges_: DataFrame) -> DataFrame:
-    return edges_.groupBy("edge_type").agg(F.count("*").alias("n"))
+def _together(artifacts: DataFrame, keys: list[str]) -> DataFrame:
+    """(node_id, others): each artifact and how many others share its keys, by counting."""
+    w = Window.partitionBy(*keys)
+    return identified(artifacts).select(*keys, F.col("n_artifact").alias("node_id")).distinct().select("node_id", (F.count("*").over(w) - 1).alias("others"))
+
+
+def counts_by_type(edges_: DataFrame, artifacts: DataFrame | None = None) -> DataFrame:
+    """(edge_type, n); with ``artifacts`` context edges too, which are counted without being made."""
+    out = edges_.groupBy("edge_type").agg(F.count("*").alias("n"))
+    if artifacts is None:
+        return out
+    for kind, keys in (("same_page", ON_PAGE), ("same_source_block", ON_BLOCK)):
+        n = identified(artifacts).select(*keys, "n_artifact").distinct().groupBy(*keys).agg(F.count("*").alias("n"))
+        whole = n.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n")).filter("n > 0")
+        out = out.unionByName(whole.select(F.lit(kind).alias("edge_type"), "n"))
+    return out
 
 
-def degree_prior(edges_: DataFrame) -> DataFrame:
-    """(node_id, degree, prior) of artifact nodes, context edges included."""
+def degree_prior(edges_: DataFrame, artifacts: DataFrame | None = None) -> DataFrame:
+    """(node_id, degree, prior) of artifact nodes. With ``artifacts``, context edges count without being made: an artifact has
+    as many on its page, and on its block, as there are others."""
     ends = edges_.select(F.explode(F.array("source", "target")).alias("node_id")).filter(F.col("node_id").startswith("artifact:"))
     deg = ends.groupBy("node_id").agg(F.count("*").alias("degree"))
+    if artifacts is not None:
+        for keys in (ON_PAGE, ON_BLOCK):
+            deg = deg.unionByName(_together(artifacts, keys).withColumnRenamed("others", "degree"))
+        deg = deg.groupBy("node_id").agg(F.sum("degree").alias("degree")).filter("degree > 0")
     top = deg.agg(F.max("degree").alias("top"))
     return deg.crossJoin(F.broadcast(top)).select("node_id", "degree", (F.col("degree") / F.col("top")).alias("prior"))  # one row
 

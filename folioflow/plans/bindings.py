@@ -104,8 +104,9 @@ ARTIFACTS = (
     BLOCKS
     + r""",
 a0 AS (SELECT *, ['text_span', 'numeric_fact', 'table', 'table_cell', 'figure', 'caption', 'visual_region', 'visual_observation',
-    'section_header'][(number * 7 + block_no * 3) % 9 + 1] AS t FROM blocks),
-art AS (SELECT number, doc_id, page_index, block_no, printf('a%06d_%03d', number, block_no) AS artifact_id,
+    'section_header'][(number * 7 + block_no * 3 + copy * 5) % 9 + 1] AS t
+  FROM (SELECT *, unnest(CASE WHEN (number + block_no) % 6 = 0 THEN [0, 1] ELSE [0] END) AS copy FROM blocks)),
+art AS (SELECT number, doc_id, page_index, block_no, printf('a%06d_%03d', number, block_no) || CASE WHEN copy = 1 THEN '_2' ELSE '' END AS artifact_id,
   printf('%s#p%03d', doc_id, page_index) AS page_id, t AS artifact_type,
   CASE t WHEN 'numeric_fact' THEN 'numeric' WHEN 'table' THEN 'table' WHEN 'table_cell' THEN 'table' WHEN 'figure' THEN 'image'
     WHEN 'visual_region' THEN 'image' WHEN 'visual_observation' THEN 'image' WHEN 'section_header' THEN 'layout' ELSE 'text' END AS modality,
@@ -113,12 +114,12 @@ art AS (SELECT number, doc_id, page_index, block_no, printf('a%06d_%03d', number
   printf('p%d_text_%03d', number, block_no) AS source_id,
   CASE (number + block_no) % 4 WHEN 0 THEN 'full_page_image' WHEN 3 THEN 'table_cell' ELSE 'text_block' END AS anchor_type,
   number % 5 = 0 AS has_bbox, char_start, char_end,
-  CASE WHEN t IN ('table', 'table_cell') AND number % 3 <> 0 THEN 't' || block_no END AS table_id,
+  CASE WHEN t IN ('table', 'table_cell') AND number % 5 <> 1 THEN 't' || block_no END AS table_id,
   CASE WHEN t = 'table_cell' AND number % 4 <> 1 THEN CAST(number % 7 AS VARCHAR) END AS row_index,
-  CASE WHEN t = 'table_cell' THEN CAST(number % 3 AS VARCHAR) END AS column_index,
+  CASE WHEN t = 'table_cell' AND number % 7 <> 2 THEN CAST(number % 3 AS VARCHAR) END AS column_index,
   CASE WHEN t IN ('figure', 'visual_region', 'caption') AND number % 2 = 0 THEN 'f' || block_no END AS figure_id,
-  CASE WHEN t = 'caption' AND number % 3 <> 1 THEN 'c' || block_no END AS caption_id,
-  CASE WHEN t = 'section_header' AND number % 3 = 1 THEN 's' || block_no END AS section_id,
+  CASE WHEN t = 'caption' AND number % 7 <> 1 THEN 'c' || block_no END AS caption_id,
+  CASE WHEN t = 'section_header' AND number % 4 <> 3 THEN 's' || block_no END AS section_id,
   CAST((number * 13 + block_no) % 10 AS DOUBLE) / 10.0 AS confidence,
   CASE WHEN t IN ('numeric_fact', 'table_cell', 'table') AND number % 4 <> 2 THEN CAST(number AS VARCHAR) END AS value_text,
   CASE WHEN number % 3 <> 2 THEN 'metric' END AS row_label, CASE WHEN number % 5 <> 3 THEN 'period' END AS column_label,

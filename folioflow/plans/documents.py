@@ -162,7 +162,8 @@ ed AS (SELECT na AS source, np AS target, 'located_on_page' AS edge_type FROM n
   UNION SELECT 'table_column:' || dp || ':' || table_id || ':' || column_index, na, 'column_contains_cell' FROM n WHERE cell AND column_index IS NOT NULL
   UNION SELECT a.np, b.np, 'adjacent_page' FROM pg a JOIN pg b ON a.doc_id = b.doc_id AND b.page_index = a.page_index + 1
   UNION SELECT a.ns, b.ns, 'next_block' FROM an a JOIN an b ON a.doc_id = b.doc_id AND a.page_index = b.page_index AND b.block_no = a.block_no + 1
-  UNION SELECT a.na, b.na, 'same_page' FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.page_index = b.page_index AND a.na < b.na)"""
+  UNION SELECT a.na, b.na, 'same_page' FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.page_index = b.page_index AND a.na < b.na
+  UNION SELECT a.na, b.na, 'same_source_block' FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.page_index = b.page_index AND a.source_id = b.source_id AND a.na < b.na)"""
 )
 
 
@@ -179,18 +180,22 @@ def graph_nodes(spark, sf):
 
 @query(f"WITH {_EDGES} SELECT * FROM ed WHERE edge_type <> 'same_page'")
 def graph_edges(spark, sf):
-    return G.edges(B.artifacts(spark, sf), context=False)
+    """All edges but the pairs on a page, whose number grows with the square of a page's artifacts."""
+    a = B.artifacts(spark, sf)
+    return G.edges(a, context=False).unionByName(G.pairs(G.identified(a), G.ON_BLOCK, "same_source_block"))
 
 
 @query(f"WITH {_EDGES} SELECT edge_type, count(*) AS n FROM ed GROUP BY edge_type")
 def graph_edges_by_type(spark, sf):
-    return G.counts_by_type(G.edges(B.artifacts(spark, sf)))
+    a = B.artifacts(spark, sf)
+    return G.counts_by_type(G.edges(a, context=False), a)
 
 
 @query(f"""WITH {_EDGES}, d AS (SELECT node_id, count(*) AS degree FROM (SELECT source AS node_id FROM ed UNION ALL SELECT target FROM ed) WHERE starts_with(node_id, 'artifact:') GROUP BY node_id)
 SELECT node_id, degree, round(degree / max(degree) OVER (), 8) AS prior FROM d""")
 def graph_degree_prior(spark, sf):
-    return G.degree_prior(G.edges(B.artifacts(spark, sf))).select("node_id", "degree", F.round("prior", 8).alias("prior"))
+    a = B.artifacts(spark, sf)
+    return G.degree_prior(G.edges(a, context=False), a).select("node_id", "degree", F.round("prior", 8).alias("prior"))
 
 
 @query(f"""WITH {B.CLASSIFIED}, p AS (SELECT doc_id, page_index, bool_or(modality = 'text') AS t, bool_or(modality = 'image') AS v, bool_or(modality = 'numeric') AS n, bool_or(modality = 'table') AS tb,
