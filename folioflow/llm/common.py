@@ -74,6 +74,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if its files give fewer; tables of many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 10_000, megabytes: int = 2) -> None:
     """Bound Arrow batches by bytes: a Python worker then holds few long texts, or many short rows, at once.
 

@@ -11,7 +11,7 @@ piece that stands unchanged, the parts' edits would add up to more than k, so no
 mostly ends after two pieces.
 
 Items are the stated query set. Spark deals them by hash into block files of at most ``BLOCK_CHARS`` characters in the
-shared folder; nothing is broadcast and the driver gets the files' names. Documents are scanned once: a worker
+shared folder, small ones of which make up a block together; nothing is broadcast and the driver gets the files' names. Documents are scanned once: a worker
 holds up to ``HELD_CHARS`` characters of texts against one block after the other, and keeps the last block's automaton
 from task to task.
 
@@ -182,8 +182,8 @@ class Matcher:
         return out
 
 
-def write_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> tuple[str, list[str]]:
-    """Write ``items`` in normal form as block files: (folder, their names)."""
+def write_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> tuple[str, list[tuple[str, ...]]]:
+    """Write ``items`` in normal form as files: (folder, blocks). A block is the names of files of ``block_chars`` characters in all."""
     spark = items.sparkSession
     rows = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -197,7 +197,7 @@ def write_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
             out = ShardFile(folder, name)
             out.write(json.dumps([[ids, t] for t, ids in block.items()]).encode())
             out.commit()
-            made.append(name)
+            made.append((name, size))
 
         for b in batches:
             for i, text in zip(b["item_id"], b["text"], strict=True):
@@ -211,24 +211,37 @@ def write_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
                 block.setdefault(t, []).append(None if i is None else int(i))
         if block:
             flush()
-        yield pd.DataFrame({"name": pd.Series(made, dtype=object)})
+        yield pd.DataFrame(made, columns=["name", "chars"]).astype({"name": object})
 
     dealt = rows.select(F.col("item_id").cast("string"), "text").repartition(max(1, -(-chars // block_chars)), F.xxhash64("text"))
-    return folder, sorted(r.name for r in dealt.mapInPandas(write, "name string").collect())
+    blocks, filled = [], 0
+    for name, size in sorted(dealt.mapInPandas(write, "name string, chars long").collect()):
+        if not blocks or filled + size > block_chars:
+            blocks.append([])
+            filled = 0
+        blocks[-1].append(name)
+        filled += size
+    return folder, [tuple(b) for b in blocks]
 
 
-def _matcher(folder: str, name: str, chars_per_edit: int) -> Matcher:
-    build = lambda: Matcher([(ids, t) for ids, t in json.loads(read_whole(folder, name))], chars_per_edit)
-    return kept(("items", folder, name, chars_per_edit), build)
+def _matcher(folder: str, block: tuple[str, ...], chars_per_edit: int) -> Matcher:
+    def build() -> Matcher:
+        items: dict[str, list] = {}
+        for name in block:
+            for ids, t in json.loads(read_whole(folder, name)):
+                items.setdefault(t, []).extend(ids)
+        return Matcher([(ids, t) for t, ids in items.items()], chars_per_edit)
 
+    return kept(("items", folder, block, chars_per_edit), build)
 
-def _found(batches: Iterator, texts, folder: str, names: list[str], chars_per_edit: int) -> Iterator[tuple]:
+
+def _found(batches: Iterator, texts, folder: str, blocks: list[tuple[str, ...]], chars_per_edit: int) -> Iterator[tuple]:
     """(batch, hits of each of its texts); with several blocks, batches are held and go through all of them."""
 
     def through(held):
         out = [[[] for _ in texts(b)] for b in held]
-        for name in names:
-            matcher = _matcher(folder, name, chars_per_edit)
+        for block in blocks:
+            matcher = _matcher(folder, block, chars_per_edit)
             for b, lists in zip(held, out, strict=True):
                 for t, hits in zip(texts(b), lists, strict=True):
                     hits += matcher.hits(t)
@@ -238,7 +251,7 @@ def _found(batches: Iterator, texts, folder: str, names: list[str], chars_per_ed
     for b in batches:
         held.append(b)
         size += sum(len(t) for t in texts(b) if t)
-        if len(names) == 1 or size >= HELD_CHARS:
+        if len(blocks) == 1 or size >= HELD_CHARS:
             yield from through(held)
             held, size = [], 0
     if held:
@@ -248,13 +261,13 @@ def _found(batches: Iterator, texts, folder: str, names: list[str], chars_per_ed
 def hits_column(items: DataFrame, text: Column, chars_per_edit: int = CHARS_PER_EDIT, **how) -> Column:
     """An array of (item_id, edits, start) for a text column."""
     bounded_batches(items.sparkSession)
-    folder, names = write_blocks(items, **how)
-    if not names:
+    folder, blocks = write_blocks(items, **how)
+    if not blocks:
         return F.array().cast(_HITS)
 
     @F.pandas_udf(_HITS)
     def match(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for _, hits in _found(batches, lambda b: b, folder, names, chars_per_edit):
+        for _, hits in _found(batches, lambda b: b, folder, blocks, chars_per_edit):
             yield pd.Series(hits, dtype=object)
 
     return match(text)
@@ -263,15 +276,15 @@ def hits_column(items: DataFrame, text: Column, chars_per_edit: int = CHARS_PER_
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_per_edit: int = CHARS_PER_EDIT, **how) -> DataFrame:
     """doc_id, item_id, edits and start (in the normal form) of every item that a document holds."""
     bounded_batches(docs.sparkSession)
-    folder, names = write_blocks(items, **how)
+    folder, blocks = write_blocks(items, **how)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b, found in _found(batches, lambda b: b["text"], folder, names, chars_per_edit):
+        for b, found in _found(batches, lambda b: b["text"], folder, blocks, chars_per_edit):
             rows = [(i, *h.values()) for i, hits in zip(b["doc_id"], found, strict=True) for h in hits]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "edits", "start"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(search, _PAIRS) if names else docs.sparkSession.createDataFrame([], _PAIRS)
+    return rows.mapInPandas(search, _PAIRS) if blocks else docs.sparkSession.createDataFrame([], _PAIRS)
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **how) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from folioflow.llm import bpe, decontaminate, pfor, pii, quality, shards, simhash, substrings, url_filter, warc
-from folioflow.llm.common import table, tokenizer_json
+from folioflow.llm.common import spread, table, tokenizer_json
 
 
 def op1_token_blocks(spark, sf_dir):
@@ -11,7 +11,7 @@ def op1_token_blocks(spark, sf_dir):
 
 
 def op2_decontaminate(spark, sf_dir):
-    return decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))
 
 
 def op3_repeats(spark, sf_dir):
@@ -24,19 +24,19 @@ def op4_warc(spark, sf_dir):
 
 def op5_pii(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.detect(docs, model=pii.trained_on(docs))
+    return pii.detect(spread(docs), model=pii.trained_on(docs))
 
 
 def op6_quality(spark, sf_dir):
-    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return quality.judge(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("text")
 
 
 def op7_simhash(spark, sf_dir):
-    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return simhash.near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op8_bpe(spark, sf_dir):
-    return bpe.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_json("byte_bpe_50k.json"))
+    return bpe.encode_and_decode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), tokenizer_json("byte_bpe_50k.json"))
 
 
 def op9_url_filter(spark, sf_dir):
