@@ -26,25 +26,35 @@ def artifact_page_scores(scored: DataFrame, keys: list[str]) -> DataFrame:
     return page.select(*keys, "page_index", F.when(top > 0, F.round(F.col("raw") / top, 6)).otherwise(0.0).alias("artifact_score"))
 
 
-def rerank(branches: DataFrame, artifact_scores: DataFrame, keys: list[str], mode: str, k: int, blend: float = 0.7) -> DataFrame:
-    """(keys, page_index, final, position) by mode.
+#: Fixed values.
+MODES = ["original_only", "artifact_only", "original_plus_artifact"]
+
+
+def rerank_modes(branches: DataFrame, artifact_scores: DataFrame, keys: list[str], modes: list[str], k: int, blend: float = 0.7) -> DataFrame:
+    """(mode, keys, page_index, final, position) for each of ``modes``, from one join of the branches with their artifact scores.
 
     ``original_only``: the branch's own order. ``artifact_only``: artifact scores over all pages. ``original_plus_artifact``:
     a blend over the branch's first ``k`` pages that keeps the first one first. Without a positive artifact score in the
     branch the original order stands. ``branches``: (keys, page_index, first_rank, score).
     """
-    w = Window.partitionBy(*keys)
     b = branches.join(artifact_scores, [*keys, "page_index"], "left").withColumn("a", F.coalesce("artifact_score", F.lit(0.0)))
-    b = b.withColumn("place", F.row_number().over(w.orderBy("first_rank")))
-    if mode == "original_plus_artifact":
-        b = b.filter(F.col("place") <= k)
-    b = b.withColumn("signal", F.max("a").over(w) > 0)
-    blended = F.col("a") if mode == "artifact_only" else blend * F.col("score") + (1 - blend) * F.col("a")
-    used = F.col("signal") & F.lit(mode != "original_only")
-    b = b.withColumn("final", F.round(F.when(used, blended).otherwise(F.col("score")), 4))
-    first = F.when(F.lit(mode == "original_plus_artifact") & (F.col("place") == 1), 0).otherwise(1)
-    order = [F.when(used, first).otherwise(0), F.when(used, -F.col("final")).otherwise(0.0), F.col("first_rank"), F.col("page_index")]
-    return b.withColumn("position", F.row_number().over(w.orderBy(*order))).filter(F.col("position") <= k).select(*keys, "page_index", "final", "position")
+    b = b.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("first_rank")))
+    b = b.withColumn("mode", F.explode(F.array(*map(F.lit, modes))))
+    both, mode = F.col("mode") == "original_plus_artifact", F.col("mode")
+    b = b.filter(~both | (F.col("place") <= k))
+    w = Window.partitionBy(*keys, "mode")
+    used = (F.max("a").over(w) > 0) & (mode != "original_only")
+    b = b.withColumn("used", used)
+    blended = F.when(mode == "artifact_only", F.col("a")).otherwise(blend * F.col("score") + (1 - blend) * F.col("a"))
+    b = b.withColumn("final", F.round(F.when(F.col("used"), blended).otherwise(F.col("score")), 4))
+    first = F.when(both & (F.col("place") == 1), 0).otherwise(1)
+    order = [F.when(F.col("used"), first).otherwise(0), F.when(F.col("used"), -F.col("final")).otherwise(0.0), F.col("first_rank"), F.col("page_index")]
+    return b.withColumn("position", F.row_number().over(w.orderBy(*order))).filter(F.col("position") <= k).select("mode", *keys, "page_index", "final", "position")
+
+
+def rerank(branches: DataFrame, artifact_scores: DataFrame, keys: list[str], mode: str, k: int, blend: float = 0.7) -> DataFrame:
+    """(keys, page_index, final, position) by one mode."""
+    return rerank_modes(branches, artifact_scores, keys, [mode], k, blend).drop("mode")
 
 
 def capped(rows: DataFrame, order: list[Column], caps: list[tuple[list[str], int]], total: int | None = None) -> DataFrame:

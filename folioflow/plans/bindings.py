@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import STOPWORDS
+from folioflow.functions import scoring
+from folioflow.functions.text import STOPWORDS, tokens
 from folioflow.operators import artifacts as A
 from folioflow.operators import pages as P
 from folioflow.operators import retrieval as R
@@ -65,6 +66,14 @@ def branches(spark, sf_dir, k: int = 10) -> DataFrame:
     return text_branch(spark, sf_dir, k).unionByName(image_branch(spark, sf_dir, k))
 
 
+def artifact_scores(spark, sf_dir, pages: DataFrame) -> DataFrame:
+    """(query, page_index, score, weight) of the eligible artifacts on asked pages: the share of the query's words that each holds."""
+    e = A.eligibility(classified(spark, sf_dir)).filter("reason = 'eligible'")
+    e = e.select(F.col("number").alias("page_index"), tokens(F.col("content")).alias("_held"), "weight")
+    q = asked(spark, sf_dir).select("query", tokens(F.col("text")).alias("_asked"))
+    return pages.join(e, "page_index").join(q, "query").select("query", "page_index", F.round(scoring.overlap(F.col("_asked"), F.col("_held")), 6).alias("score"), "weight")
+
+
 def gold(spark, sf_dir) -> DataFrame:
     """Good documents of a query's pool whose number leaves the query's remainder by 7."""
     lab = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("item"))
@@ -171,6 +180,15 @@ br AS (SELECT query, 'text' AS branch, CAST(rank - 1 AS INT) AS rank, item AS pa
   UNION ALL SELECT query, 'image', CAST(rank - 1 AS INT), item, score FROM im WHERE rank <= 10)"""
 )
 
+
+
+def sql_artifact_scores(pages: str, name: str = "asc_") -> str:
+    """(query, page_index, raw): the best weighted share of a query's words in an eligible artifact of an asked page; needs POOLS and ``elig``."""
+    return f"""{name}q AS (SELECT query, list_distinct({sql_tokens("text")}) AS asked FROM q), {name}e AS (SELECT number AS page_index, list_distinct({sql_tokens("content")}) AS held, weight FROM elig WHERE reason = 'eligible'),
+{name} AS (SELECT query, page_index, max(round(CASE WHEN len(asked) > 0 THEN len(list_intersect(asked, held)) / len(asked) ELSE 0.0 END, 6) * weight) AS raw
+  FROM ({pages}) JOIN {name}e USING (page_index) JOIN {name}q USING (query) GROUP BY ALL)"""
+
+
 GOLD = """
 gold AS (SELECT query, item FROM q JOIN it USING (pool) WHERE item % 7 = query % 7
   AND item IN (SELECT doc_id FROM labels WHERE quality = 1))"""

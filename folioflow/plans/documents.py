@@ -191,8 +191,10 @@ def graph_edges_by_type(spark, sf):
     return G.counts_by_type(G.edges(a, context=False), a)
 
 
-@query(f"""WITH {_EDGES}, d AS (SELECT node_id, count(*) AS degree FROM (SELECT source AS node_id FROM ed UNION ALL SELECT target FROM ed) WHERE starts_with(node_id, 'artifact:') GROUP BY node_id)
-SELECT node_id, degree, round(degree / max(degree) OVER (), 8) AS prior FROM d""")
+_DEGREE = "deg AS (SELECT node_id, count(*) AS degree FROM (SELECT source AS node_id FROM ed UNION ALL SELECT target FROM ed) WHERE starts_with(node_id, 'artifact:') GROUP BY node_id)"
+
+
+@query(f"WITH {_EDGES}, {_DEGREE} SELECT node_id, degree, round(degree / max(degree) OVER (), 8) AS prior FROM deg")
 def graph_degree_prior(spark, sf):
     a = B.artifacts(spark, sf)
     return G.degree_prior(G.edges(a, context=False), a).select("node_id", "degree", F.round("prior", 8).alias("prior"))
@@ -232,10 +234,9 @@ def leak_audit(spark, sf):
     return U.scan(B.table(spark, sf, "documents"), "text")
 
 
-@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS rule FROM documents WHERE regexp_matches(text, '{p}')" for k, p in U.RULES.items() if k in ("secret_key", "hex_token", "email", "ipv4")) + ")")
+@query(" UNION ALL ".join(f"SELECT doc_id, '{k}' AS rule FROM documents WHERE regexp_matches(text, '{p}')" for k, p in U.RULES.items()))
 def secret_scan(spark, sf):
-    keep = {k: p for k, p in U.RULES.items() if k in ("secret_key", "hex_token", "email", "ipv4")}
-    return U.violations(B.table(spark, sf, "documents"), ["doc_id"], "text", keep)
+    return U.violations(B.table(spark, sf, "documents"), ["doc_id"], "text")
 
 
 @query()
@@ -384,11 +385,11 @@ def same_record_semi(spark, sf):
 
 
 @query("""WITH l AS (SELECT conv_id, turn, conv_id % 7 AS k, row_number() OVER (PARTITION BY conv_id % 7 ORDER BY conv_id, turn) AS n FROM conversations),
-r AS (SELECT doc_id, quality, doc_id % 7 AS k, row_number() OVER (PARTITION BY doc_id % 7 ORDER BY doc_id) AS g, count(*) OVER (PARTITION BY doc_id % 7) AS top FROM labels WHERE doc_id % 11 = 0)
+r AS (SELECT doc_id, quality, doc_id % 7 AS k, row_number() OVER (PARTITION BY doc_id % 7 ORDER BY doc_id) AS g, count(*) OVER (PARTITION BY doc_id % 7) AS top FROM labels)
 SELECT l.k, conv_id, turn, doc_id, quality FROM l LEFT JOIN r ON l.k = r.k AND r.g = least(l.n, r.top)""")
 def kth_gold(spark, sf):
     c = B.table(spark, sf, "conversations").select("conv_id", "turn", F.pmod("conv_id", F.lit(7)).alias("k"))
-    g = B.table(spark, sf, "labels").filter("doc_id % 11 = 0").select("doc_id", "quality", F.pmod("doc_id", F.lit(7)).alias("k"))
+    g = B.table(spark, sf, "labels").select("doc_id", "quality", F.pmod("doc_id", F.lit(7)).alias("k"))
     return J.kth_match(c, g, ["k"], ["conv_id", "turn"], ["doc_id"])
 
 

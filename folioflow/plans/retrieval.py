@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import scoring
+from folioflow.functions import text as T
 from folioflow.functions.text import tokens
 from folioflow.operators import graph as G
 from folioflow.operators import metrics as M
@@ -12,6 +14,7 @@ from folioflow.operators import pages as P
 from folioflow.operators import ranking as K
 from folioflow.operators import retrieval as R
 from folioflow.plans import bindings as B
+from folioflow.plans import documents as D
 
 QUERIES, ORACLE = {}, {}
 
@@ -38,7 +41,7 @@ def bm25_pool_stats(spark, sf):
     return R.pool_stats(it).join(terms, "pool").select("pool", "n", F.round("mean_length", 6).alias("mean_length"), "terms")
 
 
-_HYBRID = f"""WITH {B.CLASSIFIED}, {B.QUESTIONS},
+_HYBRID = f"""WITH {B.CLASSIFIED}, {D._EDGES[len(B.ARTIFACTS) + 1 :]}, {D._DEGREE}, {B.QUESTIONS},
 c AS (SELECT artifact_id, doc_id, {B.sql_tokens("content || ' ' || artifact_type || ' ' || modality || ' ' || coalesce(row_label, '') || ' ' || coalesce(column_label, '')")} AS terms,
   {B.sql_tokens("artifact_type || ' ' || modality || ' ' || status")} AS meta, {B.sql_tokens("artifact_type || ' ' || modality")} AS tm,
   0.2 * CAST(source_anchored AS INT) + 0.3 * CAST(element_locatable AS INT) + 0.5 * CAST(proof_trace_eligible AS INT) AS loc FROM cls),
@@ -50,21 +53,25 @@ lx AS (SELECT query, artifact_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5))
   FROM qt JOIN df USING (doc_id, term) JOIN st USING (doc_id) JOIN tf USING (doc_id, term) GROUP BY ALL),
 qq AS (SELECT query, doc_id, list_distinct({B.sql_tokens("question")}) AS qs FROM qs),
 j AS (SELECT query, artifact_id, round(coalesce(s, 0) + 0.5 * len(list_intersect(qs, list_distinct(meta))) / len(qs) + 0.25 * loc
-  + 0.25 * len(list_intersect(qs, list_distinct(tm))) / len(qs), 6) AS score FROM qq JOIN c USING (doc_id) LEFT JOIN lx USING (query, artifact_id))
+  + 0.25 * len(list_intersect(qs, list_distinct(tm))) / len(qs) + 0.25 * coalesce(prior, 0), 6) AS score FROM qq JOIN c USING (doc_id) LEFT JOIN lx USING (query, artifact_id)
+  LEFT JOIN (SELECT split_part(node_id, ':', 4) AS artifact_id, degree / max(degree) OVER () AS prior FROM deg) USING (artifact_id))
 SELECT query, artifact_id, score, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, artifact_id) AS r FROM j) WHERE r <= 5"""
 
 
 @query(_HYBRID)
 def hybrid_topk(spark, sf):
-    """The pool of a question is its document; components are weighted by a preset."""
-    q = B.questions(spark, sf)
+    """The pool of a question is its document; components are weighted by the full preset, the graph prior included."""
+    q, held = B.questions(spark, sf), B.artifacts(spark, sf)
     said = F.concat_ws(" ", "content", "artifact_type", "modality", F.coalesce("row_label", F.lit("")), F.coalesce("column_label", F.lit("")))
-    c = B.classified(spark, sf).withColumn("said", said)
-    lexical = R.bm25(q.select("query", F.col("doc_id").alias("pool"), F.col("question").alias("text")), c.select(F.col("doc_id").alias("pool"), F.col("artifact_id").alias("item"), F.col("said").alias("text")))
+    # only documents that some question asks are ranked; the prior is a share of the largest degree of the whole graph
+    c = B.classified(spark, sf).join(q.select("doc_id").distinct(), "doc_id", "left_semi")
+    lexical = R.bm25(q.select("query", F.col("doc_id").alias("pool"), F.col("question").alias("text")), c.select(F.col("doc_id").alias("pool"), F.col("artifact_id").alias("item"), said.alias("text")))
     meta = tokens(F.concat_ws(" ", "artifact_type", "modality", "status"))
     kind = tokens(F.concat_ws(" ", "artifact_type", "modality"))
     flags = [0.2 * F.col("source_anchored").cast("int"), 0.3 * F.col("element_locatable").cast("int"), 0.5 * F.col("proof_trace_eligible").cast("int")]
-    c = c.select("doc_id", "artifact_id", meta.alias("meta"), kind.alias("kind"), (flags[0] + flags[1] + flags[2]).alias("locator_score"))
+    node = T.node_id("artifact", F.col("doc_id"), F.col("page_index"), F.col("artifact_id"))
+    c = c.select("doc_id", "artifact_id", node.alias("node_id"), meta.alias("meta"), kind.alias("kind"), (flags[0] + flags[1] + flags[2]).alias("locator_score"))
+    c = c.join(G.degree_prior(G.edges(held, context=False), held).select("node_id", "prior"), "node_id", "left")
     j = q.select("query", "doc_id", tokens(F.col("question")).alias("qt")).join(c, "doc_id")
     j = j.join(lexical.select("query", F.col("item").alias("artifact_id"), F.col("score").alias("lexical_score")), ["query", "artifact_id"], "left")
     j = j.withColumns(
@@ -72,10 +79,10 @@ def hybrid_topk(spark, sf):
             "lexical_score": F.coalesce("lexical_score", F.lit(0.0)),
             "metadata_score": scoring.overlap(F.col("qt"), F.col("meta")),
             "type_modality_score": scoring.overlap(F.col("qt"), F.col("kind")),
-            "graph_prior_score": F.lit(0.0),
+            "graph_prior_score": F.coalesce("prior", F.lit(0.0)),
         }
     )
-    j = j.select("query", "artifact_id", F.round(scoring.hybrid("hybrid_no_graph"), 6).alias("score"))
+    j = j.select("query", "artifact_id", F.round(scoring.hybrid("full_hybrid"), 6).alias("score"))
     return R.ranked(j, ["query"], [F.desc("score"), F.asc("artifact_id")], 5)
 
 
@@ -102,10 +109,10 @@ def rr_page_aggregate(spark, sf):
     return K.reciprocal_ranks(B.branches(spark, sf), ["query"])
 
 
-_RERANK = f"""WITH {B.BRANCHES},
+_RERANK = f"""WITH {B.BRANCHES}, {D._REASON}, {B.sql_artifact_scores("SELECT DISTINCT query, page_index FROM br")},
 b AS (SELECT query, branch, page_index, min(rank) AS first_rank, max(score) AS raw FROM br GROUP BY ALL),
 b1 AS (SELECT query, branch, page_index, first_rank, round(greatest(0.0, CASE WHEN max(abs(raw)) OVER w > 0 THEN raw / max(abs(raw)) OVER w ELSE raw END), 6) AS score FROM b WINDOW w AS (PARTITION BY query, branch)),
-s AS (SELECT query, branch, page_index, CAST(page_index % 5 AS DOUBLE) * CASE WHEN page_index % 2 = 0 THEN 1.0 ELSE 0.25 END AS raw FROM b1 WHERE page_index % 3 = 0),
+s AS (SELECT query, branch, page_index, asc_.raw FROM b1 JOIN asc_ USING (query, page_index)),
 a AS (SELECT query, branch, page_index, CASE WHEN max(raw) OVER w > 0 THEN round(raw / max(raw) OVER w, 6) ELSE 0.0 END AS artifact_score FROM s WINDOW w AS (PARTITION BY query, branch)),
 c AS (SELECT b1.*, coalesce(artifact_score, 0.0) AS a, row_number() OVER (PARTITION BY query, branch ORDER BY first_rank) AS place FROM b1 LEFT JOIN a USING (query, branch, page_index)),
 m AS (SELECT c.*, mode, max(a) OVER (PARTITION BY query, branch, mode) > 0 AS signal FROM c, (VALUES ('original_only'), ('artifact_only'), ('original_plus_artifact')) v(mode)
@@ -121,29 +128,25 @@ SELECT mode, query, branch, page_index, final, CAST(position AS INT) AS position
 def rerank_lambda_blend(spark, sf):
     keys = ["query", "branch"]
     b = K.branch_scores(B.branches(spark, sf), keys)
-    page = F.col("page_index")
-    weight = F.when(F.pmod(page, F.lit(2)) == 0, 1.0).otherwise(0.25)
-    scored = b.filter(F.pmod(page, F.lit(3)) == 0).select(*keys, "page_index", F.pmod(page, F.lit(5)).cast("double").alias("score"), weight.alias("weight"))
-    a = K.artifact_page_scores(scored, keys)
-    out = None
-    for mode in ("original_only", "artifact_only", "original_plus_artifact"):
-        one = K.rerank(b, a, keys, mode, 4).withColumn("mode", F.lit(mode))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-@query(f"""WITH {B.BRANCHES}, s AS (SELECT query, page_index, score, 1 + page_index % 3 AS x FROM br WHERE branch = 'image' AND rank < 4),
-stp AS (SELECT DISTINCT page_index, unnest([page_index - 1, page_index + 1]) AS neighbour FROM s),
-far AS (SELECT query, neighbour AS page_index, 0.85 * score + 0.15 * CASE WHEN neighbour % 3 = 0 THEN (neighbour % 5) / 5.0 ELSE 0.0 END AS score FROM s JOIN stp USING (page_index)),
+    scored = B.artifact_scores(spark, sf, b.select("query", "page_index").distinct())
+    a = K.artifact_page_scores(b.select(*keys, "page_index").join(scored, ["query", "page_index"]), keys)
+    return K.rerank_modes(b, a, keys, K.MODES, 4)
+
+
+@query(f"""WITH {B.BRANCHES}, {D._REASON}, s AS (SELECT query, page_index, score FROM br WHERE branch = 'image' AND rank < 4),
+stp AS (SELECT DISTINCT page_index, unnest([page_index - 1, page_index + 1]) AS neighbour FROM s), {B.sql_artifact_scores("SELECT DISTINCT query, neighbour AS page_index FROM s JOIN stp USING (page_index)")},
+own AS (SELECT query, page_index, CASE WHEN max(raw) OVER (PARTITION BY query) > 0 THEN round(raw / max(raw) OVER (PARTITION BY query), 6) ELSE 0.0 END AS a FROM asc_),
+far AS (SELECT s.query, neighbour AS page_index, 0.85 * score + 0.15 * coalesce(a, 0.0) AS score FROM s JOIN stp USING (page_index) LEFT JOIN own ON own.query = s.query AND own.page_index = neighbour),
 al AS (SELECT query, page_index, score FROM s UNION ALL SELECT * FROM far),
 g AS (SELECT query, page_index, round(max(score), 6) AS score FROM al GROUP BY ALL)
 SELECT query, page_index, score, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, page_index) AS r FROM g) WHERE r <= 6""")
 def graph_context_pages(spark, sf):
+    """Pages next to seeds take part of the seed's score and part of their own artifacts'."""
     s = B.image_branch(spark, sf).filter("rank < 4").select("query", "page_index", "score")
     p = F.col("page_index")
     steps = s.select("page_index").distinct().select("page_index", F.explode(F.array(p - 1, p + 1)).alias("neighbour"))
-    own = s.join(steps, "page_index").select("query", F.col("neighbour").alias("page_index")).distinct()
-    own = own.select("query", "page_index", F.when(F.pmod(p, F.lit(3)) == 0, F.pmod(p, F.lit(5)) / 5.0).otherwise(0.0).alias("artifact_score"))
+    near = s.join(steps, "page_index").select("query", F.col("neighbour").alias("page_index")).distinct()
+    own = K.artifact_page_scores(B.artifact_scores(spark, sf, near), ["query"])
     return R.ranked(K.propagated(s, steps, own, ["query"]), ["query"], [F.desc("score"), F.asc("page_index")], 6)
 
 
@@ -179,14 +182,14 @@ def candidate_pool_sets(spark, sf):
     return g.select("query", *[v.alias(k) for k, v in pool_sets(F.col("t"), F.col("e"), F.col("bad")).items()])
 
 
-@query("""WITH v AS (SELECT vec_id, label, embedding FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 50 = 0),
+@query("""WITH v AS (SELECT vec_id, label, embedding FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 20 = 0),
 d AS (SELECT q.vec_id AS query, v.vec_id AS page, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 5) AS score FROM q JOIN v ON q.label = v.label),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, page) AS rank FROM d)
 SELECT query, page, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5""")
 def embedding_topk(spark, sf):
-    """Each fiftieth vector asks the pool of its label; queries are one vector each."""
+    """Each twentieth vector asks the pool of its label; queries are one vector each."""
     e = B.table(spark, sf, "embeddings")
-    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("pool"), F.col("embedding").alias("vector"))
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("pool"), F.col("embedding").alias("vector"))
     return R.max_sim(q, e.select(F.col("label").alias("pool"), F.col("vec_id").alias("page"), F.col("embedding").alias("vector")), 5)
 
 
@@ -194,10 +197,8 @@ _EDGES_SEED = "seed AS (SELECT query, 'artifact:' || doc_id || ':' || page_index
 
 
 def _seeds(spark, sf):
-    from folioflow.functions.text import node_id
-
     a = B.artifacts(spark, sf).filter(F.col("artifact_type").isin("table_cell", "caption", "text_span"))
-    node = node_id("artifact", F.col("doc_id"), F.col("page_index"), F.col("artifact_id"))
+    node = T.node_id("artifact", F.col("doc_id"), F.col("page_index"), F.col("artifact_id"))
     s = B.questions(spark, sf).select("query", "doc_id").join(a.select("doc_id", "artifact_id", node.alias("node")), "doc_id")
     return R.ranked(s, ["query"], [F.asc("artifact_id")], 3).select("query", "node", "rank")
 
@@ -221,7 +222,17 @@ def expand_anchor(spark, sf):
     return G.expand(_seeds(spark, sf), G.anchor_neighbours(G.edges(B.artifacts(spark, sf), context=False)))
 
 
-@query(_expansion("SELECT node, node AS neighbour FROM x WHERE false"))
+_FIRST = "SELECT *, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY artifact_id) AS n FROM x"
+
+
+@query(_expansion(f"""SELECT DISTINCT a.node, b.node AS neighbour FROM ({_FIRST}) a JOIN ({_FIRST}) b ON a.doc_id = b.doc_id AND abs(a.page_index - b.page_index) = 1 AND a.n = 1 AND b.n = 1"""))
 def expand_direct(spark, sf):
-    """Structural edges never join two artifacts, so nothing is added."""
-    return G.expand(_seeds(spark, sf), G.direct_neighbours(G.edges(B.artifacts(spark, sf), context=False)))
+    """Along edges that join two artifacts. The graph's own rules make none, so edges of a formal type are brought in: from the
+    first artifact of each page to that of the next page."""
+    a = B.artifacts(spark, sf)
+    first = a.groupBy("doc_id", "page_index").agg(F.min("artifact_id").alias("artifact_id"))
+    node = T.node_id("artifact", F.col("doc_id"), F.col("page_index"), F.col("artifact_id"))
+    w = Window.partitionBy("doc_id").orderBy("page_index")
+    step = first.select(node.alias("source"), F.lead(node).over(w).alias("target"), (F.lead("page_index").over(w) - F.col("page_index")).alias("gap"))
+    brought = step.filter("gap = 1").select("source", "target", F.lit("adjacent_page").alias("edge_type"))
+    return G.expand(_seeds(spark, sf), G.direct_neighbours(G.edges(a, context=False).unionByName(brought)))

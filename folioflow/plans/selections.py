@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import text as T
 from folioflow.operators import artifacts as A
 from folioflow.operators import pages as P
+from folioflow.operators import ranking as K
 from folioflow.operators import selection as S
 from folioflow.plans import bindings as B
 from folioflow.plans import documents as D
@@ -77,21 +78,32 @@ def fresh_artifact_ids(spark, sf):
     return S.fresh_ids(d, used, "art", ["source"], [F.col("doc_id")])
 
 
-@query(f"""WITH {B.BRANCHES}, s AS (SELECT query, page_index, score FROM br WHERE branch = 'image' AND rank < 4), ow AS (SELECT DISTINCT query, page_index, (page_index % 5) / 5.0 AS own FROM br),
-nr AS (SELECT DISTINCT page_index, unnest([page_index - 1, page_index + 1]) AS other FROM s), lk AS (SELECT DISTINCT page_index, page_index + 20 AS other FROM s), su AS (SELECT DISTINCT query, page_index FROM br WHERE page_index % 4 = 0),
+@query(f"""WITH {B.BRANCHES}, {D._REASON}, s AS (SELECT query, page_index, score FROM br WHERE branch = 'image' AND rank < 4),
+nr AS (SELECT DISTINCT page_index, unnest([page_index - 1, page_index + 1]) AS other FROM s), pg AS (SELECT DISTINCT number AS page_index, doc_id, page_index AS place FROM art),
+lk AS (SELECT a.page_index, b.page_index AS other FROM pg a JOIN pg b ON a.doc_id = b.doc_id AND abs(a.place - b.place) >= 2),
+su AS (SELECT DISTINCT query, br.page_index FROM br JOIN elig ON elig.number = br.page_index AND reason = 'eligible'),
+wanted AS (SELECT query, page_index FROM s UNION SELECT query, other FROM s JOIN nr USING (page_index) UNION SELECT query, other FROM s JOIN lk USING (page_index) UNION SELECT query, page_index FROM su),
+{B.sql_artifact_scores("SELECT * FROM wanted")}, ow AS (SELECT query, page_index, CASE WHEN max(raw) OVER (PARTITION BY query) > 0 THEN round(raw / max(raw) OVER (PARTITION BY query), 6) ELSE 0.0 END AS own FROM asc_),
 al AS (SELECT query, page_index, score FROM s UNION ALL SELECT s.query, other, 0.85 * score + 0.15 * coalesce(own, 0) FROM s JOIN nr USING (page_index) LEFT JOIN ow ON ow.query = s.query AND ow.page_index = other
   UNION ALL SELECT s.query, other, 0.80 * score + 0.20 * coalesce(own, 0) FROM s JOIN lk USING (page_index) LEFT JOIN ow ON ow.query = s.query AND ow.page_index = other
   UNION ALL SELECT query, page_index, 0.5 * coalesce(score, 0) + 0.5 * coalesce(own, 0) FROM su LEFT JOIN s USING (query, page_index) LEFT JOIN ow USING (query, page_index)),
 b AS (SELECT query, page_index, round(max(score), 4) AS score FROM al GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, page_index) AS position FROM b)
 SELECT query, page_index, score, CAST(position AS INT) AS position FROM r WHERE position <= 5""")
 def graph_selected_pages(spark, sf):
+    """Seeds, the pages next to them, further pages of their documents, and pages with eligible artifacts."""
     b, p = B.branches(spark, sf), F.col("page_index")
     s = b.filter((F.col("branch") == "image") & (F.col("rank") < 4)).select("query", "page_index", "score")
-    near = s.select("page_index").distinct().select("page_index", F.explode(F.array(p - 1, p + 1)).alias("other"))
-    linked = s.select("page_index").distinct().select("page_index", (p + 20).alias("other"))
-    pages = b.select("query", "page_index").distinct()
-    own = pages.select("query", "page_index", (F.pmod(p, F.lit(5)) / 5.0).alias("score"))
-    return S.graph_pages(s, near, linked, pages.filter(F.pmod(p, F.lit(4)) == 0), own, 5)
+    asked = s.select("page_index").distinct()
+    near = asked.select("page_index", F.explode(F.array(p - 1, p + 1)).alias("other"))
+    pages = B.artifacts(spark, sf).select(F.col("number").alias("page_index"), "doc_id", F.col("page_index").alias("place")).distinct()
+    other = pages.select(F.col("page_index").alias("other"), "doc_id", F.col("place").alias("_place"))
+    linked = pages.join(asked, "page_index", "left_semi").join(other, "doc_id").filter(F.abs(F.col("place") - F.col("_place")) >= 2).select("page_index", "other")
+    eligible = A.eligibility(B.classified(spark, sf)).filter("reason = 'eligible'").select(F.col("number").alias("page_index")).distinct()
+    structural = b.select("query", "page_index").distinct().join(eligible, "page_index", "left_semi").select("query", "page_index")
+    reach = lambda steps: s.join(steps, "page_index").select("query", F.col("other").alias("page_index"))
+    wanted = s.select("query", "page_index").union(reach(near)).union(reach(linked)).union(structural).distinct()
+    own = K.artifact_page_scores(B.artifact_scores(spark, sf, wanted), ["query"]).withColumnRenamed("artifact_score", "score")
+    return S.graph_pages(s, near, linked, structural, own, 5)
 
 
 @query(f"""WITH {D._REASON}, p AS (SELECT doc_id, count(*) AS n, count(*) FILTER (reason <> 'eligible') AS n_ineligible, count(*) - count(DISTINCT (artifact_type, content)) AS n_duplicate, count(*) FILTER (weak) AS n_weak FROM elig GROUP BY doc_id)
