@@ -48,9 +48,9 @@ def compile_blocks(blocks: DataFrame) -> DataFrame:
     anchor = F.pmod(page + no, F.lit(4))
     text = lambda c: c.cast("string")
     normalized = {
-        "value_text": F.when(t.isin("numeric_fact", "table_cell", "table") & ~mod(page, 4, 2), text(page)),
-        "row_label": F.when(~mod(page, 3, 2), F.lit("metric")),
-        "column_label": F.when(~mod(page, 5, 3), F.lit("period")),
+        "value_text": F.when(t.isin("numeric_fact", "table_cell", "table") & ~mod(page, 4, 2), F.when(mod(page, 4, 1), F.concat(F.lit("AR0"), text(F.pmod(F.floor(page / 4), F.lit(5))))).otherwise(text(page))),
+        "row_label": F.when(~mod(page, 3, 2), F.when(mod(page, 2, 0), "net income").otherwise("metric")),
+        "column_label": F.when(~mod(page, 5, 3), F.when(mod(page, 4, 1), "total assets").otherwise("period")),
     }
     return out.select(
         "number",

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import scoring
-from folioflow.functions.text import STOPWORDS, tokens
+from folioflow.functions.text import STOPWORDS, compact, tokens
 from folioflow.operators import artifacts as A
 from folioflow.operators import pages as P
 from folioflow.operators import retrieval as R
@@ -81,15 +81,36 @@ def gold(spark, sf_dir) -> DataFrame:
     return j.filter(F.pmod("item", F.lit(7)) == F.pmod("query", F.lit(7))).join(lab, "item", "left_semi").select("query", "item")
 
 
+#: The questions' templates; ``#`` stands for the item's number modulo five, ``@`` for its text. One for each way that a question is decided.
+TEMPLATES = [
+    "What is the total for code AR0#: @",
+    "Which metric period",
+    "Who revised the document version #: @",
+    "Show the chart of #: @",
+    "What is the return on asset",
+    "Zqxw vkjh",
+    "What is the total of children who are older",
+    "Do higher income seniors go online in 2019",
+]
+
+
 def questions(spark, sf_dir) -> DataFrame:
+    """(query, doc_id, question): item i asks document i."""
     i = F.col("item_id")
-    text = F.concat(
-        F.element_at(F.array(F.lit("What is the total for code AR0"), F.lit("Which metric period is on page "), F.lit("Who revised the document version "), F.lit("Show the chart of ")), (F.pmod(i, F.lit(4)) + 1).cast("int")),
-        F.pmod(i, F.lit(5)).cast("string"), F.lit(": "), F.col("text"),
-    )
+    text = F.element_at(F.array(*map(F.lit, TEMPLATES)), (F.pmod(i, F.lit(len(TEMPLATES))) + 1).cast("int"))
+    text = F.replace(F.replace(text, F.lit("#"), F.pmod(i, F.lit(5)).cast("string")), F.lit("@"), F.col("text"))
     return table(spark, sf_dir, "benchmark").select(i.alias("query"), F.concat(F.lit("d"), i.cast("string")).alias("doc_id"), text.alias("question"))
 
 
+def contexts(spark, sf_dir) -> DataFrame:
+    """(query, page_text): the starts of the pages of a question's document; each third document opens with a heading."""
+    shown = F.substring(compact(F.coalesce("text", F.lit(""))), 1, 300)
+    pages = doc_pages(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_index", shown.alias("t")))).alias("p"))
+    heading = F.when(F.pmod("query", F.lit(3)) == 0, "Net income and total assets of children and older people. ").otherwise("")
+    q = questions(spark, sf_dir).join(pages, "doc_id")
+    return q.select("query", F.concat(heading, F.array_join(F.transform("p", lambda x: x["t"]), " ")).alias("page_text"))
+
+
 def deduped(df: DataFrame, by: str, order: list) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter("_n = 1").drop("_n")
 
@@ -130,8 +151,9 @@ art AS (SELECT number, doc_id, page_index, block_no, printf('a%06d_%03d', number
   CASE WHEN t = 'caption' AND number % 7 <> 1 THEN 'c' || block_no END AS caption_id,
   CASE WHEN t = 'section_header' AND number % 4 <> 3 THEN 's' || block_no END AS section_id,
   CAST((number * 13 + block_no) % 10 AS DOUBLE) / 10.0 AS confidence,
-  CASE WHEN t IN ('numeric_fact', 'table_cell', 'table') AND number % 4 <> 2 THEN CAST(number AS VARCHAR) END AS value_text,
-  CASE WHEN number % 3 <> 2 THEN 'metric' END AS row_label, CASE WHEN number % 5 <> 3 THEN 'period' END AS column_label,
+  CASE WHEN t IN ('numeric_fact', 'table_cell', 'table') AND number % 4 <> 2 THEN CASE WHEN number % 4 = 1 THEN 'AR0' || (number // 4 % 5) ELSE CAST(number AS VARCHAR) END END AS value_text,
+  CASE WHEN number % 3 <> 2 THEN CASE WHEN number % 2 = 0 THEN 'net income' ELSE 'metric' END END AS row_label,
+  CASE WHEN number % 5 <> 3 THEN CASE WHEN number % 4 = 1 THEN 'total assets' ELSE 'period' END END AS column_label,
   CASE WHEN number % 2 = 0 THEN 'anchored' ELSE 'schema_valid' END AS status FROM a0)"""
 )
 
@@ -193,6 +215,10 @@ GOLD = """
 gold AS (SELECT query, item FROM q JOIN it USING (pool) WHERE item % 7 = query % 7
   AND item IN (SELECT doc_id FROM labels WHERE quality = 1))"""
 
-QUESTIONS = """
-qs AS (SELECT item_id AS query, 'd' || item_id AS doc_id, ['What is the total for code AR0', 'Which metric period is on page ',
-  'Who revised the document version ', 'Show the chart of '][item_id % 4 + 1] || (item_id % 5) || ': ' || text AS question FROM benchmark)"""
+QUESTIONS = f"""
+qs AS (SELECT item_id AS query, 'd' || item_id AS doc_id,
+  replace(replace([{", ".join(f"'{t}'" for t in TEMPLATES)}][item_id % {len(TEMPLATES)} + 1], '#', CAST(item_id % 5 AS VARCHAR)), '@', text) AS question FROM benchmark)"""
+
+CONTEXTS = r"""
+cx AS (SELECT query, CASE WHEN query % 3 = 0 THEN 'Net income and total assets of children and older people. ' ELSE '' END || page_text AS page_text FROM qs
+  JOIN (SELECT 'd' || (doc_id // 4) AS doc_id, string_agg(substr(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), 1, 300), ' ' ORDER BY doc_id % 4) AS page_text FROM documents GROUP BY 1) USING (doc_id))"""

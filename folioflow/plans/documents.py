@@ -272,29 +272,54 @@ def code_name_pairs(spark, sf):
     return X.code_names(g.select(F.col("r_regionkey").alias("page"), F.array_join(F.concat(head, item), "\n").alias("text")), "page")
 
 
-@query(f"""WITH {B.QUESTIONS}, x AS (SELECT query, question, lower(trim(regexp_replace(question, '\\s+', ' ', 'g'))) AS nq, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(question, '[a-zA-Z][a-zA-Z0-9]+'), lambda w: lower(w)),
+def _words(names: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in names) + "]"
+
+
+def _every(text: str, words: list[str]) -> str:
+    return " AND ".join(f"contains({text}, '{w}')" for w in words)
+
+
+_OPERANDS_SQL = "[" + ", ".join(f"CASE WHEN {' OR '.join('(' + _every('nq', w) + ')' for w in lists)} THEN '{name}' END" for name, lists in Q.NEEDED) + "]"
+_DIMENSIONS_SQL = (
+    "list_concat("
+    + ", ".join(
+        f"""CASE WHEN {" + ".join(f"CAST(contains(nq, '{w}') AS INT)" for w in words)} >= {least} THEN [{", ".join("{'dimension': '" + d + "', 'aliases': " + _words(aliases) + "}" for d, _, aliases in dims)}] ELSE [] END"""
+        for words, least, dims, _ in Q.REQUIREMENTS
+    )
+    + ", list_transform(regexp_extract_all(question, '\\b(?:19|20)\\d{2}\\b'), lambda y: {'dimension': 'year_' || y, 'aliases': [y]}))"
+)
+_NEEDED_SQL = "greatest(0, " + ", ".join(f"CASE WHEN {' + '.join(f'CAST(contains(nq, {chr(39)}{w}{chr(39)}) AS INT)' for w in words)} >= {least} THEN {n} ELSE 0 END" for words, least, _, n in Q.REQUIREMENTS) + ")"
+
+_PROFILE = f"""{B.QUESTIONS}, px AS (SELECT query, doc_id, question, lower(trim(regexp_replace(question, '\\s+', ' ', 'g'))) AS nq, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(question, '[a-zA-Z][a-zA-Z0-9]+'), lambda w: lower(w)),
   lambda w: length(w) > 2 AND w NOT IN ({", ".join(f"'{w}'" for w in T.QUESTION_STOPWORDS)})))) AS q_tokens,
   list_sort(list_distinct(list_filter(regexp_extract_all(question, '\\b([A-Z]{{1,4}}\\d{{1,4}})\\b', 1), lambda c: NOT regexp_matches(c, '^(FY\\d+|Q\\d|F\\d+|AP\\d+|GPT\\d+)$')))) AS codes,
-  regexp_extract_all(question, '[-+]?\\d+(?:\\.\\d+)?') AS numbers FROM qs)
-SELECT query, q_tokens, codes, numbers, regexp_matches(nq, '{"|".join(Q.NUMERIC_WORDS)}') OR len(numbers) > 0 AS is_numeric, len(codes) > 0 OR regexp_matches(nq, '{"|".join(Q.TABLE_WORDS)}') AS is_code_or_table,
-  len(list_intersect(q_tokens, [{", ".join(f"'{w}'" for w in Q.METADATA_TERMS)}])) > 0 AND regexp_matches(nq, '{"|".join(Q.METADATA_WORDS)}') AS is_metadata,
-  len(list_intersect(q_tokens, [{", ".join(f"'{w}'" for w in Q.COMPUTE_TERMS)}])) > 0 OR regexp_matches(nq, '{"|".join(Q.COMPUTE_WORDS)}') AS is_computation FROM x""".replace("\\\\", "\\"))
+  regexp_extract_all(question, '[-+]?\\d+(?:\\.\\d+)?') AS numbers FROM qs),
+py AS (SELECT *, list_sort(list_filter({_OPERANDS_SQL}, lambda x: x IS NOT NULL)) AS required_operands, {_DIMENSIONS_SQL} AS known, {_NEEDED_SQL} AS numbers_needed FROM px),
+pz AS (SELECT *, CASE WHEN len(known) > 0 THEN known ELSE list_transform(q_tokens[1:{Q.MOST_TERMS}], lambda t: {{'dimension': 'term_' || t, 'aliases': [t]}}) END AS many FROM py),
+pr AS (SELECT query, doc_id, question, lower(question) AS lq, q_tokens, codes, numbers, required_operands, numbers_needed,
+  list_filter(many, lambda x, i: list_position(list_transform(many, lambda y: y.dimension), x.dimension) = i) AS dimensions,
+  regexp_matches(nq, '{"|".join(Q.NUMERIC_WORDS)}') OR len(numbers) > 0 AS is_numeric, len(codes) > 0 OR regexp_matches(nq, '{"|".join(Q.TABLE_WORDS)}') AS is_code_or_table,
+  len(list_intersect(q_tokens, {_words(Q.METADATA_TERMS)})) > 0 AND regexp_matches(nq, '{"|".join(Q.METADATA_WORDS)}') AS is_metadata,
+  len(list_intersect(q_tokens, {_words(Q.COMPUTE_TERMS)})) > 0 OR regexp_matches(nq, '{"|".join(Q.COMPUTE_WORDS)}') AS is_computation FROM pz)""".replace("\\\\", "\\")
+
+
+@query(f"""WITH {_PROFILE} SELECT query, q_tokens, codes, numbers, required_operands, numbers_needed, list_transform(dimensions, lambda d: d.dimension) AS dimensions,
+  is_numeric, is_code_or_table, is_metadata, is_computation FROM pr""")
 def question_profile(spark, sf):
-    return Q.profile(B.questions(spark, sf)).drop("question", "doc_id")
+    return Q.profile(B.questions(spark, sf)).withColumn("dimensions", F.transform("dimensions", lambda d: d["dimension"])).drop("question", "doc_id")
 
 
 def _guarded(spark, sf):
     p = Q.profile(B.questions(spark, sf))
     c = Q.score_candidates(p, B.artifacts(spark, sf), ["doc_id"])
-    return p, c, *Q.decide(c, p, "query")
-
-
-_SKILL = ORACLE["question_profile"].replace("SELECT query, q_tokens, codes, numbers,", "SELECT query, lower(question) AS lq, codes,").replace("FROM x", "FROM x", 1)
+    return p, c, *Q.decide(c, p, "query", contexts=B.contexts(spark, sf))
 
 
-@query(f"""WITH pr AS ({_SKILL}), f AS (SELECT *, len(codes) > 0 AS c, (is_numeric OR is_code_or_table) AND len(codes) = 0 AS n, regexp_matches(lq, '{"|".join(Q.VISUAL_WORDS)}') AS v, regexp_matches(lq, '{"|".join(Q.LOOKUP_WORDS)}') AS l FROM pr)
-SELECT query, list_filter([CASE WHEN c THEN 'exact_code_lookup' END, CASE WHEN n THEN 'table_numeric_lookup' END, CASE WHEN v THEN 'figure_caption_grounding' END, CASE WHEN l AND NOT c AND NOT n AND NOT v THEN 'key_value_lookup' END,
-  CASE WHEN NOT c AND NOT n AND NOT v AND NOT l THEN 'text_span_grounding' END], lambda x: x IS NOT NULL) AS skills FROM f""")
+@query(f"""WITH {_PROFILE}, f AS (SELECT *, len(codes) > 0 AS c, is_computation AND len(required_operands) > 0 AS k, regexp_matches(lq, '{"|".join(Q.VISUAL_WORDS)}') AS v, regexp_matches(lq, '{"|".join(Q.LOOKUP_WORDS)}') AS l FROM pr),
+g AS (SELECT *, (is_numeric OR is_code_or_table) AND NOT c AND NOT k AS n FROM f)
+SELECT query, list_filter([CASE WHEN c THEN 'exact_code_lookup' END, CASE WHEN k THEN 'numeric_computation' END, CASE WHEN n THEN 'table_numeric_lookup' END, CASE WHEN v THEN 'figure_caption_grounding' END,
+  CASE WHEN l AND NOT c AND NOT k AND NOT n AND NOT v THEN 'key_value_lookup' END, CASE WHEN NOT c AND NOT k AND NOT n AND NOT v AND NOT l THEN 'text_span_grounding' END], lambda x: x IS NOT NULL) AS skills FROM g""")
 def skill_activation(spark, sf):
     return Q.skills(Q.profile(B.questions(spark, sf))).select("query", "skills")
 

@@ -168,25 +168,81 @@ def _tok(x: str) -> str:
     return f"list_distinct(list_filter(list_transform(regexp_extract_all({x}, '[a-zA-Z][a-zA-Z0-9]+'), lambda w: lower(w)), lambda w: length(w) > 2 AND w NOT IN ({stop})))"
 
 
-@query(f"""WITH {B.ARTIFACTS}, pr AS ({D.ORACLE["question_profile"].replace("WITH ", "WITH ", 1)}), qd AS (SELECT item_id AS query, 'd' || item_id AS doc_id FROM benchmark),
-a AS (SELECT doc_id, page_index, artifact_id, artifact_type, content || ' ' || coalesce(value_text, '') || ' ' || coalesce(row_label, '') || ' ' || coalesce(column_label, '') AS said,
-  {_tok("content || ' ' || coalesce(value_text, '') || ' ' || coalesce(row_label, '') || ' ' || coalesce(column_label, '')")} AS atk, {_tok("coalesce(row_label, '') || ' ' || coalesce(column_label, '')")} AS kt FROM art),
-j AS (SELECT pr.*, a.*, len(list_intersect(q_tokens, atk)) AS ov, len(list_filter(codes, lambda c: regexp_matches(said, '(?i)(^|[^A-Za-z0-9])' || c || '([^A-Za-z0-9]|$)'))) AS nc,
-  len(list_filter(numbers, lambda n: contains(said, n))) AS nn, len(list_intersect(q_tokens, kt)) AS nk FROM pr JOIN qd USING (query) JOIN a USING (doc_id)),
-s AS (SELECT *, round(ov + CASE WHEN (is_numeric OR is_code_or_table) AND artifact_type IN ('numeric_fact', 'table_cell', 'table') THEN 3.0 ELSE 0 END + CASE WHEN artifact_type IN ('numeric_fact', 'table_cell') THEN 1.0 ELSE 0 END
-  + 5.0 * nc + 2.0 * nn + 1.5 * nk, 4) AS score FROM j),
-p AS (SELECT query, count(*) FILTER (nc > 0) AS with_code, count(*) FILTER (ov > 0 OR nk > 0) AS related FROM s GROUP BY query),
-d AS (SELECT query, coalesce(with_code, 0) AS with_code, coalesce(related, 0) AS related, CASE WHEN is_metadata THEN 'document_metadata_refusal_guard' WHEN len(codes) > 0 AND coalesce(with_code, 0) = 0 THEN 'exact_code_absence_guard'
-  WHEN len(codes) > 0 THEN 'exact_code_key_value_selection' WHEN coalesce(related, 0) > 0 THEN 'token_key_value_selection' ELSE 'no_relevant_artifact_guard' END AS decision FROM pr LEFT JOIN p USING (query)),
-c AS (SELECT s.*, row_number() OVER (PARTITION BY query ORDER BY score DESC, page_index, artifact_type, artifact_id) AS r FROM s JOIN d USING (query)
-  WHERE (decision = 'exact_code_key_value_selection' AND nc > 0) OR (decision = 'token_key_value_selection' AND (ov > 0 OR nk > 0))),
-g AS (SELECT query, count(*) AS n_selected, CAST(max(score) AS DOUBLE) AS best FROM c WHERE r <= 8 GROUP BY query)
-SELECT query, decision, with_code, related, n_selected, best FROM d LEFT JOIN g USING (query)""")
+def _covered(text: str) -> str:
+    """Operands of ``required_operands`` that a lower-case text covers."""
+    cases = " ".join(f"WHEN '{k}' THEN " + " OR ".join(f"contains({text}, '{w}')" for w in words) for k, words in Q.OPERANDS.items())
+    return f"list_sort(list_filter(required_operands, lambda o: CASE o {cases} ELSE contains({text}, o) END))"
+
+
+def _norm(x: str) -> str:
+    return f"lower(trim(regexp_replace({x}, '\\s+', ' ', 'g')))"
+
+
+def _missing(text: str) -> str:
+    """Dimensions none of whose aliases a plain text names."""
+    alias = f"replace({_norm('a')}, '-', ' ')"
+    named = f"contains({text}, {alias}) OR (len(string_split({alias}, ' ')) > 1 AND len(list_filter(string_split({alias}, ' '), lambda w: NOT contains({text}, w))) = 0)"
+    return f"list_transform(list_filter(dimensions, lambda d: len(list_filter(d.aliases, lambda a: {named})) = 0), lambda d: d.dimension)"
+
+
+_NUMBERS = "'[-+]?\\d+(?:\\.\\d+)?\\s*%?'"
+_SAID = "content || ' ' || coalesce(value_text, '') || ' ' || coalesce(row_label, '') || ' ' || coalesce(column_label, '')"
+_FIELDS = ", ".join(f"""CASE WHEN {c} <> '' THEN '"{c}": "' || {c} || '"' END""" for c in ("column_label", "row_label", "value_text"))
+_SUPPORT_SQL = f"""
+su0 AS (SELECT key, dimensions, numbers_needed, coalesce(n_selected, 0) AS n_selected, coalesce(n_citable, 0) AS n_citable, {_norm("coalesce(said, '')")} AS said, {_norm("coalesce(page_text, '')")} AS page
+  FROM asked LEFT JOIN (SELECT key, count(*) AS n_selected, count(*) FILTER (artifact_id <> '' AND page_index IS NOT NULL AND trim(content) <> '') AS n_citable, string_agg(ev, ' ' ORDER BY r) AS said FROM picked GROUP BY key) USING (key)),
+su1 AS (SELECT *, replace(said, '-', ' ') AS pa, replace(said || ' ' || page, '-', ' ') AS pv, list_distinct(regexp_extract_all(said, {_NUMBERS})) AS na, list_distinct(regexp_extract_all(page, {_NUMBERS})) AS np FROM su0),
+su2 AS (SELECT *, {_missing("pa")} AS artifact_missing, {_missing("pv")} AS visible_missing, len(na) AS n_numbers, len(list_distinct(list_concat(na, np))) AS n_visible FROM su1),
+su3 AS (SELECT *, n_selected > 0 AND n_citable = n_selected AND len(artifact_missing) = 0 AND n_numbers >= numbers_needed AS sufficient, len(visible_missing) = 0 AND n_visible >= numbers_needed AS visible_sufficient FROM su2),
+su4 AS (SELECT *, list_filter([CASE WHEN n_selected = 0 THEN 'no_selected_artifacts' END, CASE WHEN n_citable <> n_selected THEN 'selected_artifacts_not_all_citable' END,
+  CASE WHEN len(artifact_missing) > 0 THEN 'artifact_missing_dimensions:' || array_to_string(artifact_missing, ',') END,
+  CASE WHEN n_numbers < numbers_needed THEN 'artifact_numeric_values_below_required:' || n_numbers || '<' || numbers_needed END,
+  CASE WHEN NOT visible_sufficient AND len(visible_missing) > 0 THEN 'visible_context_missing_dimensions:' || array_to_string(visible_missing, ',') END], lambda x: x IS NOT NULL) AS many FROM su3),
+su AS (SELECT *, CASE WHEN len(many) > 0 THEN many ELSE ['none'] END AS failures FROM su4)"""
+_EVIDENCE = f"artifact_id || ' ' || artifact_type || ' ' || substr(trim(regexp_replace(content, '\\s+', ' ', 'g')), 1, {Q.PREVIEW}) || ' {{' || array_to_string(list_filter([{_FIELDS}], lambda x: x IS NOT NULL), ', ') || '}}'"
+_TAKES = "('exact_code_key_value_selection', 'operand_complete_selection', 'token_key_value_selection')"
+_GUARDED = f"""{B.ARTIFACTS}, {D._PROFILE}, {B.CONTEXTS},
+ga AS (SELECT doc_id, page_index, artifact_id, artifact_type, content, row_label, column_label, value_text, {_SAID} AS said, {_tok(_SAID)} AS atk, {_tok("coalesce(row_label, '') || ' ' || coalesce(column_label, '')")} AS kt, {_EVIDENCE} AS ev FROM art),
+gj AS (SELECT pr.*, ga.* EXCLUDE (doc_id), len(list_intersect(q_tokens, atk)) AS ov, len(list_filter(codes, lambda c: regexp_matches(said, '(?i)(^|[^A-Za-z0-9])' || c || '([^A-Za-z0-9]|$)'))) AS nc,
+  len(list_filter(numbers, lambda n: contains(said, n))) AS nn, len(list_intersect(q_tokens, kt)) AS nk, {_norm("said")} AS ns FROM pr JOIN ga USING (doc_id)),
+gs AS (SELECT *, round(ov + CASE WHEN (is_numeric OR is_code_or_table) AND artifact_type IN ('numeric_fact', 'table_cell', 'table') THEN 3.0 ELSE 0 END + CASE WHEN artifact_type IN ('numeric_fact', 'table_cell') THEN 1.0 ELSE 0 END
+  + 5.0 * nc + 2.0 * nn + 1.5 * nk, 4) AS score, {_covered("ns")} AS oh, ov > 0 OR nk > 0 AS rel,
+  CASE WHEN is_metadata THEN 'metadata' WHEN len(codes) > 0 THEN 'code' WHEN is_computation AND len(required_operands) > 0 THEN 'operands' ELSE 'tokens' END AS route FROM gj),
+gp AS (SELECT query, count(*) FILTER (nc > 0) AS with_code, count(*) FILTER (rel) AS related, count(*) FILTER (rel OR nc > 0 OR len(oh) > 0) AS positive FROM gs GROUP BY query),
+gb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, page_index, artifact_type, artifact_id) AS r FROM gs WHERE (route = 'code' AND nc > 0) OR route = 'operands' OR (route = 'tokens' AND rel)) WHERE r <= 8),
+asked AS (SELECT query AS key, dimensions, numbers_needed, page_text FROM pr LEFT JOIN cx USING (query)), picked AS (SELECT *, query AS key FROM gb), {_SUPPORT_SQL},
+gh AS (SELECT query, list_distinct(flatten(list(oh))) AS held FROM gb GROUP BY query),
+gd0 AS (SELECT pr.*, coalesce(with_code, 0) AS with_code, coalesce(related, 0) AS related, coalesce(positive, 0) AS positive, coalesce(held, []) AS held, sufficient, failures, coalesce(page_text, '') AS page_text,
+  CASE WHEN is_metadata THEN 'metadata' WHEN len(codes) > 0 THEN 'code' WHEN is_computation AND len(required_operands) > 0 THEN 'operands' ELSE 'tokens' END AS route
+  FROM pr LEFT JOIN gp USING (query) LEFT JOIN gh USING (query) LEFT JOIN su ON su.key = pr.query LEFT JOIN cx USING (query)),
+gd1 AS (SELECT *, list_sort(list_filter(required_operands, lambda o: NOT list_contains(held, o))) AS lacking, {_norm("page_text")} AS pn, {_covered(_norm("page_text"))} AS on_page FROM gd0),
+gd AS (SELECT *, CASE WHEN route = 'metadata' THEN 'document_metadata_refusal_guard' WHEN route = 'code' AND with_code = 0 THEN 'exact_code_absence_guard' WHEN route = 'code' THEN 'exact_code_key_value_selection'
+  WHEN route = 'operands' AND len(lacking) = 0 THEN 'operand_complete_selection' WHEN route = 'operands' AND len(on_page) = len(required_operands) THEN 'operand_page_evidence_route'
+  WHEN route = 'operands' THEN 'operand_completeness_guard' WHEN related = 0 THEN 'no_relevant_artifact_guard' WHEN NOT sufficient THEN 'artifact_dimension_support_guard' ELSE 'token_key_value_selection' END AS decision FROM gd1),
+gr AS (SELECT *, list_sort(list_distinct(CASE decision
+  WHEN 'document_metadata_refusal_guard' THEN list_concat(['document_metadata_lookup_uses_page_text_not_numeric_artifacts'], CASE WHEN contains(pn, 'produced') OR contains(pn, 'revised') THEN ['visible_page_metadata_present'] ELSE [] END,
+    list_transform(list_filter(numbers, lambda n: NOT contains(page_text, n)), lambda n: 'question_date_not_visible:' || n))
+  WHEN 'exact_code_absence_guard' THEN ['no_artifact_contains_exact_question_code', 'numeric_artifacts_rejected_without_exact_code_key'] WHEN 'exact_code_key_value_selection' THEN ['selected_only_exact_code_artifacts']
+  WHEN 'operand_complete_selection' THEN ['all_required_operands_covered']
+  WHEN 'operand_page_evidence_route' THEN ['artifact_operand_completeness_failed', 'visible_page_operands_complete', 'missing_artifact_operands:' || array_to_string(lacking, ','), 'page_covered_operands:' || array_to_string(on_page, ',')]
+  WHEN 'operand_completeness_guard' THEN ['operand_completeness_failed', 'missing_operands:' || array_to_string(lacking, ',')] WHEN 'no_relevant_artifact_guard' THEN ['no_question_overlapping_artifacts']
+  WHEN 'artifact_dimension_support_guard' THEN list_concat(['selected_artifacts_do_not_cover_question_dimensions'], failures) ELSE ['selected_question_overlapping_artifacts'] END)) AS reasons FROM gd)"""
+
+
+@query(f"""WITH {_GUARDED}, g AS (SELECT gb.query, count(*) AS n_selected, CAST(max(score) AS DOUBLE) AS best FROM gb JOIN gd USING (query) WHERE decision IN {_TAKES} GROUP BY gb.query)
+SELECT query, decision, reasons, with_code, related, positive, n_selected, best FROM gr LEFT JOIN g USING (query)""")
 def guarded_select(spark, sf):
+    """The decision on each question, by nine rules, with its reasons and what it selects."""
+    _, _, d, s = D._guarded(spark, sf)
+    return d.drop("policy").join(s.groupBy("query").agg(F.count("*").alias("n_selected"), F.max("selection_score").alias("best")), "query", "left")
+
+
+@query(f"""WITH {_GUARDED} SELECT key AS query, n_selected, n_citable, n_numbers, artifact_missing, visible_missing, sufficient, visible_sufficient, failures FROM su""")
+def evidence_support(spark, sf):
+    """Whether the best artifacts of each question, and its pages, name all that it asks for."""
     p = Q.profile(B.questions(spark, sf))
     c = Q.score_candidates(p, B.artifacts(spark, sf), ["doc_id"])
-    d, s = Q.decide(c, p, "query")
-    return d.join(s.groupBy("query").agg(F.count("*").alias("n_selected"), F.max("selection_score").alias("best")), "query", "left")
+    return Q.support(Q.preselected(c, p, "query"), p, "query", B.contexts(spark, sf))
 
 
 @query("""WITH t AS (SELECT * FROM (VALUES ('retrieval'), ('all')) a(scope), (VALUES (4), (8)) b(top_k), (VALUES ('lexical_only'), ('full_hybrid')) c(preset)) SELECT DISTINCT scope, top_k, preset FROM t WHERE NOT (scope = 'all' AND top_k = 8)""")
