@@ -1,6 +1,7 @@
 """All registered queries of the engine, by family."""
 
-from folioflow.plans import documents, reports, retrieval, selections
+from folioflow.plans import documents, records, reports, retrieval, selections
 
-QUERIES: dict = {**retrieval.QUERIES, **documents.QUERIES, **reports.QUERIES, **selections.QUERIES}
-ORACLE: dict[str, str] = {**retrieval.ORACLE, **documents.ORACLE, **reports.ORACLE, **selections.ORACLE}
+_FAMILIES = (retrieval, documents, reports, selections, records)
+QUERIES: dict = {k: v for m in _FAMILIES for k, v in m.QUERIES.items()}
+ORACLE: dict[str, str] = {k: v for m in _FAMILIES for k, v in m.ORACLE.items()}
