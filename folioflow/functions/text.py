@@ -6,12 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that retrieval ignores.
-STOPWORDS = "a an and are as at be by for from in is it of on or that the this to what which with".split()
+STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "what", "which", "with"]
 #: Words that question profiles ignore.
-QUESTION_STOPWORDS = (
-    "according document what which who where when this that with from into about using there their have been "
-    "were will shall the and for are was not can you its his her"
-).split()
+QUESTION_STOPWORDS = [
+    "according", "document", "what", "which", "who", "where", "when", "this", "that", "with", "from", "into", "about", "using", "there", "their",
+    "have", "been", "were", "will", "shall", "the", "and", "for", "are", "was", "not", "can", "you", "its", "his", "her",
+]
 
 
 def tokens(text: Column, stopwords=STOPWORDS) -> Column:
@@ -20,6 +20,11 @@ def tokens(text: Column, stopwords=STOPWORDS) -> Column:
     return F.filter(found, lambda t: ~t.isin(stopwords)) if stopwords else found
 
 
+def record_tokens(text: Column) -> Column:
+    """Lower-case runs of letters, digits and percent signs, stop words kept."""
+    return tokens(text, ())
+
+
 def question_tokens(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit("[a-zA-Z][a-zA-Z0-9]+"), F.lit(0))
     lowered = F.transform(found, F.lower)

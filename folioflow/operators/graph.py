@@ -163,3 +163,153 @@ def expand(seeds: DataFrame, neighbours: DataFrame) -> DataFrame:
     more = seeds.join(neighbours, "node").select("query", F.col("neighbour").alias("node"), F.struct(F.col("rank"), F.lit(1).alias("far"), F.col("neighbour").alias("name")).alias("at"))
     first = own.union(more).groupBy("query", "node").agg(F.min("at").alias("at"))
     return first.select("query", "node", F.row_number().over(Window.partitionBy("query").orderBy("at")).alias("position"))
+
+
+#: Kinds of nodes and edges.
+NODE_TYPES = ["artifact", "page", "source_anchor", "section", "figure", "caption", "table", "table_row", "table_column"]
+DEBUG = ["same_record_debug"]
+SEMANTIC = ["supports", "contradicts", "derived_from", "semantic_relation", "entails", "refutes", "answer_supports", "proof_supports", "cites"]
+#: Node-locator fields that a node takes over, and the fields of an edge's provenance.
+LOCATOR_FIELDS = ["table_id", "figure_id", "caption_id", "section_id", "row_index", "column_index"]
+
+
+def referable(artifacts: DataFrame) -> DataFrame:
+    """Artifacts that a graph can name: a document, a page from zero, an id. An anchor without a page of its own takes the artifact's."""
+    ok = (F.coalesce("doc_id", F.lit("")) != "") & (F.coalesce("page_index", F.lit(-1)) >= 0) & (F.coalesce("artifact_id", F.lit("")) != "")
+    out = artifacts.filter(ok)
+    if "anchor_page_index" in out.columns:
+        out = out.withColumn("anchor_page_index", F.coalesce("anchor_page_index", "page_index"))
+    return out
+
+
+def artifact_nodes(artifacts: DataFrame) -> DataFrame:
+    """(node_id, doc_id, page_id, page_index, artifact_id, artifact_type, modality, candidate_status, source_block_id, locator): the
+    artifact's node with its first anchor; ``locator`` is a map without the fields that are empty."""
+    a = identified(referable(artifacts))
+    filled = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, LOCATOR_FIELDS)), F.array(*LOCATOR_FIELDS)), lambda _, v: v.isNotNull() & (v != ""))
+    return a.select(
+        F.col("n_artifact").alias("node_id"), "doc_id", F.col("n_page").alias("page_id"), "page_index", "artifact_id", "artifact_type", "modality",
+        F.coalesce("status", F.lit("candidate")).alias("candidate_status"), F.col("source_id").alias("source_block_id"), filled.alias("locator"),
+    )
+
+
+def provenance(**given: Column) -> Column:
+    """An edge's provenance as JSON without its empty fields: document, page, block, and the locator fields; a given field goes before
+    the artifact's own, unless it is empty."""
+    own = {"doc_id": F.col("doc_id"), "page_id": F.col("n_page"), "page_index": F.col("page_index"), "source_block_id": F.col("source_id"), **{c: F.col(c) for c in LOCATOR_FIELDS}}
+    kept = lambda c: F.when(c.cast("string") != "", c)
+    return F.to_json(F.struct(*[F.coalesce(kept(given[k]), kept(v)).alias(k) if k in given else kept(v).alias(k) for k, v in own.items()]))
+
+
+def anchored_edges(artifacts: DataFrame) -> DataFrame:
+    """(edge_id, source, target, edge_type, rule_name, rule_version, deterministic, provenance) of artifacts' pages and anchors, in total order."""
+    a = identified(referable(artifacts))
+    rules = [("located_on_page", "n_artifact", "n_page", "artifact_page_locator"), ("supported_by_anchor", "n_artifact", "n_anchor", "artifact_source_anchor"), ("anchor_on_page", "n_anchor", "n_page", "source_anchor_page_locator")]
+    own = F.array(*[F.struct(F.lit(k).alias("edge_type"), F.col(s).alias("source"), F.col(t).alias("target"), F.lit(r).alias("rule_name")) for k, s, t, r in rules])
+    e = a.select(F.explode(own).alias("e"), "artifact_id", provenance().alias("provenance")).select("e.*", "artifact_id", "provenance")
+    # of an edge that several artifacts make, the last one's stays
+    last = e.groupBy("edge_type", "source", "target", "rule_name").agg(F.max_by("provenance", "artifact_id").alias("provenance"))
+    named = F.sha2(F.concat_ws("|", "edge_type", "source", "target"), 256)
+    out = last.select(F.left(named, F.lit(24)).alias("edge_id"), "source", "target", "edge_type", "rule_name", F.lit("v1").alias("rule_version"), F.lit(True).alias("deterministic"), "provenance")
+    return out
+
+
+def in_order(edges_: DataFrame) -> DataFrame:
+    """Edges in total order, for a sink."""
+    return edges_.orderBy("edge_type", "source", "target", *([c for c in ("edge_id",) if c in edges_.columns]))
+
+
+def debug_edges(retrieved: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """(query, source, target): pairs of artifacts that one question retrieved. ``retrieved``: (query, artifact_id), at most top k a question."""
+    a = identified(referable(artifacts)).select("artifact_id", F.col("n_artifact").alias("node"))
+    hits = retrieved.select("query", "artifact_id").distinct().join(a, "artifact_id").groupBy("query").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+    pair = F.flatten(F.transform("nodes", lambda x, i: F.transform(F.slice("nodes", i + 2, F.size("nodes")), lambda y: F.struct(x.alias("source"), y.alias("target")))))
+    return hits.select("query", F.explode(pair).alias("p")).select("query", "p.*")
+
+
+def skipped(artifacts: DataFrame) -> DataFrame:
+    """(reason, n): how often a layout rule found an artifact it might apply to, but not the ids it needs."""
+    a = artifacts
+    t, has = F.col("artifact_type"), lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    known = (F.coalesce("doc_id", F.lit("")) != "") & (F.coalesce("page_index", F.lit(-1)) >= 0) & (F.coalesce("artifact_id", F.lit("")) != "")
+    cell = (t == "table_cell") | (has("table_id") & (has("row_index") | has("column_index")))
+    rules = {
+        "artifact_missing_required_identity": ~known,
+        "artifact_missing_source_anchor": known & ~has("source_id"),
+        "section_contains_missing_section_id": known & (t == "section_header") & ~has("section_id"),
+        "caption_figure_missing_explicit_pair": known & (t.isin("figure", "caption") | has("figure_id") | has("caption_id")) & ~(has("figure_id") & has("caption_id")),
+        "table_contains_cell_missing_table_id": known & cell & ~has("table_id"),
+        "row_contains_cell_missing_row_index": known & cell & has("table_id") & ~has("row_index"),
+        "column_contains_cell_missing_column_index": known & cell & has("table_id") & ~has("column_index"),
+        "next_block_unparseable_source_block_id": known & has("source_id") & ~F.col("source_id").rlike(r"\d$"),
+    }
+    counts = a.agg(*[F.count_if(v).alias(k) for k, v in rules.items()])
+    pair = F.explode(F.array(*[F.struct(F.lit(k).alias("reason"), F.col(k).alias("n")) for k in rules]))
+    return counts.select(pair.alias("x")).select("x.*").filter("n > 0")
+
+
+def violations(nodes_: DataFrame, edges_: DataFrame, formal: list[str], required: list[str]) -> DataFrame:
+    """(violation, n): node and edge types beyond those allowed, required fields that are missing or null, edges that aren't deterministic."""
+    n = nodes_.filter(~F.col("node_type").isin(NODE_TYPES)).select(F.concat(F.lit("unexpected_node_type:"), "node_type").alias("violation"))
+    tests = [F.when(~F.col("edge_type").isin(formal), F.concat(F.lit("unexpected_edge_type:"), "edge_type"))]
+    tests += [F.when(F.col(c).isNull() if c in edges_.columns else F.lit(True), F.lit(f"missing_field:{c}")) for c in required]
+    if "deterministic" in edges_.columns:
+        tests.append(F.when(~F.col("deterministic"), F.lit("not_deterministic")))
+    e = edges_.select(F.explode(F.array_compact(F.array(*tests))).alias("violation"))
+    return n.unionByName(e).groupBy("violation").agg(F.count("*").alias("n"))
+
+
+def checked(nodes_: DataFrame, edges_: DataFrame, formal: list[str], required: list[str]) -> DataFrame:
+    """``edges_``; the job fails if :func:`violations` finds any."""
+    bad = violations(nodes_, edges_, formal, required).agg(F.array_sort(F.collect_list("violation")).alias("_bad"))  # one row, a few kinds
+    stop = F.when(F.size("_bad") > 0, F.raise_error(F.concat(F.lit("graph: "), F.array_join("_bad", ", ")))).otherwise(F.lit(True))
+    return edges_.crossJoin(F.broadcast(bad.select(stop.alias("_ok")))).filter("_ok").drop("_ok")
+
+
+def without_debug(edges_: DataFrame) -> DataFrame:
+    """Formal edges; the job fails if the table holds debug or semantic ones."""
+    wrong = F.col("edge_type").isin([*DEBUG, *SEMANTIC])
+    return edges_.withColumn("edge_type", F.when(wrong, F.raise_error(F.concat(F.lit("forbidden edge type: "), "edge_type"))).otherwise(F.col("edge_type")))
+
+
+def adjacency(edges_: DataFrame) -> DataFrame:
+    """(edge_type, node, neighbour, direction): each formal edge seen from its source (out) and its target (in)."""
+    e = without_debug(edges_).select("edge_type", "source", "target").distinct()
+    out = e.select("edge_type", F.col("source").alias("node"), F.col("target").alias("neighbour"), F.lit("out").alias("direction"))
+    return out.unionByName(e.select("edge_type", F.col("target").alias("node"), F.col("source").alias("neighbour"), F.lit("in").alias("direction")))
+
+
+def page_index_of(edges_: DataFrame, formal: list[str]) -> dict[str, DataFrame]:
+    """What re-ranking looks up in a graph: page_neighbours, artifact_pages, artifact_anchors, anchor_pages, structural_pages."""
+    e = edges_.filter(F.col("edge_type").isin(formal))
+    of = lambda kind, a, b: e.filter(F.col("edge_type") == kind).select(F.col("source").alias(a), F.col("target").alias(b)).distinct()
+    step = of("adjacent_page", "page", "neighbour")
+    ends = e.select(F.explode(F.array("source", "target")).alias("node")).filter(F.col("node").startswith("page:")).distinct()
+    return {
+        "page_neighbours": step.union(step.select("neighbour", "page")).distinct(),
+        "artifact_pages": of("located_on_page", "artifact", "page"),
+        "artifact_anchors": of("supported_by_anchor", "artifact", "anchor"),
+        "anchor_pages": of("anchor_on_page", "anchor", "page"),
+        "structural_pages": ends.select(F.split("node", ":")[1].alias("doc_id"), F.split("node", ":")[2].cast("int").alias("page_index")),
+    }
+
+
+def added_by_type(seeds: DataFrame, edges_: DataFrame, mode: str) -> DataFrame:
+    """(edge_type, added, n_queries, hits): each edge type that an expansion of a question used is credited with all that was added to the question.
+
+    ``seeds``: (query, node, rank). ``mode``: direct_structural, page_neighborhood or source_anchor_neighborhood.
+    """
+    near = {"direct_structural": direct_neighbours, "page_neighborhood": page_neighbours, "source_anchor_neighborhood": anchor_neighbours}[mode]
+    both = adjacency(edges_).select("edge_type", "node", "neighbour").distinct()
+    own = seeds.select("query", "node").distinct()
+    if mode == "direct_structural":
+        used = own.join(both.filter(F.col("edge_type").isin(EXPANSION) & F.col("neighbour").startswith("artifact:")), "node").select("query", "edge_type")
+    elif mode == "source_anchor_neighborhood":
+        used = own.join(both.filter("edge_type = 'supported_by_anchor'"), "node").select("query", "edge_type")
+    else:
+        on = own.join(both.filter("edge_type = 'located_on_page'"), "node").select("query", "edge_type", F.col("neighbour").alias("page"))
+        step = on.select("query", "page").join(both.filter("edge_type = 'adjacent_page'").withColumnRenamed("node", "page"), "page").select("query", "edge_type")
+        used = on.select("query", "edge_type").union(step)
+    grown = expand(seeds, near(edges_)).join(own, ["query", "node"], "left_anti").groupBy("query").agg(F.count("*").alias("added"))
+    j = used.distinct().join(grown, "query", "left").na.fill(0, ["added"])
+    return j.groupBy("edge_type").agg(F.sum("added").alias("added"), F.count("*").alias("n_queries"))

@@ -14,15 +14,20 @@ from folioflow.functions.text import STOPWORDS, compact, tokens
 from folioflow.operators import artifacts as A
 from folioflow.operators import pages as P
 from folioflow.operators import retrieval as R
+from folioflow.sources.readers import spread
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark, sf_dir) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def doc_pages(spark, sf_dir) -> DataFrame:
     n = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         n.alias("number"), F.concat(F.lit("d"), F.floor(n / 4).cast("string")).alias("doc_id"), F.pmod(n, F.lit(4)).cast("int").alias("page_index"), "text"
     )
 
@@ -40,7 +45,7 @@ def classified(spark, sf_dir) -> DataFrame:
 
 
 def items(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("pool"), F.col("doc_id").alias("item"), "text")
+    return documents(spark, sf_dir).select(F.col("source").alias("pool"), F.col("doc_id").alias("item"), "text")
 
 
 def asked(spark, sf_dir) -> DataFrame:

@@ -40,7 +40,7 @@ b AS (SELECT *, coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INT) AS line_index,
   CAST(off + length(raw) - length(ltrim(raw)) AS BIGINT) AS char_start, CAST(off + length(rtrim(raw)) AS BIGINT) AS char_end, line FROM b WHERE line <> ''""")
 def page_lines_offsets(spark, sf):
-    return P.lines(B.table(spark, sf, "documents"), ["doc_id"])
+    return P.lines(B.documents(spark, sf), ["doc_id"])
 
 
 @query(f"WITH {B.BLOCKS}, p AS (SELECT doc_id, max(page_index) + 1 AS n_pages, count(DISTINCT page_index) = max(page_index) + 1 AS contiguous FROM blocks GROUP BY doc_id) SELECT * FROM p")
@@ -231,12 +231,12 @@ _RULES_SQL = " UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) FILTER (regexp_
 
 @query(_RULES_SQL)
 def leak_audit(spark, sf):
-    return U.scan(B.table(spark, sf, "documents"), "text")
+    return U.scan(B.documents(spark, sf), "text")
 
 
 @query(" UNION ALL ".join(f"SELECT doc_id, '{k}' AS rule FROM documents WHERE regexp_matches(text, '{p}')" for k, p in U.RULES.items()))
 def secret_scan(spark, sf):
-    return U.violations(B.table(spark, sf, "documents"), ["doc_id"], "text")
+    return U.violations(B.documents(spark, sf), ["doc_id"], "text")
 
 
 @query()

@@ -1,7 +1,7 @@
 """All registered queries of the engine, by family."""
 
-from folioflow.plans import documents, records, reports, retrieval, selections
+from folioflow.plans import documents, graphs, records, reports, retrieval, selections
 
-_FAMILIES = (retrieval, documents, reports, selections, records)
+_FAMILIES = (retrieval, documents, reports, selections, records, graphs)
 QUERIES: dict = {k: v for m in _FAMILIES for k, v in m.QUERIES.items()}
 ORACLE: dict[str, str] = {k: v for m in _FAMILIES for k, v in m.ORACLE.items()}

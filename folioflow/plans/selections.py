@@ -66,7 +66,7 @@ n AS (SELECT *, max(CAST(regexp_matches(line, '\\d') AS INT)) OVER (PARTITION BY
 f AS (SELECT doc_id, line, min(line_index) AS line_index FROM n WHERE near = 1 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_index) AS k FROM f)
 SELECT doc_id, line_index, line FROM r WHERE k <= 18""".replace("\\\\", "\\")))
 def numeric_snippets(spark, sf):
-    return S.snippets(P.lines(B.table(spark, sf, "documents"), ["doc_id"]), ["doc_id"])
+    return S.snippets(P.lines(B.documents(spark, sf), ["doc_id"]), ["doc_id"])
 
 
 @query("""WITH t AS (SELECT DISTINCT source, doc_id // 20 % 7 + 1 AS u FROM documents WHERE doc_id % 3 = 0), n AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
