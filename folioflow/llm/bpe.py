@@ -28,9 +28,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import bounded_batches, kept
+from folioflow.llm.common import bounded_batches, kept, together, trim
 
 CACHE = 300_000
+#: Words that are merged together, and characters of texts that are cut into words together.
+WORDS_AT_ONCE = 16_000
+CHARS_AT_ONCE = 500_000
 #: Bytes of a word above which its places wait by rank.
 LONG = 256
 #: Code points with the property White_Space.
@@ -182,8 +185,10 @@ class ByteBpe:
         for t, i in self.special.items():  # a NUL never starts a word of several characters that an added token could equal
             known[f"\0{t}"] = np.array([i], dtype="<u4").tobytes()
         new = list({w for s in split for w in s if w not in known})
-        for word, ids in zip(new, self.merge([w.encode() for w in new]), strict=True):
-            known[word] = ids.astype("<u4").tobytes()
+        for i in range(0, len(new), WORDS_AT_ONCE):
+            some = new[i : i + WORDS_AT_ONCE]
+            for word, ids in zip(some, self.merge([w.encode() for w in some]), strict=True):
+                known[word] = ids.astype("<u4").tobytes()
         return [b"".join(map(known.__getitem__, s)) for s in split]
 
     def decode(self, ids: bytes) -> str:
@@ -206,7 +211,7 @@ def encode_and_decode(docs: DataFrame, spec_path: str, id_col: str = "doc_id", t
     def run(batches):
         bpe = codec(shipped.value)
         for b in batches:
-            ids = bpe.encode(b["text"].tolist())
+            ids = [x for some in together(b["text"].tolist(), CHARS_AT_ONCE) for x in bpe.encode(some)]
             out = {
                 "doc_id": b["doc_id"],
                 "n_tokens": [len(x) // 4 for x in ids],
@@ -216,5 +221,6 @@ def encode_and_decode(docs: DataFrame, spec_path: str, id_col: str = "doc_id", t
             if keep_ids:
                 out["ids"] = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in ids]
             yield pd.DataFrame(out)
+        trim()
 
     return rows.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)

@@ -95,6 +95,19 @@ def bounded_batches(spark: SparkSession, rows: int = 10_000, megabytes: int = 2)
         spark.conf.set(key, str(most))
 
 
+def together(texts: list[str], chars: int):
+    """Texts in lists of at most so many characters, a longer text by itself."""
+    group, size = [], 0
+    for t in texts:
+        if group and size + len(t) > chars:
+            yield group
+            group, size = [], 0
+        group.append(t)
+        size += len(t)
+    if group:
+        yield group
+
+
 _KEPT: list = [None, None]
 
 
@@ -110,16 +123,22 @@ def kept(key: tuple, build):
     return _KEPT[1]
 
 
-def free() -> None:
-    """Give up what this worker keeps, and return freed memory to the system where the C library can."""
+def trim() -> None:
+    """Return freed memory to the system where the C library can: at a task's end, as an idle worker stays."""
     import ctypes
+
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
+def free() -> None:
+    """Give up what this worker keeps."""
     import gc
 
     _KEPT[:] = None, None
     gc.collect()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    trim()
 
 
 def tokenizer_json(name: str) -> str:

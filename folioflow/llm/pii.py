@@ -30,9 +30,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import bounded_batches
+from folioflow.llm.common import bounded_batches, together, trim
 
 KINDS = ("email", "ip", "card", "phone")
+#: Characters of texts that the field looks at together.
+CHARS_AT_ONCE = 500_000
 
 # ---- base patterns -------------------------------------------------------------------------------
 
@@ -400,22 +402,10 @@ def all_spans(base: list[tuple[str, int, int]], more: list[tuple[str, int, int]]
     return sorted([*base, *extra], key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 
 
-def _groups(texts: list[str], chars: int = 2_000_000):
-    group, size = [], 0
-    for t in texts:
-        if group and size + len(t) > chars:
-            yield group
-            group, size = [], 0
-        group.append(t)
-        size += len(t)
-    if group:
-        yield group
-
-
 def find(model: dict[str, np.ndarray], texts: list[str]) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text."""
     out = []
-    for group in _groups(texts):
+    for group in together(texts, CHARS_AT_ONCE):
         for t, more in zip(group, field_spans(model, group), strict=True):
             base = base_spans(t)
             out.append((base, all_spans(base, [x for x in more if plausible(x[0], t[x[1] : x[2]])])))
@@ -467,6 +457,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
             out["spans"] = [spelled(spans) for _, spans in found]
             out["n_added"] = [len(spans) - len(base) for base, spans in found]
             yield pd.DataFrame(out)
+        trim()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
