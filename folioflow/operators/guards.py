@@ -347,6 +347,17 @@ def decide(candidates: DataFrame, profiles: DataFrame, key: str, most: int = 8,
     return d, best.join(d.filter(F.col("decision").isin(takes)).select(key, "decision"), key).drop("route")
 
 
+def preview(questions: DataFrame, artifacts: DataFrame, contexts: DataFrame, key: str, enabled: bool = False, text: str = "question") -> DataFrame:
+    """``questions`` with what guarded selection would give them: decision, reasons, selected ids, page text. Off unless enabled: then they come back as they are."""
+    if not enabled:
+        return questions
+    p = profile(questions, text)
+    d, s = decide(score_candidates(p, artifacts, ["doc_id"]), p, key, contexts=contexts)
+    ids = s.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("selection_rank", "artifact_id"))), lambda x: x["artifact_id"]).alias("selected"))
+    shown = contexts.select(key, "page_text")
+    return questions.join(d.select(key, "decision", "reasons", "policy"), key, "left").join(ids, key, "left").join(shown, key, "left").withColumn("page_text", F.coalesce("page_text", F.lit("")))
+
+
 def skills(profiles: DataFrame, text: str = "question") -> DataFrame:
     """Adds skills: the evidence skills that a question activates, in order, each once."""
     q = F.lower(text)

@@ -60,3 +60,10 @@ def outcome(before: Column, after: Column) -> Column:
     return (
         F.when(before & after, "kept_right").when(~before & ~after, "kept_wrong").when(after, "changed_to_right").otherwise("changed_to_wrong")
     )
+
+
+def runs(rows: DataFrame, key: list[str], position: str) -> DataFrame:
+    """(key, first, last, n) of each run of consecutive positions, which are distinct within a key."""
+    w = Window.partitionBy(*key).orderBy(position)
+    g = rows.withColumn("_g", F.col(position) - F.row_number().over(w))
+    return g.groupBy(*key, "_g").agg(F.min(position).alias("first"), F.max(position).alias("last"), F.count("*").alias("n")).drop("_g")
