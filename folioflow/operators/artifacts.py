@@ -79,6 +79,33 @@ def compile_blocks(blocks: DataFrame) -> DataFrame:
     )
 
 
+#: Types that a page's image, and its first text block, stand for, in order.
+IMAGE_TEMPLATES = ["visual_observation", "visual_region", "figure"]
+TEXT_TEMPLATES = ["text_span", "section_header", "caption", "numeric_fact", "table", "table_cell"]
+
+
+def page_templates(pages: DataFrame) -> DataFrame:
+    """Up to nine fixed artifacts a page: three for its image, six for its first text block. ``pages``: (doc_id, page_index, has_image, first_block)."""
+    one = lambda t, anchor, ok: F.when(ok, F.struct(F.lit(t).alias("artifact_type"), F.lit(anchor).alias("anchor_type")))
+    made = [one(t, "full_page_image", F.col("has_image")) for t in IMAGE_TEMPLATES] + [one(t, "text_block", F.col("first_block").isNotNull()) for t in TEXT_TEMPLATES]
+    rows = pages.select("doc_id", "page_index", "first_block", F.posexplode(F.array_compact(F.array(*made))).alias("at", "t"))
+    modality = F.element_at(F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv]), F.col("t.artifact_type"))
+    source = F.when(F.col("t.anchor_type") == "full_page_image", F.format_string("p%d_full_page", "page_index")).otherwise(F.format_string("p%d_text_000", "page_index"))
+    content = F.concat(F.lit("mock "), F.replace("t.artifact_type", F.lit("_"), F.lit(" ")), F.lit(" candidate anchored to "), source)
+    return rows.select("doc_id", "page_index", F.format_string("artifact_%04d", F.col("at") + 1).alias("artifact_id"), "t.artifact_type", modality.alias("modality"), "t.anchor_type", source.alias("source_id"), content.alias("content"))
+
+
+def compiled(artifacts: DataFrame, blocks: DataFrame, key: list[Column], order: list[Column]) -> DataFrame:
+    """A page's artifacts after all stages: copies removed, each classified, with its issues, and anchored where there are none.
+
+    A deterministic compiler gives the same on every attempt, so nothing is tried again: pages with issues keep them.
+    """
+    once = first_of_equal(artifacts, key, order).filter("copy_no = 1").drop("copy_no")
+    found = validation_issues(once, blocks).groupBy("artifact_id").agg(F.array_sort(F.collect_list("issue")).alias("issues"))
+    out = classify_locators(once).join(found, "artifact_id", "left").withColumn("issues", F.coalesce("issues", F.array().cast("array<string>")))
+    return out.withColumn("status", F.when(F.size("issues") == 0, "anchored").otherwise("discarded"))
+
+
 def locator_kinds() -> Column:
     """Kinds of the locators that an artifact's anchor and layout fields make."""
     t, full = F.col("artifact_type"), F.col("anchor_type") == "full_page_image"

@@ -131,6 +131,18 @@ def degree_prior(edges_: DataFrame, artifacts: DataFrame | None = None) -> DataF
     return deg.crossJoin(F.broadcast(top)).select("node_id", "degree", (F.col("degree") / F.col("top")).alias("prior"))  # one row
 
 
+def artifact_degree_prior(artifacts: DataFrame) -> DataFrame:
+    """(node_id, degree, prior) of the artifacts of a graph built by the rules above, without making an edge: an artifact has an edge to its page, its
+    anchor, its section, table, row and column, and one to each other artifact on its page and on its block. Ids are unique on a page."""
+    a = identified(artifacts)
+    own = [F.lit(2), F.col("section_id").isNotNull().cast("int"), _cell().cast("int"), (_cell() & F.col("row_index").isNotNull()).cast("int"), (_cell() & F.col("column_index").isNotNull()).cast("int")]
+    a = a.select(*ON_BLOCK, F.col("n_artifact").alias("node_id"), sum(own[1:], own[0]).alias("own"))
+    others = [F.count("*").over(Window.partitionBy(*keys)) - 1 for keys in (ON_PAGE, ON_BLOCK)]
+    deg = a.select("node_id", (F.col("own") + others[0] + others[1]).cast("long").alias("degree"))
+    top = deg.agg(F.max("degree").alias("top"))
+    return deg.crossJoin(F.broadcast(top)).select("node_id", "degree", (F.col("degree") / F.col("top")).alias("prior"))  # one row
+
+
 def direct_neighbours(edges_: DataFrame) -> DataFrame:
     """(node, neighbour): artifacts joined by one structural edge, in either direction."""
     e = edges_.filter(F.col("edge_type").isin(EXPANSION) & F.col("source").startswith("artifact:") & F.col("target").startswith("artifact:"))

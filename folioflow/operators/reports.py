@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import present
+from folioflow.functions.text import compact, present
 
 
 def rate(ok: Column, total: Column) -> Column:
@@ -108,3 +108,25 @@ def short_answer(question: Column, content: Column) -> Column:
     place = F.regexp_extract(content, r"(?i)\b(?:in|at) ((?:the )?[a-z]+)", 1)
     sentence = F.regexp_extract(content, r"(?s)^(.*?)(?:[.;!?]\s|$)", 1)
     return F.when(~present(content), F.lit(None)).when(F.lower(question).startswith("where") & (place != ""), place).otherwise(F.substring(F.trim(sentence), 1, 160))
+
+
+def cleaned(text: Column) -> Column:
+    """The first sentence of a compacted text, without marks at its end."""
+    first = F.regexp_extract(compact(F.coalesce(text, F.lit(""))), r"(?s)^(.*?)(?:[.;!?]\s|$)", 1)
+    return F.regexp_replace(F.trim(first), r"[.;]+$", "")
+
+
+#: Where a text says that something is.
+PLACES = [r"(?i)\bconceived\s+in\s+(?:the\s+)?([^.;\n]+)", r"(?i)\bwas\s+founded\s+in\s+(?:the\s+)?([^.;\n]+)", r"(?i)\bin\s+(?:the\s+)?([^.;\n]+)"]
+
+
+def direct_answer(question: Column, primary: Column, evidence: Column) -> Column:
+    """An answer taken from artifacts: the place for a where-question, the first artifact for a map or diagram that is there, for a short title,
+    and otherwise; empty for a long title."""
+    q, held = F.lower(question), F.lower(evidence)
+    place = F.coalesce(*[F.nullif(cleaned(F.regexp_extract(evidence, p, 1)), F.lit("")) for p in PLACES])
+    pictured = (q.contains("map") | q.contains("diagram")) & (held.contains("map") | held.contains("diagram"))
+    words = F.size(F.split(compact(primary), " "))
+    return (
+        F.when(q.contains("where") & place.isNotNull(), place).when(pictured, cleaned(primary)).when(q.contains("title"), F.when(words <= 12, cleaned(primary)).otherwise("")).otherwise(cleaned(primary))
+    )

@@ -29,12 +29,15 @@ def bm25(queries: DataFrame, items: DataFrame) -> DataFrame:
     """
     asked = queries.select("query", "pool", F.explode(tokens(F.col("text"))).alias("term"))
     asked = asked.groupBy("query", "pool", "term").agg(F.count("*").alias("qtf"))
-    held = items.select("pool", "item", tokens(F.col("text")).alias("terms")).withColumn("length", F.size("terms"))
-    stats = held.groupBy("pool").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
-    wanted = asked.select("pool", "term").distinct()
-    postings = held.select("pool", "item", "length", F.explode("terms").alias("term")).join(wanted, ["pool", "term"], "left_semi")
+    # each item has one more posting, of a term that no text holds: it counts the pool's items and their lengths
+    every = F.lit("")
+    held = items.select("pool", "item", tokens(F.coalesce("text", F.lit(""))).alias("terms")).withColumn("length", F.size("terms"))
+    wanted = asked.select("pool", "term").union(queries.select("pool", every)).distinct()
+    postings = held.select("pool", "item", "length", F.explode(F.concat(F.array(every), "terms")).alias("term")).join(wanted, ["pool", "term"], "left_semi")
     postings = postings.groupBy("pool", "term", "item", "length").agg(F.count("*").alias("tf"))
     df = postings.groupBy("pool", "term").agg(F.count("*").alias("df"))
+    counted = F.when(F.col("term") == every, F.col("length"))  # not a filter, so that all branches share one exchange of postings
+    stats = postings.groupBy("pool").agg(F.count(counted).alias("n"), F.avg(counted).alias("mean_length"))
     scored = asked.join(df, ["pool", "term"]).join(stats, "pool").join(postings, ["pool", "term"])
     term = scoring.bm25_term(*[F.col(c) for c in ("qtf", "tf", "df", "n", "length", "mean_length")])
     return scored.groupBy("query", "pool", "item").agg(F.sum(term).alias("score"))
@@ -58,6 +61,16 @@ def bm25_topk(queries: DataFrame, items: DataFrame, k: int = 5) -> DataFrame:
     return ranked(best, ["query"], [F.desc("score"), F.asc("item")], k)
 
 
+def filtered_topk(ranked_: DataFrame, allowed: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` items of each query's ranking among those allowed to it; queries without a list of their own keep all.
+
+    ``ranked_``: (query, item, score, rank), whole rankings; ``allowed``: (query, item).
+    """
+    listed = allowed.select("query").distinct().withColumn("_own", F.lit(True))
+    j = ranked_.join(listed, "query", "left").join(allowed.select("query", "item").distinct().withColumn("_in", F.lit(True)), ["query", "item"], "left")
+    return ranked(j.filter("_own IS NULL OR _in").drop("_own", "_in").withColumnRenamed("rank", "_r"), ["query"], [F.col("_r")], k).drop("_r")
+
+
 def max_sim(queries: DataFrame, pages: DataFrame, k: int) -> DataFrame:
     """Late interaction: sum over query vectors of the best dot product with a page's vectors; top ``k`` pages.
 

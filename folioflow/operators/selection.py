@@ -53,12 +53,15 @@ def fresh_ids(rows: DataFrame, taken: DataFrame, prefix: str, by: list[str], ord
     """
     number = F.regexp_extract("id", f"^{prefix}_(\\d+)$", 1).try_cast("int")
     used = taken.select(*by, number.alias("_u")).filter("_u IS NOT NULL").distinct()
-    # before the i-th taken number u (in order) lie u - i free numbers
-    free = used.withColumn("_free", F.col("_u") - F.row_number().over(Window.partitionBy(*by).orderBy("_u")))
-    held = free.groupBy(*by).agg(F.array_sort(F.collect_list("_free")).alias("_frees"))
-    n = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).join(held, by, "left")
-    skip = F.size(F.filter(F.coalesce("_frees", F.array().cast("array<int>")), lambda x: x < F.col("_n")))
-    return n.withColumn("new_id", F.format_string(f"{prefix}_%03d", F.col("_n") + skip)).drop("_n", "_frees")
+    # before the i-th taken number u (in order) lie u - i free numbers: the n-th free one comes after all taken numbers with fewer
+    w = Window.partitionBy(*by).orderBy("_u")
+    free = used.select(*by, (F.col("_u") - F.row_number().over(w)).alias("_at"), F.lit(1).alias("_taken"))
+    n = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    # rows and taken numbers in one order: a taken number with as many free ones before it comes after the row of that rank
+    both = n.withColumn("_taken", F.lit(0)).unionByName(free, allowMissingColumns=True)
+    before = F.sum("_taken").over(Window.partitionBy(*by).orderBy("_at", "_taken"))
+    out = both.withColumn("_skip", before).filter("_taken = 0")
+    return out.withColumn("new_id", F.format_string(f"{prefix}_%03d", F.col("_at") + F.col("_skip"))).drop("_at", "_skip", "_taken")
 
 
 def graph_pages(seeds: DataFrame, near: DataFrame, linked: DataFrame, structural: DataFrame, scores: DataFrame, k: int) -> DataFrame:

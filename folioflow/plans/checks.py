@@ -330,3 +330,60 @@ def consecutive_pages(spark, sf):
     """Runs of consecutive pages of each document."""
     p = B.doc_pages(spark, sf).filter("number % 5 <> 1").select("doc_id", "page_index")
     return J.runs(p, ["doc_id"], "page_index").select("doc_id", F.col("first").alias("first_page"), F.col("last").alias("last_page"), F.col("n").alias("n_pages"))
+
+
+@query(f"""WITH {B.POOLS}, al AS (SELECT query, item FROM q JOIN it USING (pool) WHERE query % 2 = 0 AND item % 3 = 0), f AS (SELECT ord.* FROM ord WHERE query % 2 = 1 OR (query, item) IN (SELECT (query, item) FROM al)),
+r AS (SELECT query, item, score, row_number() OVER (PARTITION BY query ORDER BY rank) AS k FROM f WHERE query % 2 = 1 OR query IN (SELECT query FROM al)) SELECT query, item, score, CAST(k AS INT) AS rank FROM r WHERE k <= 4""")
+def text_topk_filtered(spark, sf):
+    """The first four items of each ranking; even queries may only have items that three divides."""
+    from folioflow.operators import retrieval as R
+
+    asked, items = B.asked(spark, sf), B.items(spark, sf)
+    n = items.groupBy("pool").count().agg(F.max("count")).first()[0] or 1
+    whole = R.bm25_topk(asked, items, n)
+    allowed = asked.filter("query % 2 = 0").select("query", "pool").join(items.filter("item % 3 = 0").select("pool", "item"), "pool")
+    return R.filtered_topk(whole, allowed, 4)
+
+
+@query("""WITH p AS (SELECT doc_id AS n, 'd' || (doc_id // 4) AS doc_id, CAST(doc_id % 4 AS INT) AS page_index, doc_id % 3 <> 0 AS img, trim(coalesce(text, '')) <> '' AND doc_id % 5 <> 2 AS txt FROM documents),
+t AS (SELECT *, list_concat(CASE WHEN img THEN ['visual_observation', 'visual_region', 'figure'] ELSE [] END, CASE WHEN txt THEN ['text_span', 'section_header', 'caption', 'numeric_fact', 'table', 'table_cell'] ELSE [] END) AS l FROM p),
+u AS (SELECT doc_id, page_index, unnest(l) AS artifact_type, unnest(range(1, len(l) + 1)) AS place FROM t)
+SELECT doc_id, page_index, printf('artifact_%04d', place) AS artifact_id, artifact_type, CASE artifact_type WHEN 'numeric_fact' THEN 'numeric' WHEN 'table' THEN 'table' WHEN 'table_cell' THEN 'table' WHEN 'section_header' THEN 'layout' WHEN 'text_span' THEN 'text' WHEN 'caption' THEN 'text' ELSE 'image' END AS modality,
+  CASE WHEN artifact_type IN ('visual_observation', 'visual_region', 'figure') THEN 'full_page_image' ELSE 'text_block' END AS anchor_type, 'p' || page_index || CASE WHEN artifact_type IN ('visual_observation', 'visual_region', 'figure') THEN '_full_page' ELSE '_text_000' END AS source_id,
+  'mock ' || replace(artifact_type, '_', ' ') || ' candidate anchored to p' || page_index || CASE WHEN artifact_type IN ('visual_observation', 'visual_region', 'figure') THEN '_full_page' ELSE '_text_000' END AS content FROM u""")
+def page_template_artifacts(spark, sf):
+    """Fixed artifacts of pages with and without image and text."""
+    n = F.col("number")
+    block = F.when((F.trim(F.coalesce("text", F.lit(""))) != "") & (F.pmod(n, F.lit(5)) != 2), "b")
+    return A.page_templates(B.doc_pages(spark, sf).select("doc_id", "page_index", (F.pmod(n, F.lit(3)) != 0).alias("has_image"), block.alias("first_block")))
+
+
+@query(f"""WITH {B.CLASSIFIED}, d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_index, artifact_type, content ORDER BY artifact_id) AS k FROM cls), o AS (SELECT * FROM d WHERE k = 1),
+i AS (SELECT *, list_sort(list_filter([CASE WHEN number % 7 = 0 THEN 'anchor_source_not_in_layout' END, CASE WHEN number % 10 = 1 THEN 'unknown_status' END], lambda x: x IS NOT NULL)) AS issues FROM o)
+SELECT artifact_id, issues, CASE WHEN len(issues) = 0 THEN 'anchored' ELSE 'discarded' END AS status, locator_kind FROM i""")
+def compile_chain(spark, sf):
+    """Artifacts after all stages of a page's compilation; some have an odd status or an anchor that the layout lacks."""
+    a = B.artifacts(spark, sf)
+    a = a.withColumn("status", F.when(F.pmod("number", F.lit(10)) == 1, "odd").otherwise(F.col("status")))
+    blocks = a.filter("number % 7 <> 0").select("doc_id", "page_index", "source_id")
+    key = [F.col(c) for c in ("doc_id", "page_index", "artifact_type", "content")]
+    return A.compiled(a, blocks, key, [F.col("artifact_id")]).select("artifact_id", "issues", "status", "locator_kind")
+
+
+def _clean_sql(x: str) -> str:
+    return f"regexp_replace(trim(regexp_extract(trim(regexp_replace(coalesce({x}, ''), '\\s+', ' ', 'g')), '(?s)^(.*?)(?:[.;!?]\\s|$)', 1)), '[.;]+$', '')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, ['Where is it', 'Show the map', 'What is the title', 'What is it'][doc_id % 4 + 1] AS q, text AS t, CASE WHEN doc_id % 8 = 1 THEN 'A map. ' || text ELSE text END AS e FROM documents WHERE text IS NOT NULL),
+p AS (SELECT *, coalesce(nullif({_clean_sql("regexp_extract(e, '(?i)\\bconceived\\s+in\\s+(?:the\\s+)?([^.;\\n]+)', 1)")}, ''), nullif({_clean_sql("regexp_extract(e, '(?i)\\bwas\\s+founded\\s+in\\s+(?:the\\s+)?([^.;\\n]+)', 1)")}, ''),
+  nullif({_clean_sql("regexp_extract(e, '(?i)\\bin\\s+(?:the\\s+)?([^.;\\n]+)', 1)")}, '')) AS place FROM d)
+SELECT doc_id, CASE WHEN q = 'Where is it' AND place IS NOT NULL THEN place WHEN q = 'Show the map' AND regexp_matches(lower(e), 'map|diagram') THEN {_clean_sql("t")} WHEN q = 'What is the title' THEN
+  CASE WHEN len(string_split(trim(regexp_replace(t, '\\s+', ' ', 'g')), ' ')) <= 12 THEN {_clean_sql("t")} ELSE '' END ELSE {_clean_sql("t")} END AS answer FROM p""")
+def direct_answers(spark, sf):
+    """Answers by rule: places, maps, titles, first sentences."""
+    from folioflow.operators import reports
+
+    n, t = F.col("doc_id"), F.col("text")
+    q = F.element_at(F.array(*map(F.lit, ["Where is it", "Show the map", "What is the title", "What is it"])), (F.pmod(n, F.lit(4)) + 1).cast("int"))
+    e = F.when(F.pmod(n, F.lit(8)) == 1, F.concat(F.lit("A map. "), t)).otherwise(t)
+    return B.documents(spark, sf).filter("text IS NOT NULL").select("doc_id", reports.direct_answer(q, t, e).alias("answer"))

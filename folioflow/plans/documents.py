@@ -196,8 +196,7 @@ _DEGREE = "deg AS (SELECT node_id, count(*) AS degree FROM (SELECT source AS nod
 
 @query(f"WITH {_EDGES}, {_DEGREE} SELECT node_id, degree, round(degree / max(degree) OVER (), 8) AS prior FROM deg")
 def graph_degree_prior(spark, sf):
-    a = B.artifacts(spark, sf)
-    return G.degree_prior(G.edges(a, context=False), a).select("node_id", "degree", F.round("prior", 8).alias("prior"))
+    return G.artifact_degree_prior(B.artifacts(spark, sf)).select("node_id", "degree", F.round("prior", 8).alias("prior"))
 
 
 @query(f"""WITH {B.CLASSIFIED}, p AS (SELECT doc_id, page_index, bool_or(modality = 'text') AS t, bool_or(modality = 'image') AS v, bool_or(modality = 'numeric') AS n, bool_or(modality = 'table') AS tb,

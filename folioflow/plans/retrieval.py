@@ -71,7 +71,7 @@ def hybrid_topk(spark, sf):
     flags = [0.2 * F.col("source_anchored").cast("int"), 0.3 * F.col("element_locatable").cast("int"), 0.5 * F.col("proof_trace_eligible").cast("int")]
     node = T.node_id("artifact", F.col("doc_id"), F.col("page_index"), F.col("artifact_id"))
     c = c.select("doc_id", "artifact_id", node.alias("node_id"), meta.alias("meta"), kind.alias("kind"), (flags[0] + flags[1] + flags[2]).alias("locator_score"))
-    c = c.join(G.degree_prior(G.edges(held, context=False), held).select("node_id", "prior"), "node_id", "left")
+    c = c.join(G.artifact_degree_prior(held).select("node_id", "prior"), "node_id", "left")
     j = q.select("query", "doc_id", tokens(F.col("question")).alias("qt")).join(c, "doc_id")
     j = j.join(lexical.select("query", F.col("item").alias("artifact_id"), F.col("score").alias("lexical_score")), ["query", "artifact_id"], "left")
     j = j.withColumns(

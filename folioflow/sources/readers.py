@@ -29,6 +29,63 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.explode(wrapped[0]).alias("r")).select("r.*") if wrapped else df
 
 
+def read_sniffed(spark: SparkSession, path: str) -> DataFrame:
+    """Records of a file whose content tells its kind: one JSON list or object, or one object a line."""
+    head = spark.read.text(path, wholetext=True).select(F.regexp_extract("value", r"^\s*(.)", 1).alias("c"), F.col("value").rlike(r"(?s)^\s*\{.*\}\s*\n\s*\{").alias("lines")).first()
+    if head is None or head.c not in ("[", "{"):
+        raise ValueError(f"{path} holds no JSON records")
+    return spark.read.json(path) if head.lines else read_records(spark, path)
+
+
+def read_config(text: str) -> dict:
+    """Flat keys and maps one level deep of a small settings file: ``key: value`` lines, values as numbers, booleans or strings."""
+
+    def scalar(x: str):
+        if x.lower() in ("true", "false"):
+            return x.lower() == "true"
+        for kind in (int, float):
+            try:
+                return kind(x)
+            except ValueError:
+                continue
+        return None if x in ("", "null") else x.strip("\"'")
+
+    out: dict = {}
+    inside = out
+    for raw in text.splitlines():
+        line = raw.split("#", 1)[0].rstrip()
+        if not line:
+            continue
+        key, colon, value = line.partition(":")
+        if not colon:
+            raise ValueError(f"not a setting: {raw}")
+        if line[0] not in " \t":
+            inside = out
+            if not value.strip():
+                inside = out[key.strip()] = {}
+                continue
+        inside[key.strip()] = scalar(value.strip())
+    return out
+
+
+def read_graph(spark: SparkSession, folder: str, debug: bool = False) -> dict[str, DataFrame]:
+    """Nodes and edges of a folder; debug edges only on request, and empty where there are none."""
+    edge = "source string, target string, edge_type string"
+    out = {"nodes": read_jsonl(spark, f"{folder}/nodes.jsonl", "node_id string, node_type string, doc_id string, page_index int"), "edges": read_jsonl(spark, f"{folder}/edges.jsonl", edge)}
+    out["debug_edges"] = read_optional(spark, f"{folder}/debug_edges.jsonl", edge) if debug else spark.createDataFrame([], edge)
+    return out
+
+
+def passage_pages(passages: DataFrame) -> DataFrame:
+    """(index, passage_id, page_index) of an external text index: a page's number is the place at which its document id is first seen.
+
+    ``passages``: (index, passage_id, document).
+    """
+    first = passages.groupBy("index", "document").agg(F.min("passage_id").alias("_first"))
+    place = first.withColumn("page_index", F.row_number().over(Window.partitionBy("index").orderBy("_first")) - 1).drop("_first")
+    return passages.join(place, ["index", "document"]).select("index", "passage_id", "page_index")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
     """JSON lines of a known schema; other rows are dropped, or with ``strict`` fail the job."""
     return spark.read.schema(schema).json(path, mode="FAILFAST" if strict else "DROPMALFORMED")

@@ -4,10 +4,22 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def prepare_output(spark: SparkSession, folder: str, parts: list[str], files: list[str]) -> None:
+    """An output folder as a run needs it: known parts of earlier runs removed, known files there and empty; anything else stays."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.mkdirs(root)
+    for name in parts:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(root, name), True)
+    for name in files:
+        fs.create(jvm.org.apache.hadoop.fs.Path(root, name), True).close()
+
+
 def write_jsonl(df: DataFrame, path: str, order: list[str]) -> None:
     """Sorted rows, one object a line, keys sorted."""
     df.select(*sorted(df.columns)).orderBy(*order).write.option("ignoreNullFields", "false").json(path)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from folioflow.operators.tables import pending
@@ -26,3 +27,40 @@ def resume(records: DataFrame, sink: str, checkpoint: str, key: list[str], answe
         process(todo).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return records.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_with_snapshots(records: DataFrame, folder: str, key: list[str], answer: str, process: Callable[[DataFrame], DataFrame], save_every: int) -> DataFrame:
+    """Process what has no answer yet in groups of ``save_every`` records, and write after each group a snapshot of all answers so far.
+
+    A run that is broken off goes on from its last whole snapshot. Returns the last snapshot.
+    """
+    spark = records.sparkSession
+    done = last_snapshot(spark, folder)
+    n = 0 if done is None else snapshot_number(done)
+    while True:
+        todo = records if done is None else pending(records, done.drop("_snapshot"), key, answer)
+        group = todo.orderBy(*key).limit(save_every)
+        if group.isEmpty():
+            return records.sparkSession.createDataFrame([], process(records).schema) if done is None else done.drop("_snapshot")
+        new = process(group)
+        n += 1
+        whole = new if done is None else done.drop("_snapshot").join(group.select(*key), key, "left_anti").unionByName(new)
+        whole.write.mode("overwrite").parquet(f"{folder}/snapshot-{n:06d}")
+        done = last_snapshot(spark, folder)
+        if done.join(group.select(*key), key, "left_semi").filter(F.col(answer).isNotNull()).isEmpty():
+            return done.drop("_snapshot")  # nothing of the group could be answered: the next run tries again
+
+
+def last_snapshot(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The latest whole snapshot, with its number, or None."""
+    if not exists(spark, folder):
+        return None
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(root)
+    names = sorted(p.getPath().getName() for p in listed)
+    whole = [x for x in names if x.startswith("snapshot-") and exists(spark, f"{folder}/{x}/_SUCCESS")]
+    return spark.read.parquet(f"{folder}/{whole[-1]}").withColumn("_snapshot", F.lit(int(whole[-1][9:]))) if whole else None
+
+
+def snapshot_number(done: DataFrame) -> int:
+    return done.select("_snapshot").first()[0] if not done.isEmpty() else 0

@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 import random
 from collections import Counter
 
@@ -12,7 +13,7 @@ from folioflow.functions import scoring
 from folioflow.functions import text as T
 from folioflow.operators import audit, extract, graph, guards, metrics, pages, ranking, retrieval, tables
 from folioflow.sources import readers, sinks
-from folioflow.streaming.resume import resume
+from folioflow.streaming.resume import resume, run_with_snapshots
 
 
 def values(spark, expr, **cols):
@@ -232,6 +233,84 @@ def test_resume(spark, tmp_path):
     assert run() == [(1, "ok"), (2, "ok"), (3, None), (3, None), (4, "ok")]
 
 
+def test_snapshots(spark, tmp_path):
+    folder = f"{tmp_path}/snap"
+    records = spark.createDataFrame([(i,) for i in range(1, 8)], "id int")
+    answered = lambda df: df.withColumn("answer", F.when(F.col("id") != 5, F.lit("ok")))
+    out = run_with_snapshots(records, folder, ["id"], "answer", answered, 3)
+    assert sorted((r.id, r.answer) for r in out.collect()) == [(i, None if i == 5 else "ok") for i in range(1, 8)]
+    names = sorted(p.name for p in (tmp_path / "snap").iterdir() if p.name.startswith("snapshot-"))
+    assert names[0] == "snapshot-000001" and len(names) >= 3 and spark.read.parquet(f"{folder}/snapshot-000001").count() == 3
+    whole = run_with_snapshots(records, folder, ["id"], "answer", lambda df: df.withColumn("answer", F.lit("late")), 3)
+    assert {r.id: r.answer for r in whole.collect()}[5] == "late" and whole.count() == 7
+    assert run_with_snapshots(records.limit(0), f"{tmp_path}/none", ["id"], "answer", answered, 3).count() == 0
+
+
+def test_more_readers_and_sinks(spark, tmp_path):
+    for name, text in (("list.json", '[{"a": 1}, {"a": 2}]'), ("lines.json", '{"a": 1}\n{"a": 2}\n'), ("wrapped.json", '{"records": [{"a": 1}, {"a": 2}]}')):
+        (tmp_path / name).write_text(text)
+        assert sorted(r.a for r in readers.read_sniffed(spark, str(tmp_path / name)).collect()) == [1, 2], name
+    (tmp_path / "bad.json").write_text("plain")
+    with pytest.raises(ValueError):
+        readers.read_sniffed(spark, str(tmp_path / "bad.json"))
+    assert readers.read_config("top_k: 4 # few\nweights:\n  lexical: 1.5\n  graph: 0\nname: 'x'\non: true\n") == {"top_k": 4, "weights": {"lexical": 1.5, "graph": 0}, "name": "x", "on": True}
+    with pytest.raises(ValueError):
+        readers.read_config("no colon")
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g" / "nodes.jsonl").write_text('{"node_id": "n", "node_type": "page", "doc_id": "d", "page_index": 0}\n')
+    (tmp_path / "g" / "edges.jsonl").write_text('{"source": "a", "target": "b", "edge_type": "adjacent_page"}\n')
+    g = readers.read_graph(spark, str(tmp_path / "g"), debug=True)
+    assert (g["nodes"].count(), g["edges"].count(), g["debug_edges"].count()) == (1, 1, 0)
+    p = spark.createDataFrame([("i", 3, "b"), ("i", 1, "a"), ("i", 2, "a"), ("j", 1, "z")], "index string, passage_id int, document string")
+    assert {(r["index"], r.passage_id): r.page_index for r in readers.passage_pages(p).collect()} == {("i", 1): 0, ("i", 2): 0, ("i", 3): 1, ("j", 1): 0}
+    out = tmp_path / "out"
+    (out / "stores").mkdir(parents=True)
+    (out / "stores" / "old").write_text("x")
+    (out / "own.txt").write_text("kept")
+    sinks.prepare_output(spark, str(out), ["stores"], ["artifacts.jsonl"])
+    assert not (out / "stores").exists() and (out / "artifacts.jsonl").read_text() == "" and (out / "own.txt").read_text() == "kept"
+
+
+def test_privacy_at_any_depth(spark):
+    rows = [(1, "k", ("x", "t", ["see file:///a", "fine"]), [("a", "b")], {"api_key": "k", "ok": "v"})]
+    schema = "id int, secret string, inner struct<api_token:string, text:string, list:array<string>>, many array<struct<gold_answer:string, keep:string>>, m map<string,string>"
+    df = spark.createDataFrame(rows, schema)
+    assert audit.forbidden_fields(df.schema) == ["secret", "inner.api_token", "many[].gold_answer"]
+    with pytest.raises(ValueError):
+        audit.assert_public(df)
+    clean = audit.sanitised(df).first()
+    assert clean.asDict(recursive=True) == {"id": 1, "inner": {"text": "t", "list": [None, "fine"]}, "many": [{"keep": "b"}], "m": {"ok": "v"}}
+    assert audit.assert_public(audit.without_private(df)).first().inner.list == ["see file:///a", "fine"]
+    assert values(spark, audit.named_fields(F.col("t")), t='An answer: "gold_answer" and my_answer') == ["answer", "gold_answer"]
+
+
+def test_graph_checks(spark):
+    nodes = spark.createDataFrame([("n", "page"), ("m", "blob")], "node_id string, node_type string")
+    edges = spark.createDataFrame([("a", "b", "adjacent_page"), ("a", "c", "entails")], "source string, target string, edge_type string")
+    found = {r.violation: r.n for r in graph.violations(nodes, edges, graph.EXPANSION, ["source", "rule"]).collect()}
+    assert found == {"unexpected_node_type:blob": 1, "unexpected_edge_type:entails": 1, "missing_field:rule": 2}
+    with pytest.raises(Exception, match="unexpected"):
+        graph.checked(nodes, edges, graph.EXPANSION, ["source"]).collect()
+    with pytest.raises(Exception, match="forbidden edge type"):
+        graph.adjacency(edges).collect()
+    assert graph.checked(nodes.filter("node_type = 'page'"), edges.limit(1), graph.EXPANSION, ["source"]).count() == 1
+
+
+def test_every_edge_and_locator_kind_occurs(spark):
+    """The fixture that the graph's queries run on meets every rule."""
+    from folioflow.plans import bindings
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("needs the test tables")
+    a = bindings.artifacts(spark, sf)
+    made = {r.edge_type: r.n for r in graph.counts_by_type(graph.edges(a)).collect()}
+    assert set(made) == {*graph.EXPANSION, *graph.CONTEXT} and min(made.values()) > 0
+    assert made == {r.edge_type: r.n for r in graph.counts_by_type(graph.edges(a, context=False), a).collect()}
+    kinds = {r.locator_kind for r in bindings.classified(spark, sf).select("locator_kind").distinct().collect()}
+    assert {"table_cell", "figure_region", "caption_block", "section_block", "text_offset", "full_page_anchor"} <= kinds
+
+
 def test_capsules(spark):
     """Every question has one: with selected artifacts, with the best accepted candidates, with nothing."""
     asked = [(1, "Total for AR01?", "d"), (2, "Who revised this document?", "d"), (3, "code ZZ99 please", "d"), (4, "Anything else", "none")]
