@@ -289,5 +289,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that hold no item, with their own columns only."""
-    found = docs.withColumn("__hits", hits_column(items, F.col(text_col), **how))
-    return found.filter(F.size("__hits") == 0).drop("__hits")
+    name = "_hits"
+    while name in docs.columns:
+        name += "_"
+    found = docs.withColumn(name, hits_column(items, F.col(text_col), **how))
+    return found.filter(F.size(name) == 0).drop(name)

@@ -204,10 +204,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def row_key(id_col: str) -> list[Column]:
-    """What orders rows: their id, rows without one last; and their place, which names them."""
-    i = F.col(id_col).cast("long")
-    return [i.isNull().alias("no_id"), F.coalesce(i, F.lit(0)).alias("id"), F.col(in_place.FILE), F.col(in_place.ROW)]
+def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(no_id, id, _file, _row, text) of readable ``docs``: what orders rows is their id, rows without one last, and their place, which names them."""
+    rows = in_place.placed(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    return rows.select(F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("id"), in_place.FILE, in_place.ROW, "text")
 
 
 def keep_one(docs: DataFrame, rows: DataFrame, names: DataFrame) -> DataFrame:
@@ -224,8 +224,10 @@ def keep_one(docs: DataFrame, rows: DataFrame, names: DataFrame) -> DataFrame:
     gone = rows.select("node", in_place.FILE, in_place.ROW).join(first, "node").filter(f"NOT ({in_place.FILE} = first_file AND {in_place.ROW} = first_row)")
     folder = in_place.write_marks(gone.select(in_place.FILE, in_place.ROW, F.lit(1).cast("long").alias("mark")), "gone")
     release(first)
-    kept = in_place.placed(docs).withColumn("_gone", in_place.mark(folder)).filter("_gone IS NULL")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    # under names of its own, as the columns may have any
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    kept = in_place.placed(plain).withColumn("_gone", in_place.mark(folder)).filter("_gone IS NULL")
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,7 +240,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             fp = np.array([fingerprint(t) for t in b["text"]], dtype=np.uint64).view(np.int64)
             yield b.drop(columns="text").assign(node=fp)
 
-    rows = in_place.placed(docs).select(*row_key(id_col), F.col(text_col).alias("text"))
-    rows = materialize(rows.mapInPandas(run, "no_id boolean, id long, _file string, _row long, node long"), "rows")
+    rows = materialize(keyed_rows(docs, id_col, text_col).mapInPandas(run, "no_id boolean, id long, _file string, _row long, node long"), "rows")
     nodes = materialize(rows.select("node").distinct(), "nodes")
     return keep_one(docs, rows, components(links(nodes.select(F.col("node").alias("fp"), "node"))))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from folioflow.llm import in_place
 from folioflow.llm.common import bounded_batches, free, materialize, partitions
 from folioflow.llm.components import components
-from folioflow.llm.simhash import keep_one, row_key
+from folioflow.llm.simhash import keep_one, keyed_rows
 
 SHINGLE = 5
 BANDS = 32
@@ -188,9 +188,9 @@ def _linker(batches):
 def _links_of(docs: DataFrame, tied: DataFrame, text_col: str) -> DataFrame:
     """Links among the nodes of each ``key`` of ``tied`` (key, _file, _row); a row may stand under many keys."""
     n = partitions(docs.sparkSession)
-    text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    text = F.coalesce("text", F.lit("")).alias("text")
     folder = in_place.write_marks(tied.select(in_place.FILE, in_place.ROW, F.col("key").alias("mark")), "tied")
-    texts = in_place.placed(docs).select(text, in_place.mark(folder).alias("key")).filter("key IS NOT NULL")
+    texts = in_place.placed(docs.select(F.col(text_col).alias("text"))).select(text, in_place.mark(folder).alias("key")).filter("key IS NOT NULL")
     return texts.repartition(n, "key").sortWithinPartitions("key").mapInPandas(_linker, "a long, b long")
 
 
@@ -199,7 +199,7 @@ def _links_of_large(docs: DataFrame, tied: DataFrame, text_col: str) -> DataFram
     n = partitions(docs.sparkSession)
     groups = materialize(tied.select("component", "chunks").distinct(), "large")
     folder = in_place.write_marks(tied.select(in_place.FILE, in_place.ROW, F.col("component").alias("mark")), "tied")
-    texts = in_place.placed(docs).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), in_place.mark(folder).alias("component")).filter("component IS NOT NULL")
+    texts = in_place.placed(docs.select(F.col(text_col).alias("text"))).select(F.coalesce("text", F.lit("")).alias("text"), in_place.mark(folder).alias("component")).filter("component IS NOT NULL")
     dealt = texts.withColumn("hash", F.xxhash64("text")).join(groups, "component").withColumn("own", F.pmod("hash", "chunks"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select("text", F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
@@ -224,8 +224,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row of each group of linked ``docs``: that with the least id, rows without one last."""
     bounded_batches(docs.sparkSession)
     docs = in_place.readable(docs)
-    rows = in_place.placed(docs).select(*row_key(id_col), F.col(text_col).alias("text"))
-    signed = rows.mapInPandas(_signed, "no_id boolean, id long, _file string, _row long, node long, n long, keys array<long>")
+    signed = keyed_rows(docs, id_col, text_col).mapInPandas(_signed, "no_id boolean, id long, _file string, _row long, node long, n long, keys array<long>")
     signed = materialize(signed, "signed")
     some = F.min(F.struct(in_place.FILE, in_place.ROW)).alias("some")
     nodes = signed.groupBy("node").agg(F.max("n").alias("n"), F.first("keys").alias("keys"), some).select("node", "n", "keys", "some.*")

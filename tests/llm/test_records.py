@@ -11,8 +11,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql.functions import xxhash64 as spark_hash
 
-from folioflow.llm import common, pii, quality, shards, url_filter, warc
+from folioflow.llm import common, in_place, pii, quality, shards, url_filter, warc
 
 # ---- op4
 
@@ -37,6 +38,52 @@ def test_warc(spark, tmp_path):
     assert raw.count(b"WARC/1.1\r\n") == len(PAGES) and raw.count(b"WARC-Refers-To: <urn:page:2>") == 2
 
 
+def test_warc_rolls_over(spark, tmp_path, monkeypatch):
+    """Very long payloads, more than one archive holds: each task goes on with its next file."""
+    monkeypatch.setattr(warc, "ROLL", 1000)
+    rng = random.Random(20)
+    body = lambda n: "".join(chr(rng.randint(32, 0x2FF)) for _ in range(n))
+    pages = [(i, "u", body(2_000_000 if i == 3 else 3000)) for i in range(12)] + [(20, "u", "last")]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    made = warc.write_archives(frame, f"file://{tmp_path}/w").collect()
+    assert len(made) > 5 and sum(r.records for r in made) == 13
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.stored_bytes) for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()}
+    for i, _, h in pages:
+        b = h.encode()
+        assert got[i] == (len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), len(b))
+
+
+def test_marks_lie_where_their_rows_do(spark, tmp_path):
+    """Marks of rows over several files; a frame that isn't read from files is written first; of two marks the least counts."""
+    spark.range(100).selectExpr("id", "id * 2 AS other").repartition(3).write.parquet(f"{tmp_path}/t")
+    for df in (spark.read.parquet(f"{tmp_path}/t"), spark.range(100).selectExpr("id", "id * 2 AS other")):
+        df = in_place.readable(df)
+        marks = in_place.placed(df).filter("id % 3 = 0").selectExpr("_file", "_row", "id + 1000 AS mark")
+        folder = in_place.write_marks(marks.union(marks.selectExpr("_file", "_row", "mark + 5")), "marks")
+        rows = in_place.placed(df).withColumn("mark", in_place.mark(folder)).collect()
+        assert len(rows) == 100 and all(r.mark == (r.id + 1000 if r.id % 3 == 0 else None) for r in rows)
+        none = in_place.write_marks(marks.limit(0), "marks")
+        assert in_place.placed(df).withColumn("mark", in_place.mark(none)).filter("mark IS NOT NULL").count() == 0
+
+
+def test_marks_of_several_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(in_place, "BLOCK", 7)
+    spark.range(60).repartition(2).write.parquet(f"{tmp_path}/t")
+    df = in_place.placed(spark.read.parquet(f"{tmp_path}/t"))
+    folder = in_place.write_marks(df.filter("id % 4 = 0").selectExpr("_file", "_row", "id AS mark"), "marks")
+    rows = df.orderBy(spark_hash("id")).toPandas()  # in any order of files and places
+    found, value = in_place.Marks(folder).look_up(rows["_file"], rows["_row"])
+    assert (found == (rows["id"] % 4 == 0)).all() and (value[found] == rows["id"][found]).all()
+
+
+def test_written_copies_go(spark):
+    df = common.materialize(spark.range(5), "gone")
+    path = df._folioflow_path
+    assert spark.read.parquet(path).count() == 5
+    common.release(df)
+    assert not spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path))
+
+
 def test_warc_small_payloads_and_no_pages(spark):
     frame = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     assert {r.record_type for r in warc.archive(frame, min_bytes=5).filter("payload_bytes = 4").collect()} == {"response"}
@@ -327,6 +374,8 @@ def test_shards(spark):
     assert max(counts) - min(counts) <= 1
     for s in range(24):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(counts[s]))
+    long = spark.createDataFrame([(1, "é" * 2_000_000), (1, "é" * 2_000_000)], "doc_id long, text string")
+    assert [(r.size, r.text_crc32) for r in shards.shard(long).collect()] == [(4_000_008, zlib.crc32(("é" * 2_000_000).encode()))] * 2
     assert shards.shard(frame.limit(0)).count() == 0
 
 
