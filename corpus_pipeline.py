@@ -3,8 +3,8 @@
 Every stage takes what the one before kept, as (spark, docs, sf_dir), and returns a DataFrame that is written as
 Parquet and read again for the next. All but the last return the columns of ``documents``.
 
-Defined results: a null text fails the quality rules; repeated rows are near-duplicates of each other; an empty table
-passes through all stages.
+Defined results: a null text fails the quality rules; repeated rows are near-duplicates of each other; rows without an
+id, or with a shared one, are rows like others; columns may have any names; an empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import bpe, decontaminate, pii, quality, simhash_similar
-from folioflow.llm.common import materialize, release, table, tokenizer_json
+from folioflow.llm.common import materialize, release, spread, table, tokenizer_json
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the rules reject."""
-    return quality.keep_good(docs)
+    return quality.keep_good(spread(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ STAGES = [
     ("BPE encoding and decoding", tokens),
 ]
 
-#: SQL has no CRF and no BPE; tests hold the stages against brute force.
+#: SQL has no CRF and no BPE; tests hold all stages against brute force.
 ORACLE_SQL = None
 
 
