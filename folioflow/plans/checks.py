@@ -387,3 +387,47 @@ def direct_answers(spark, sf):
     q = F.element_at(F.array(*map(F.lit, ["Where is it", "Show the map", "What is the title", "What is it"])), (F.pmod(n, F.lit(4)) + 1).cast("int"))
     e = F.when(F.pmod(n, F.lit(8)) == 1, F.concat(F.lit("A map. "), t)).otherwise(t)
     return B.documents(spark, sf).filter("text IS NOT NULL").select("doc_id", reports.direct_answer(q, t, e).alias("answer"))
+
+
+def _types(names) -> str:
+    return "[" + ", ".join(f"'{t}'" for t in names) + "]"
+
+
+def _by_skill(skill: str, values: dict[str, str]) -> str:
+    return f"CASE {skill} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " END"
+
+
+_ACCEPTED = {k: _types(types) for k, (types, _) in Q.SKILLS.items()}
+_UNIT = """array_to_string(list_filter(['- id=' || artifact_id, 'page=' || page_index, 'type=' || artifact_type, CASE WHEN len(ch) > 0 THEN 'codes=' || array_to_string(ch, ',') END, CASE WHEN len(oh) > 0 THEN 'operands=' || array_to_string(oh, ',') END,
+  CASE WHEN coalesce(row_label, '') || coalesce(column_label, '') || coalesce(value_text, '') <> '' THEN 'fields=' || array_to_string(list_filter([CASE WHEN row_label <> '' THEN 'row_label=' || row_label END, CASE WHEN column_label <> '' THEN 'column_label=' || column_label END,
+    CASE WHEN value_text <> '' THEN 'value_text=' || value_text END], lambda x: x IS NOT NULL), ';') END, CASE WHEN cc <> '' THEN 'text=' || CASE WHEN length(cc) > 180 THEN rtrim(substr(cc, 1, 177)) || '...' ELSE cc END END], lambda x: x IS NOT NULL), ' | ')"""
+_CAPSULES = f"""{P._GUARDED}, sk AS ({D.ORACLE["skill_activation"]}), cg AS (SELECT *, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS cc FROM gs), cu AS (SELECT *, {_UNIT} AS line FROM cg),
+cs AS (SELECT cu.*, gb.r FROM cu JOIN gb ON gb.query = cu.query AND gb.artifact_id = cu.artifact_id JOIN gr ON gr.query = cu.query WHERE decision IN {P._TAKES}),
+ac AS (SELECT query, skills, list_distinct(flatten(list_transform(skills, lambda s: {_by_skill("s", _ACCEPTED)}))) AS accepted FROM sk),
+rs AS (SELECT * FROM (SELECT cu.*, row_number() OVER (PARTITION BY cu.query ORDER BY score DESC, page_index, artifact_id) AS r FROM cu JOIN ac USING (query) WHERE list_contains(accepted, artifact_type) AND cu.query NOT IN (SELECT query FROM cs)) WHERE r <= 4),
+un AS (SELECT query, list(line ORDER BY r, line) AS units FROM (SELECT query, line, r FROM cs WHERE r <= 4 UNION ALL SELECT query, line, r FROM rs) GROUP BY query),
+mt AS (SELECT query, list(artifact_type) AS made FROM cu GROUP BY query), tt AS (SELECT query, list(artifact_type) AS taken, list_distinct(flatten(list(ch) FILTER (artifact_type IN ({_types(Q.SKILLS["exact_code_lookup"][0])[1:-1]})))) AS fc,
+  list_distinct(flatten(list(oh) FILTER (artifact_type IN ({_types(Q.SKILLS["numeric_computation"][0])[1:-1]})))) AS fo FROM cs GROUP BY query),
+cj AS (SELECT gr.query, decision, codes, required_operands, skills, coalesce(made, []) AS made, coalesce(taken, []) AS taken, coalesce(fc, []) AS fc, coalesce(fo, []) AS fo, units FROM gr JOIN ac USING (query) LEFT JOIN mt USING (query) LEFT JOIN tt USING (query) LEFT JOIN un USING (query)),
+cm AS (SELECT *, list_sort(list_distinct(list_concat(CASE WHEN list_contains(skills, 'exact_code_lookup') THEN list_transform(list_filter(codes, lambda c: NOT list_contains(fc, c)), lambda c: 'exact_code:' || c) ELSE [] END,
+  CASE WHEN list_contains(skills, 'numeric_computation') AND decision <> 'operand_page_evidence_route' THEN list_transform(list_filter(required_operands, lambda o: NOT list_contains(fo, o)), lambda o: 'operand:' || o) ELSE [] END,
+  CASE WHEN decision IN ('artifact_dimension_support_guard', 'no_relevant_artifact_guard') AND len(list_filter(skills, lambda s: len(list_intersect(taken, {_by_skill("s", _ACCEPTED)})) = 0)) > 0 THEN ['selected_supporting_artifact'] ELSE [] END))) AS missing FROM cj),
+ct AS (SELECT *, list_transform(skills, lambda s: 'Trace: skill=' || s || '; candidates=' || len(list_filter(made, lambda t: list_contains({_by_skill("s", _ACCEPTED)}, t))) || '; selected=' || len(list_filter(taken, lambda t: list_contains({_by_skill("s", _ACCEPTED)}, t)))
+  || '; guard=' || {_by_skill("s", {k: f"'{g}'" for k, (_, g) in Q.SKILLS.items()})}) AS traces FROM cm),
+cap AS (SELECT query, array_to_string(list_concat(['[Evidence Capsule]', 'Skills: ' || array_to_string(skills, ', '), 'Guard: ' || decision || '; policy: ' || {_by_skill("decision", {k: f"'{v}'" for k, v in Q.POLICIES.items()})}],
+  CASE WHEN units IS NULL THEN ['Evidence: none selected'] ELSE list_concat(['Evidence:'], units) END, CASE WHEN len(missing) > 0 THEN ['Missing: ' || array_to_string(missing, ', ')] ELSE [] END, traces), chr(10)) || chr(10) AS capsule, len(taken) > 0 AS own FROM ct)"""
+_ESTIMATE = r"len(regexp_extract_all({}, '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+|[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}\s\p{{Z}}]'))"
+
+
+@query(f"""WITH {_CAPSULES}, rw AS (SELECT 'd' || (doc_id // 4) AS doc_id, CAST(sum({_ESTIMATE.format("text")}) AS BIGINT) AS raw_tokens FROM documents GROUP BY 1)
+SELECT cap.query, sha256(capsule) AS capsule_hash, {_ESTIMATE.format("capsule")} AS capsule_tokens, CASE WHEN own THEN 'selected_artifacts' ELSE 'top_accepted_candidates' END AS unit_source, raw_tokens,
+  round(CASE WHEN raw_tokens <= 0 THEN CASE WHEN {_ESTIMATE.format("capsule")} > 0 THEN 1.0 ELSE 0.0 END ELSE {_ESTIMATE.format("capsule")} / raw_tokens END, 6) AS token_ratio FROM cap JOIN qs USING (query) LEFT JOIN rw USING (doc_id)""")
+def capsule_tokens(spark, sf):
+    """The capsule of each question, and its size beside that of its document's pages."""
+    from folioflow.functions.scoring import ratio
+
+    p, c, d, s = D._guarded(spark, sf)
+    raw = B.doc_pages(spark, sf).groupBy("doc_id").agg(F.sum(T.token_estimate(F.col("text"))).alias("raw_tokens"))
+    out = Q.capsules(p, c, d, s, "query").join(B.questions(spark, sf).select("query", "doc_id"), "query").join(raw, "doc_id", "left")
+    share = F.round(ratio(F.col("capsule_tokens"), F.col("raw_tokens")), 6)
+    return out.select("query", F.sha2("capsule", 256).alias("capsule_hash"), "capsule_tokens", "unit_source", "raw_tokens", share.alias("token_ratio"))

@@ -238,7 +238,12 @@ def secret_scan(spark, sf):
     return U.violations(B.documents(spark, sf), ["doc_id"], "text")
 
 
-@query()
+_ROW = """'{"doc_id":' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ',"lang":' || coalesce(CAST(to_json(lang) AS VARCHAR), 'null') || ',"n_chars":' || coalesce(CAST(n_chars AS VARCHAR), 'null')
+  || ',"source":' || coalesce(CAST(to_json(source) AS VARCHAR), 'null') || ',"text":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || '}'"""
+
+
+@query(f"""WITH h AS (SELECT sha256({_ROW}) AS h FROM documents), s AS (SELECT count(*) AS n, sum(CAST('0x' || substr(h, 1, 12) AS HUGEINT)) AS a, sum(CAST('0x' || substr(h, 13, 12) AS HUGEINT)) AS b FROM h)
+SELECT n AS n_rows, sha256(n || ':' || a || ':' || b) AS digest FROM s""")
 def content_hash(spark, sf):
     """Order-free hash of the documents, for reproducibility checks."""
     return U.content_hash(B.table(spark, sf, "documents"))
@@ -323,18 +328,6 @@ def skill_activation(spark, sf):
     return Q.skills(Q.profile(B.questions(spark, sf))).select("query", "skills")
 
 
-@query()
-def capsule_tokens(spark, sf):
-    p = Q.profile(B.questions(spark, sf))
-    c = Q.score_candidates(p, B.artifacts(spark, sf), ["doc_id"]).persist()  # asked documents only; read five times
-    d, s = Q.decide(c, p, "query")
-    raw = B.doc_pages(spark, sf).groupBy("doc_id").agg(F.sum(T.token_estimate(F.col("text"))).alias("raw_tokens"))
-    out = Q.capsules(p, c, d, s, "query").join(B.questions(spark, sf).select("query", "doc_id"), "query").join(raw, "doc_id", "left")
-    from folioflow.functions.scoring import ratio
-
-    return out.select("query", "capsule_tokens", "raw_tokens", F.round(ratio(F.col("capsule_tokens"), F.col("raw_tokens")), 6).alias("token_ratio"))
-
-
 @query("SELECT source, count(*) AS n, round(avg(n_chars), 6) AS mean, round(median(n_chars), 6) AS median, round(min(CAST(n_chars AS DOUBLE)), 6) AS low, round(max(CAST(n_chars AS DOUBLE)), 6) AS high FROM documents GROUP BY source")
 def number_stats(spark, sf):
     return M.number_stats(B.table(spark, sf, "documents"), ["source"], "n_chars")

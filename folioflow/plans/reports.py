@@ -203,7 +203,7 @@ _EVIDENCE = f"artifact_id || ' ' || artifact_type || ' ' || substr(trim(regexp_r
 _TAKES = "('exact_code_key_value_selection', 'operand_complete_selection', 'token_key_value_selection')"
 _GUARDED = f"""{B.ARTIFACTS}, {D._PROFILE}, {B.CONTEXTS},
 ga AS (SELECT doc_id, page_index, artifact_id, artifact_type, content, row_label, column_label, value_text, {_SAID} AS said, {_tok(_SAID)} AS atk, {_tok("coalesce(row_label, '') || ' ' || coalesce(column_label, '')")} AS kt, {_EVIDENCE} AS ev FROM art),
-gj AS (SELECT pr.*, ga.* EXCLUDE (doc_id), len(list_intersect(q_tokens, atk)) AS ov, len(list_filter(codes, lambda c: regexp_matches(said, '(?i)(^|[^A-Za-z0-9])' || c || '([^A-Za-z0-9]|$)'))) AS nc,
+gj AS (SELECT pr.*, ga.* EXCLUDE (doc_id), len(list_intersect(q_tokens, atk)) AS ov, list_filter(codes, lambda c: regexp_matches(said, '(?i)(^|[^A-Za-z0-9])' || c || '([^A-Za-z0-9]|$)')) AS ch, len(ch) AS nc,
   len(list_filter(numbers, lambda n: contains(said, n))) AS nn, len(list_intersect(q_tokens, kt)) AS nk, {_norm("said")} AS ns FROM pr JOIN ga USING (doc_id)),
 gs AS (SELECT *, round(ov + CASE WHEN (is_numeric OR is_code_or_table) AND artifact_type IN ('numeric_fact', 'table_cell', 'table') THEN 3.0 ELSE 0 END + CASE WHEN artifact_type IN ('numeric_fact', 'table_cell') THEN 1.0 ELSE 0 END
   + 5.0 * nc + 2.0 * nn + 1.5 * nk, 4) AS score, {_covered("ns")} AS oh, ov > 0 OR nk > 0 AS rel,
