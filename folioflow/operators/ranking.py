@@ -13,6 +13,15 @@ def branch_scores(ranked: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*keys, "page_index", "first_rank", F.round(F.greatest(F.lit(0.0), F.when(top > 0, F.col("raw") / top).otherwise(F.col("raw"))), 6).alias("score"))
 
 
+def with_artifact_scores(branches: DataFrame, scored: DataFrame, keys: list[str]) -> DataFrame:
+    """``branches`` with the artifact score of each page, in one join. ``scored``: (page_index, score, weight), with ``query`` where keys have it."""
+    on = [k for k in (*keys, "page_index") if k in scored.columns]
+    s = scored.groupBy(*on).agg(F.max(F.col("score") * F.col("weight")).alias("_raw"))
+    b = branches.join(s, on, "left")
+    top = F.max("_raw").over(Window.partitionBy(*keys))
+    return b.withColumn("artifact_score", F.when(top > 0, F.round(F.col("_raw") / top, 6)).otherwise(0.0)).drop("_raw")
+
+
 def reciprocal_ranks(ranked: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, page_index, rr_sum, rr_max) over all branches."""
     rr = 1.0 / (F.col("rank") + 1)
@@ -30,14 +39,16 @@ def artifact_page_scores(scored: DataFrame, keys: list[str]) -> DataFrame:
 MODES = ["original_only", "artifact_only", "original_plus_artifact"]
 
 
-def rerank_modes(branches: DataFrame, artifact_scores: DataFrame, keys: list[str], modes: list[str], k: int, blend: float = 0.7) -> DataFrame:
+def rerank_modes(branches: DataFrame, artifact_scores: DataFrame | None, keys: list[str], modes: list[str], k: int, blend: float = 0.7) -> DataFrame:
     """(mode, keys, page_index, final, position) for each of ``modes``, from one join of the branches with their artifact scores.
 
     ``original_only``: the branch's own order. ``artifact_only``: artifact scores over all pages. ``original_plus_artifact``:
     a blend over the branch's first ``k`` pages that keeps the first one first. Without a positive artifact score in the
-    branch the original order stands. ``branches``: (keys, page_index, first_rank, score).
+    branch the original order stands. ``branches``: (keys, page_index, first_rank, score), with artifact_score where no table of
+    them is given.
     """
-    b = branches.join(artifact_scores, [*keys, "page_index"], "left").withColumn("a", F.coalesce("artifact_score", F.lit(0.0)))
+    b = branches if artifact_scores is None else branches.join(artifact_scores, [*keys, "page_index"], "left")
+    b = b.withColumn("a", F.coalesce("artifact_score", F.lit(0.0)))
     b = b.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("first_rank")))
     b = b.withColumn("mode", F.explode(F.array(*map(F.lit, modes))))
     both, mode = F.col("mode") == "original_plus_artifact", F.col("mode")

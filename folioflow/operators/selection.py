@@ -64,23 +64,22 @@ def fresh_ids(rows: DataFrame, taken: DataFrame, prefix: str, by: list[str], ord
     return out.withColumn("new_id", F.format_string(f"{prefix}_%03d", F.col("_at") + F.col("_skip"))).drop("_at", "_skip", "_taken")
 
 
-def graph_pages(seeds: DataFrame, near: DataFrame, linked: DataFrame, structural: DataFrame, scores: DataFrame, k: int) -> DataFrame:
+def graph_pages(seeds: DataFrame, near: DataFrame, linked: DataFrame, structural: DataFrame, scores: DataFrame, k: int, only_scored: bool = False) -> DataFrame:
     """(query, page_index, score, position): seeds and the pages they reach, by three rules, the best score of each.
 
     Neighbours take 0.85 of the seed and 0.15 of their own artifact score, pages of linked anchors 0.80 and 0.20, structural pages
-    0.50 of their original and 0.50 of their artifact score. ``seeds`` and ``scores``: (query, page_index, score); ``near`` and
-    ``linked``: (page_index, other); ``structural``: (query, page_index).
+    0.50 of their original and 0.50 of their artifact score; with ``only_scored`` a structural page counts only if it has one. ``seeds`` and
+    ``scores``: (query, page_index, score); ``near`` and ``linked``: (page_index, other); ``structural``: (query, page_index).
     """
-    own = scores.select("query", "page_index", F.col("score").alias("_own"))
+    part = lambda base, share, must: [base.alias("_base"), F.lit(share).alias("_share"), F.lit(must).alias("_must")]
 
     def reach(steps, keep):
-        far = seeds.join(steps, "page_index").select("query", F.col("other").alias("page_index"), F.col("score").alias("_s")).join(own, ["query", "page_index"], "left")
-        return far.select("query", "page_index", (keep * F.col("_s") + (1 - keep) * F.coalesce("_own", F.lit(0.0))).alias("score"))
+        return seeds.join(steps, "page_index").select("query", F.col("other").alias("page_index"), *part(keep * F.col("score"), 1 - keep, False))
 
-    both = structural.join(seeds, ["query", "page_index"], "left").join(own, ["query", "page_index"], "left")
-    half = both.select("query", "page_index", (0.5 * F.coalesce("score", F.lit(0.0)) + 0.5 * F.coalesce("_own", F.lit(0.0))).alias("score"))
-    every = seeds.select("query", "page_index", "score").union(reach(near, 0.85)).union(reach(linked, 0.80)).union(half)
-    best = every.groupBy("query", "page_index").agg(F.round(F.max("score"), 4).alias("score"))
+    half = structural.join(seeds, ["query", "page_index"], "left").select("query", "page_index", *part(0.5 * F.coalesce("score", F.lit(0.0)), 0.5, only_scored))
+    every = seeds.select("query", "page_index", *part(F.col("score"), 0.0, False)).union(reach(near, 0.85)).union(reach(linked, 0.80)).union(half)
+    j = every.join(scores.select("query", "page_index", F.col("score").alias("_own")), ["query", "page_index"], "left").filter("NOT _must OR _own IS NOT NULL")
+    best = j.groupBy("query", "page_index").agg(F.round(F.max(F.col("_base") + F.col("_share") * F.coalesce("_own", F.lit(0.0))), 4).alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "page_index")
     return best.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
 

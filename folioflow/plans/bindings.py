@@ -25,23 +25,24 @@ def documents(spark, sf_dir) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"))
 
 
-def doc_pages(spark, sf_dir) -> DataFrame:
+def doc_pages(spark, sf_dir, only: DataFrame | None = None) -> DataFrame:
+    """Pages; with ``only`` (number) just those, chosen before anything is made of them."""
     n = F.col("doc_id")
-    return documents(spark, sf_dir).select(
-        n.alias("number"), F.concat(F.lit("d"), F.floor(n / 4).cast("string")).alias("doc_id"), F.pmod(n, F.lit(4)).cast("int").alias("page_index"), "text"
-    )
+    d = table(spark, sf_dir, "documents")
+    d = spread(d) if only is None else d.join(only.select(F.col("number").alias("doc_id")), "doc_id", "left_semi")
+    return d.select(n.alias("number"), F.concat(F.lit("d"), F.floor(n / 4).cast("string")).alias("doc_id"), F.pmod(n, F.lit(4)).cast("int").alias("page_index"), "text")
 
 
-def blocks(spark, sf_dir) -> DataFrame:
-    return P.chunks(doc_pages(spark, sf_dir)).drop("text")
+def blocks(spark, sf_dir, only: DataFrame | None = None) -> DataFrame:
+    return P.chunks(doc_pages(spark, sf_dir, only)).drop("text")
 
 
-def artifacts(spark, sf_dir) -> DataFrame:
-    return A.compile_blocks(blocks(spark, sf_dir))
+def artifacts(spark, sf_dir, only: DataFrame | None = None) -> DataFrame:
+    return A.compile_blocks(blocks(spark, sf_dir, only))
 
 
-def classified(spark, sf_dir) -> DataFrame:
-    return A.classify_locators(artifacts(spark, sf_dir))
+def classified(spark, sf_dir, only: DataFrame | None = None) -> DataFrame:
+    return A.classify_locators(artifacts(spark, sf_dir, only))
 
 
 def items(spark, sf_dir) -> DataFrame:
@@ -73,7 +74,7 @@ def branches(spark, sf_dir, k: int = 10) -> DataFrame:
 
 def artifact_scores(spark, sf_dir, pages: DataFrame) -> DataFrame:
     """(query, page_index, score, weight) of the eligible artifacts on asked pages: the share of the query's words that each holds."""
-    e = A.eligibility(classified(spark, sf_dir)).filter("reason = 'eligible'")
+    e = A.eligibility(classified(spark, sf_dir, pages.select(F.col("page_index").alias("number")))).filter("reason = 'eligible'")
     e = e.select(F.col("number").alias("page_index"), tokens(F.col("content")).alias("_held"), "weight")
     q = asked(spark, sf_dir).select("query", tokens(F.col("text")).alias("_asked"))
     return pages.join(e, "page_index").join(q, "query").select("query", "page_index", F.round(scoring.overlap(F.col("_asked"), F.col("_held")), 6).alias("score"), "weight")

@@ -61,7 +61,7 @@ SELECT query, artifact_id, score, CAST(r AS INT) AS rank FROM (SELECT *, row_num
 @query(_HYBRID)
 def hybrid_topk(spark, sf):
     """The pool of a question is its document; components are weighted by the full preset, the graph prior included."""
-    q, held = B.questions(spark, sf), B.artifacts(spark, sf)
+    q = B.questions(spark, sf)
     said = F.concat_ws(" ", "content", "artifact_type", "modality", F.coalesce("row_label", F.lit("")), F.coalesce("column_label", F.lit("")))
     # only documents that some question asks are ranked; the prior is a share of the largest degree of the whole graph
     c = B.classified(spark, sf).join(q.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -71,7 +71,7 @@ def hybrid_topk(spark, sf):
     flags = [0.2 * F.col("source_anchored").cast("int"), 0.3 * F.col("element_locatable").cast("int"), 0.5 * F.col("proof_trace_eligible").cast("int")]
     node = T.node_id("artifact", F.col("doc_id"), F.col("page_index"), F.col("artifact_id"))
     c = c.select("doc_id", "artifact_id", node.alias("node_id"), meta.alias("meta"), kind.alias("kind"), (flags[0] + flags[1] + flags[2]).alias("locator_score"))
-    c = c.join(G.artifact_degree_prior(held).select("node_id", "prior"), "node_id", "left")
+    c = c.join(G.artifact_degree_prior(B.artifacts(spark, sf)).select("node_id", "prior"), "node_id", "left")
     j = q.select("query", "doc_id", tokens(F.col("question")).alias("qt")).join(c, "doc_id")
     j = j.join(lexical.select("query", F.col("item").alias("artifact_id"), F.col("score").alias("lexical_score")), ["query", "artifact_id"], "left")
     j = j.withColumns(
@@ -129,8 +129,7 @@ def rerank_lambda_blend(spark, sf):
     keys = ["query", "branch"]
     b = K.branch_scores(B.branches(spark, sf), keys)
     scored = B.artifact_scores(spark, sf, b.select("query", "page_index").distinct())
-    a = K.artifact_page_scores(b.select(*keys, "page_index").join(scored, ["query", "page_index"]), keys)
-    return K.rerank_modes(b, a, keys, K.MODES, 4)
+    return K.rerank_modes(K.with_artifact_scores(b, scored, keys), None, keys, K.MODES, 4)
 
 
 @query(f"""WITH {B.BRANCHES}, {D._REASON}, s AS (SELECT query, page_index, score FROM br WHERE branch = 'image' AND rank < 4),

@@ -92,18 +92,18 @@ SELECT query, page_index, score, CAST(position AS INT) AS position FROM r WHERE
 def graph_selected_pages(spark, sf):
     """Seeds, the pages next to them, further pages of their documents, and pages with eligible artifacts."""
     b, p = B.branches(spark, sf), F.col("page_index")
-    s = b.filter((F.col("branch") == "image") & (F.col("rank") < 4)).select("query", "page_index", "score")
+    s = B.image_branch(spark, sf).filter("rank < 4").select("query", "page_index", "score")
     asked = s.select("page_index").distinct()
     near = asked.select("page_index", F.explode(F.array(p - 1, p + 1)).alias("other"))
-    pages = B.artifacts(spark, sf).select(F.col("number").alias("page_index"), "doc_id", F.col("page_index").alias("place")).distinct()
+    pages = B.doc_pages(spark, sf).filter(F.trim("text") != "").select(F.col("number").alias("page_index"), "doc_id", F.col("page_index").alias("place"))
     other = pages.select(F.col("page_index").alias("other"), "doc_id", F.col("place").alias("_place"))
     linked = pages.join(asked, "page_index", "left_semi").join(other, "doc_id").filter(F.abs(F.col("place") - F.col("_place")) >= 2).select("page_index", "other")
-    eligible = A.eligibility(B.classified(spark, sf)).filter("reason = 'eligible'").select(F.col("number").alias("page_index")).distinct()
-    structural = b.select("query", "page_index").distinct().join(eligible, "page_index", "left_semi").select("query", "page_index")
+    found = b.select("query", "page_index").distinct()
     reach = lambda steps: s.join(steps, "page_index").select("query", F.col("other").alias("page_index"))
-    wanted = s.select("query", "page_index").union(reach(near)).union(reach(linked)).union(structural).distinct()
-    own = K.artifact_page_scores(B.artifact_scores(spark, sf, wanted), ["query"]).withColumnRenamed("artifact_score", "score")
-    return S.graph_pages(s, near, linked, structural, own, 5)
+    asked_pages = s.select("query", "page_index").union(reach(near)).union(reach(linked)).union(found).distinct()
+    # only eligible artifacts score, so the found pages with a score are those that have one
+    own = K.artifact_page_scores(B.artifact_scores(spark, sf, asked_pages), ["query"]).withColumnRenamed("artifact_score", "score")
+    return S.graph_pages(s, near, linked, found, own, 5, only_scored=True)
 
 
 @query(f"""WITH {D._REASON}, p AS (SELECT doc_id, count(*) AS n, count(*) FILTER (reason <> 'eligible') AS n_ineligible, count(*) - count(DISTINCT (artifact_type, content)) AS n_duplicate, count(*) FILTER (weak) AS n_weak FROM elig GROUP BY doc_id)
