@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,7 +61,22 @@ def store(artifacts: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_index", "artifacts"))).alias("pages"))
 
 
+def write_store(artifacts: DataFrame, path: str) -> None:
+    """A JSON file a document, as :func:`readers.read_store` expects them."""
+    store(artifacts).write.option("maxRecordsPerFile", 1).json(path)
+
+
 def wide(ranked: DataFrame, keys: list[str], branches: list[str]) -> DataFrame:
     """Ranked pages as one array column a branch."""
     one = lambda b: F.transform(F.array_sort(F.collect_list(F.when(F.col("branch") == b, F.struct("rank", "page_index")))), lambda x: x["page_index"]).alias(b)
     return ranked.groupBy(*keys).agg(*[one(b) for b in branches])
+
+
+def work_folder(spark: SparkSession, tag: str) -> str:
+    """A fresh folder name below ``spark.checkpoint.dir``; where that is unset one of this machine, which only a local master may use."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/folioflow-work"
+    return f"{base.rstrip('/')}/sinks/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"

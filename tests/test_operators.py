@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import scoring
 from folioflow.functions import text as T
-from folioflow.operators import audit, extract, graph, guards, metrics, pages, ranking, retrieval, tables
+from folioflow.operators import audit, checks, extract, graph, guards, metrics, pages, ranking, retrieval, tables
 from folioflow.sources import readers, sinks
 from folioflow.streaming.resume import resume, run_with_snapshots
 
@@ -296,6 +296,15 @@ def test_graph_checks(spark):
     assert graph.checked(nodes.filter("node_type = 'page'"), edges.limit(1), graph.EXPANSION, ["source"]).count() == 1
 
 
+def test_error_budget_and_order(spark):
+    rows = spark.range(200).withColumn("bad", F.col("id") == 7)
+    assert checks.within_error_budget(rows, F.col("bad")).count() == 199
+    with pytest.raises(Exception, match="too many errors"):
+        checks.within_error_budget(rows.withColumn("bad", F.col("id") < 3), F.col("bad")).collect()
+    e = spark.createDataFrame([("b", "x", "next_block"), ("a", "y", "next_block"), ("z", "z", "adjacent_page")], "source string, target string, edge_type string")
+    assert [r.source for r in graph.in_order(e).collect()] == ["z", "a", "b"]
+
+
 def test_every_edge_and_locator_kind_occurs(spark):
     """The fixture that the graph's queries run on meets every rule."""
     from folioflow.plans import bindings
