@@ -7,8 +7,8 @@ The field labels blank-separated words. A word's shape is a code packed from nin
 letters, at signs, dots, hyphens, ...); a label's score is the sum of weights of the attributes of the
 word and of its neighbours, so scoring is three table look-ups a word. It is trained by gradient
 ascent on a small labelled table, on the driver: ``labelled_table()``, a few hundred made-up sentences with forms that
-the patterns miss, and on request lines of at most ``SAMPLE`` documents (:func:`labelled_lines`), labelled where a base
-pattern stands. It is decoded by Viterbi over all lines of a batch at once, in numpy. It finds what the patterns
+the patterns miss, and on request at most ``SAMPLE`` pieces of lines of documents (:func:`labelled_lines`), labelled
+where a base pattern stands. It is decoded by Viterbi over all lines of a batch at once, in numpy. It finds what the patterns
 miss: phones without a plus sign, spelled-out emails, cards with other separators. A span of the field is added only
 where it passes its kind's check (:func:`plausible`) and no base span overlaps it.
 
@@ -205,7 +205,7 @@ def labelled_table(n: int = 300, seed: int = 7) -> list[tuple[list[str], list[st
     return out
 
 
-#: Documents, and pieces of each, that the field may learn from; words on each side of a piece's span.
+#: Pieces of documents that the field may learn from, of one document, and words on each side of a piece's span.
 SAMPLE = 200
 PIECES_EACH = 4
 AROUND = 5
@@ -231,18 +231,16 @@ def labelled_pieces(text: str, most: int = PIECES_EACH) -> list[tuple[list[str],
 
 
 def labelled_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> list[tuple[list[str], list[str]]]:
-    """Labelled pieces of the ``sample`` documents with likely spans whose ids have the least hashes."""
-    some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(_PERSONAL))
-    ids = some.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    """The first ``sample`` labelled pieces of documents with likely spans, by the hash of their document's id; one scan of the texts."""
 
     def label(batches):
         for b in batches:
             done = [(i, n, *x) for i, text in zip(b["doc_id"], b["text"], strict=True) for n, x in enumerate(labelled_pieces(text))]
             yield pd.DataFrame(done, columns=["doc_id", "n", "words", "labels"])
 
-    chosen = some.join(F.broadcast(ids), "doc_id")  # at most ``sample`` ids
-    rows = chosen.mapInPandas(label, "doc_id long, n int, words array<string>, labels array<string>").distinct()
-    return [(r.words, r.labels) for r in rows.orderBy("doc_id", "n", "words").limit(sample * PIECES_EACH).collect()]
+    some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(_PERSONAL))
+    rows = some.mapInPandas(label, "doc_id long, n int, words array<string>, labels array<string>").distinct()
+    return [(r.words, r.labels) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "n", "words").limit(sample).collect()]
 
 
 def _allowed() -> np.ndarray:
@@ -265,7 +263,7 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def train(table: list[tuple[list[str], list[str]]], steps: int = 120, rate: float = 0.2, penalty: float = 1e-3) -> dict[str, np.ndarray]:
+def train(table: list[tuple[list[str], list[str]]], steps: int = 60, rate: float = 0.2, penalty: float = 1e-3) -> dict[str, np.ndarray]:
     """Maximum likelihood with a square penalty, by Adam over the whole table; returns score tables by shape code."""
     width, rows = int(_SIZES.sum()), _attribute_rows()
     t_max = max(len(w) for w, _ in table)
