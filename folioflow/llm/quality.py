@@ -28,12 +28,12 @@ THRESHOLDS = [
 ]
 
 #: Frequent function words of English, French, German and Spanish.
-STOP_WORDS = (
-    "the of and to in is that it with for on as by are was be this from have not "
-    "le la les de des du et un une que qui en est pour dans sur par au aux pas "
-    "der die das und den dem von zu mit ist ein eine im für auf sich nicht des "
-    "el los las y una es por con para del se lo al como su no"
-).split()
+STOP_WORDS = [
+    "the", "of", "and", "to", "in", "is", "that", "it", "with", "for", "on", "as", "by", "are", "was", "be", "this", "from", "have", "not", "le",
+    "la", "les", "de", "des", "du", "et", "un", "une", "que", "qui", "en", "est", "pour", "dans", "sur", "par", "au", "aux", "pas", "der", "die",
+    "das", "und", "den", "dem", "von", "zu", "mit", "ist", "ein", "eine", "im", "für", "auf", "sich", "nicht", "des", "el", "los", "las", "y", "una",
+    "es", "por", "con", "para", "del", "se", "lo", "al", "como", "su", "no",
+]
 
 #: Names the measuring projection adds; prefixed so that they can't clash with input columns.
 _P = "__q_"
