@@ -19,14 +19,16 @@ TYPES = {
     "visual_observation": "image",
     "section_header": "layout",
 }
-#: Fixed values.
+#: Fixed values, as all to the patterns below.
 ANCHOR_TYPES = ["text_block", "layout_block", "full_page_image", "table_cell", "figure_region"]
 STATUSES = ["candidate", "schema_valid", "anchored", "discarded"]
 KIND_PRIORITY = ["table_cell", "figure_region", "caption_block", "section_block", "text_offset", "bbox", "source_block"]
 STRONG_KINDS = ["bbox", "table_cell", "figure_region", "caption_block", "text_offset", "source_block"]
 RERANK_TYPES = ["numeric_fact", "table", "table_cell", "figure", "caption"]
+#: Fixed values.
 PLACEHOLDERS = ["mock ", "mocked ", "placeholder ", "generic ", "candidate anchored to", "anchored to the full page image"]
 WEAK_STATUSES = ["weak", "invalid", "missing", "unresolved", "failed", "low_confidence"]
+#: Fixed values.
 NUMERIC = r"(?i)[-+]?\$?\d[\d,]*(\.\d+)?\s*(%|percent|percentage|bps|bp|million|billion|thousand|m|bn)?"
 TITLE = r"(?i)\b(table|summary|overview|caption|title|figure|chart|appendix|contents)\b"
 BROAD = r"(?i)\b(table|summary|overview|contains|lists|shows|presents|describes|reports|includes|data|values|metrics|indicators)\b"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,18 +73,36 @@ def filtered_topk(ranked_: DataFrame, allowed: DataFrame, k: int) -> DataFrame:
     return ranked(j.filter("_own IS NULL OR _in").drop("_own", "_in").withColumnRenamed("rank", "_r"), ["query"], [F.col("_r")], k).drop("_r")
 
 
+#: Vectors of a block: of pages, and of queries, that meet in one product.
+BLOCK_PAGES, BLOCK_QUERIES = 20_000, 2_000
+
+
 def max_sim(queries: DataFrame, pages: DataFrame, k: int) -> DataFrame:
     """Late interaction: sum over query vectors of the best dot product with a page's vectors; top ``k`` pages.
 
-    ``queries``: (query, pool, vector), several rows a query; ``pages``: (pool, page, vector), several rows a page.
+    ``queries``: (query, pool, vector), several rows a query; ``pages``: (pool, page, vector), several rows a page. Exact: each block of a
+    pool's pages meets each block of its queries in one matrix product, of which only each query's first ``k`` pages leave the
+    task. A page or query lies in one block as a whole.
     """
-    q = queries.withColumn("q_pos", F.monotonically_increasing_id())
-    dot = F.aggregate(
-        F.zip_with("q_vec", "p_vec", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x
-    )
-    pairs = q.select("query", "pool", "q_pos", F.col("vector").alias("q_vec")).join(
-        pages.select("pool", "page", F.col("vector").alias("p_vec")), "pool"
-    )
-    best = pairs.groupBy("query", "page", "q_pos").agg(F.max(dot).alias("best"))
-    score = best.groupBy("query", "page").agg(F.round(F.sum("best"), 5).alias("score"))
-    return ranked(score, ["query"], [F.desc("score"), F.asc("page")], k)
+    blocks = pages.groupBy("pool").agg(F.ceil(F.count("*") / BLOCK_PAGES).cast("int").alias("_pn"))
+    blocks = blocks.join(queries.groupBy("pool").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("_qn")), "pool")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    p = pages.join(blocks, "pool").select("pool", "page", "vector", F.pmod(F.xxhash64("page"), "_pn").cast("int").alias("_p"), every("_qn").alias("_q"))
+    q = queries.join(blocks, "pool").select("pool", "query", "vector", F.pmod(F.xxhash64("query"), "_qn").cast("int").alias("_q"), every("_pn").alias("_p"))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query": pd.Series(dtype="int64"), "page": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        if not len(left) or not len(right):
+            return none
+        left, right = left.sort_values("query", kind="stable"), right.sort_values("page", kind="stable")
+        dots = np.stack(left["vector"].to_numpy()).astype(np.float64) @ np.stack(right["vector"].to_numpy()).astype(np.float64).T
+        q_ids, q_at = np.unique(left["query"].to_numpy(), return_index=True)
+        p_ids, p_at = np.unique(right["page"].to_numpy(), return_index=True)
+        score = np.round(np.add.reduceat(np.maximum.reduceat(dots, p_at, axis=1), q_at, axis=0), 5)
+        order = np.lexsort((np.broadcast_to(p_ids, score.shape), -score), axis=1)[:, :k]
+        return pd.DataFrame({"query": np.repeat(q_ids, order.shape[1]), "page": p_ids[order].ravel(), "score": np.take_along_axis(score, order, axis=1).ravel()})
+
+    kinds = dict(queries.dtypes)["query"], dict(pages.dtypes)["page"]
+    keys = ["pool", "_q", "_p"]
+    found = q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInPandas(best, f"query {kinds[0]}, page {kinds[1]}, score double")
+    return ranked(found, ["query"], [F.desc("score"), F.asc("page")], k)

@@ -87,12 +87,15 @@ def graph_pages(seeds: DataFrame, near: DataFrame, linked: DataFrame, structural
 def support(selected: DataFrame, key: str, dimensions: Column, said: str, numbers_needed: Column) -> DataFrame:
     """(key, n_numbers, missing, sufficient): whether the selected texts name all dimensions and enough distinct numbers.
 
-    ``dimensions`` (array of strings) and ``numbers_needed`` are columns of ``selected`` that are the same for a key.
+    ``dimensions`` (array of strings) and ``numbers_needed`` are columns of ``selected`` that are the same for a key. Each dimension is
+    looked for in each text by itself, so that no key's texts are gathered.
     """
-    g = selected.groupBy(key).agg(F.concat_ws(" ", F.array_sort(F.collect_list(said))).alias("_all"), F.first(dimensions).alias("_d"), F.first(numbers_needed).alias("_n"))
-    numbers = F.size(F.array_distinct(F.regexp_extract_all("_all", F.lit(r"\d+(?:\.\d+)?"), F.lit(0))))
-    missing = F.filter("_d", lambda d: ~F.lower("_all").contains(F.lower(d)))
-    out = g.select(key, numbers.alias("n_numbers"), missing.alias("missing"), "_n")
+    rows = selected.select(key, dimensions.alias("_d"), F.lower(said).alias("_said"), numbers_needed.alias("_n"))
+    number = F.explode_outer(F.array_distinct(F.regexp_extract_all("_said", F.lit(r"\d+(?:\.\d+)?"), F.lit(0))))
+    n = rows.select(key, "_n", number.alias("_x")).groupBy(key).agg(F.count_distinct("_x").alias("n_numbers"), F.first("_n").alias("_n"))
+    named = rows.select(key, F.posexplode("_d").alias("_at", "_dim"), "_said").groupBy(key, "_at", "_dim").agg(F.max(F.contains("_said", F.lower("_dim"))).alias("_ok"))
+    lost = named.groupBy(key).agg(F.array_sort(F.collect_list(F.when(~F.coalesce("_ok", F.lit(False)), F.struct("_at", "_dim")))).alias("_lost"))
+    out = n.join(lost, key, "left").withColumn("missing", F.coalesce(F.transform("_lost", lambda x: x["_dim"]), F.array().cast("array<string>")))
     return out.select(key, "n_numbers", "missing", ((F.size("missing") == 0) & (F.col("n_numbers") >= F.col("_n"))).alias("sufficient"))
 
 
