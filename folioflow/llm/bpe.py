@@ -11,7 +11,7 @@ instead: the places of each rank wait in lists, the lowest rank's are merged at
 are looked up anew, so that the work follows the number of merges.
 
 Words come from the pre-tokenizer's pattern with Unicode's White_Space written out. Texts are cut at added tokens
-first. A worker keeps the ids of up to ``CACHE`` words.
+first. A worker keeps the ids of some ``CACHE`` words, those asked again for longer.
 
 Defined results: a null text is empty and has no ids; repeated rows are encoded one by one; batches are
 bounded by bytes, so that a worker holds few very long texts; other columns are not read.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import bounded_batches, kept, together, trim
 
-CACHE = 300_000
+CACHE = 200_000
 #: Words that are merged together, and characters of texts that are cut into words together.
 WORDS_AT_ONCE = 16_000
 CHARS_AT_ONCE = 500_000
@@ -77,6 +77,7 @@ class ByteBpe:
         self.words = regex.compile(_WORDS).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _looked_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, symbol made) of pairs; rank ``_NONE`` for unknown ones."""
@@ -179,12 +180,14 @@ class ByteBpe:
                 split.append(words)
             else:
                 split.append(self.words(t))
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
+        if len(self.known) > CACHE // 2:  # words that are asked again come over from the older half
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
         for t, i in self.special.items():  # a NUL never starts a word of several characters that an added token could equal
             known[f"\0{t}"] = np.array([i], dtype="<u4").tobytes()
-        new = list({w for s in split for w in s if w not in known})
+        new = {w for s in split for w in s if w not in known}
+        known.update((w, older[w]) for w in new if w in older)
+        new = [w for w in new if w not in older]
         for i in range(0, len(new), WORDS_AT_ONCE):
             some = new[i : i + WORDS_AT_ONCE]
             for word, ids in zip(some, self.merge([w.encode() for w in some]), strict=True):

@@ -34,7 +34,7 @@ from folioflow.llm.common import bounded_batches, together, trim
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of texts that the field looks at together.
-CHARS_AT_ONCE = 500_000
+CHARS_AT_ONCE = 250_000
 
 # ---- base patterns -------------------------------------------------------------------------------
 

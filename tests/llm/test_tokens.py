@@ -74,6 +74,17 @@ def test_small_caches_change_nothing(codecs, monkeypatch):
         assert own.encode([t])[0].tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_small_caches_of_words_change_nothing(codecs, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 6)
+    monkeypatch.setattr(bpe, "WORDS_AT_ONCE", 2)
+    own, library = bpe.ByteBpe(SPEC["byte_bpe_50k.json"]), codecs["byte"][1]
+    rng = random.Random(6)
+    for _ in range(30):
+        texts = [" ".join(rng.choice("one two three four five <|endoftext|> six seven".split()) for _ in range(rng.randint(0, 9))) for _ in range(3)]
+        for got, want in zip(own.encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(got, dtype="<u4").tolist() == want.ids
+
+
 def test_equal_hashes_change_nothing(codecs, monkeypatch):
     """Chunks with one hash are told apart by their bytes."""
     own, library = pfor.ChunkEncoder(SPEC["word_bpe_49k.json"]), codecs["word"][1]
