@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import bpe, decontaminate, pfor, pii, quality, shards, simhash, substrings, url_filter, warc
+from folioflow.llm import bpe, decontaminate, main_text, maxscore, pfor, pii, quality, resampling, shards, simhash, substrings, url_filter, warc
 from folioflow.llm.common import spread, table, tokenizer_json
 
 
@@ -48,5 +48,18 @@ def op10_shards(spark, sf_dir):
     return shards.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_decontaminate, op3_repeats, op4_warc, op5_pii, op6_quality, op7_simhash, op8_bpe, op9_url_filter, op10_shards)}
-ORACLE = {"op3_repeats": substrings.ORACLE, "op4_warc": warc.ORACLE, "op6_quality": quality.ORACLE, "op9_url_filter": url_filter.ORACLE, "op10_shards": shards.oracle()}
+def op11_maxscore(spark, sf_dir):
+    return maxscore.top_k(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op12_resampling(spark, sf_dir):
+    docs, target = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text")
+    return resampling.resample(spread(docs), target)
+
+
+def op13_main_text(spark, sf_dir):
+    return main_text.extracted(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_decontaminate, op3_repeats, op4_warc, op5_pii, op6_quality, op7_simhash, op8_bpe, op9_url_filter, op10_shards, op11_maxscore, op12_resampling, op13_main_text)}
+ORACLE = {"op3_repeats": substrings.ORACLE, "op4_warc": warc.ORACLE, "op6_quality": quality.ORACLE, "op9_url_filter": url_filter.ORACLE, "op10_shards": shards.oracle(), "op11_maxscore": maxscore.ORACLE, "op12_resampling": resampling.oracle(), "op13_main_text": main_text.ORACLE}
