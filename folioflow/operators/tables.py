@@ -67,3 +67,22 @@ def runs(rows: DataFrame, key: list[str], position: str) -> DataFrame:
     w = Window.partitionBy(*key).orderBy(position)
     g = rows.withColumn("_g", F.col(position) - F.row_number().over(w))
     return g.groupBy(*key, "_g").agg(F.min(position).alias("first"), F.max(position).alias("last"), F.count("*").alias("n")).drop("_g")
+
+
+def numbered(df: DataFrame, order: list[str], folder: str, name: str = "_n") -> tuple[DataFrame, int]:
+    """``df``, written to ``folder`` in the order of ``order``, with row numbers from 0; and the number of rows.
+
+    Rows are sorted over range partitions and numbered by the counts of the partitions before theirs; the driver sees one count a partition.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed.write.parquet(folder)
+    placed = spark.read.schema(placed.schema).parquet(folder).withColumn("_part", F.shiftright("_at", 33).cast("int"))
+    first, total = [], 0
+    for part, count in sorted(placed.groupBy("_part").count().collect()):
+        first.append((part, total))
+        total += count
+    starts = spark.createDataFrame(first, "_part int, _first long")  # a row a partition
+    placed = placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    return placed.drop("_part", "_first", "_at"), total

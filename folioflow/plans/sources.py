@@ -9,6 +9,8 @@ from folioflow.plans import bindings as B
 from folioflow.plans import documents as D
 from folioflow.sources import readers as R
 from folioflow.sources import sinks as S
+from folioflow.sources import versions as V
+from folioflow.streaming import resume as W
 
 QUERIES, ORACLE = {}, {}
 
@@ -103,3 +105,37 @@ def graph_round_trip(spark, sf):
     spark.createDataFrame([("a", "b", "same_record_debug")], "source string, target string, edge_type string").write.json(f"{path}/debug_edges.jsonl")
     g = R.read_graph(spark, path, debug=True)
     return g["edges"].unionByName(g["debug_edges"]).groupBy("edge_type").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id, CASE WHEN n_chars % 3 <> 0 THEN 'first:' || lang WHEN n_chars % 2 = 0 THEN 'second:' || lang END AS answer FROM documents""")
+def resume_stream(spark, sf):
+    """A stream of records, run twice: what got no answer comes in again beside answered records, which stay as they are."""
+    root, d = S.work_folder(spark, "stream"), B.table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+
+    def run(records, name, answered):
+        records.write.mode("append").parquet(f"{root}/in")
+        answer = F.when(answered, F.concat(F.lit(f"{name}:"), "lang"))
+        stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
+        W.resume(stream, f"{root}/answers", f"{root}/checkpoint", ["doc_id"], "answer", lambda df: df.select("doc_id", answer.alias("answer"))).awaitTermination()
+
+    n = F.col("n_chars")
+    run(d, "first", n % 3 != 0)
+    run(d.filter((n % 3 == 0) | (n % 5 == 0)), "second", n % 2 == 0)
+    return W.answers(spark, f"{root}/answers", ["doc_id"])
+
+
+@query("""WITH d1 AS (SELECT DISTINCT source FROM documents WHERE doc_id % 20 < 3), d2 AS (SELECT DISTINCT source FROM documents WHERE doc_id % 20 = 7)
+SELECT doc_id, source, n_chars, 'base' AS origin FROM documents WHERE source NOT IN (FROM d1) AND source NOT IN (FROM d2)
+UNION ALL SELECT doc_id, source, n_chars + 1, 'one' FROM documents WHERE doc_id % 20 < 3 AND source NOT IN (FROM d2)
+UNION ALL SELECT doc_id, source, n_chars + 2, 'two' FROM documents WHERE doc_id % 20 = 7""")
+def delta_store(spark, sf):
+    """A table kept as a base and deltas that replace whole groups, compacted on the way; a batch that comes twice counts once."""
+    path, d = S.work_folder(spark, "table"), B.table(spark, sf, "documents").select("doc_id", "source", "n_chars")
+    part = lambda rows, n, name: rows.select("doc_id", "source", (F.col("n_chars") + n).alias("n_chars"), F.lit(name).alias("origin"))
+    i = F.pmod("doc_id", F.lit(20))
+    V.append(part(d, 0, "base"), path, "load", 0)
+    V.append(part(d.filter(i < 3), 1, "one"), path, "load", 1)
+    V.compact(spark, path, ["source"])
+    for _ in range(2):
+        V.append(part(d.filter(i == 7), 2, "two"), path, "load", 2)
+    return V.current(spark, path, ["source"])
