@@ -1,10 +1,16 @@
 """Versioned tables, streams that resume, indexes on disk."""
 
+import math
 import os
+import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from folioflow.functions.text import STOPWORDS
+from folioflow.operators import passages as X
 from folioflow.sources import versions as V
 from folioflow.streaming import resume as W
 
@@ -97,3 +103,62 @@ def test_merge_and_bytes(spark, tmp_path):
     assert V.append(big, table, "w", 2) is None
     assert len(V.vacuum(spark, table)) == 4 and rows() == want
     assert not V._commit(spark, table, log[0])  # its number is taken
+
+
+# ---- passage index -------------------------------------------------------------------------------
+
+
+def plain_bm25(queries, items, k, allowed=None):
+    """(query, pool, item, score, rank) by plain loops; a query without a pool asks all items."""
+    held = [(p, i, Counter(words(t))) for p, i, t in items]
+    out = []
+    for q, pool, text in queries:
+        mine = [(p, i, c) for p, i, c in held if not pool or p == pool]
+        mean = sum(c.total() for *_, c in mine) / max(1, len(mine)) or 1.0
+        df = Counter(t for *_, c in mine for t in c)
+        scores = []
+        for p, i, c in mine:
+            s = sum(n * math.log(1 + (len(mine) - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.5 / (c[t] + 1.5 * (0.25 + 0.75 * c.total() / mean)) for t, n in Counter(words(text)).items() if t in c)
+            if any(t in c for t in words(text)) and (allowed is None or q not in allowed or i in allowed[q]):
+                scores.append((-round(s, 6), p or "", i))
+        out += [(q, p or None, i, -s, n + 1) for n, (s, p, i) in enumerate(sorted(scores)[:k])]
+    return sorted(out, key=repr)
+
+
+def words(text):
+    return [w for w in re.findall("[a-z0-9%]+", (text or "").lower()) if w not in STOPWORDS]
+
+
+def passage(rng):
+    return " ".join(f"w{min(int(rng.expovariate(0.05)), 200)}" for _ in range(rng.randint(0, 30)))
+
+
+def test_passage_index(spark, tmp_path):
+    rng = random.Random(4)
+    items = [(rng.choice(["a", "a", "b", "c"]), i, passage(rng)) for i in range(400)] + [("a", 500, None), ("b", 501, ""), (None, 502, "w1 w2"), ("a", 503, "w199 " * 40), ("c", 504, "the of")]
+    queries = [(i, p, passage(rng)) for i, p in enumerate(["a", "b", "", None, "c", "none", "a"])] + [(20, "a", None), (21, "", "the"), (22, None, "w1 w1 w199 w2")]
+    X.build(spark.createDataFrame(items, "pool string, item long, text string").repartition(3), f"{tmp_path}/x")
+    asked = spark.createDataFrame(queries, "query int, pool string, text string")
+    show = lambda df: sorted(((r["query"], r.pool, r["item"], r.score, r["rank"]) for r in df.collect()), key=repr)
+    near = lambda rows: [(q, p, i, pytest.approx(s, abs=2e-6), n) for q, p, i, s, n in rows]
+    assert show(X.top_k(spark, f"{tmp_path}/x", asked, 5)) == near(plain_bm25(queries, items, 5))
+    allowed = {0: {1, 2, 3, 503}, 2: set(range(0, 400, 9)), 22: {502, 503}, 6: {10_000}}
+    pairs = spark.createDataFrame([(q, i) for q, s in allowed.items() for i in s] + [(0, 1)], "query int, item long")
+    assert show(X.top_k(spark, f"{tmp_path}/x", asked, 4, pairs)) == near(plain_bm25(queries, items, 4, allowed))
+    X.build(spark.createDataFrame([], "pool string, item long, text string"), f"{tmp_path}/none")
+    assert X.top_k(spark, f"{tmp_path}/none", asked, 5).collect() == []
+
+
+def test_blocks_are_skipped(spark, tmp_path):
+    """Short queries read part of their postings, and the bounds that skip the rest hold."""
+    rng = random.Random(5)
+    items = [("a", i, passage(rng)) for i in range(6000)]
+    queries = [(i, "a", f"w{rng.randint(0, 40)} w{rng.randint(20, 90)}") for i in range(20)]
+    X.build(spark.createDataFrame(items, "pool string, item long, text string"), f"{tmp_path}/x")
+    s = X.Search(spark, f"{tmp_path}/x", spark.createDataFrame(queries, "query int, pool string, text string"), 5)
+    read = s.share_read().first()
+    assert 0 < read.postings_read < 0.75 * read.postings
+    got = sorted(((r["query"], r["item"], r["rank"]) for r in s.top().collect()), key=repr)
+    assert got == [(q, i, n) for q, _, i, _, n in plain_bm25(queries, items, 5)]
+    over = s.scores(s.ranges).groupBy("query", F.floor(F.col("number") / X.RANGE).cast("long").alias("range")).agg(F.max("score").alias("most"))
+    assert over.join(s.ranges, ["query", "range"]).filter("most > bound + 1e-6").isEmpty()
