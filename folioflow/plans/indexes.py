@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioflow.operators import passages as X
+from folioflow.operators import retrieval as T
+from folioflow.operators import vectors as V
 from folioflow.plans import bindings as B
 from folioflow.sources import readers as R
 from folioflow.sources import sinks as S
@@ -72,3 +74,40 @@ def index_topk_allowed(spark, sf):
     good = B.table(spark, sf, "labels").filter("quality = 1").select(F.col("doc_id").alias("item"))
     bound = asked.filter(F.pmod("query", F.lit(2)) == 1).select("query")
     return X.top_k(spark, passage_index(spark, sf), asked, 4, bound.join(good, F.pmod("query", F.lit(7)) == F.pmod("item", F.lit(7))))
+
+
+def vectors(spark, sf):
+    """Four vectors make a page; a page's pool is even or odd by its number."""
+    e = B.table(spark, sf, "embeddings")
+    page = F.floor(F.col("vec_id") / 4).cast("long")
+    return e.select(F.pmod(page, F.lit(2)).cast("string").alias("pool"), page.alias("page"), F.col("embedding").alias("vector"))
+
+
+def vector_queries(spark, sf):
+    """The vectors of each twentieth page, asking all pages."""
+    return vectors(spark, sf).filter("page % 20 = 0").select(F.col("page").alias("query"), F.lit(None).cast("string").alias("pool"), "vector")
+
+
+def vector_index(spark, sf) -> str:
+    return stored(spark, sf, "vectors", lambda folder: V.build(vectors(spark, sf), folder))
+
+
+_MAX_SIM = """
+v AS (SELECT vec_id, vec_id // 4 AS page, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+b AS (SELECT q.page AS query, q.vec_id, v.page, max(list_dot_product(q.e, v.e)) AS s FROM v q JOIN v ON q.page % 20 = 0 GROUP BY ALL),
+d AS (SELECT query, page, round(sum(s), 5) AS score FROM b GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, page) AS INT) AS rank FROM d)"""
+
+
+@query(f"WITH {_MAX_SIM} SELECT query, page, score, rank FROM r WHERE rank <= 5")
+def late_interaction_topk(spark, sf):
+    """Queries and pages of four vectors each, scored exactly against all pages, block by block."""
+    one = F.lit("all").alias("pool")
+    q = vector_queries(spark, sf).select("query", one, "vector")
+    return T.max_sim(q, vectors(spark, sf).select(one, "page", "vector"), 5)
+
+
+@query()
+def vector_index_topk(spark, sf):
+    """The same through the stored index: exact scores of the pages that it finds (a test holds its recall against the exact query)."""
+    return V.top_k(spark, vector_index(spark, sf), vector_queries(spark, sf), 5)

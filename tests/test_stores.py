@@ -6,11 +6,13 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import STOPWORDS
 from folioflow.operators import passages as X
+from folioflow.operators import vectors as V2
 from folioflow.sources import versions as V
 from folioflow.streaming import resume as W
 
@@ -162,3 +164,65 @@ def test_blocks_are_skipped(spark, tmp_path):
     assert got == [(q, i, n) for q, _, i, _, n in plain_bm25(queries, items, 5)]
     over = s.scores(s.ranges).groupBy("query", F.floor(F.col("number") / X.RANGE).cast("long").alias("range")).agg(F.max("score").alias("most"))
     assert over.join(s.ranges, ["query", "range"]).filter("most > bound + 1e-6").isEmpty()
+
+
+# ---- vector index --------------------------------------------------------------------------------
+
+
+def test_codes_round_trip():
+    rng = np.random.default_rng(1)
+    for width in (1, 5, 64):
+        code = rng.integers(0, 1 << V2.BITS, (20, width))
+        assert (V2.unpack(V2.pack(code), width) == code).all()
+    sample = rng.normal(size=(300, 8))
+    c, cuts, values = V2.trained(sample, 10)
+    at = V2.nearest(c, sample, 1)[:, 0]
+    assert (at == ((sample[:, None] - c[None]) ** 2).sum(2).argmin(1)).all()
+    decoded = c[at] + np.take_along_axis(values, (sample - c[at] > cuts[:, None]).sum(axis=0), axis=0)
+    assert ((sample - decoded) ** 2).sum() < 0.3 * ((sample - c[at]) ** 2).sum()  # residual codes bring vectors nearer
+
+
+def test_vector_index_against_loops(spark, tmp_path):
+    """With all centroids visited and all pages rescored the index is exact: pools, masks, ties, repeated vectors."""
+    rng = np.random.default_rng(2)
+    pages = [(rng.choice(["a", "b"]), int(p), rng.normal(size=6).round(2)) for p in range(60) for _ in range(rng.integers(1, 5))]
+    pool = {}
+    pages = [(pool.setdefault(p, x), p, v) for x, p, v in pages] + [(pool[7], 70, v) for _, p, v in pages if p == 7] + [(None, 80, rng.normal(size=6))]
+    queries = [(q, x, rng.normal(size=6).round(2)) for q, x in enumerate(["a", "b", None, "none", "a"]) for _ in range(3)]
+    queries += [(5, None, v) for _, p, v in pages if p == 7] * 2
+    allowed = {2: {1, 2, 3, 80}, 4: {999}}
+
+    def want(masks):
+        out = []
+        for q in sorted({q for q, *_ in queries}):
+            mine, x = [v for i, _, v in queries if i == q], next(x for i, x, _ in queries if i == q)
+            scores = {}
+            for p in {p for _, p, _ in pages}:
+                theirs = [v for z, i, v in pages if i == p and (x is None or z == x)]
+                if theirs and (q not in masks or p in masks[q]):
+                    scores[p] = round(float((np.stack(mine).astype("f4").astype(float) @ np.stack(theirs).astype("f4").astype(float).T).max(1).sum()), 5)
+            out += [(q, p, pytest.approx(s, abs=2e-5), n + 1) for n, (p, s) in enumerate(sorted(scores.items(), key=lambda z: (-z[1], z[0]))[:4])]
+        return out
+
+    frame = lambda rows, names: spark.createDataFrame([(a, b, v.tolist()) for a, b, v in rows], names)
+    V2.build(frame(pages, "pool string, page long, vector array<double>"), f"{tmp_path}/v")
+    asked = frame(queries, "query int, pool string, vector array<double>")
+    mask = spark.createDataFrame([(q, p) for q, s in allowed.items() for p in s], "query int, page long")
+    for masks, given in (({}, None), (allowed, mask)):
+        got = V2.top_k(spark, f"{tmp_path}/v", asked, 4, probes=10_000, rescored=10_000, allowed=given)
+        assert [(r["query"], r.page, r.score, r["rank"]) for r in sorted(got.collect(), key=lambda r: (r["query"], r["rank"]))] == want(masks)
+    V2.build(frame([], "pool string, page long, vector array<double>"), f"{tmp_path}/none")
+    assert V2.top_k(spark, f"{tmp_path}/none", asked, 4).collect() == []
+
+
+def test_recall_of_the_vector_index(spark):
+    """Every twentieth page against all pages: at least nine tenths of the exact five best."""
+    from folioflow.plans import indexes as I
+
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("needs the test tables")
+    exact = {(r["query"], r.page): r.score for r in I.late_interaction_topk(spark, sf).collect()}
+    found = {(r["query"], r.page): r.score for r in I.vector_index_topk(spark, sf).collect()}
+    both = exact.keys() & found.keys()
+    assert len(both) >= 0.9 * len(exact) and all(exact[k] == found[k] for k in both)
