@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.text import compact, exact_codes, question_tokens, slug
 from folioflow.operators import guards as Q
+from folioflow.operators.responses import first_object
 
 #: Fixed values.
 NUMERIC_TABLE_TERMS = [
@@ -73,23 +74,14 @@ def question_types(question: Column, codes: Column, is_numeric: Column, is_code_
 
 
 def json_body(text: Column) -> Column:
-    """What lies between the first and the last brace of a response, fences around it dropped; null where there is no object."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(text), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
-    return F.nullif(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), F.lit(""))
+    """The first object of a response; null where there is none."""
+    return first_object(text)["object"]
 
 
 def parse_failure(text: Column) -> Column:
     """Why a response holds no object: null where it does."""
-    body = json_body(text)
-    as_map = F.try_parse_json(body)
-    listed = F.try_parse_json(F.trim(text))
-    kind = F.schema_of_variant(listed)
-    return (
-        F.when(as_map.isNotNull(), F.lit(None))
-        .when(listed.isNotNull() & ~kind.startswith("OBJECT"), "json_not_object")
-        .when(F.coalesce(text, F.lit("")).contains("{") | F.coalesce(text, F.lit("")).contains("["), "json_object_not_found")
-        .otherwise("json_like_block_absent")
-    )
+    failure, known = first_object(text)["failure"], F.coalesce(text, F.lit(""))
+    return F.when(failure.isin("json_object_not_found", "json_like_block_absent") & (known.contains("{") | known.contains("[")), "json_object_not_found").otherwise(failure)
 
 
 def clean_strings(values: Column) -> Column:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioflow.operators import graph as G
+from folioflow.operators import responses as A
 from folioflow.plans import bindings as B
 from folioflow.plans import documents as D
+from folioflow.sources import page_store as PS
 from folioflow.sources import readers as R
 from folioflow.sources import sinks as S
 from folioflow.sources import versions as V
@@ -139,3 +141,63 @@ def delta_store(spark, sf):
     for _ in range(2):
         V.append(part(d.filter(i == 7), 2, "two"), path, "load", 2)
     return V.current(spark, path, ["source"])
+
+
+_PAGE_FILES = """
+p AS (SELECT page_id, 'doc' || (page_id // 6) AS doc_id, CAST(page_id % 6 AS INT) AS page_index, coalesce(html, '') AS html, page_id % 11 <> 7 AS txt, page_id % 13 <> 4 AS img FROM pages),
+f AS (SELECT *, CASE page_id % 4 WHEN 0 THEN doc_id || '_' || page_index WHEN 1 THEN doc_id || '_' || printf('%03d', page_index) WHEN 2 THEN 'texts/' || doc_id || '_' || page_index ELSE 'texts/' || doc_id || '_' || printf('%03d', page_index) END || '.txt' AS text_path FROM p)"""
+
+
+def page_files(spark, sf) -> str:
+    """A folder with the text and image files of ``pages``, six a document, at all the places that a file may have; some are missing."""
+    root, i = S.work_folder(spark, "page-files"), F.col("page_id")
+    p = B.table(spark, sf, "pages").select(i, F.concat(F.lit("doc"), F.floor(i / 6).cast("string")).alias("doc"), F.pmod(i, F.lit(6)).cast("int").alias("n"), F.coalesce("html", F.lit("")).alias("html"))
+    short, long = F.concat_ws("_", "doc", F.col("n").cast("string")), F.format_string("%s_%03d", "doc", "n")
+    name = lambda folder: F.element_at(F.array(short, long, F.concat(F.lit(folder), short), F.concat(F.lit(folder), long)), (F.pmod(i, F.lit(4)) + 1).cast("int"))
+    texts = p.filter("page_id % 11 <> 7").select(F.concat(name("texts/"), F.lit(".txt")).alias("path"), F.col("html").cast("binary").alias("content"))
+    more = p.filter("page_id % 4 < 2 AND page_id % 11 <> 7").select(F.concat(F.lit("texts/"), short, F.lit(".txt")).alias("path"), F.lit("not this one").cast("binary").alias("content"))
+    images = p.filter("page_id % 13 <> 4").select(F.concat(name("images/"), F.lit(".png")).alias("path"), F.lit("png").cast("binary").alias("content"))
+    PS.write(texts.unionByName(more).unionByName(images), root)
+    return root
+
+
+@query(f"""WITH {_PAGE_FILES}, g AS (SELECT doc_id, min(page_index) AS gap FROM f WHERE NOT img GROUP BY doc_id)
+SELECT doc_id, page_index, CASE WHEN txt THEN regexp_replace(html, '\\r\\n|\\r|\\n', ' ', 'g') ELSE '' END AS text FROM f LEFT JOIN g USING (doc_id) WHERE img AND (gap IS NULL OR page_index < gap)""")
+def page_store_scan(spark, sf):
+    """Page files, read up to each document's first page without an image."""
+    return PS.contents(spark, page_files(spark, sf)).select("doc_id", "page_index", "text")
+
+
+@query(f"""WITH {_PAGE_FILES}, r AS (SELECT doc_id, page_index FROM f UNION ALL SELECT doc_id, 77 FROM f WHERE page_index = 0)
+SELECT doc_id || '.pdf' AS doc_id, page_index, CASE WHEN txt THEN html END AS page_text, CASE WHEN txt THEN text_path END AS page_text_path, coalesce(txt, false) AS has_page_text, coalesce(img, false) AS has_page_image FROM r LEFT JOIN f USING (doc_id, page_index)""")
+def page_store_requests(spark, sf):
+    """Asked pages with the first of each's places that exists; one page in seven of each document isn't there."""
+    root, i = page_files(spark, sf), F.col("page_id")
+    p = B.table(spark, sf, "pages").select(F.format_string("doc%d.pdf", F.floor(i / 6)).alias("doc_id"), F.pmod(i, F.lit(6)).cast("int").alias("page_index"))
+    asked = p.unionByName(p.filter("page_index = 0").withColumn("page_index", F.lit(77)))
+    return PS.requested(spark, root, asked).drop("page_image_path")
+
+
+@query(f"WITH {_PAGE_FILES} SELECT doc_id, list(page_index ORDER BY page_index) AS pages FROM f WHERE txt OR img GROUP BY doc_id")
+def page_discovery(spark, sf):
+    return PS.discovered(spark, page_files(spark, sf))
+
+
+_SAYS = """CASE doc_id % 9 WHEN 6 THEN 'missing_message_content' WHEN 7 THEN 'http_response_not_json' WHEN 8 THEN 'message_content_not_json' END"""
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 9 < 6 THEN doc_id END AS n, CASE WHEN doc_id % 9 < 6 THEN coalesce(text, '') || ' }}{{" \\' END AS t, {_SAYS} AS failure FROM documents""")
+def parsed_responses(spark, sf):
+    """Responses made of whole documents: answers without a message, two objects, fences, chat completions, pieces that aren't JSON, and three kinds of failure."""
+    o = F.to_json(F.struct(F.col("doc_id").alias("n"), F.concat(F.coalesce("text", F.lit("")), F.lit(' }{" \\')).alias("t")))
+    chat = lambda content: F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices")))
+    part = lambda c: F.struct(F.lit("text").alias("type"), c.alias("text"))
+    direct = F.concat(F.lit('{"doc_id": "d", "page_index": 0, "artifacts": [], '), F.substring(o, 2, 1 << 30))
+    forms = [
+        direct, F.concat(F.lit('Here it is: '), o, F.lit(' and {"n": -1, "t": "x"}')), F.concat(F.lit("```json\n"), o, F.lit("\n```")), chat(o),
+        chat(F.array(part(F.substring(o, 1, 20)), part(F.expr("''")), part(F.substring(o, 21, 1 << 30)))), F.concat(F.lit('{not json {neither}} then "{" '), F.lit('{"open": '), o),
+        F.lit("[1, 2]"), F.lit("no object at all"), chat(F.lit("only words")),
+    ]
+    said = F.element_at(F.array(*forms), (F.pmod("doc_id", F.lit(9)) + 1).cast("int"))
+    d = B.documents(spark, sf).select("doc_id", A.response_body(said).alias("r"))
+    return d.select("doc_id", F.from_json("r.object", "n long, t string").alias("x"), "r.failure").select("doc_id", "x.n", "x.t", "failure")
