@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.operators.tables import numbered
+from folioflow.sources.sinks import work_folder
+
 #: Issues that deduplication doesn't mend.
 BLOCKING_ISSUES = ["source_anchor_not_found", "provenance_source_not_found", "forbidden_field", "missing_required_field"]
 
@@ -84,8 +87,8 @@ def issue_attribution(issues: DataFrame, artifacts: DataFrame, content_key: list
     return j.select("n_issues", F.transform("k", lambda x: F.concat_ws(":", x["issue"], x["n"].cast("string"))).alias("kinds"), "n_pages", "n_duplicate", "id_copies", "content_copies", blocking.alias("blocking"), mends.alias("deduplication_applicable"))
 
 
-def atomic_coverage(candidates: DataFrame, cells: DataFrame, excluded: DataFrame | None = None, least: int = 2) -> DataFrame:
-    """(doc_id, page_index, n_pairs, retrieval_score, target_records, score, position): pages that atomic cells would cover, best first.
+def atomic_coverage(candidates: DataFrame, cells: DataFrame, excluded: DataFrame | None = None, least: int = 2, most: int | None = None) -> DataFrame:
+    """(doc_id, page_index, n_pairs, retrieval_score, target_records, score, position): pages that atomic cells would cover, best first; with ``most`` so many.
 
     ``candidates``: (record, doc_id, page_index, score), pages that records retrieved; ``cells``: (doc_id, page_index, n_cells, n_facts).
     A page's pairs count ten each, retrieval adds up, and further records count two each.
@@ -98,7 +101,8 @@ def atomic_coverage(candidates: DataFrame, cells: DataFrame, excluded: DataFrame
     score = F.round(10.0 * F.col("n_pairs") + F.round("retrieval_score", 6) + F.when(n > 1, 2.0 * n).otherwise(0.0), 6)
     j = j.select("doc_id", "page_index", "n_pairs", F.round("retrieval_score", 6).alias("retrieval_score"), "target_records", score.alias("score"))
     order = [F.desc(F.size("target_records")), F.desc("score"), F.asc("doc_id"), F.asc("page_index")]
-    return j.orderBy(*order).limit(200).withColumn("position", F.row_number().over(Window.orderBy(*order)))  # a bounded report
+    placed, _ = numbered(j if most is None else j.orderBy(*order).limit(most), order, work_folder(j.sparkSession, "coverage"), "position")
+    return placed.withColumn("position", (F.col("position") + 1).cast("int"))
 
 
 def activation(candidates: DataFrame, eligible: DataFrame, top_k: int) -> DataFrame:

@@ -109,8 +109,8 @@ def questions(spark, sf_dir) -> DataFrame:
 
 
 def contexts(spark, sf_dir) -> DataFrame:
-    """(query, page_text): the starts of the pages of a question's document; each third document opens with a heading."""
-    shown = F.substring(compact(F.coalesce("text", F.lit(""))), 1, 300)
+    """(query, page_text): the pages of a question's document, whole; each third document opens with a heading."""
+    shown = compact(F.coalesce("text", F.lit("")))
     pages = doc_pages(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_index", shown.alias("t")))).alias("p"))
     heading = F.when(F.pmod("query", F.lit(3)) == 0, "Net income and total assets of children and older people. ").otherwise("")
     q = questions(spark, sf_dir).join(pages, "doc_id")
@@ -227,4 +227,4 @@ qs AS (SELECT item_id AS query, 'd' || item_id AS doc_id,
 
 CONTEXTS = r"""
 cx AS (SELECT query, CASE WHEN query % 3 = 0 THEN 'Net income and total assets of children and older people. ' ELSE '' END || page_text AS page_text FROM qs
-  JOIN (SELECT 'd' || (doc_id // 4) AS doc_id, string_agg(substr(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), 1, 300), ' ' ORDER BY doc_id % 4) AS page_text FROM documents GROUP BY 1) USING (doc_id))"""
+  JOIN (SELECT 'd' || (doc_id // 4) AS doc_id, string_agg(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), ' ' ORDER BY doc_id % 4) AS page_text FROM documents GROUP BY 1) USING (doc_id))"""

@@ -70,7 +70,7 @@ def audit_deltas(spark, sf):
     return C.audit_deltas(C.audit_summary(q.filter("number % 2 = 0"), kept), C.audit_summary(q, kept))
 
 
-@query(f"""WITH {B.ARTIFACTS}, i AS (SELECT doc_id, page_index, CASE WHEN number % 11 = 0 THEN 'missing_required_field' WHEN has_bbox THEN 'duplicate_artifact' ELSE 'missing_bbox' END AS issue FROM art WHERE number % 3 = 0),
+@query(f"""WITH {B.ARTIFACTS}, i AS (SELECT doc_id, page_index, CASE WHEN number % 11 = 0 THEN 'missing_required_field' WHEN has_bbox THEN 'duplicate_artifact' ELSE 'missing_bbox' END AS issue FROM art),
 k AS (SELECT list(issue || ':' || n ORDER BY issue) AS kinds, list(issue ORDER BY issue) AS names FROM (SELECT issue, count(*) AS n FROM i GROUP BY issue)), s AS (SELECT count(*) AS n_issues, count(DISTINCT (doc_id, page_index)) AS n_pages, count(*) FILTER (issue = 'duplicate_artifact') AS n_duplicate FROM i),
 a AS (SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS id_copies FROM (SELECT count(*) AS c FROM art GROUP BY doc_id, page_index, artifact_id)), c AS (SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS content_copies FROM (SELECT count(*) AS c FROM art GROUP BY doc_id, page_index, source_id, content))
 SELECT n_issues, kinds, n_pages, n_duplicate, id_copies, content_copies, list_filter(names, lambda x: x IN ({", ".join(f"'{x}'" for x in C.BLOCKING_ISSUES)})) AS blocking,
@@ -78,7 +78,7 @@ SELECT n_issues, kinds, n_pages, n_duplicate, id_copies, content_copies, list_fi
 def issue_attribution(spark, sf):
     a = B.artifacts(spark, sf)
     kind = F.when(F.pmod("number", F.lit(11)) == 0, "missing_required_field").when(F.col("has_bbox"), "duplicate_artifact").otherwise("missing_bbox")
-    return C.issue_attribution(a.filter("number % 3 = 0").select("doc_id", "page_index", kind.alias("issue")), a, ["source_id", "content"])
+    return C.issue_attribution(a.select("doc_id", "page_index", kind.alias("issue")), a, ["source_id", "content"])
 
 
 @query(f"""WITH {B.ARTIFACTS}, {B.QUESTIONS}, ce AS (SELECT doc_id, page_index, least(count(*) FILTER (artifact_type IN ('table_cell', 'table')), count(*) FILTER (artifact_type IN ('numeric_fact', 'text_span'))) AS n_pairs FROM art GROUP BY ALL),
@@ -86,7 +86,7 @@ ca AS (SELECT query % 7 AS record, 'd' || (query % 10) AS doc_id, page_index, ro
 g AS (SELECT doc_id, page_index, sum(score) AS s, list_sort(list(DISTINCT record)) AS target_records FROM ca GROUP BY ALL), x AS (SELECT doc_id, page_index FROM art WHERE number % 13 = 1),
 j AS (SELECT doc_id, page_index, n_pairs, round(s, 6) AS retrieval_score, target_records, round(10.0 * n_pairs + round(s, 6) + CASE WHEN len(target_records) > 1 THEN 2.0 * len(target_records) ELSE 0.0 END, 6) AS score FROM g JOIN ce USING (doc_id, page_index)
   WHERE n_pairs >= 1 AND (doc_id, page_index) NOT IN (SELECT (doc_id, page_index) FROM x))
-SELECT *, CAST(row_number() OVER (ORDER BY len(target_records) DESC, score DESC, doc_id, page_index) AS INT) AS position FROM j QUALIFY position <= 200""")
+SELECT *, CAST(row_number() OVER (ORDER BY len(target_records) DESC, score DESC, doc_id, page_index) AS INT) AS position FROM j""")
 def atomic_coverage(spark, sf):
     """Pages by the pairs of cells and facts on them and by the records that retrieved them."""
     a = B.artifacts(spark, sf)

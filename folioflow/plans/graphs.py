@@ -76,15 +76,15 @@ def graph_edge_records(spark, sf):
     return G.anchored_edges(B.artifacts(spark, sf))
 
 
-@query(f"""WITH {B.POOLS}, {B.ARTIFACTS}, r AS (SELECT query, item FROM ord WHERE rank <= 3), n AS (SELECT DISTINCT query, {_NODE} AS node FROM r JOIN art ON number = item AND block_no < 2)
+@query(f"""WITH {B.POOLS}, {B.ARTIFACTS}, r AS (SELECT query, item FROM ord WHERE rank <= 3), n AS (SELECT DISTINCT query, {_NODE} AS node FROM r JOIN art ON number = item)
 SELECT a.query, a.node AS source, b.node AS target FROM n a JOIN n b ON a.query = b.query AND a.node < b.node""")
 def graph_debug_pairs(spark, sf):
-    """Pairs of the artifacts (of the first two blocks) of the three pages that a query found."""
+    """Pairs of the artifacts of the three pages that a query found."""
     from folioflow.operators import retrieval as R
 
     found = R.bm25_topk(B.asked(spark, sf), B.items(spark, sf), 3).select("query", "item")
     a = B.artifacts(spark, sf)
-    ids = a.filter("block_no < 2").select(F.col("number").alias("item"), "artifact_id")
+    ids = a.select(F.col("number").alias("item"), "artifact_id")
     return G.debug_edges(found.join(ids, "item").select("query", "artifact_id"), a)
 
 

@@ -54,19 +54,21 @@ def csv_round_trip(spark, sf):
     return R.read_csv(spark, path)
 
 
-@query("SELECT 'd' || (doc_id // 4) AS doc_id, CAST(doc_id % 4 AS INT) AS page_index FROM documents WHERE doc_id < 60 AND doc_id % 4 < 2")
+@query("SELECT 'd' || (doc_id // 4) AS doc_id, CAST(doc_id % 4 AS INT) AS page_index FROM documents WHERE doc_id % 4 < 2")
 def selected_pages_scan(spark, sf):
     """A selection of pages that keeps its caps."""
     path = S.work_folder(spark, "pages")
-    S.write_csv(B.doc_pages(spark, sf).filter("number < 60 AND page_index < 2"), path, ["doc_id", "page_index"])
-    return R.read_selected_pages(spark, path, max_pages=30, max_docs=15, per_doc=2)
+    chosen = B.doc_pages(spark, sf).filter("page_index < 2").select("doc_id", "page_index")
+    S.write_csv(chosen, path, ["doc_id", "page_index"])
+    n = chosen.agg(F.count("*").alias("pages"), F.count_distinct("doc_id").alias("docs")).first()
+    return R.read_selected_pages(spark, path, max_pages=n.pages, max_docs=n.docs, per_doc=2)
 
 
-@query(f"""WITH {B.ARTIFACTS}, o AS (SELECT *, row_number() OVER (ORDER BY artifact_id) - 1 AS input_order FROM art WHERE block_no = 0)
+@query(f"""WITH {B.ARTIFACTS}, o AS (SELECT *, row_number() OVER (ORDER BY artifact_id) - 1 AS input_order FROM art)
 SELECT CASE WHEN number % 7 = 0 THEN printf('artifact_%06d', input_order + 1) ELSE artifact_id END AS artifact_id, doc_id, page_index, CAST(input_order AS BIGINT) AS input_order FROM o""")
 def artifact_scan(spark, sf):
     """Artifacts as sorted JSON lines, some without an id, scanned with their line numbers."""
-    a = B.artifacts(spark, sf).filter("block_no = 0")
+    a = B.artifacts(spark, sf)
     a = a.select(F.col("artifact_id").alias("_by"), F.when(F.pmod("number", F.lit(7)) != 0, F.col("artifact_id")).alias("artifact_id"), "doc_id", "page_index")
     path = S.work_folder(spark, "artifacts")
     S.write_jsonl(a, path, ["_by"])
