@@ -26,10 +26,18 @@ BLOCK = 1 << 20
 FILE, ROW = "_file", "_row"
 
 
+def _scans_parquet(plan) -> bool:
+    """Whether a plan is columns and filters over one scan of Parquet files, so that its rows are rows of these."""
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation" and plan.relation().fileFormat().toString() == "Parquet"
+
+
 def readable(df: DataFrame) -> DataFrame:
-    """``df`` itself if its rows are those of files, else a written copy."""
+    """``df`` itself if each of its rows is one row of a Parquet file, else a written copy."""
     plan = df._jdf.queryExecution().analyzed()
-    return df if "_metadata" in plan.metadataOutput().mkString(" ") else materialize(df, "rows")
+    there = "_metadata" in plan.metadataOutput().mkString(" ")
+    return df if there and _scans_parquet(plan) else materialize(df, "rows")
 
 
 def placed(df: DataFrame) -> DataFrame:
