@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioflow.operators import digests as M
 from folioflow.operators import passages as X
+from folioflow.operators import ranking as K
 from folioflow.operators import retrieval as T
 from folioflow.operators import vectors as V
 from folioflow.plans import bindings as B
@@ -111,3 +113,45 @@ def late_interaction_topk(spark, sf):
 def vector_index_topk(spark, sf):
     """The same through the stored index: exact scores of the pages that it finds (a test holds its recall against the exact query)."""
     return V.top_k(spark, vector_index(spark, sf), vector_queries(spark, sf), 5)
+
+
+@query("""WITH c AS (SELECT doc_id FROM documents WHERE doc_id % 97 = 5 OR doc_id % 211 = 9 OR (doc_id % 307 = 11)) SELECT DISTINCT (doc_id // 64) * 64 AS first_key, (doc_id // 64) * 64 + 63 AS last_key FROM c""")
+def runs_that_differ(spark, sf):
+    """Two runs' stored digests name the key ranges in which rows were changed, lost or there twice."""
+    d, root = B.table(spark, sf, "documents"), S.work_folder(spark, "digests")
+    i = F.col("doc_id")
+    other = d.filter("doc_id % 211 <> 9").withColumn("n_chars", F.when(i % 97 == 5, F.col("n_chars") + 1).otherwise(F.col("n_chars")))
+    other = other.unionByName(other.filter("doc_id % 307 = 11"))
+    for name, run in (("one", d), ("two", other.repartition(5))):
+        M.write(run, "doc_id", f"{root}/{name}")
+    return M.differing(M.read(spark, f"{root}/one"), M.read(spark, f"{root}/two"))
+
+
+def _unrolled(steps: int) -> str:
+    """Each seed in turn raises its neighbours, from the scores that the seeds before it have left."""
+    out = []
+    for k in range(1, steps + 1):
+        out.append(f"""s{k} AS (SELECT p.query, p.page_index, CASE WHEN abs(p.page_index - o.page_index) = 1 THEN greatest(p.score, round(0.85 * o.score + 0.15 * p.a, 8)) ELSE p.score END AS score, p.a
+  FROM s{k - 1} p JOIN rk USING (query) JOIN s{k - 1} o ON o.query = p.query AND o.page_index = rk.page_index WHERE rk.n = {k}
+  UNION ALL SELECT * FROM s{k - 1} WHERE query NOT IN (SELECT query FROM rk WHERE n = {k}))""")
+    return ", ".join(out)
+
+
+@query(f"""WITH {B.ARTIFACTS}, c AS (SELECT number, least(1.0, count(*) / 10.0) AS a FROM art GROUP BY number),
+s0 AS (SELECT item_id AS query, CAST(d.doc_id % 4 AS INT) AS page_index, round(1.0 / (1 + (d.doc_id % 4 * 7 + item_id) % 4), 6)::DOUBLE AS score, coalesce(a, 0.0)::DOUBLE AS a FROM benchmark JOIN documents d ON d.doc_id // 4 = item_id LEFT JOIN c ON number = d.doc_id),
+rk AS (SELECT query, page_index, row_number() OVER (PARTITION BY query ORDER BY score, page_index) AS n FROM s0), {_unrolled(4)}
+SELECT query, page_index, round(score, 6) AS score FROM s4""")
+def propagation_in_order(spark, sf):
+    """The pages of each question's document, lowest score first, pass their scores on seed after seed: a raised page passes on more."""
+    a = B.artifacts(spark, sf).groupBy("number").agg(F.least(F.lit(1.0), F.count("*") / 10.0).alias("a"))
+    q = B.table(spark, sf, "benchmark").select(F.col("item_id").alias("query"))
+    n = F.col("doc_id")
+    pages = B.table(spark, sf, "documents").select(n.alias("number"), F.floor(n / 4).alias("query"), F.pmod(n, F.lit(4)).cast("int").alias("page"))
+    pages = q.join(pages, "query").join(a, "number", "left").withColumn("score", F.round(1.0 / (1 + F.pmod(F.col("page") * 7 + F.col("query"), F.lit(4))), 6))
+    g = pages.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("score", "page"))).alias("s"), F.map_from_entries(F.collect_list(F.struct("page", F.coalesce("a", F.lit(0.0)).alias("a")))).alias("own"))
+    held = F.transform("s", lambda x: x["page"])
+    near = F.map_from_entries(F.transform(held, lambda p: F.struct(p, F.filter(F.array(p - 1, p + 1), lambda o: F.array_contains(held, o)))))
+    seeds = F.transform("s", lambda x: F.struct(x["page"].alias("page"), x["score"].alias("score")))
+    out = g.withColumn("near", near).withColumn("seeds", seeds)
+    out = out.select("query", K.propagated_in_order(out, F.col("seeds"), F.col("near"), F.col("own")).alias("m"))
+    return out.select("query", F.explode("m").alias("page_index", "score")).withColumn("score", F.round("score", 6))

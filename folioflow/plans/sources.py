@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioflow.operators import file_audit as FA
 from folioflow.operators import graph as G
 from folioflow.operators import responses as A
 from folioflow.plans import bindings as B
@@ -203,3 +204,27 @@ def parsed_responses(spark, sf):
     said = F.element_at(F.array(*forms), (F.pmod("doc_id", F.lit(9)) + 1).cast("int"))
     d = B.documents(spark, sf).select("doc_id", A.response_body(said).alias("r"))
     return d.select("doc_id", F.from_json("r.object", "n long, t string").alias("x"), "r.failure").select("doc_id", "x.n", "x.t", "failure")
+
+
+#: Lines of documents that leak, by the number's remainder: a key and one that looks alike, a key in a list, a fragment, a payload's key and a fragment, a payload.
+_LEAKS = [
+    '{"answer": "x", "meta": {"no_answer_generation": true}}', '{"items": [{"k": 1}, {"image_path": "a", "b": [{"gold_page": 1}]}]}', '{"note": "see FILE:///tmp/x"}',
+    '{"meta": {"base64": ""}, "list": ["a", "data:image/png"]}', '{"held": "' + "QUJD" * 30 + '"}',
+]
+
+
+@query(f"""WITH l AS (SELECT doc_id, text, 'part' || (doc_id // 50) || '.jsonl' AS file, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) AS n FROM documents),
+v AS (SELECT file, n, unnest(CASE doc_id % 6 WHEN 1 THEN [('', 'field:answer')] WHEN 2 THEN [('.items[1]', 'field:image_path'), ('.items[1].b[0]', 'field:gold_page')] WHEN 3 THEN [('.note', 'content:file://')]
+    WHEN 4 THEN [('.meta', 'field:base64'), ('.list[1]', 'content:data:image')] WHEN 5 THEN [('.held', 'content:base64_payload')] ELSE [] END) AS x FROM l),
+own AS (SELECT file, n, f FROM l, (VALUES ('file://'), ('/home/'), ('data:image')) t(f) WHERE doc_id % 6 = 0 AND contains(lower(coalesce(text, '')), f)),
+a AS (SELECT file, 'line:' || n || x[1] AS location, 'forbidden_' || x[2] AS reason FROM v UNION ALL SELECT file, 'line:' || n || '.text', 'forbidden_content:' || f FROM own)
+SELECT * FROM a UNION ALL SELECT DISTINCT file, NULL, reason FROM a WHERE reason IN ('forbidden_content:file://', 'forbidden_content:/home/', 'forbidden_content:data:image')""")
+def file_audit(spark, sf):
+    """Whole documents and lines that leak, fifty a file, written, read back and audited."""
+    root, n = S.work_folder(spark, "public"), F.col("doc_id")
+    clean = F.to_json(F.struct(n.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    line = F.element_at(F.array(clean, *map(F.lit, _LEAKS)), (F.pmod(n, F.lit(6)) + 1).cast("int"))
+    d = B.table(spark, sf, "documents").select(F.format_string("part%d.jsonl", F.floor(n / 50)).alias("path"), F.struct(n.alias("n"), line.alias("line")).alias("x"))
+    files = d.groupBy("path").agg(F.array_sort(F.collect_list("x")).alias("x")).select("path", F.array_join(F.transform("x", lambda x: x["line"]), "\n").cast("binary").alias("content"))
+    PS.write(files, root)
+    return FA.audit(spark, root)

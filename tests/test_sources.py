@@ -7,6 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from folioflow.operators import file_audit as FA
 from folioflow.operators import responses as A
 from folioflow.sources import page_store as PS
 
@@ -149,3 +150,39 @@ def test_response_columns(spark):
     df = spark.createDataFrame([('x {"b": 1, "a": "é"} {"c": 2}',), (None,), ("[1]",)], "t string")
     got = df.select(A.first_object(F.col("t")).alias("x")).collect()
     assert [tuple(r.x) for r in got] == [('{"a": "é", "b": 1}', None), (None, "json_like_block_absent"), (None, "json_not_object")]
+
+
+# ---- audit over files ----------------------------------------------------------------------------
+
+
+def test_file_audit(spark, tmp_path):
+    payload = "QUJD" * 30
+    files = {
+        "a.jsonl": '{"ok": 1}\n\n{"answer": {"text": "file:///x and /HOME/y"}}\n[{"k": [1, {"api_token": ""}]}]\n',
+        "sub/broken.jsonl": '{"gold_page": 1}\nnot json, but an answer\n{"gold_pages": 2}\n',
+        "b.json": json.dumps({"no_answer_generation": True, "list": ["x", "data:image/png", payload], "answers": []}, indent=1),
+        "c.json": "{broken: raw_output}",
+        "d.md": f"The answers are not my_answer.\nraw-response /home/x\n{payload}\n",
+        "e.txt": f"sha256 {payload}\nnothing\n", "skipped.bin": "answer", "empty.jsonl": "", "odd name +%.txt": "gold_evidence",
+    }
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    (tmp_path / "f.csv").write_bytes(b"a,\xff\n")
+    want = {
+        ("a.jsonl", None, "forbidden_content:file://"), ("a.jsonl", None, "forbidden_content:/home/"), ("a.jsonl", "line:3", "forbidden_field:answer"), ("a.jsonl", "line:3.answer.text", "forbidden_content:file://"),
+        ("a.jsonl", "line:3.answer.text", "forbidden_content:/home/"), ("a.jsonl", "line:4[0].k[1]", "forbidden_field:api_token"),
+        ("sub/broken.jsonl", "line:1", "forbidden_field:gold_page"), ("sub/broken.jsonl", None, "forbidden_text:gold_page"), ("sub/broken.jsonl", None, "forbidden_text:answer"), ("sub/broken.jsonl", None, "forbidden_text:gold_pages"),
+        ("b.json", None, "forbidden_content:data:image"), ("b.json", "json.list[1]", "forbidden_content:data:image"), ("b.json", "json.list[2]", "forbidden_content:base64_payload"), ("b.json", "json", "forbidden_field:answers"),
+        ("c.json", None, "forbidden_text:raw_output"), ("d.md", None, "forbidden_text:answers"), ("d.md", None, "forbidden_content:/home/"), ("d.md", None, "forbidden_text:base64_payload"),
+        ("odd name +%.txt", None, "forbidden_text:gold_evidence"), ("f.csv", None, "non_utf8_public_text"),
+    }
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (old, "60"):  # whole files, and files in splits
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = [(r.file, r.location, r.reason) for r in FA.audit(spark, str(tmp_path)).collect()]
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert set(got) == want and len(got) == len(want)
+    assert FA.audit(spark, f"{tmp_path}/none").collect() == []

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import STOPWORDS
+from folioflow.operators import digests as D
 from folioflow.operators import passages as X
 from folioflow.operators import vectors as V2
 from folioflow.sources import versions as V
@@ -226,3 +227,23 @@ def test_recall_of_the_vector_index(spark):
     found = {(r["query"], r.page): r.score for r in I.vector_index_topk(spark, sf).collect()}
     both = exact.keys() & found.keys()
     assert len(both) >= 0.9 * len(exact) and all(exact[k] == found[k] for k in both)
+
+
+# ---- digests -------------------------------------------------------------------------------------
+
+
+def test_digests_name_what_differs(spark, tmp_path):
+    rows = [(i, f"v{i}", i % 3 if i % 5 else None) for i in range(-3000, 30_000, 3)] + [(None, "x", 1)]
+    a = spark.createDataFrame(rows, "k long, v string, n int")
+    D.write(a, "k", f"{tmp_path}/a")
+    first = D.read(spark, f"{tmp_path}/a")
+    same = D.tree(a.select("n", "v", "k").orderBy(F.desc("v")).repartition(3), "k")
+    assert D.differing(first, same).collect() == []
+    changes = {0: ("v0", None), 2997: ("other", 0), -3000: ("v-3000", 7), 29_997: None}
+    other = [(k, *changes[k]) if k in changes and changes[k] else (k, v, n) for k, v, n in rows if k not in changes or changes[k]]
+    other = [r for r in other if r[0] != 300] + [(None, "x", 1), (301, "fresh", None)]
+    got = {tuple(r) for r in D.differing(first, D.tree(spark.createDataFrame(other, "k long, v string, n int"), "k")).collect()}
+    changed = {k for k, *_ in set(rows) ^ set(other)} | {None}
+    assert got == {(None, None) if k is None else (k // 64 * 64, k // 64 * 64 + 63) for k in changed}
+    none = D.tree(a.limit(0), "k")
+    assert D.differing(none, none).collect() == [] and D.differing(none, first).count() == len({None if k is None else k // 64 for k, *_ in rows})
