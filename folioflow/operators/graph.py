@@ -149,21 +149,23 @@ def direct_neighbours(edges_: DataFrame) -> DataFrame:
     return e.select(F.col("source").alias("node"), F.col("target").alias("neighbour")).union(e.select("target", "source")).distinct()
 
 
-def page_neighbours(edges_: DataFrame) -> DataFrame:
-    """(node, neighbour): artifacts on an artifact's page or on a page next to it."""
+def page_neighbours(edges_: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(node, neighbour): artifacts on an artifact's page or on a page next to it; with ``of`` (node) those of the nodes named, from which it starts."""
     on = edges_.filter("edge_type = 'located_on_page'").select(F.col("source").alias("artifact"), F.col("target").alias("page"))
     step = edges_.filter("edge_type = 'adjacent_page'").select("source", "target")
     near = on.select("page", F.col("page").alias("near")).distinct().union(step).union(step.select("target", "source"))
-    reach = on.withColumnRenamed("artifact", "node").join(near, "page")
+    start = on.withColumnRenamed("artifact", "node")
+    reach = (start if of is None else start.join(of, "node", "left_semi")).join(near, "page")
     other = on.select(F.col("artifact").alias("neighbour"), F.col("page").alias("near"))
     return reach.join(other, "near").filter("node <> neighbour").select("node", "neighbour").distinct()
 
 
-def anchor_neighbours(edges_: DataFrame) -> DataFrame:
-    """(node, neighbour): artifacts supported by the same anchor."""
+def anchor_neighbours(edges_: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(node, neighbour): artifacts supported by the same anchor; with ``of`` (node) those of the nodes named, from which it starts."""
     by = edges_.filter("edge_type = 'supported_by_anchor'")
+    start = by.select(F.col("source").alias("node"), F.col("target").alias("anchor"))
     return (
-        by.select(F.col("source").alias("node"), F.col("target").alias("anchor"))
+        (start if of is None else start.join(of, "node", "left_semi"))
         .join(by.select(F.col("source").alias("neighbour"), F.col("target").alias("anchor")), "anchor")
         .filter("node <> neighbour").select("node", "neighbour").distinct()
     )

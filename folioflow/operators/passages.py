@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import scoring
 from folioflow.functions.text import tokens
 from folioflow.operators.retrieval import ranked
-from folioflow.sources.sinks import work_folder
+from folioflow.sources.sinks import kept
 
 RANGE = 64
 SEEDS = 8
@@ -119,13 +119,6 @@ def _by_pool(left: DataFrame, right: DataFrame) -> DataFrame:
     return named.unionByName(left.filter("pool IS NULL").join(r, same)).drop("_pool", "_term")
 
 
-def _kept(df: DataFrame, tag: str) -> DataFrame:
-    """A written copy: what several steps of a search read is worked out once."""
-    spark, path, schema = df.sparkSession, work_folder(df.sparkSession, tag), df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 class Search:
     """The steps of a search, for its result and for counts of what it reads.
 
@@ -143,7 +136,7 @@ class Search:
         asked = self.queries.select("query", "pool", F.explode(tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query", "pool", "term").agg(F.count("*").alias("qtf"))
         df = _by_pool(asked, spark.read.parquet(f"{folder}/terms")).groupBy("query", "pool", "term", "qtf").agg(F.sum("df").alias("df"))
         stats = statistics(spark, folder).withColumnRenamed("pool", "_pool")
-        self.asked = _kept(df.join(stats, F.col("pool").eqNullSafe(F.col("_pool"))).drop("_pool"), "asked")
+        self.asked = kept(df.join(stats, F.col("pool").eqNullSafe(F.col("_pool"))).drop("_pool"), "asked")
         idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         heads = _by_pool(self.asked.select("query", "pool", "term", (F.col("qtf") * idf).alias("weight")), blocks.select("pool", "term", "range", F.col("n").alias("held"), "impact", "impact_all"))
         impact = F.when(F.col("pool").isNull(), F.col("impact_all")).otherwise(F.col("impact"))
@@ -154,11 +147,11 @@ class Search:
             d = self.docs.select("number", F.col("pool").alias("_pool"), "item")
             listed = known.join(d, "item").filter("pool IS NULL OR pool = _pool").select("query", "number")
             self.bound = allowed.select("query").distinct()
-            self.allowed = listed = _kept(listed, "allowed")
+            self.allowed = listed = kept(listed, "allowed")
             near = listed.select("query", F.floor(F.col("number") / RANGE).cast("long").alias("range")).distinct()
             own = self.ranges.join(near, ["query", "range"], "left_semi")
             self.ranges = own.unionByName(self.ranges.join(self.bound, "query", "left_anti"))
-        self.ranges = _kept(self.ranges, "ranges")
+        self.ranges = kept(self.ranges, "ranges")
         self.seeds = ranked(self.ranges, ["query"], [F.desc("bound"), F.asc("range")], SEEDS, "_seed").select("query", "range", "held")
         self.blocks = blocks
 
@@ -177,7 +170,7 @@ class Search:
 
     def reached(self) -> tuple[DataFrame, DataFrame]:
         """(scores of the seeds' passages, the other ranges that can hold one of the first k)."""
-        first = _kept(self.scores(self.seeds), "scores")
+        first = kept(self.scores(self.seeds), "scores")
         least = ranked(first, ["query"], [F.desc("score"), F.asc("number")], self.k, "_r").filter(F.col("_r") == self.k).select("query", F.col("score").alias("least"))
         rest = self.ranges.join(self.seeds.select("query", "range"), ["query", "range"], "left_anti").join(least, "query", "left")
         return first, rest.filter(F.col("least").isNull() | (F.col("bound") + 1e-6 >= F.col("least"))).select("query", "range", "held")

@@ -108,10 +108,16 @@ def questions(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(i.alias("query"), F.concat(F.lit("d"), i.cast("string")).alias("doc_id"), text.alias("question"))
 
 
+def asked_pages(spark, sf_dir) -> DataFrame:
+    """(number): the pages of the documents that questions ask; chosen before anything is made of pages."""
+    i = F.col("item_id")
+    return table(spark, sf_dir, "benchmark").select(F.explode(F.sequence(4 * i, 4 * i + 3)).alias("number")).distinct()
+
+
 def contexts(spark, sf_dir) -> DataFrame:
     """(query, page_text): the pages of a question's document, whole; each third document opens with a heading."""
     shown = compact(F.coalesce("text", F.lit("")))
-    pages = doc_pages(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_index", shown.alias("t")))).alias("p"))
+    pages = doc_pages(spark, sf_dir, asked_pages(spark, sf_dir)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_index", shown.alias("t")))).alias("p"))
     heading = F.when(F.pmod("query", F.lit(3)) == 0, "Net income and total assets of children and older people. ").otherwise("")
     q = questions(spark, sf_dir).join(pages, "doc_id")
     return q.select("query", F.concat(heading, F.array_join(F.transform("p", lambda x: x["t"]), " ")).alias("page_text"))

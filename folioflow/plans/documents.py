@@ -15,6 +15,8 @@ from folioflow.operators import pages as P
 from folioflow.operators import ranking as K
 from folioflow.operators import tables as J
 from folioflow.plans import bindings as B
+from folioflow.sources.sinks import kept
+
 
 QUERIES, ORACLE = {}, {}
 
@@ -316,7 +318,7 @@ def question_profile(spark, sf):
 
 def _guarded(spark, sf):
     p = Q.profile(B.questions(spark, sf))
-    c = Q.score_candidates(p, B.artifacts(spark, sf), ["doc_id"])
+    c = kept(Q.score_candidates(p, B.artifacts(spark, sf, B.asked_pages(spark, sf)), ["doc_id"]), "candidates")
     return p, c, *Q.decide(c, p, "query", contexts=B.contexts(spark, sf))
 
 

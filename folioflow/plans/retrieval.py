@@ -15,6 +15,7 @@ from folioflow.operators import ranking as K
 from folioflow.operators import retrieval as R
 from folioflow.plans import bindings as B
 from folioflow.plans import documents as D
+from folioflow.sources.sinks import kept
 
 QUERIES, ORACLE = {}, {}
 
@@ -64,7 +65,7 @@ def hybrid_topk(spark, sf):
     q = B.questions(spark, sf)
     said = F.concat_ws(" ", "content", "artifact_type", "modality", F.coalesce("row_label", F.lit("")), F.coalesce("column_label", F.lit("")))
     # only documents that some question asks are ranked; the prior is a share of the largest degree of the whole graph
-    c = B.classified(spark, sf).join(q.select("doc_id").distinct(), "doc_id", "left_semi")
+    c = B.classified(spark, sf, B.asked_pages(spark, sf))
     lexical = R.bm25(q.select("query", F.col("doc_id").alias("pool"), F.col("question").alias("text")), c.select(F.col("doc_id").alias("pool"), F.col("artifact_id").alias("item"), said.alias("text")))
     meta = tokens(F.concat_ws(" ", "artifact_type", "modality", "status"))
     kind = tokens(F.concat_ws(" ", "artifact_type", "modality"))
@@ -127,7 +128,7 @@ SELECT mode, query, branch, page_index, final, CAST(position AS INT) AS position
 @query(_RERANK)
 def rerank_lambda_blend(spark, sf):
     keys = ["query", "branch"]
-    b = K.branch_scores(B.branches(spark, sf), keys)
+    b = kept(K.branch_scores(B.branches(spark, sf), keys), "branches")
     scored = B.artifact_scores(spark, sf, b.select("query", "page_index").distinct())
     return K.rerank_modes(K.with_artifact_scores(b, scored, keys), None, keys, K.MODES, 4)
 
@@ -195,8 +196,13 @@ def embedding_topk(spark, sf):
 _EDGES_SEED = "seed AS (SELECT query, 'artifact:' || doc_id || ':' || page_index || ':' || artifact_id AS node, row_number() OVER (PARTITION BY query ORDER BY artifact_id) AS rank FROM qs JOIN art USING (doc_id) WHERE artifact_type IN ('table_cell', 'caption', 'text_span'))"
 
 
-def _seeds(spark, sf):
-    a = B.artifacts(spark, sf).filter(F.col("artifact_type").isin("table_cell", "caption", "text_span"))
+def _asked_artifacts(spark, sf):
+    """Artifacts of the documents that questions ask, where the seeds and all that is near them lie."""
+    return kept(B.artifacts(spark, sf, B.asked_pages(spark, sf)), "asked-artifacts")
+
+
+def _seeds(spark, sf, artifacts=None):
+    a = (_asked_artifacts(spark, sf) if artifacts is None else artifacts).filter(F.col("artifact_type").isin("table_cell", "caption", "text_span"))
     node = T.node_id("artifact", F.col("doc_id"), F.col("page_index"), F.col("artifact_id"))
     s = B.questions(spark, sf).select("query", "doc_id").join(a.select("doc_id", "artifact_id", node.alias("node")), "doc_id")
     return R.ranked(s, ["query"], [F.asc("artifact_id")], 3).select("query", "node", "rank")
@@ -213,12 +219,16 @@ SELECT query, node, CAST(row_number() OVER (PARTITION BY query ORDER BY rank, fa
 
 @query(_expansion("SELECT DISTINCT a.node, b.node AS neighbour FROM x a JOIN x b ON a.doc_id = b.doc_id AND abs(a.page_index - b.page_index) <= 1 AND a.node <> b.node"))
 def expand_page_neighborhood(spark, sf):
-    return G.expand(_seeds(spark, sf), G.page_neighbours(G.edges(B.artifacts(spark, sf), context=False)))
+    a = _asked_artifacts(spark, sf)
+    s = _seeds(spark, sf, a)
+    return G.expand(s, G.page_neighbours(G.edges(a, context=False), s.select("node")))
 
 
 @query(_expansion("SELECT DISTINCT a.node, b.node AS neighbour FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.page_index = b.page_index AND a.source_id = b.source_id AND a.node <> b.node"))
 def expand_anchor(spark, sf):
-    return G.expand(_seeds(spark, sf), G.anchor_neighbours(G.edges(B.artifacts(spark, sf), context=False)))
+    a = _asked_artifacts(spark, sf)
+    s = _seeds(spark, sf, a)
+    return G.expand(s, G.anchor_neighbours(G.edges(a, context=False), s.select("node")))
 
 
 _FIRST = "SELECT *, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY artifact_id) AS n FROM x"
@@ -228,10 +238,10 @@ _FIRST = "SELECT *, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY
 def expand_direct(spark, sf):
     """Along edges that join two artifacts. The graph's own rules make none, so edges of a formal type are brought in: from the
     first artifact of each page to that of the next page."""
-    a = B.artifacts(spark, sf)
+    a = _asked_artifacts(spark, sf)
     first = a.groupBy("doc_id", "page_index").agg(F.min("artifact_id").alias("artifact_id"))
     node = T.node_id("artifact", F.col("doc_id"), F.col("page_index"), F.col("artifact_id"))
     w = Window.partitionBy("doc_id").orderBy("page_index")
     step = first.select(node.alias("source"), F.lead(node).over(w).alias("target"), (F.lead("page_index").over(w) - F.col("page_index")).alias("gap"))
     brought = step.filter("gap = 1").select("source", "target", F.lit("adjacent_page").alias("edge_type"))
-    return G.expand(_seeds(spark, sf), G.direct_neighbours(G.edges(a, context=False).unionByName(brought)))
+    return G.expand(_seeds(spark, sf, a), G.direct_neighbours(G.edges(a, context=False).unionByName(brought)))

@@ -80,3 +80,10 @@ def work_folder(spark: SparkSession, tag: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/folioflow-work"
     return f"{base.rstrip('/')}/sinks/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """A written copy in the shared folder: what several steps read is worked out once."""
+    spark, path, schema = df.sparkSession, work_folder(df.sparkSession, tag), df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
