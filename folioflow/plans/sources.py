@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioflow.operators import file_audit as FA
 from folioflow.operators import graph as G
+from folioflow.operators import grids as GR
 from folioflow.operators import responses as A
 from folioflow.plans import bindings as B
 from folioflow.plans import documents as D
@@ -228,3 +229,17 @@ def file_audit(spark, sf):
     files = d.groupBy("path").agg(F.array_sort(F.collect_list("x")).alias("x")).select("path", F.array_join(F.transform("x", lambda x: x["line"]), "\n").cast("binary").alias("content"))
     PS.write(files, root)
     return FA.audit(spark, root)
+
+
+@query("""WITH p AS (SELECT page_id, url, length(coalesce(html, '')) AS n FROM pages)
+SELECT page_id, 0 AS table_no, r AS row_index, c AS column_index, url AS row_label, CASE c WHEN 1 THEN 'size chars' WHEN 2 THEN 'size pages' ELSE 'id' END AS column_label,
+  CASE WHEN c = 1 THEN CAST(n + r AS VARCHAR) WHEN c = 2 THEN '1' ELSE 'p' || page_id END AS value_text
+FROM p, (VALUES (2, 1), (2, 2), (2, 3), (3, 1), (3, 2)) v(r, c)""")
+def html_table_cells(spark, sf):
+    """Whole pages, each with a table on its own url and size: two rows of headers, spans to the right and down."""
+    p = B.table(spark, sf, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html"), "url")
+    n, url = F.length("html"), F.replace("url", F.lit("&"), F.lit("&amp;"))
+    table = F.format_string(
+        "<table><tr><th rowspan=2>page<th colspan='2'>size</th><th rowspan=\"2\">id</th></tr><tr><th>chars<th>pages</tr><tr><td rowspan=0>%s<td>%d</td><td>1<td rowspan=2><b>p</b>%s<tr><td>%d<td>1</table>", url, n + 2, F.col("page_id").cast("string"), n + 3
+    )
+    return GR.table_cells(p.withColumn("html", F.concat("html", table)), ["page_id"], "html")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.operators import file_audit as FA
+from folioflow.operators import grids as GR
 from folioflow.operators import responses as A
 from folioflow.sources import page_store as PS
 
@@ -186,3 +187,36 @@ def test_file_audit(spark, tmp_path):
             spark.conf.set("spark.sql.files.maxPartitionBytes", old)
         assert set(got) == want and len(got) == len(want)
     assert FA.audit(spark, f"{tmp_path}/none").collect() == []
+
+
+# ---- tables of pages -----------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_grids_against_a_matrix(seed):
+    """Random spans: every place belongs to the cell that a plain matrix, filled cell by cell, gives it."""
+    rng = random.Random(seed)
+    for _ in range(200):
+        rows = [[(f"c{i}_{j}", rng.random() < 0.3, rng.choice([1, 1, 1, 2, 3, 0]), rng.choice([1, 1, 2, 3])) for j in range(rng.randint(0, 4))] for i in range(rng.randint(1, 5))]
+        html = "<table>" + "".join("<tr>" + "".join(f"<{(t := 'th' if h else 'td')} rowspan='{r}' colspan={c}>{x}</{t}>" for x, h, r, c in row) for row in rows) + "</table>"
+        assert GR.tables_of(html) == [rows]
+        taken = [[None] * 40 for _ in rows]
+        for i, row in enumerate(rows):
+            for x, _, r, c in row:
+                col = 0 if x.endswith("_0") else last  # noqa: F821
+                while taken[i][col]:
+                    col += 1
+                last = col + c
+                for y in range(i, len(rows) if r == 0 else min(len(rows), i + r)):
+                    for z in range(col, col + c):
+                        taken[y][z] = taken[y][z] or x
+        got = [[cells.get(c, (None,))[0] for c in range(40)] for cells in GR.grid(rows)]
+        assert got == taken
+
+
+def test_cells_of_tables(spark):
+    page = "<p>no<table><caption>x<tr><th>A<th>B &amp; C<tr><td>r1<td> 5 <script>7</td></script><br>6<tr><td>r2<td><table><tr><td>in</td><td>ner</table>out<tr><td>r3<td></table>end<table><tr><td>k<td>v<tr><td>a<td>1"
+    df = spark.createDataFrame([(1, page), (2, None), (3, "")], "page int, html string")
+    got = sorted(tuple(r)[1:] for r in GR.table_cells(df, ["page"], "html").collect())
+    assert got == [(0, 1, 1, "r1", "B & C", "5 6"), (0, 2, 1, "r2", "B & C", "out"), (2, 1, 1, "a", "v", "1")]
+    assert len(GR.cells_of("<table><tr><th>a<th>b" + "<tr><td rowspan=99999>x<td colspan=99999>y" * 30)) > 0
