@@ -48,7 +48,8 @@ def build(passages: DataFrame, folder: str) -> None:
     docs.write.parquet(f"{folder}/sorted")
     docs = spark.read.schema(docs.schema).parquet(f"{folder}/sorted")
     docs.select("number", "pool", "item", "length").write.parquet(f"{folder}/docs")
-    means = docs.groupBy(F.col("pool").alias("_pool")).agg(F.avg("length").alias("mean"))
+    docs.groupBy(F.col("pool").alias("_pool")).agg(F.avg("length").alias("mean")).write.parquet(f"{folder}/means")
+    means = spark.read.parquet(f"{folder}/means")  # a file whose size Spark knows: few pools are broadcast, and the passages stay where they lie
     everywhere = docs.agg(F.avg("length")).first()[0] or 1.0
 
     def write(batches):
@@ -83,7 +84,7 @@ def build(passages: DataFrame, folder: str) -> None:
         if terms:
             yield flush()
 
-    wide = docs.join(means, F.col("pool").eqNullSafe(F.col("_pool"))).select("pool", "number", "terms", "length", "mean").repartitionByRange(n, "number").sortWithinPartitions("number")
+    wide = docs.join(means, F.col("pool").eqNullSafe(F.col("_pool"))).select("pool", "number", "terms", "length", "mean").sortWithinPartitions("number")
     blocks = wide.mapInPandas(write, f"{_HEAD}, first long, gaps binary, counts binary, lengths binary")
     blocks.repartitionByRange(n, "term", "pool", "range").sortWithinPartitions("term", "pool", "range").write.parquet(f"{folder}/blocks")
     blocks = spark.read.parquet(f"{folder}/blocks")
