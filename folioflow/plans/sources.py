@@ -80,9 +80,10 @@ def artifact_scan(spark, sf):
 @query(f"""WITH {B.ARTIFACTS} SELECT doc_id, page_index, count(*) AS n_artifacts, min(artifact_id) AS first_artifact FROM art GROUP BY ALL""")
 def store_round_trip(spark, sf):
     """One nested document a document, written and scanned as a store."""
-    path = S.work_folder(spark, "store")
-    S.write_store(B.artifacts(spark, sf).select("doc_id", "page_index", "artifact_id", "artifact_type"), path)
-    pages = R.read_store(spark, path).select("doc_id", F.explode("pages").alias("p"))
+    path = S.work_folder(spark, "store") + ".jsonl"
+    artifacts = B.artifacts(spark, sf).select("doc_id", "page_index", "artifact_id", "artifact_type")
+    S.write_store(artifacts, path)
+    pages = R.read_store(spark, path, S.store(artifacts).schema).select("doc_id", F.explode("pages").alias("p"))
     ids = F.transform("p.artifacts", lambda a: a["artifact_id"])
     return pages.select("doc_id", F.col("p.page_index").cast("int").alias("page_index"), F.size("p.artifacts").cast("long").alias("n_artifacts"), F.array_min(ids).alias("first_artifact"))
 

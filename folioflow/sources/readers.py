@@ -152,9 +152,14 @@ def read_page_files(spark: SparkSession, folder: str) -> DataFrame:
     return pages.withColumn("_n", F.row_number().over(w) - 1).filter("page_index = _n").drop("_n")
 
 
-def read_store(spark: SparkSession, folder: str) -> DataFrame:
-    """All JSON documents of a folder, with their file names."""
-    return spark.read.json(f"{folder}/*.json", multiLine=True).withColumn("file_name", F.element_at(F.split(F.input_file_name(), "/"), -1))
+def read_store(spark: SparkSession, folder: str, schema: T.StructType | None = None) -> DataFrame:
+    """All JSON documents of a folder, with their file names: a line each if the folder is named ``.jsonl``, else a file each.
+
+    The folder is listed as one; without a ``schema`` all files are read once more, to find it.
+    """
+    scan = spark.read if schema is None else spark.read.schema(schema)
+    scan = scan.option("pathGlobFilter", "*.json").option("multiLine", not folder.endswith(".jsonl"))
+    return scan.json(folder).withColumn("file_name", F.element_at(F.split(F.input_file_name(), "/"), -1))
 
 
 def latest_file(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:

@@ -14,6 +14,8 @@ from folioflow.functions.text import STOPWORDS
 from folioflow.operators import digests as D
 from folioflow.operators import passages as X
 from folioflow.operators import vectors as V2
+from folioflow.sources import readers as R
+from folioflow.sources import sinks as S
 from folioflow.sources import versions as V
 from folioflow.streaming import resume as W
 
@@ -247,3 +249,24 @@ def test_digests_name_what_differs(spark, tmp_path):
     assert got == {(None, None) if k is None else (k // 64 * 64, k // 64 * 64 + 63) for k in changed}
     none = D.tree(a.limit(0), "k")
     assert D.differing(none, none).collect() == [] and D.differing(none, first).count() == len({None if k is None else k // 64 for k, *_ in rows})
+
+
+# ---- stores of documents -------------------------------------------------------------------------
+
+
+def test_a_store_has_few_files(spark, tmp_path):
+    """Files don't grow in number with the documents; a folder with a file a document is read too."""
+    pages = spark.range(2000).selectExpr("concat('d', id div 4) AS doc_id", "cast(id % 4 AS int) AS page_index", "concat('a', id) AS artifact_id")
+    S.write_store(pages, f"{tmp_path}/s.jsonl")
+    names = [n for n in os.listdir(tmp_path / "s.jsonl") if n.endswith(".json")]
+    assert 0 < len(names) <= 20
+    want = sorted(map(tuple, pages.collect()))
+    for found in (R.read_store(spark, f"{tmp_path}/s.jsonl"), R.read_store(spark, f"{tmp_path}/s.jsonl", S.store(pages).schema)):
+        assert {r.file_name for r in found.select("file_name").distinct().collect()} == set(names)
+        rows = found.select("doc_id", F.explode("pages").alias("p")).select("doc_id", F.col("p.page_index").cast("int"), F.explode("p.artifacts.artifact_id"))
+        assert sorted(map(tuple, rows.collect())) == want
+    (tmp_path / "f").mkdir()
+    for i in range(50):
+        (tmp_path / "f" / f"{i}.json").write_text('{"doc_id":\n"d%d"}' % i)
+    (tmp_path / "f" / "notes.txt").write_text("no document")
+    assert sorted((r.file_name, r.doc_id) for r in R.read_store(spark, f"{tmp_path}/f").collect()) == sorted((f"{i}.json", f"d{i}") for i in range(50))
