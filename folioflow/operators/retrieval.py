@@ -73,15 +73,22 @@ def filtered_topk(ranked_: DataFrame, allowed: DataFrame, k: int) -> DataFrame:
     return ranked(j.filter("_own IS NULL OR _in").drop("_own", "_in").withColumnRenamed("rank", "_r"), ["query"], [F.col("_r")], k).drop("_r")
 
 
-#: Vectors of a block: of pages, and of queries, that meet in one product.
+#: Vectors of a block of pages, and of queries, that meet in one task; numbers that a task's products hold at once.
 BLOCK_PAGES, BLOCK_QUERIES = 20_000, 2_000
+PRODUCT = 2_000_000
+
+
+def _most(asked: np.ndarray, held: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The highest product of each asked vector with each page's; ``PRODUCT`` bounds the rows that are multiplied at once."""
+    step = max(1, PRODUCT // held.shape[1])
+    return np.concatenate([np.maximum.reduceat(asked[i : i + step] @ held, at, axis=1) for i in range(0, len(asked), step)])
 
 
 def max_sim(queries: DataFrame, pages: DataFrame, k: int) -> DataFrame:
     """Late interaction: sum over query vectors of the best dot product with a page's vectors; top ``k`` pages.
 
     ``queries``: (query, pool, vector), several rows a query; ``pages``: (pool, page, vector), several rows a page. Exact: each block of a
-    pool's pages meets each block of its queries in one matrix product, of which only each query's first ``k`` pages leave the
+    pool's pages meets each block of its queries in matrix products of a few queries at a time, of which only each query's first ``k`` pages leave the
     task. A page or query lies in one block as a whole.
     """
     blocks = pages.groupBy("pool").agg(F.ceil(F.count("*") / BLOCK_PAGES).cast("int").alias("_pn"))
@@ -91,16 +98,29 @@ def max_sim(queries: DataFrame, pages: DataFrame, k: int) -> DataFrame:
     q = queries.join(blocks, "pool").select("pool", "query", "vector", F.pmod(F.xxhash64("query"), "_qn").cast("int").alias("_q"), every("_pn").alias("_p"))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query": pd.Series(dtype="int64"), "page": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        out = [pd.DataFrame({"query": pd.Series(dtype="int64"), "page": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})]
         if not len(left) or not len(right):
-            return none
+            return out[0]
         left, right = left.sort_values("query", kind="stable"), right.sort_values("page", kind="stable")
-        dots = np.stack(left["vector"].to_numpy()).astype(np.float64) @ np.stack(right["vector"].to_numpy()).astype(np.float64).T
         q_ids, q_at = np.unique(left["query"].to_numpy(), return_index=True)
         p_ids, p_at = np.unique(right["page"].to_numpy(), return_index=True)
-        score = np.round(np.add.reduceat(np.maximum.reduceat(dots, p_at, axis=1), q_at, axis=0), 5)
-        order = np.lexsort((np.broadcast_to(p_ids, score.shape), -score), axis=1)[:, :k]
-        return pd.DataFrame({"query": np.repeat(q_ids, order.shape[1]), "page": p_ids[order].ravel(), "score": np.take_along_axis(score, order, axis=1).ravel()})
+        held = np.stack(right["vector"].to_numpy()).astype(np.float64).T
+        ends = np.append(q_at[1:], len(left))
+        a = 0
+        while a < len(q_ids):  # as many queries at once as have PRODUCT products with the block's vectors, at least one
+            z = max(a + 1, int(np.searchsorted(ends, q_at[a] + max(1, PRODUCT // held.shape[1]), "right")))
+            asked = np.stack(left["vector"].iloc[q_at[a] : ends[z - 1]].to_numpy()).astype(np.float64)
+            score = np.round(np.add.reduceat(_most(asked, held, p_at), q_at[a:z] - q_at[a], axis=0), 5)
+            rows, cols = [], []
+            for i, s in enumerate(score):  # all that tie with the k-th are sorted, so that ties go to the lesser page
+                some = np.arange(len(s)) if len(s) <= k else np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+                some = some[np.argsort(-s[some], kind="stable")][:k]
+                rows.append(np.full(len(some), i))
+                cols.append(some)
+            row, col = np.concatenate(rows), np.concatenate(cols)
+            out.append(pd.DataFrame({"query": q_ids[a:z][row], "page": p_ids[col], "score": score[row, col]}))
+            a = z
+        return pd.concat(out[1:])
 
     kinds = dict(queries.dtypes)["query"], dict(pages.dtypes)["page"]
     keys = ["pool", "_q", "_p"]

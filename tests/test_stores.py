@@ -4,6 +4,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from folioflow.functions.text import STOPWORDS
 from folioflow.operators import digests as D
 from folioflow.operators import passages as X
+from folioflow.operators import retrieval as T
 from folioflow.operators import vectors as V2
 from folioflow.sources import readers as R
 from folioflow.sources import sinks as S
@@ -270,3 +272,28 @@ def test_a_store_has_few_files(spark, tmp_path):
         (tmp_path / "f" / f"{i}.json").write_text('{"doc_id":\n"d%d"}' % i)
     (tmp_path / "f" / "notes.txt").write_text("no document")
     assert sorted((r.file_name, r.doc_id) for r in R.read_store(spark, f"{tmp_path}/f").collect()) == sorted((f"{i}.json", f"d{i}") for i in range(50))
+
+
+# ---- exact late interaction ----------------------------------------------------------------------
+
+
+def test_products_are_bounded(spark, monkeypatch):
+    """A block of queries meets a block of pages a few at a time, with the same result; ties go to the lesser page."""
+    rng = np.random.default_rng(3)
+    held, asked = rng.normal(size=(20_000, 8)), rng.normal(size=(2_000, 8))
+    tracemalloc.start()
+    most = T._most(asked[:1000], held.T, np.arange(0, 20_000, 4))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most.shape == (1000, 5000) and peak < 200e6  # one product of all would take 160 MB besides the 40 of each result
+    monkeypatch.setattr(T, "PRODUCT", 500)  # for the tasks: the closure takes the module's value with it
+    vectors = [(int(p), rng.integers(-2, 3, 3).astype(float).tolist()) for p in range(120) for _ in range(rng.integers(1, 4))]
+    queries = [(int(q), rng.integers(-2, 3, 3).astype(float).tolist()) for q in range(40) for _ in range(rng.integers(1, 4))]
+    frame = lambda rows, name: spark.createDataFrame([("x", *r) for r in rows], f"pool string, {name} long, vector array<double>")
+    got = [(r["query"], r.page, r.score, r["rank"]) for r in T.max_sim(frame(queries, "query"), frame(vectors, "page"), 7).orderBy("query", "rank").collect()]
+    want = []
+    for q in range(40):
+        mine = np.array([v for i, v in queries if i == q])
+        scores = sorted((-(mine @ np.array([v for i, v in vectors if i == p]).T).max(1).sum(), p) for p in range(120))
+        want += [(q, p, -s, n + 1) for n, (s, p) in enumerate(scores[:7])]
+    assert got == want
