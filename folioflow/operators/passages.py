@@ -1,15 +1,15 @@
 """A stored inverted index of passages, and the best passages of queries by skipping blocks of it.
 
-Passages are sorted by (pool, item) and numbered; ``RANGE`` numbers make up a range. The index has three tables:
+Passages are sorted by (pool, item) and numbered; ``RANGE`` numbers make up a range, ``SEGMENT`` numbers a segment. The index has two tables:
 
 - ``docs``: number, pool, item, length;
-- ``terms``: pool, term and the number of passages that hold it;
-- ``blocks``: the postings of a term in a range (of one pool): first number, gaps, counts, lengths, and the highest impact of its postings, under
-  the statistics of their pool (``impact``) and of all pools (``impact_all``). Blocks are sorted by term, so that a reader's filters meet
-  few row groups.
+- ``blocks``: the postings of a term in a segment (of one pool; long texts make more than one block): gaps, counts, and for each range the number of its postings
+  and their highest impact, under the statistics of their pool (``impact``) and of all pools (``impact_all``). Blocks lie where their passages were read, so
+  building shuffles the texts once and nothing else. Each passage has one more posting, of the empty term, whose count is its length.
 
-A query sums its terms' highest impacts by range, from the blocks' heads alone. The postings of its best ``SEEDS`` ranges are read
-first; their k-th score tells which other ranges can hold one of the first k, and only these are read. Scores are exact.
+A search copies the blocks of its terms once. It sums its terms' highest impacts by range, from the blocks' heads alone. The postings of the best ``SEEDS``
+ranges of a query are scored first; their k-th score tells which other ranges can hold one of the first k, and only these are scored. A segment's blocks
+meet the queries that ask it in one task, of which only each query's first k passages leave. Scores are exact.
 
 A query with a null or empty pool asks all passages, under the statistics of all. Defined results: null texts are passages without terms; queries
 without terms find nothing but what fills up short lists; items of a pool must differ; empty tables give no rows.
@@ -17,34 +17,79 @@ without terms find nothing but what fills up short lists; items of a pool must d
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import scoring
 from folioflow.functions.text import tokens
 from folioflow.operators.retrieval import ranked
-from folioflow.sources.sinks import kept
+from folioflow.sources.sinks import kept, prepare_output
 
-RANGE = 64
+RANGE, SEGMENT = 64, 4096
 SEEDS = 8
-_HEAD = "pool string, term string, range long, n int, impact double, impact_all double"
+#: Words that a task holds while it makes blocks, and queries that meet a segment in one task.
+WORDS, BLOCK_QUERIES = 4_000_000, 2_000
+_BLOCK = "pool string, term string, segment long, n int, heads array<struct<range:long,n:int,impact:double,impact_all:double>>, gaps binary, counts binary"
 
 
 def _part(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _impact(tf: np.ndarray, length: np.ndarray, mean) -> np.ndarray:
+    return tf * (scoring.K1 + 1) / (tf + scoring.K1 * (1 - scoring.B + scoring.B * length / mean))
+
+
+def _cut(data: np.ndarray, width: int, n: np.ndarray) -> pa.Array:
+    """Numbers as little-endian binaries of ``width`` bytes each, ``n`` of them a row."""
+    ends = np.concatenate([[0], np.cumsum(n) * width]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(data.astype(f"<u{width}"))])
+
+
+def _blocks(held: list[pa.RecordBatch], everywhere: float) -> pa.RecordBatch:
+    """The blocks of passages of one segment (number, pool, terms, length, mean), which lie in order."""
+    t = pa.Table.from_batches(held).combine_chunks()
+    number, length, mean = (t[c].to_numpy() for c in ("number", "length", "mean"))
+    pools = t["pool"].chunk(0).dictionary_encode(null_encoding="encode")
+    lists = t["terms"].chunk(0)
+    words = lists.flatten().dictionary_encode()
+    place = np.repeat(np.arange(len(number)), pc.list_value_length(lists).to_numpy())
+    key, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(number) + place, return_counts=True)
+    n_words = len(words.dictionary)
+    key = np.concatenate([key, n_words * len(number) + np.arange(len(number))])  # the empty term's, last
+    tf = np.concatenate([tf, length])
+    code, at = np.divmod(key, len(number))
+    pool, number, length, mean = pools.indices.to_numpy()[at], number[at], length[at], np.where(mean == 0, 1.0, mean)[at]
+    new = np.append(True, (np.diff(code) != 0) | (np.diff(pool) != 0))
+    start, head = np.flatnonzero(new), np.flatnonzero(new | np.append(True, np.diff(number // RANGE) != 0))
+    n, base = np.diff(np.append(start, len(key))), number[0] // SEGMENT * SEGMENT
+    heads = [number[head] // RANGE, np.diff(np.append(head, len(key))).astype(np.int32), *(np.maximum.reduceat(_impact(tf, length, m), head) for m in (mean, everywhere))]
+    heads = pa.StructArray.from_arrays([pa.array(x) for x in heads], ["range", "n", "impact", "impact_all"])
+    heads = pa.ListArray.from_arrays(np.append(np.searchsorted(head, start), len(head)).astype(np.int32), heads)
+    gaps = np.diff(number - base, prepend=0)
+    gaps[start] = number[start] - base
+    last = int(np.searchsorted(code[start], n_words))  # blocks of the empty term from here on
+    cut = start[last] if last < len(start) else len(key)
+    width = next(w for w in (1, 2, 4) if tf[:cut].max(initial=0) < 1 << 8 * w)
+    counts = pa.concat_arrays([_cut(tf[:cut], width, n[:last]), _cut(tf[cut:], 4, n[last:])])
+    terms = pa.concat_arrays([words.dictionary.cast(pa.string()), pa.array([""], pa.string())]).take(pa.array(code[start]))
+    held_by = pools.dictionary.cast(pa.string()).take(pa.array(pool[start]))
+    columns = [held_by, terms, pa.array(np.full(len(start), base // SEGMENT)), pa.array(n.astype(np.int32)), heads, _cut(gaps, 2, n), counts]
+    return pa.RecordBatch.from_arrays(columns, ["pool", "term", "segment", "n", "heads", "gaps", "counts"])
+
+
 def build(passages: DataFrame, folder: str) -> None:
-    """Write the index of ``passages`` (pool, item, text) to ``folder``. One sort of the passages and one of the blocks."""
+    """Write the index of ``passages`` (pool, item, text) to ``folder``. Texts are dealt out and sorted once."""
     spark = passages.sparkSession
-    n = _part(spark)
-    terms = tokens(F.coalesce("text", F.lit("")))
-    docs = passages.select(F.col("pool").cast("string").alias("pool"), "item", terms.alias("terms")).withColumn("length", F.size("terms"))
-    docs = docs.repartitionByRange(n, "pool", "item").sortWithinPartitions("pool", "item").withColumn("number", F.monotonically_increasing_id())
+    docs = passages.select(F.col("pool").cast("string").alias("pool"), "item", "text").repartitionByRange(_part(spark), "pool", "item").sortWithinPartitions("pool", "item")
+    docs = docs.select(F.monotonically_increasing_id().alias("number"), "pool", "item", tokens(F.coalesce("text", F.lit(""))).alias("terms")).withColumn("length", F.size("terms"))
     docs.write.parquet(f"{folder}/sorted")
     docs = spark.read.schema(docs.schema).parquet(f"{folder}/sorted")
     docs.select("number", "pool", "item", "length").write.parquet(f"{folder}/docs")
@@ -53,42 +98,25 @@ def build(passages: DataFrame, folder: str) -> None:
     everywhere = docs.agg(F.avg("length")).first()[0] or 1.0
 
     def write(batches):
-        terms: dict[tuple, int] = {}
-        found, at = [], None
-
-        def flush():
-            term, number, tf, length, mean = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.argsort(term, kind="stable")
-            term, number, tf, length, mean = term[order], number[order], tf[order], length[order], mean[order]
-            start = np.flatnonzero(np.diff(term, prepend=-1))
-            impacts = [np.maximum.reduceat(tf * (scoring.K1 + 1) / (tf + scoring.K1 * (1 - scoring.B + scoring.B * length / m)), start) for m in (mean, everywhere)]
-            gaps = np.diff(number, prepend=0)
-            gaps[start] = 0
-            parts = [[p[2 * w * a : 2 * w * z] for a, z in zip(start, [*start[1:], len(term)], strict=True)] for p, w in ((gaps.astype("<u2").tobytes(), 1), (tf.astype("<u4").tobytes(), 2), (length.astype("<u4").tobytes(), 2))]
-            held = list(terms)
-            out = pd.DataFrame({"pool": [p for p, _ in held], "term": [t for _, t in held], "range": at, "n": np.diff([*start, len(term)]), "impact": impacts[0], "impact_all": impacts[1], "first": number[start], "gaps": parts[0], "counts": parts[1], "lengths": parts[2]})
-            terms.clear()
-            found.clear()
-            return out
-
+        held, at, size = [], None, 0
         for b in batches:
-            for number, pool, words, length, mean in zip(b["number"], b["pool"], b["terms"], b["length"], b["mean"], strict=True):
-                if number // RANGE != at:
-                    if terms:
-                        yield flush()
-                    found.clear()
-                    at = number // RANGE
-                count = Counter(words)
-                ids = np.array([terms.setdefault((pool, t), len(terms)) for t in count], np.int64)
-                found.append((ids, np.full(len(ids), number), np.array(list(count.values()), np.int64), np.full(len(ids), length), np.full(len(ids), mean or 1.0)))
-        if terms:
-            yield flush()
+            segment = b.column("number").to_numpy() // SEGMENT
+            words = np.cumsum(b.column("length").to_numpy(), dtype=np.int64) // WORDS
+            for a, z in pairwise([0, *(np.flatnonzero((np.diff(segment) != 0) | (np.diff(words) != 0)) + 1), len(segment)]):
+                if a == z:
+                    continue
+                if held and (segment[a] != at or size > WORDS):
+                    yield _blocks(held, everywhere)
+                    held, size = [], 0
+                at, part = segment[a], b.slice(a, z - a)
+                held.append(part)
+                size += pc.sum(part.column("length")).as_py()
+        if held:
+            yield _blocks(held, everywhere)
 
     wide = docs.join(means, F.col("pool").eqNullSafe(F.col("_pool"))).select("pool", "number", "terms", "length", "mean").sortWithinPartitions("number")
-    blocks = wide.mapInPandas(write, f"{_HEAD}, first long, gaps binary, counts binary, lengths binary")
-    blocks.repartitionByRange(n, "term", "pool", "range").sortWithinPartitions("term", "pool", "range").write.parquet(f"{folder}/blocks")
-    blocks = spark.read.parquet(f"{folder}/blocks")
-    blocks.groupBy("pool", "term").agg(F.sum("n").alias("df")).write.parquet(f"{folder}/terms")
+    wide.mapInArrow(write, _BLOCK).write.parquet(f"{folder}/blocks")
+    prepare_output(spark, folder, ["sorted"], [])
 
 
 def statistics(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,88 +126,103 @@ def statistics(spark: SparkSession, folder: str) -> DataFrame:
     return by_pool.filter("pool IS NOT NULL").unionByName(every).select("pool", "n", (F.col("total") / F.col("n")).alias("mean_length"))
 
 
-def _postings(first: Column, gaps: Column, counts: Column, lengths: Column) -> Column:
-    """A block's postings, decoded."""
-
-    @F.pandas_udf("array<struct<number:long,tf:int,length:int>>")
-    def decode(first: pd.Series, gaps: pd.Series, counts: pd.Series, lengths: pd.Series) -> pd.Series:
-        out = []
-        for f, g, c, n in zip(first, gaps, counts, lengths, strict=True):
-            number = (f + np.cumsum(np.frombuffer(g, "<u2").astype(np.int64))).tolist()
-            out.append([{"number": i, "tf": t, "length": m} for i, t, m in zip(number, np.frombuffer(c, "<u4").tolist(), np.frombuffer(n, "<u4").tolist(), strict=True)])
-        return pd.Series(out, dtype=object)
-
-    return decode(first, gaps, counts, lengths)
-
-
-def _by_pool(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``left`` joined to ``right`` on term, and on pool where the left one names one; ``right``'s pool goes."""
-    r = right.withColumnsRenamed({"pool": "_pool", "term": "_term"})
-    same = F.col("term") == F.col("_term")
-    named = left.filter("pool IS NOT NULL").join(r, (F.col("pool") == F.col("_pool")) & same)
-    return named.unionByName(left.filter("pool IS NULL").join(r, same)).drop("_pool", "_term")
-
-
 class Search:
     """The steps of a search, for its result and for counts of what it reads.
 
-    Terms with their statistics, bounds of ranges and the scores of the first ranges are written to the shared folder between the steps; all grow with
-    the queries.
+    Blocks of its terms, terms with their statistics, bounds of ranges and the scores of the first ranges are written to the shared folder between the steps; all
+    grow with the queries.
     """
 
     def __init__(self, spark: SparkSession, folder: str, queries: DataFrame, k: int, allowed: DataFrame | None = None):
         """``queries``: (query, pool, text), a pool that is null or empty meaning all; ``allowed``: (query, item), for queries that are bound to a list."""
         self.folder, self.k = folder, k
-        blocks = spark.read.parquet(f"{folder}/blocks")
         self.docs = spark.read.parquet(f"{folder}/docs")
-        pool = F.when(F.col("pool").cast("string") != "", F.col("pool").cast("string"))
-        self.queries = queries.select("query", pool.alias("pool"), "text")
-        asked = self.queries.select("query", "pool", F.explode(tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query", "pool", "term").agg(F.count("*").alias("qtf"))
-        df = _by_pool(asked, spark.read.parquet(f"{folder}/terms")).groupBy("query", "pool", "term", "qtf").agg(F.sum("df").alias("df"))
-        stats = statistics(spark, folder).withColumnRenamed("pool", "_pool")
-        self.asked = kept(df.join(stats, F.col("pool").eqNullSafe(F.col("_pool"))).drop("_pool"), "asked")
+        pool = F.col("pool").cast("string")
+        self.queries = queries.select("query", F.when(pool != "", pool).alias("pool"), "text")
+        words = self.queries.select("query", F.coalesce("pool", F.lit("")).alias("pool"), F.explode(tokens(F.coalesce("text", F.lit("")))).alias("term"))
+        words = kept(words.groupBy("query", "pool", "term").agg(F.count("*").alias("qtf")), "words")  # pool "" means all from here on
+        wanted = kept(words.select("pool", "term").union(words.select("pool", F.lit(""))).distinct(), "wanted")
+        held = spark.read.schema(_BLOCK).parquet(f"{folder}/blocks").withColumnsRenamed({"pool": "_pool", "term": "_term"})
+        same = (F.col("term") == F.col("_term")) & ((F.col("pool") == "") | (F.col("pool") == F.col("_pool")))
+        self.blocks = kept(wanted.join(held, same).drop("_pool", "_term"), "asked-blocks")
+        df = words.join(self.blocks.groupBy("pool", "term").agg(F.sum("n").alias("df")), ["pool", "term"])
+        stats = statistics(spark, folder).select(F.coalesce("pool", F.lit("")).alias("pool"), "n", "mean_length")
         idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        heads = _by_pool(self.asked.select("query", "pool", "term", (F.col("qtf") * idf).alias("weight")), blocks.select("pool", "term", "range", F.col("n").alias("held"), "impact", "impact_all"))
-        impact = F.when(F.col("pool").isNull(), F.col("impact_all")).otherwise(F.col("impact"))
-        self.ranges = heads.groupBy("query", "range").agg(F.sum(F.col("weight") * impact).alias("bound"), F.sum("held").alias("held"))
-        self.allowed, self.bound = None, None
-        if allowed is not None:
-            known = allowed.select("query", "item").distinct().join(self.queries, "query")
-            d = self.docs.select("number", F.col("pool").alias("_pool"), "item")
-            listed = known.join(d, "item").filter("pool IS NULL OR pool = _pool").select("query", "number")
-            self.bound = allowed.select("query").distinct()
-            self.allowed = listed = kept(listed, "allowed")
-            near = listed.select("query", F.floor(F.col("number") / RANGE).cast("long").alias("range")).distinct()
-            own = self.ranges.join(near, ["query", "range"], "left_semi")
-            self.ranges = own.unionByName(self.ranges.join(self.bound, "query", "left_anti"))
+        self.asked = kept(df.join(stats, "pool").withColumn("weight", F.col("qtf") * idf), "asked")
+        heads = self.asked.select("query", "pool", "term", "weight").join(self.blocks.select("pool", "term", "heads"), ["pool", "term"]).select("query", "pool", "weight", F.explode("heads").alias("h"))
+        impact = F.when(F.col("pool") == "", F.col("h.impact_all")).otherwise(F.col("h.impact"))
+        self.ranges = heads.groupBy("query", F.col("h.range").alias("range")).agg(F.sum(F.col("weight") * impact).alias("bound"), F.sum("h.n").alias("held"))
+        every = F.lit(-1).cast("long").alias("mask")
+        if allowed is None:
+            self.ranges = self.ranges.select("*", every)
+        else:  # a list becomes one number a range, whose bits are its passages
+            known = allowed.join(self.queries, "query").join(self.docs.select("number", F.col("pool").alias("_pool"), "item"), "item").filter("pool IS NULL OR pool = _pool")
+            bit = F.expr(f"shiftleft(1L, CAST(number % {RANGE} AS INT))")
+            masks = known.groupBy("query", F.floor(F.col("number") / RANGE).cast("long").alias("range")).agg(F.bit_or(bit).alias("mask"))
+            own = self.ranges.join(masks, ["query", "range"])
+            self.ranges = own.unionByName(self.ranges.join(allowed.select("query").distinct(), "query", "left_anti").select("*", every))
         self.ranges = kept(self.ranges, "ranges")
-        self.seeds = ranked(self.ranges, ["query"], [F.desc("bound"), F.asc("range")], SEEDS, "_seed").select("query", "range", "held")
-        self.blocks = blocks
-
-    def scores(self, ranges: DataFrame) -> DataFrame:
-        """(query, number, score) of the passages in the ranges (query, range)."""
-        mine = self.asked.withColumnRenamed("n", "n_all").join(ranges.select("query", "range"), "query")
-        b = self.blocks.select(F.col("pool").alias("_pool"), F.col("term").alias("_term"), F.col("range").alias("_range"), "first", "gaps", "counts", "lengths")
-        same = (F.col("term") == F.col("_term")) & (F.col("range") == F.col("_range")) & (F.col("pool").isNull() | (F.col("pool") == F.col("_pool")))
-        read = mine.join(b, same)
-        p = read.select("query", "qtf", "df", "n_all", "mean_length", F.explode(_postings(*map(F.col, ("first", "gaps", "counts", "lengths")))).alias("p"))
-        part = scoring.bm25_term(F.col("qtf"), F.col("p.tf"), F.col("df"), F.col("n_all"), F.col("p.length"), F.col("mean_length"))
-        out = p.groupBy("query", F.col("p.number").alias("number")).agg(F.round(F.sum(part), 6).alias("score"))
-        if self.allowed is None:
-            return out
-        return out.join(self.allowed, ["query", "number"], "left_semi").unionByName(out.join(self.bound, "query", "left_anti"))
+        self.seeds = ranked(self.ranges, ["query"], [F.desc("bound"), F.asc("range")], SEEDS, "_seed").drop("bound", "_seed")
+
+    def scores(self, ranges: DataFrame, k: int | None = None) -> DataFrame:
+        """(query, number, score) of the passages in the ranges (query, range, mask); of each segment a query's first ``k`` if there are more."""
+        parts = -(-self.asked.select("query").distinct().count() // BLOCK_QUERIES)
+        block = (F.pmod(F.xxhash64("query"), F.lit(max(1, parts))) * 2 + (F.col("pool") == "").cast("int")).alias("_b")
+        terms = self.asked.groupBy("query", "pool", "mean_length").agg(F.collect_list(F.struct("term", "weight")).alias("t"))
+        wide = F.floor(F.col("range") / (SEGMENT // RANGE)).cast("long").alias("segment")
+        need = ranges.groupBy("query", wide).agg(F.collect_list(F.struct("range", "mask")).alias("r"))
+        right = need.join(terms, "query").select("segment", block, "query", "pool", "mean_length", "t.term", "t.weight", "r.range", "r.mask")
+        wanted = self.asked.select("pool", "term", block)
+        wanted = wanted.union(wanted.select("pool", F.lit(""), "_b")).distinct()
+        left = self.blocks.drop("heads").join(wanted, ["pool", "term"]).join(right.select("segment", "_b").distinct(), ["segment", "_b"], "left_semi")
+
+        def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            out = [pd.DataFrame({"query": right["query"][:0], "number": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})]
+            if not len(left) or not len(right):
+                return out[0]
+            segment = int(left["segment"].iloc[0])
+            posts, lengths = defaultdict(list), np.zeros(SEGMENT)
+            for pool, term, n, gaps, counts in zip(left["pool"], left["term"], left["n"], left["gaps"], left["counts"], strict=True):
+                place = np.cumsum(np.frombuffer(gaps, "<u2"), dtype=np.int64)
+                tf = np.frombuffer(counts, f"<u{len(counts) // n}").astype(np.float64)
+                if term:
+                    posts[pool, term].append((place, tf))
+                else:
+                    lengths[place] = tf
+            impacts: dict[tuple, list] = {}
+            for query, pool, mean, words, weights, ranges_, masks in zip(*(right[c] for c in ("query", "pool", "mean_length", "term", "weight", "range", "mask")), strict=True):
+                total, hit = np.zeros(SEGMENT), np.zeros(SEGMENT, bool)
+                for word, weight in zip(words, weights, strict=True):
+                    if (pool, word) not in impacts:
+                        impacts[pool, word] = [(place, _impact(tf, lengths[place], mean or 1.0)) for place, tf in posts.get((pool, word), ())]
+                    for place, x in impacts[pool, word]:
+                        total[place] += weight * x
+                        hit[place] = True
+                of = np.zeros((SEGMENT // RANGE, RANGE), bool)
+                of[np.asarray(ranges_) - segment * (SEGMENT // RANGE)] = np.asarray(masks)[:, None] >> np.arange(RANGE) & 1
+                at = np.flatnonzero(hit & of.ravel())
+                s = np.round(total[at], 6)
+                if k is not None and len(at) > k:  # all that tie with the k-th are sorted, so that ties go to the lesser number
+                    some = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+                    some = some[np.argsort(-s[some], kind="stable")][:k]
+                    at, s = at[some], s[some]
+                out.append(pd.DataFrame({"query": np.full(len(at), query), "number": segment * SEGMENT + at, "score": s}))
+            return pd.concat(out[1:])
+
+        keys = ["segment", "_b"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, f"query {dict(self.asked.dtypes)['query']}, number long, score double")
 
     def reached(self) -> tuple[DataFrame, DataFrame]:
         """(scores of the seeds' passages, the other ranges that can hold one of the first k)."""
-        first = kept(self.scores(self.seeds), "scores")
+        first = kept(self.scores(self.seeds, self.k), "scores")
         least = ranked(first, ["query"], [F.desc("score"), F.asc("number")], self.k, "_r").filter(F.col("_r") == self.k).select("query", F.col("score").alias("least"))
         rest = self.ranges.join(self.seeds.select("query", "range"), ["query", "range"], "left_anti").join(least, "query", "left")
-        return first, rest.filter(F.col("least").isNull() | (F.col("bound") + 1e-6 >= F.col("least"))).select("query", "range", "held")
+        return first, rest.filter(F.col("least").isNull() | (F.col("bound") + 1e-6 >= F.col("least"))).select("query", "range", "held", "mask")
 
     def top(self) -> DataFrame:
         """(query, item, score, rank) of passages with a score."""
         first, rest = self.reached()
-        best = ranked(first.unionByName(self.scores(rest)), ["query"], [F.desc("score"), F.asc("number")], self.k)
+        best = ranked(first.unionByName(self.scores(rest, self.k)), ["query"], [F.desc("score"), F.asc("number")], self.k)
         return best.join(self.docs.select("number", "pool", "item"), "number").select("query", "item", "pool", "score", "rank")
 
     def share_read(self) -> DataFrame:

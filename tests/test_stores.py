@@ -171,6 +171,28 @@ def test_blocks_are_skipped(spark, tmp_path):
     assert over.join(s.ranges, ["query", "range"]).filter("most > bound + 1e-6").isEmpty()
 
 
+def test_few_rows_leave_a_segment(spark, tmp_path, monkeypatch):
+    """Only a query's first k passages of a segment are shuffled; a term has a block a segment, or more where texts are long; lists hold over all of them."""
+    rng = random.Random(6)
+    items = [(rng.choice("ab"), i, passage(rng)) for i in range(3000)] + [("a", 9000, "w1 w2 " * 3000)]
+    queries = [(i, p, "w1 w2 w3 w5 w8") for i, p in enumerate(["a", "", "b", ""])]
+    allowed = {1: set(range(0, 3000, 11)), 2: {9000}, 3: {9000}}
+    frame = spark.createDataFrame(items, "pool string, item long, text string")
+    asked = spark.createDataFrame(queries, "query int, pool string, text string")
+    pairs = spark.createDataFrame([(q, i) for q, s in allowed.items() for i in s], "query int, item long")
+    for words, name in ((X.WORDS, "x"), (700, "y")):
+        monkeypatch.setattr(X, "WORDS", words)
+        X.build(frame, f"{tmp_path}/{name}")
+        blocks = spark.read.parquet(f"{tmp_path}/{name}/blocks")
+        assert (blocks.count() > blocks.select("pool", "term", "segment").distinct().count()) == (name == "y")
+        s = X.Search(spark, f"{tmp_path}/{name}", asked, 3, pairs)
+        segments = s.docs.select(F.floor(F.col("number") / X.SEGMENT)).distinct().count()
+        assert s.scores(s.ranges, 3).count() <= 3 * segments * len(queries) < s.scores(s.ranges).count()
+        assert s.ranges.count() == s.ranges.select("query", "range").distinct().count()
+        got = sorted(((r["query"], r["item"], r["rank"]) for r in s.top().collect()), key=repr)
+        assert got == [(q, i, n) for q, _, i, _, n in plain_bm25(queries, items, 3, allowed)]
+
+
 # ---- vector index --------------------------------------------------------------------------------
 
 
