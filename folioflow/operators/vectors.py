@@ -16,7 +16,7 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.operators.retrieval import ranked
@@ -26,6 +26,8 @@ CENTROIDS = 4096
 BITS = 2
 #: Vectors of a block of codes, and of queries, that meet in one product; pages that a query vector keeps of a block.
 BLOCK_CODES, BLOCK_QUERIES, KEEP = 20_000, 2_000, 100
+#: Pages whose vectors lie in one task for exact scores.
+BLOCK_PAGES = 20_000
 
 
 def trained(sample: np.ndarray, n: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,7 +122,7 @@ def candidates(spark: SparkSession, folder: str, queries: DataFrame, probes: int
     right = codes.join(blocks, "centroid").select("centroid", "page", "pool", "code", F.pmod(F.xxhash64("page"), "_cn").cast("int").alias("_c"), every("_qn").alias("_q"))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query": a["query"][:0], "vector_id": a["vector_id"][:0], "page": b["page"][:0], "pool": b["pool"][:0], "score": pd.Series(dtype="float64")})
+        none = pd.DataFrame({"query": a["query"][:0], "vector_id": a["vector_id"][:0], "page": pd.Series(dtype=object), "pool": b["pool"][:0], "score": pd.Series(dtype=object)})
         if not len(a) or not len(b):
             return none
         c, _, values = shipped.value
@@ -136,29 +138,45 @@ def candidates(spark: SparkSession, folder: str, queries: DataFrame, probes: int
         row, col = np.repeat(np.arange(len(a)), k), best.ravel()
         fine = np.isfinite(dots[row, col])
         row, col = row[fine], col[fine]
-        return pd.DataFrame({"query": a["query"].to_numpy()[row], "vector_id": a["vector_id"].to_numpy()[row], "page": b["page"].to_numpy()[col], "pool": met[col], "score": dots[row, col]})
+        # a row a query vector and pool, with its pages as arrays
+        out = pd.DataFrame({"row": row, "pool": met[col], "page": b["page"].to_numpy()[col], "score": dots[row, col]})
+        out = out.groupby(["row", "pool"], dropna=False, sort=False).agg({"page": list, "score": list}).reset_index()
+        row = out.pop("row").to_numpy(np.int64)
+        return out.assign(query=a["query"].to_numpy()[row], vector_id=a["vector_id"].to_numpy()[row])[["query", "vector_id", "page", "pool", "score"]]
 
     keys = ["centroid", "_q", "_c"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, f"query {kinds[0]}, vector_id long, page {kinds[1]}, pool string, score double")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, f"query {kinds[0]}, vector_id long, page array<{kinds[1]}>, pool string, score array<double>")
+    # dealt out once, by query, which all that follows is grouped by
+    found = found.repartition("query").select("query", "vector_id", "pool", F.explode(F.arrays_zip("page", "score")).alias("x")).select("query", "vector_id", "pool", "x.page", "x.score")
     if allowed is not None:
         bound = allowed.select("query").distinct()
         found = found.join(allowed.select("query", "page").distinct(), ["query", "page"], "left_semi").unionByName(found.join(bound, "query", "left_anti"))
     best = found.groupBy("query", "vector_id", "pool", "page").agg(F.max("score").alias("score"))
-    usual = best.groupBy("query", "vector_id").agg(F.avg("score").alias("usual"))  # what a page that a query vector didn't find may well have
-    best = best.join(usual, ["query", "vector_id"]).groupBy("query", "pool", "page").agg(F.sum(F.col("score") - F.col("usual")).alias("score"))
+    usual = F.avg("score").over(Window.partitionBy("query", "vector_id"))  # what a page that a query vector didn't find may well have
+    best = best.withColumn("usual", usual).groupBy("query", "pool", "page").agg(F.sum(F.col("score") - F.col("usual")).alias("score"))
     return ranked(best, ["query"], [F.desc("score"), F.asc("page")], n).select("query", "pool", "page")
 
 
 def top_k(spark: SparkSession, folder: str, queries: DataFrame, k: int, probes: int = 64, rescored: int = 200, allowed: DataFrame | None = None) -> DataFrame:
     """(query, page, score, rank) for ``queries`` (query, pool, vector), several rows a query; scores are exact, pages those that the index finds."""
     some = candidates(spark, folder, queries, probes, rescored, allowed)
-    held = spark.read.parquet(f"{folder}/pages").withColumnsRenamed({"pool": "_pool", "page": "_page"})
+    held = spark.read.parquet(f"{folder}/pages")
+    block = F.pmod(F.xxhash64("pool", "page"), F.lit(max(1, -(-held.count() // BLOCK_PAGES)))).alias("_b")
     asked = queries.groupBy("query").agg(F.collect_list(F.col("vector").cast("array<float>")).alias("asked"))
-    pairs = some.join(held, F.col("pool").eqNullSafe(F.col("_pool")) & (F.col("page") == F.col("_page"))).join(asked, "query")
-
-    @F.pandas_udf("double")
-    def exact(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([round(float((np.stack(x).astype(np.float64) @ np.stack(y).astype(np.float64).T).max(axis=1).sum()), 5) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    scored = pairs.select("query", "page", exact("asked", "vectors").alias("score"))
+    pairs = some.groupBy("query", block).agg(F.collect_list(F.struct("pool", "page")).alias("x")).join(asked, "query").select("_b", "query", "asked", "x.pool", "x.page")
+
+    def exact(pages: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        """A block's pages meet all queries that found some of them, so vectors are shuffled a block and not a pair."""
+        at = {(x, p): v for x, p, v in zip(pages["pool"], pages["page"], pages["vectors"], strict=True)}
+        out = [pd.DataFrame({"query": pairs["query"][:0], "page": pages["page"][:0], "score": pd.Series(dtype="float64")})]
+        for query, mine, pools, found in zip(pairs["query"], pairs["asked"], pairs["pool"], pairs["page"], strict=True):
+            theirs = [np.stack(at[key]) for key in zip(pools, found, strict=True)]
+            dots = np.stack(mine).astype(np.float64) @ np.concatenate(theirs).astype(np.float64).T
+            starts = np.cumsum([0, *(len(x) for x in theirs[:-1])])
+            score = np.maximum.reduceat(dots, starts, axis=1).sum(axis=0)
+            out.append(pd.DataFrame({"query": np.full(len(found), query), "page": found, "score": [round(float(x), 5) for x in score]}))
+        return pd.concat(out[1:] or out)
+
+    kinds = dict(queries.dtypes)["query"], dict(held.dtypes)["page"]
+    scored = held.select(block, "pool", "page", "vectors").groupBy("_b").cogroup(pairs.groupBy("_b")).applyInPandas(exact, f"query {kinds[0]}, page {kinds[1]}, score double")
     return ranked(scored, ["query"], [F.desc("score"), F.asc("page")], k)

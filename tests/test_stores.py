@@ -242,6 +242,18 @@ def test_vector_index_against_loops(spark, tmp_path):
     assert V2.top_k(spark, f"{tmp_path}/none", asked, 4).collect() == []
 
 
+def test_candidates_are_dealt_out_once(spark, tmp_path):
+    """What blocks of codes find is shuffled once, by query; vectors aren't shuffled a pair."""
+    rng = np.random.default_rng(7)
+    rows = [("ab"[p % 2], p, rng.normal(size=4).tolist()) for p in range(80) for _ in range(2)]
+    V2.build(spark.createDataFrame(rows, "pool string, page long, vector array<double>"), f"{tmp_path}/v")
+    asked = spark.createDataFrame([(q, None, rng.normal(size=4).tolist()) for q in range(6)], "query int, pool string, vector array<double>")
+    plan = V2.candidates(spark, f"{tmp_path}/v", asked, 8, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan[: plan.index("FlatMapCoGroupsInPandas")].count("Exchange") == 1
+    plan = V2.top_k(spark, f"{tmp_path}/v", asked, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Window") < plan.index("FlatMapCoGroupsInPandas") and "vectors" not in plan[: plan.index("FlatMapCoGroupsInPandas")]
+
+
 def test_recall_of_the_vector_index(spark):
     """Every twentieth page against all pages: at least nine tenths of the exact five best."""
     from folioflow.plans import indexes as I
